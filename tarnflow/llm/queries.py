@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, mixing, url_filter
+from . import licenses, line_dedup, minhash, mixing, superminhash, url_filter
 
 QUERIES = {
+    "op4_document_fingerprints": minhash.op4_document_fingerprints,
     "op5_source_mixing": mixing.op5_source_mixing,
+    "op6_superminhash_dedup": superminhash.op6_superminhash_dedup,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_url_filter": url_filter.op8_url_filter,
     "op10_line_dedup": line_dedup.op10_line_dedup,
