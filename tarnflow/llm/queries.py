@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, minhash, mixing, superminhash, url_filter
+from . import licenses, line_dedup, minhash, mixing, superminhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op4_document_fingerprints": minhash.op4_document_fingerprints,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_superminhash_dedup": superminhash.op6_superminhash_dedup,
