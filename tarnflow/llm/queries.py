@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses, line_dedup, minhash, mixing, superminhash, toxicity, url_filter
+from . import decontaminate, licenses, line_dedup, minhash, mixing, superminhash, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_superminhash_dedup": superminhash.op6_superminhash_dedup,
     "op7_license_scan": licenses.op7_license_scan,
     "op8_url_filter": url_filter.op8_url_filter,
+    "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 
