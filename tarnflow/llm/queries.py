@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, minhash, mixing, superminhash, toxicity, url_filter
+from . import decontaminate, fm_index, licenses, line_dedup, minhash, mixing, superminhash, toxicity, url_filter
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_fm_index_dedup": fm_index.op3_fm_index_dedup,
     "op4_document_fingerprints": minhash.op4_document_fingerprints,
     "op5_source_mixing": mixing.op5_source_mixing,
     "op6_superminhash_dedup": superminhash.op6_superminhash_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op3_fm_index_dedup": fm_index.OP3_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
     "op7_license_scan": licenses.OP7_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
