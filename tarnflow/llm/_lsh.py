@@ -1,18 +1,21 @@
-"""Near-duplicate components: banded signatures, exact verification, connected components.
+"""Near-duplicate components: banded signatures, exact verification, union-find.
 
 The plan, for signatures of any kind:
 
 1. One pass over the texts: distinct 5-word shingles (A-Z lower-cased; fewer words: the
-   whole sequence as one), a 128-bit key of the set, and the band hashes of its signature.
+   whole sequence as one), a 128-bit key of the set, and its signature in slots of 16 bits.
    Texts with the same set are one *class*, named by its smallest doc_id, so copies cost nothing later.
-2. Classes that share a band hash form a bucket.  No pairs within a bucket are written out:
-   every round picks one pivot a bucket, verifies the others that are not in its component
-   yet on full sets, joins the links found into components, and leaves the pivot out of
-   the bucket.  A bucket is finished when what is left of it lies in one component.
-3. Once the pairs left are few (``RESIDUE`` a member on average), they are verified all at once.
+2. Classes that share a band (``rows`` slots in a row) form a bucket.  ``STARS`` rounds link within buckets
+   without writing out their pairs: each picks one pivot a bucket, verifies the
+   others that are not in its component yet on full sets, joins the links found into
+   components, and leaves the pivot out of the bucket.  That connects large groups of near copies.
+3. Of what is left, the pairs of different components are compared by signature inside the tasks that
+   hold their bucket (large buckets cut into pairs of blocks).  Only pairs are written out
+   whose signatures agree as well as those of a linked pair do, up to ``SIGMAS`` standard deviations,
+   each in the first band it shares; they are verified on full sets.
 
-So every pair that shares a band is verified, or is in one component already: no link is
-lost but by a pair that shares no band, whose probability is under ``MISS`` at the threshold itself.
+So every pair that shares a band is judged, or is in one component already: no link is lost but by a pair
+that shares no band (probability under ``MISS`` at the threshold itself) or is ``SIGMAS`` deviations off.
 
 Edge cases: null or empty texts and texts without words have no set and link with nothing;
 rows that repeat a doc_id are one document (all of its texts count); a null doc_id is an id,
@@ -30,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize
+from ._store import materialize, partitions
 
 SHINGLE = 5
 MISS = 1e-6
 MAX_BANDS = 40
-RESIDUE = 2
-ROUNDS = 12
+SIGMAS = 6
+STARS = 2
+#: Members of a bucket that one task compares with as many others, and edges that it joins.
+BLOCK = 512
+FOREST = 500_000
 NULL_ID = -(2**63)
 _BYTES = 1 << 19
 
@@ -58,7 +64,7 @@ def _sets(column: pa.Array, limit: int = _BYTES) -> Iterator[tuple[T.Piece, np.n
 
 
 def describe(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], np.ndarray], threshold: int) -> DataFrame:
-    """doc, n (set size), cls1, cls2 (key of the set), bands."""
+    """doc, n (set size), cls1, cls2 (key of the set), sig."""
     rows, bands = shape(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,16 +76,93 @@ def describe(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], np.
                     sums = np.zeros(len(values) + 1, np.uint64)
                     np.cumsum(T.mix64(values + np.uint64(salt)), out=sums[1:])
                     cls.append((sums[first[1:]] - sums[first[:-1]] + n.astype(np.uint64)).view(np.int64))
-                sig = slots(values, first, rows * bands).reshape(-1, bands, rows)
-                h = np.zeros(sig.shape[:2], np.uint64) + np.arange(bands, dtype=np.uint64)
-                for r in range(rows):
-                    h = T.mix64(h * np.uint64(0x9E3779B97F4A7C15) + sig[:, :, r])
-                flat = pa.array(h.view(np.int64).ravel())
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * bands), flat)
+                sig = (T.mix64(slots(values, first, rows * bands)) >> np.uint64(48)).astype("<u2")
+                sigs = pa.array([x.tobytes() for x in sig], pa.binary())
                 doc = b.column(0).slice(piece.lo, piece.hi - piece.lo)
-                yield pa.RecordBatch.from_arrays([doc, pa.array(n), pa.array(cls[0]), pa.array(cls[1]), lists], names=["doc", "n", "cls1", "cls2", "bands"])
+                yield pa.RecordBatch.from_arrays([doc, pa.array(n), pa.array(cls[0]), pa.array(cls[1]), sigs], names=["doc", "n", "cls1", "cls2", "sig"])
 
-    return _keyed(docs).mapInArrow(run, "doc long, n long, cls1 long, cls2 long, bands array<long>")
+    return _keyed(docs).mapInArrow(run, "doc long, n long, cls1 long, cls2 long, sig binary")
+
+
+def band_hashes(sig: np.ndarray, rows: int) -> np.ndarray:
+    """(n, bands) hashes of each band's slots and number."""
+    parts = sig.reshape(len(sig), -1, rows).astype(np.uint64)
+    h = np.zeros(parts.shape[:2], np.uint64) + np.arange(parts.shape[1], dtype=np.uint64)
+    for r in range(rows):
+        h = T.mix64(h * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, r])
+    return h
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    values = column.to_pylist()
+    return np.frombuffer(b"".join(values), "<u2").reshape(len(values), -1) if values else np.zeros((0, 1), "<u2")
+
+
+def banded(classes: DataFrame, rows: int) -> DataFrame:
+    """node, band: a row for each band of each class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = band_hashes(_matrix(b.column(1)), rows)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), h.shape[1])), pa.array(h.view(np.int64).ravel())], names=["node", "band"])
+
+    return classes.select("node", "sig").mapInArrow(run, "node long, band long")
+
+
+def alike(open_: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a, b) of different components within a bucket whose signatures agree well enough; ``open_``: band, node, comp, sig."""
+    rows, bands = shape(threshold)
+    m, t = rows * bands, threshold / 100
+    least = m * t - SIGMAS * math.sqrt(m * t * (1 - t))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            node, comp = group["node"].to_numpy(), group["comp"].to_numpy()
+            sig = _matrix(group["sig"].combine_chunks())
+            band = group["band"][0].as_py()
+            x, y = group["x"][0].as_py(), group["y"][0].as_py()
+            block = group["block"].to_numpy()
+            hashes = band_hashes(sig, rows).view(np.int64)
+            a, b = [], []
+            for i in range(len(node)):
+                # within a block each pair once; between two blocks from the first one
+                if x != y and block[i] != x:
+                    continue
+                others = np.arange(i + 1, len(node)) if x == y else np.flatnonzero(block == y)
+                others = others[comp[others] != comp[i]]
+                others = others[(sig[others] == sig[i]).sum(axis=1) >= least]
+                if len(others):
+                    shared = (hashes[others] == hashes[i]).argmax(axis=1)
+                    others = others[hashes[i, shared] == band]
+                a.append(np.full(len(others), node[i]))
+                b.append(node[others])
+            if a:
+                a, b = np.concatenate(a), np.concatenate(b)
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    placed = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "comp", "sig")
+    keys = ["band", "x", "y"]
+    return placed.repartition(partitions(open_.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Runs of rows with equal leading columns."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), b.num_rows]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and any(held[-1].column(i)[-1].as_py() != key[lo, i] for i in range(keys)):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(lo, hi - lo))
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -111,15 +194,42 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over a task's edges: each node beside the smallest one it is joined with."""
+    edges = [b for b in batches if b.num_rows]
+    if not edges:
+        return
+    u = np.concatenate([b.column(0).to_numpy() for b in edges])
+    v = np.concatenate([b.column(1).to_numpy() for b in edges])
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    u, v = ends[: len(u)], ends[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        a, b = root[u], root[v]
+        apart = a != b
+        if not apart.any():
+            break
+        np.minimum.at(root, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+    at = np.flatnonzero(root != np.arange(len(nodes)))
+    yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["u", "v"])
+
+
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, comp) of all nodes that have an edge (u, v): comp is the smallest node reachable.
 
-    Alternating large and small stars: every node is attached to its least neighbour until all that
-    is left are stars.  Rounds grow with the logarithm of a component's diameter; each ends in a written table.
+    Tasks of at most about ``FOREST`` edges reduce theirs to stars by union-find.  With more than one
+    such task, large and small stars alternate: every node is attached to its least neighbour until all
+    that is left are stars; rounds grow with the logarithm of a component's diameter, and each ends in a written table.
     """
-    edges = materialize(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
+    edges = materialize(edges.filter("u <> v"), name)
     before = None
     while True:
+        tasks = -(-edges.count() // FOREST) or 1
+        edges = materialize(edges.coalesce(tasks).mapInArrow(_forest, "u long, v long"), name)
+        if tasks == 1:
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -137,47 +247,41 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], np.ndarray], threshold: int) -> DataFrame:
     """doc_id, n_shingles, component_id of each row of ``docs``."""
-    spark = docs.sparkSession
+    rows, _ = shape(threshold)
     sets = materialize(describe(docs, slots, threshold), "sets")
-    classes = sets.filter("n > 0").groupBy("cls1", "cls2").agg(F.min("doc").alias("node"), F.first("bands").alias("bands"))
+    classes = sets.filter("n > 0").groupBy("cls1", "cls2").agg(F.min("doc").alias("node"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    full = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
-    members = materialize(banded.join(full, "band"), "members")
-    held = members.select(F.col("node").alias("doc")).distinct()
-    texts = materialize(_keyed(docs).join(held, "doc", "left_semi"), "texts")
+    bands = banded(classes, rows)
+    full = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    members = materialize(bands.join(full, "band"), "members")
+    held = members.select("node").distinct()
+    texts = materialize(_keyed(docs).join(held.withColumnRenamed("node", "doc"), "doc", "left_semi"), "texts")
 
     # rows that repeat a doc_id tie its classes together
     repeated = sets.filter("n > 0").groupBy("doc").agg(F.min("cls1").alias("x"), F.max("cls1").alias("y")).filter("x <> y").select("doc")
-    found = materialize(
-        sets.join(repeated, "doc").join(classes.select("cls1", "cls2", "node"), ["cls1", "cls2"]).select(F.col("doc").alias("u"), F.col("node").alias("v")), "links"
-    )
-    labels = spark.createDataFrame([], "node long, comp long")
-    for turn in range(ROUNDS + 1):
-        current = members.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp")) if turn else members.withColumn("comp", F.col("node"))
+    found = sets.drop("sig").join(repeated, "doc").join(classes.drop("sig"), ["cls1", "cls2"]).select(F.col("doc").alias("u"), F.col("node").alias("v"))
+    labels = None
+    for turn in range(STARS + 1):
+        current = members.withColumn("comp", F.col("node"))
+        if labels is not None:
+            current = members.join(labels, "node", "left").select("band", "node", F.coalesce("comp", "node").alias("comp"))
         # the pivot: the least id in the first round, then the least by a hash that changes
-        rank = F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node")
-        ranked = current.withColumn("rank", rank)
-        per = ranked.groupBy("band").agg(F.count("*").alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rank").alias("pick")).filter("c0 <> c1")
-        ranked = materialize(ranked.join(per.select("band", "k", "pick"), "band"), "open")
-        sizes = ranked.groupBy("band", "comp").agg(F.count("*").alias("kc"), F.first("k").alias("k")).agg(F.sum(F.col("kc") * (F.col("k") - F.col("kc"))) / 2, F.sum("kc")).first()
-        if not sizes[1]:
-            break
-        last = turn == ROUNDS or sizes[0] <= RESIDUE * sizes[1]
-        if last:
-            x, y = (ranked.select("band", F.col("node").alias(n), F.col("comp").alias(f"comp_{n}")) for n in "ab")
-            pairs = x.join(y, "band").filter("a < b and comp_a <> comp_b").select("a", "b").distinct()
+        current = current.withColumn("rank", F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node"))
+        per = current.groupBy("band").agg(F.count("*").alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rank").alias("pick")).filter("c0 <> c1")
+        ranked = current.join(per.select("band", "k", "pick"), "band")
+        if turn == STARS:
+            sigs = classes.select("node", "sig").join(held, "node", "left_semi")
+            pairs = alike(ranked.select("band", "k", "node", "comp").join(sigs, "node"), threshold)
         else:
+            ranked = materialize(ranked, "open")
             pivots = ranked.filter("rank = pick").select("band", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
             star = ranked.join(pivots, "band").filter("comp <> pivot_comp")
             pairs = star.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
-            members = materialize(ranked.filter("rank <> pick").select("band", "node"), "members")
+            members = ranked.filter("rank <> pick").select("band", "node")
         new = links(pairs, texts, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = materialize(found.unionByName(new), "links")
         labels = connected(found)
-        if last:
-            break
-    whole = sets.join(classes.select("cls1", "cls2", "node"), ["cls1", "cls2"], "left").join(labels, "node", "left")
+    whole = sets.drop("sig").join(classes.drop("sig"), ["cls1", "cls2"], "left").join(labels, "node", "left")
     comp = F.coalesce("comp", "node", "doc")
     back = lambda c: F.when(c != NULL_ID, c)
     return whole.select(back(F.col("doc")).alias("doc_id"), F.col("n").alias("n_shingles"), back(comp).alias("component_id"))

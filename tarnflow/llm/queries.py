@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from ..session import ship_package
 from . import decontaminate, fm_index, licenses, line_dedup, minhash, mixing, superminhash, toxicity, url_filter
 
+
+def _shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op3_fm_index_dedup": fm_index.op3_fm_index_dedup,
@@ -15,6 +28,7 @@ QUERIES = {
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
+QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 SQL = {
     "op3_fm_index_dedup": fm_index.OP3_SQL,
