@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship_package
-from . import decontaminate, fm_index, licenses, line_dedup, minhash, mixing, superminhash, toxicity, url_filter
+from . import decontaminate, fm_index, licenses, line_dedup, minhash, mixing, suffix_array, superminhash, toxicity, url_filter
 
 
 def _shipped(query):
@@ -19,6 +19,7 @@ def _shipped(query):
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_suffix_array_dedup": suffix_array.op2_suffix_array_dedup,
     "op3_fm_index_dedup": fm_index.op3_fm_index_dedup,
     "op4_document_fingerprints": minhash.op4_document_fingerprints,
     "op5_source_mixing": mixing.op5_source_mixing,
