@@ -9,10 +9,11 @@ The plan, for signatures of any kind:
    without writing out their pairs: each picks one pivot a bucket, verifies the
    others that are not in its component yet on full sets, joins the links found into
    components, and leaves the pivot out of the bucket.  That connects large groups of near copies.
-3. Of what is left, the pairs of different components are compared by signature inside the tasks that
-   hold their bucket (large buckets cut into pairs of blocks).  Only pairs are written out
-   whose signatures agree as well as those of a linked pair do, up to ``SIGMAS`` standard deviations,
-   each in the first band it shares; they are verified on full sets.
+3. Of what is left, the nodes of different components are compared by signature inside the tasks that
+   hold their bucket (large buckets cut into pairs of blocks).  Nodes whose signatures agree as well as those
+   of a linked pair do, up to ``SIGMAS`` standard deviations, are tied together; only a forest of these ties is written out.
+4. What is tied together, a cluster, is verified on full sets inside tasks (large clusters cut into pairs of blocks);
+   only a forest of the links found is written out.
 
 So every pair that shares a band is judged, or is in one component already: no link is lost but by a pair
 that shares no band (probability under ``MISS`` at the threshold itself) or is ``SIGMAS`` deviations off.
@@ -40,8 +41,9 @@ MISS = 1e-6
 MAX_BANDS = 40
 SIGMAS = 6
 STARS = 2
-#: Members of a bucket that one task compares with as many others, and edges that it joins.
+#: Members of a bucket, or texts of a cluster, that one task compares with as many others; edges that it joins.
 BLOCK = 512
+TEXTS = 128
 FOREST = 500_000
 NULL_ID = -(2**63)
 _BYTES = 1 << 19
@@ -109,8 +111,17 @@ def banded(classes: DataFrame, rows: int) -> DataFrame:
     return classes.select("node", "sig").mapInArrow(run, "node long, band long")
 
 
+def in_blocks(rows: DataFrame, key: str, size: int, keep: list[str]) -> DataFrame:
+    """Groups of ``k`` rows cut into blocks of about ``size``, a copy of each row for every pair of blocks it is in, sorted by (key, x, y)."""
+    blocks = rows.withColumn("blocks", F.ceil(F.col("k") / size).cast("int"))
+    placed = blocks.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(key, F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), *keep)
+    keys = [key, "x", "y"]
+    return placed.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
+
+
 def alike(open_: DataFrame, threshold: int) -> DataFrame:
-    """Pairs (a, b) of different components within a bucket whose signatures agree well enough; ``open_``: band, node, comp, sig."""
+    """A forest (u, v) of the ties within buckets: different components, signatures that agree well enough; ``open_``: band, k, node, comp, sig."""
     rows, bands = shape(threshold)
     m, t = rows * bands, threshold / 100
     least = m * t - SIGMAS * math.sqrt(m * t * (1 - t))
@@ -119,33 +130,45 @@ def alike(open_: DataFrame, threshold: int) -> DataFrame:
         for group in _groups(batches, 3):
             node, comp = group["node"].to_numpy(), group["comp"].to_numpy()
             sig = _matrix(group["sig"].combine_chunks())
-            band = group["band"][0].as_py()
-            x, y = group["x"][0].as_py(), group["y"][0].as_py()
-            block = group["block"].to_numpy()
-            hashes = band_hashes(sig, rows).view(np.int64)
-            a, b = [], []
-            for i in range(len(node)):
-                # within a block each pair once; between two blocks from the first one
-                if x != y and block[i] != x:
-                    continue
-                others = np.arange(i + 1, len(node)) if x == y else np.flatnonzero(block == y)
-                others = others[comp[others] != comp[i]]
+            u, v = [], []
+            for i in range(len(node) - 1):
+                others = i + 1 + np.flatnonzero(comp[i + 1 :] != comp[i])
                 others = others[(sig[others] == sig[i]).sum(axis=1) >= least]
-                if len(others):
-                    shared = (hashes[others] == hashes[i]).argmax(axis=1)
-                    others = others[hashes[i, shared] == band]
-                a.append(np.full(len(others), node[i]))
-                b.append(node[others])
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-
-    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
-    placed = open_.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select("band", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "node", "comp", "sig")
-    keys = ["band", "x", "y"]
-    return placed.repartition(partitions(open_.sparkSession), *keys).sortWithinPartitions(*keys, "node").mapInArrow(run, "a long, b long").distinct()
+                u.append(np.full(len(others), node[i]))
+                v.append(node[others])
+            if u:
+                yield _stars(np.concatenate(u), np.concatenate(v))
+
+    return in_blocks(open_, "band", BLOCK, ["node", "comp", "sig"]).mapInArrow(run, "u long, v long")
+
+
+def links_within(clusters: DataFrame, threshold: int) -> DataFrame:
+    """A forest (u, v) of the links within clusters; ``clusters``: cluster, k, node, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, 3):
+            node = group["node"].to_numpy()
+            _, values, first = next(iter(_sets(group["text"].combine_chunks(), 1 << 62)))
+            size = np.diff(first)
+            own = T.segment_ids(first)
+            _, number, times = np.unique(values, return_inverse=True, return_counts=True)
+            shared = times[number] > 1
+            number, own = np.unique(number[shared], return_inverse=True)[1], own[shared]
+            both = np.zeros((len(node), len(node)))
+            order = np.argsort(number, kind="stable")
+            number, own = number[order], own[order]
+            # counts of common shingles, so many shingles at a time
+            for lo in range(0, int(number[-1]) + 1 if len(number) else 0, 2048):
+                a, b = np.searchsorted(number, (lo, lo + 2048))
+                has = np.zeros((len(node), 2048), np.float32)
+                has[own[a:b], number[a:b] - lo] = 1
+                both += has @ has.T
+            linked = (100 * both >= threshold * (size[:, None] + size[None, :] - both)) & (both > 0)
+            i, j = np.nonzero(np.triu(linked, 1))
+            if len(i):
+                yield _stars(node[i], node[j])
+
+    return in_blocks(clusters, "cluster", TEXTS, ["node", "text"]).mapInArrow(run, "u long, v long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -194,13 +217,8 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Union-find over a task's edges: each node beside the smallest one it is joined with."""
-    edges = [b for b in batches if b.num_rows]
-    if not edges:
-        return
-    u = np.concatenate([b.column(0).to_numpy() for b in edges])
-    v = np.concatenate([b.column(1).to_numpy() for b in edges])
+def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Union-find over edges: each node beside the smallest one it is joined with."""
     nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
     u, v = ends[: len(u)], ends[len(u) :]
     root = np.arange(len(nodes))
@@ -213,7 +231,14 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while (root[root] != root).any():
             root = root[root]
     at = np.flatnonzero(root != np.arange(len(nodes)))
-    yield pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["u", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(nodes[at]), pa.array(nodes[root[at]])], names=["u", "v"])
+
+
+def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The stars of a task's edges."""
+    edges = [b for b in batches if b.num_rows]
+    if edges:
+        yield _stars(*(np.concatenate([b.column(i).to_numpy() for b in edges]) for i in range(2)))
 
 
 def connected(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -252,7 +277,7 @@ def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], n
     classes = sets.filter("n > 0").groupBy("cls1", "cls2").agg(F.min("doc").alias("node"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
     bands = banded(classes, rows)
-    full = bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k")
+    full = materialize(bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "buckets")
     members = materialize(bands.join(full, "band"), "members")
     held = members.select("node").distinct()
     texts = materialize(_keyed(docs).join(held.withColumnRenamed("node", "doc"), "doc", "left_semi"), "texts")
@@ -268,17 +293,19 @@ def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], n
         # the pivot: the least id in the first round, then the least by a hash that changes
         current = current.withColumn("rank", F.col("node") if turn == 0 else F.xxhash64(F.lit(turn), "node"))
         per = current.groupBy("band").agg(F.count("*").alias("k"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("rank").alias("pick")).filter("c0 <> c1")
-        ranked = current.join(per.select("band", "k", "pick"), "band")
+        ranked = current.join(materialize(per.select("band", "k", "pick"), "buckets"), "band")
         if turn == STARS:
             sigs = classes.select("node", "sig").join(held, "node", "left_semi")
-            pairs = alike(ranked.select("band", "k", "node", "comp").join(sigs, "node"), threshold)
+            ties = connected(alike(ranked.select("band", "k", "node", "comp").join(sigs, "node"), threshold), "ties").withColumnRenamed("comp", "cluster")
+            sizes = materialize(ties.groupBy("cluster").agg(F.count("*").alias("k")), "clusters")
+            new = links_within(ties.join(sizes, "cluster").join(texts.withColumnRenamed("doc", "node"), "node"), threshold)
         else:
             ranked = materialize(ranked, "open")
             pivots = ranked.filter("rank = pick").select("band", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
             star = ranked.join(pivots, "band").filter("comp <> pivot_comp")
             pairs = star.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
             members = ranked.filter("rank <> pick").select("band", "node")
-        new = links(pairs, texts, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            new = links(pairs, texts, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
         found = materialize(found.unionByName(new), "links")
         labels = connected(found)
     whole = sets.drop("sig").join(classes.drop("sig"), ["cls1", "cls2"], "left").join(labels, "node", "left")
