@@ -232,11 +232,12 @@ def compare_windows(found: DataFrame, unit: Unit, first: bool) -> DataFrame:
 def repeated_windows(rows: DataFrame, unit: Unit, compare: Compare, first: bool, large: int = LARGE) -> DataFrame:
     """doc, sub, spans: of each document with repeated windows, the stretches (start, count) of them."""
     runs = all_runs(rows, unit)
-    often = runs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    # written first, so that the join deals out both of its sides itself and can split a common anchor's rows
+    often = materialize(runs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors")
     runs = materialize(runs.join(often, "h"), "runs")
     segments = runs.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sub", "start")).alias("rep"))
     segments = materialize(segments, "segments")
-    several = segments.groupBy("h").agg(F.count("*").alias("segs"))
+    several = materialize(segments.groupBy("h").agg(F.count("*").alias("segs")), "segments-per-anchor")
     segments = segments.join(several, "h")
     joined = runs.join(segments, ["h", "seg"])
     is_rep = F.col("rep").eqNullSafe(F.struct("doc", "sub", "start"))
