@@ -172,10 +172,10 @@ def regrid_mask(mask: DataFrame, target: DataFrame, res: float, finer: bool = Fa
     """
     if finer:
         raise NotImplementedError("the target grid is finer than the mask")
-    near = lambda c: F.array_distinct(F.array(F.floor(c / res - 1e-9), F.floor(c / res + 1e-9)))
+    near = lambda c: F.array_distinct(F.array(F.floor(c / res - 1e-9).cast("long"), F.floor(c / res + 1e-9).cast("long")))
     # target cells by the position of their lower edge
     cells = target.withColumn("by", F.round(F.col("lat") / res - 0.5).cast("long")).withColumn("bx", F.round(F.col("lon") / res - 0.5).cast("long"))
-    points = mask.select(F.explode(near(F.col("lat"))).cast("long").alias("by"), "lon", "mask").select("by", F.explode(near(F.col("lon"))).cast("long").alias("bx"), "mask")
+    points = mask.select(F.explode(near(F.col("lat"))).alias("by"), "lon", "mask").select("by", F.explode(near(F.col("lon"))).alias("bx"), "mask")
     sums = points.groupBy("by", "bx").agg(F.sum("mask").alias("total"))
     out = cells.join(sums, ["by", "bx"], "left").select("yi", "xi", F.coalesce("total", F.lit(0.0)).alias("total"))
     top = out.agg(F.max("total")).first()[0] or 0.0

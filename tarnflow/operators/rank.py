@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import safe_corr, safe_div
+from ..session import ship_package
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -60,9 +61,8 @@ def _half_beta(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, np.where(swap, other, direct)))
 
 
-@F.pandas_udf("double")
-def correlation_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
-    """Two-sided p of a correlation by Student's t with n - 2 degrees of freedom; missing under 3 pairs."""
+def p_values(rho: pd.Series, n: pd.Series) -> pd.Series:
+    """Two-sided p of correlations by Student's t with n - 2 degrees of freedom; missing under 3 pairs."""
     out = pd.Series(np.nan, index=rho.index)
     ok = rho.notna() & (n > 2)
     r, dof = rho[ok].to_numpy(float).clip(-1, 1), n[ok].to_numpy(float) - 2
@@ -73,7 +73,8 @@ def correlation_p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
 
 
 def spearman_with_p(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
-    return spearman(df, keys, x, y).withColumn("p", correlation_p_value("rho", "n"))
+    ship_package(df.sparkSession)
+    return spearman(df, keys, x, y).withColumn("p", F.pandas_udf(p_values, "double")("rho", "n"))
 
 
 def flow_duration_curve(df: DataFrame, keys: list[str], value: str) -> DataFrame:

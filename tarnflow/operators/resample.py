@@ -50,14 +50,14 @@ def spine(df: DataFrame, keys: list[str], alias: str, time: str = "t") -> DataFr
 
 def _around(df: DataFrame, keys: list[str], alias: str, value: str, time: str) -> DataFrame:
     """Target steps with the last stamp and value at or before, and the next at or after."""
-    steps = spine(df, keys, alias, time).select(*keys, time, F.lit(True).alias("__step"), F.lit(None).cast("timestamp_ntz").alias("__at"), F.lit(None).cast("double").alias("__v"))
-    known = df.filter(F.col(value).isNotNull()).select(*keys, time, F.lit(False).alias("__step"), F.col(time).alias("__at"), F.col(value).cast("double").alias("__v"))
+    steps = spine(df, keys, alias, time).select(*keys, time, F.lit(True).alias("__step"), F.lit(None).cast("timestamp_ntz").alias("__when"), F.lit(None).cast("double").alias("__val"))
+    known = df.filter(F.col(value).isNotNull()).select(*keys, time, F.lit(False).alias("__step"), F.col(time).alias("__when"), F.col(value).cast("double").alias("__val"))
     w = Window.partitionBy(*keys).orderBy(time)
     back, ahead = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
     both = steps.unionByName(known)
     for name, frame, f in (("b", back, F.last), ("a", ahead, F.first)):
-        both = both.withColumn(f"__{name}t", f("__at", True).over(frame)).withColumn(f"__{name}v", f("__v", True).over(frame))
-    return both.filter("__step").drop("__step", "__at", "__v")
+        both = both.withColumn(f"__{name}t", f("__when", True).over(frame)).withColumn(f"__{name}v", f("__val", True).over(frame))
+    return both.filter("__step").drop("__step", "__when", "__val")
 
 
 def to_finer(df: DataFrame, keys: list[str], alias: str, value: str, how: str = "linear", time: str = "t") -> DataFrame:
