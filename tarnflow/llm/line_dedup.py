@@ -54,6 +54,8 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source
         .select("doc", "site", "key.h1", "key.h2")
     )
     often = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc")).filter(F.col("n") >= min_sites).drop("n")
+    # written first, so that the join deals out both of its sides itself and can split a common line's rows
+    often = materialize(often, "line-counts")
     seen = materialize(lines.join(often, ["h1", "h2"]), "line-occurrences")
     spread = seen.groupBy("h1", "h2", "first_doc").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", LG_K)).alias("sites"))
     spread = materialize(spread.filter(F.col("sites") >= min_sites * (1 - margin)), "line-spread")
@@ -67,7 +69,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "s
     """``docs`` with ``text`` cut, plus ``ld_lines``, ``ld_removed`` (counts of lines)."""
     seen, lines = boilerplate(docs, min_sites, site, margin)
     gone = (
-        seen.join(lines.drop("first_doc"), ["h1", "h2"])
+        seen.join(materialize(lines.drop("first_doc"), "boilerplate"), ["h1", "h2"])
         .filter("doc <> first_doc")
         .groupBy("doc")
         .agg(F.collect_set(F.struct("h1", "h2")).alias("__ld_gone"))
