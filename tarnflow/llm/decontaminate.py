@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -190,7 +191,8 @@ def _matches(docs: DataFrame, items: pa.Table) -> DataFrame:
     listed = listed.select("item", "words", "item_fp", "b.block", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("b.own")))).alias("value"))
     asked = windows.select("doc", "words", "start", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("b"))
     asked = asked.select("doc", "words", "start", "fp", "b.block", "b.value")
-    near = asked.join(listed, ["words", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    # merged, not broadcast: the list has thousands of rows an item, which its estimated size does not show
+    near = asked.join(listed.hint("merge"), ["words", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
     candidates = near.select("doc", "words", "start", "item").distinct()
     full = candidates.join(windows.drop("fp"), ["doc", "words", "start"]).join(held.select("item", "item_shingles"), "item")
     checked = full.select("doc", "item", "start", "len", "shingles", "item_shingles").mapInArrow(_verify, "doc long, item long, start long, len int, similarity double")
