@@ -26,10 +26,12 @@ smaller than all others; an empty table gives an empty result; further columns a
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,12 +145,12 @@ def alike(open_: DataFrame, threshold: int) -> DataFrame:
 
 
 def links_within(clusters: DataFrame, threshold: int) -> DataFrame:
-    """A forest (u, v) of the links within clusters; ``clusters``: cluster, k, node, text."""
+    """A forest (u, v) of the links within clusters; ``clusters``: cluster, k, node, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches, 3):
             node = group["node"].to_numpy()
-            _, values, first = next(iter(_sets(group["text"].combine_chunks(), 1 << 62)))
+            values, first = _sets_of(group["packed"].combine_chunks())
             size = np.diff(first)
             own = T.segment_ids(first)
             _, number, times = np.unique(values, return_inverse=True, return_counts=True)
@@ -168,7 +170,7 @@ def links_within(clusters: DataFrame, threshold: int) -> DataFrame:
             if len(i):
                 yield _stars(node[i], node[j])
 
-    return in_blocks(clusters, "cluster", TEXTS, ["node", "text"]).mapInArrow(run, "u long, v long")
+    return in_blocks(clusters, "cluster", TEXTS, ["node", "packed"]).mapInArrow(run, "u long, v long")
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
@@ -192,6 +194,22 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """doc, packed: texts deflated before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([zlib.compress(x, 1) for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["doc", "packed"])
+
+    return rows.mapInArrow(run, "doc long, packed binary")
+
+
+def _sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The sets of a few deflated texts, as one piece."""
+    texts = pa.array([zlib.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
+    return next(iter(_sets(texts, 1 << 62)))[1:]
+
+
 def links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """Of the pairs (a, b), those whose sets have 100 * |intersection| >= threshold * |union|."""
 
@@ -200,10 +218,10 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
             size = np.asarray(pa.compute.add(pa.compute.binary_length(b.column(2)), pa.compute.binary_length(b.column(3)))).cumsum()
             lo = 0
             while lo < b.num_rows:
-                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + 2 * _BYTES, "right")))
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BYTES, "right")))
                 part = b.slice(lo, hi - lo)
                 lo = hi
-                (_, va, fa), (_, vb, fb) = (next(iter(_sets(part.column(i), 1 << 62))) for i in (2, 3))
+                (va, fa), (vb, fb) = (_sets_of(part.column(i)) for i in (2, 3))
                 ids = np.concatenate([T.segment_ids(fa), T.segment_ids(fb)])
                 values = np.concatenate([va, vb])
                 order = np.lexsort((values, ids))
@@ -212,9 +230,9 @@ def links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
                 union = np.diff(fa) + np.diff(fb) - both
                 yield part.filter(pa.array((100 * both >= threshold * union) & (both > 0))).select([0, 1])
 
-    ta = texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a"))
-    tb = texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    ta = texts.select(F.col("doc").alias("a"), F.col("packed").alias("packed_a"))
+    tb = texts.select(F.col("doc").alias("b"), F.col("packed").alias("packed_b"))
+    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -280,7 +298,7 @@ def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], n
     full = materialize(bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "buckets")
     members = materialize(bands.join(full, "band"), "members")
     held = members.select("node").distinct()
-    texts = materialize(_keyed(docs).join(held.withColumnRenamed("node", "doc"), "doc", "left_semi"), "texts")
+    texts = materialize(packed(_keyed(docs)).join(held.withColumnRenamed("node", "doc"), "doc", "left_semi"), "texts")
 
     # rows that repeat a doc_id tie its classes together
     repeated = sets.filter("n > 0").groupBy("doc").agg(F.min("cls1").alias("x"), F.max("cls1").alias("y")).filter("x <> y").select("doc")
