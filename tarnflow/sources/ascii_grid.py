@@ -72,7 +72,7 @@ def read_ascii(spark: SparkSession, path: str, var: str | None = None) -> DataFr
     head = head.select(
         "path", at("ncols").cast("int").alias("ncols"), at("nrows").cast("int").alias("nrows"), at("cellsize").alias("cell"),
         F.coalesce(at("xllcorner"), at("xllcenter") - half, F.lit(0.0)).alias("x0"), F.coalesce(at("yllcorner"), at("yllcenter") - half, F.lit(0.0)).alias("y0"),
-        F.coalesce(at("nodata_value"), F.lit(NODATA)).alias("nodata"), F.filter(F.slice("lines", 7, 2**31 - 1), lambda x: F.trim(x) != "").alias("rows"),
+        F.coalesce(at("nodata_value"), F.lit(NODATA)).alias("nodata"), F.filter(F.slice("lines", F.lit(7), F.size("lines")), lambda x: F.trim(x) != "").alias("rows"),
     )
     head = head.withColumn("rows", F.when(F.size("rows") == F.col("nrows"), F.col("rows")).otherwise(F.raise_error(F.concat(F.lit("rows do not fit the header: "), "path"))))
     rows = head.select("*", F.posexplode("rows").alias("yi", "row")).drop("rows").withColumn("cells", F.split(F.trim("row"), r"\s+"))

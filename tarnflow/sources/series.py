@@ -13,7 +13,7 @@ def read_discharge_text(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("c")).filter(F.size("c") >= 5)
     names = lines.filter(F.lower(F.col("c")[0]) == "no").select("path", F.col("c").alias("names"))
     rows = lines.filter(F.col("c")[0].rlike(r"^\d+$")).join(F.broadcast(names), "path")  # one row a file
-    cells = rows.select(F.make_date(F.col("c")[3].cast("int"), F.col("c")[2].cast("int"), F.col("c")[1].cast("int")).cast("timestamp_ntz").alias("t"), F.explode(F.slice(F.arrays_zip("names", "c"), 5, 2**31 - 1)).alias("z"))
+    cells = rows.select(F.make_date(F.col("c")[3].cast("int"), F.col("c")[2].cast("int"), F.col("c")[1].cast("int")).cast("timestamp_ntz").alias("t"), F.explode(F.slice(F.arrays_zip("names", "c"), F.lit(5), F.size("c"))).alias("z"))
     value = finite(F.col("z.c").cast("double"))
     long = cells.select(F.regexp_extract("z.names", r"(?i)^q(obs|sim)_0*(\d+)$", 2).alias("id"), F.lower(F.regexp_extract("z.names", r"(?i)^q(obs|sim)_", 1)).alias("side"), "t", F.when(value >= 0, value).alias("v"))
     return sides(long.filter("id <> ''").withColumn("id", F.col("id").cast("long")))
