@@ -47,8 +47,9 @@ def _key(line: Column) -> Column:
 def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", margin: float = MARGIN) -> tuple[DataFrame, DataFrame]:
     """(occurrences, lines): candidate occurrences, and the boilerplate lines with their first document."""
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    # with a character before it: sketches pass over empty strings
     lines = (
-        docs.select(doc.alias("doc"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), F.explode(_lines(F.col("text"))).alias("line"))
+        docs.select(doc.alias("doc"), F.concat(F.lit("/"), F.coalesce(F.col(site).cast("string"), F.lit(""))).alias("site"), F.explode(_lines(F.col("text"))).alias("line"))
         .select("doc", "site", _key(F.col("line")).alias("key"))
         .filter("key is not null")
         .select("doc", "site", "key.h1", "key.h2")
