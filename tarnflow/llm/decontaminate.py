@@ -218,3 +218,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, items: int = ITEMS) ->
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[a-z0-9\\x{{80}}-\\x{{10FFFF}}]+')"
+#: Every window of every document that shares a shingle with an item (none else can be similar), compared in full.
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, {_WORDS} ws FROM documents), b AS (SELECT item_id, {_WORDS} ws FROM benchmark),
+k AS (SELECT item_id, least({SHINGLE}, len(ws)) k, len(ws) n, ws FROM b WHERE len(ws) > 0),
+bs AS (SELECT item_id, k, n, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: array_to_string(ws[i:i + k - 1], ' '))) sh FROM k),
+bc AS (SELECT item_id, sh, count(*) c FROM bs GROUP BY ALL),
+ds AS (SELECT doc_id, kk.k, unnest(list_transform(range(1, len(ws) - kk.k + 2), lambda i: array_to_string(ws[i:i + kk.k - 1], ' '))) sh FROM d, (SELECT DISTINCT k FROM k) kk),
+pairs AS (SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (k, sh)),
+win AS (SELECT doc_id, item_id, k.n, d.ws, unnest(range(1, greatest(len(d.ws) - k.n + 1, 1) + 1)) s FROM pairs JOIN d USING (doc_id) JOIN k USING (item_id)),
+cut AS (SELECT doc_id, item_id, n, s, ws[s:s + n - 1] x FROM win),
+sh AS (SELECT doc_id, item_id, n, s, len(x) m, unnest(list_transform(range(1, len(x) - least({SHINGLE}, len(x)) + 2), lambda i: array_to_string(x[i:i + least({SHINGLE}, len(x)) - 1], ' '))) sh FROM cut),
+wc AS (SELECT doc_id, item_id, n, s, m, sh, count(*) c FROM sh GROUP BY ALL),
+both_ AS (SELECT doc_id, item_id, s, any_value(m) m, sum(least(wc.c, coalesce(bc.c, 0))) o, sum(wc.c) a FROM wc LEFT JOIN bc USING (item_id, sh) GROUP BY doc_id, item_id, s),
+tot AS (SELECT item_id, sum(c) t FROM bc GROUP BY item_id),
+sim AS (SELECT doc_id, item_id, s, m, o / CAST(a + t - o AS DOUBLE) similarity FROM both_ JOIN tot USING (item_id)),
+top AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, s) r FROM sim WHERE similarity >= {THRESHOLD})
+SELECT doc_id, item_id, similarity, s - 1 AS start_word, CAST(m AS INT) n_words FROM top WHERE r = 1
+"""

@@ -32,8 +32,11 @@ QUERIES = {
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
 SQL = {
+    "op2_suffix_array_dedup": suffix_array.OP2_SQL,
     "op3_fm_index_dedup": fm_index.OP3_SQL,
     "op5_source_mixing": mixing.OP5_SQL,
+    "op6_superminhash_dedup": superminhash.OP6_SQL,
     "op7_license_scan": licenses.OP7_SQL,
+    "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

@@ -218,3 +218,18 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
 
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: Bytes as pairs of hexadecimal digits.
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, {2 * WINDOW})) key FROM (SELECT doc_id, x, unnest(range(0, greatest(len(x) // 2 - {WINDOW - 1}, 0))) i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY key) n FROM w) WHERE n > 1),
+g AS (SELECT doc_id, i, CASE WHEN i > lag(i + {WINDOW}) OVER (PARTITION BY doc_id ORDER BY i) THEN 1 ELSE 0 END new FROM r),
+h AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) span FROM g),
+s AS (SELECT doc_id, span, min(i) a, max(i) + {WINDOW} b FROM h GROUP BY doc_id, span),
+t AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) before FROM s),
+k AS (SELECT doc_id, count(*) n_spans, CAST(sum(b - a) AS BIGINT) n_removed, max(b) last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) kept FROM t JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) n_removed, coalesce(n_spans, 0) n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""

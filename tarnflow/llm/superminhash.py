@@ -67,3 +67,18 @@ def near_dedup(docs: DataFrame, threshold: int = 80) -> DataFrame:
 
 def op6_superminhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: All pairs that share a shingle, their full sets compared; reachability by recursion.
+OP6_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {_lsh.SHINGLE - 1}, 1) + 1)) i FROM w WHERE len(ws) > 0),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + {_lsh.SHINGLE - 1}], ' ')) sh FROM i),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id a, b.doc_id b, count(*) c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+r AS (SELECT doc_id a, doc_id b FROM documents UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT d.doc_id, coalesce(any_value(n), 0) n_shingles, min(b) component_id, d.doc_id = min(b) kept
+FROM documents d JOIN r ON r.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
