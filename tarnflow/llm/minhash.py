@@ -102,15 +102,13 @@ def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = rows.withColumn("bucket", bucket)
     heads = {r.bucket: r.head for r in rows.groupBy("bucket").agg(F.min("key").alias("head")).collect()}
     order = sorted(heads)
-    before = {heads[b]: (order[i - 1], int(i == 0)) for i, b in enumerate(order)}
-    own = F.struct(F.col("bucket"), F.lit(0).alias("role"), F.lit(0).alias("last"))
-    if before:
-        to = F.create_map(*[x for k, (b, last) in before.items() for x in (F.lit(k), F.struct(F.lit(b).alias("bucket"), F.lit(1).alias("role"), F.lit(last).alias("last")))])
-        other = F.try_element_at(to, F.col("key"))
-        places = F.when(other.isNotNull(), F.array(own, other)).otherwise(F.array(own))
-    else:
-        places = F.array(own)
-    spread = rows.select("doc_id", "text", "key", F.explode(places).alias("p")).select("doc_id", "text", "key", "p.*")
+    # a row a bucket
+    before = [(heads[b], order[i - 1], int(i == 0)) for i, b in enumerate(order)]
+    twice = F.broadcast(spark.createDataFrame(before, "key long, to int, last int"))
+    places = F.array(F.struct(F.col("bucket"), F.lit(0).alias("role"), F.lit(0).alias("last")))
+    also = F.array(F.struct(F.col("to").alias("bucket"), F.lit(1).alias("role"), F.col("last")))
+    placed = rows.join(twice, "key", "left").withColumn("p", F.explode(F.when(F.col("to").isNull(), places).otherwise(F.concat(places, also))))
+    spread = placed.select("doc_id", "text", "key", "p.*")
     return spread.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket", "last", "key", "role", "text")
 
 

@@ -32,8 +32,9 @@ SEED = 7
 STEPS = 60
 #: Sources are a small dimension, collected as one row each; more than this many raise an error.
 MAX_SOURCES = 100_000
-#: Tokens a block aims at.
+#: Tokens a block aims at, and blocks of a source at most: neither blocks nor the documents of one are ever many to order.
 BLOCK_TOKENS = 100_000
+MAX_BLOCKS = 100_000
 _SPAN = 2**52
 
 
@@ -90,7 +91,7 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
         raise ValueError(f"more than {MAX_SOURCES} sources")
     have = {r.src: r.tok for r in found}
     _, quota = weights(have, budget, target_entropy, max_repeat)
-    rows = [(s, *(divmod(quota[s], n) if n else (1, 0)), max(1, math.ceil(n / block_tokens))) for s, n in sorted(have.items())]
+    rows = [(s, *(divmod(quota[s], n) if n else (1, 0)), min(MAX_BLOCKS, max(1, math.ceil(n / block_tokens)))) for s, n in sorted(have.items())]
     plan = F.broadcast(spark.createDataFrame(rows, "src string, full long, rest long, blocks long"))
 
     # the pass that is only begun: its block where the quota ends, then the place within that block
