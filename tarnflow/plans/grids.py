@@ -173,11 +173,11 @@ def all_tiles(spark, sf):
     return tiles.make_tiles(spark, 0, 5, 0, 5, 2)
 
 
-@query("f20_active_tiles", f"WITH {STATIC_GRID}, {_TILES}, m AS (SELECT yi * CAST(0.5 AS DOUBLE) + 0.25 AS lat, xi * CAST(0.5 AS DOUBLE) + 0.25 AS lon FROM static_grid WHERE value > 28) SELECT tile, lat0, lat1, lon0, lon1 FROM t WHERE EXISTS (SELECT 1 FROM m WHERE lat + 0.25 > lat0 AND lat - 0.25 < lat1 AND lon + 0.25 > lon0 AND lon - 0.25 < lon1)", "lat0 lat1 lon0 lon1")
+@query("f20_active_tiles", f"WITH {STATIC_GRID}, {_TILES}, m AS (SELECT yi * CAST(0.5 AS DOUBLE) + 0.25 AS lat, xi * CAST(0.5 AS DOUBLE) + 0.25 AS lon FROM static_grid WHERE value > 24) SELECT tile, lat0, lat1, lon0, lon1 FROM t WHERE EXISTS (SELECT 1 FROM m WHERE lat + 0.25 > lat0 AND lat - 0.25 < lat1 AND lon + 0.25 > lon0 AND lon - 0.25 < lon1)", "lat0 lat1 lon0 lon1")
 def active_tiles(spark, sf):
     """tiles that meet the mask."""
     g = static_grid(spark, sf)
-    mask = g.select((F.col("yi") * 0.5 + 0.25).alias("lat"), (F.col("xi") * 0.5 + 0.25).alias("lon"), (F.col("value") > 28).cast("int").alias("mask"))
+    mask = g.select((F.col("yi") * 0.5 + 0.25).alias("lat"), (F.col("xi") * 0.5 + 0.25).alias("lon"), (F.col("value") > 24).cast("int").alias("mask"))
     return tiles.active_tiles(tiles.make_tiles(spark, 0, 5, 0, 5, 2), mask, 0.5, 2.0)
 
 
