@@ -33,4 +33,4 @@ def query(name: str, sql: str | None = None, floats: str = ""):
     return register
 
 
-from . import climates, forcings, gauges, graphs, grids, maps, metric_tables, steps  # noqa: E402, F401
+from . import climates, composed, forcings, gauges, graphs, grids, maps, metric_tables, steps  # noqa: E402, F401
