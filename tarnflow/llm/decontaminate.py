@@ -8,9 +8,9 @@ they occur in the window and in the item.
 1. One pass over the documents.  Similarity 0.8 needs a known share of a window's shingles to be
    shingles of some item; windows short of that share cannot match and are passed over
    exactly.  Each window left gets a 64-bit SimHash of its weighted shingles.
-2. Multi-index Hamming search: fingerprints are cut into 4 blocks of 16 bits.  Two fingerprints at
-   most 15 bits apart have a block at most 3 bits apart (pigeonhole), so items are listed under
-   every block value within 3 bits of their own, and windows look up their blocks: every pair
+2. Multi-index Hamming search: fingerprints are cut into 5 blocks of 13 bits (the last has 12).  Two
+   fingerprints at most 19 bits apart have a block at most 3 bits apart (pigeonhole), so items are listed
+   under every block value within 3 bits of their own, and windows look up their blocks: every pair
    of a window and an item of its length within the radius is found, by an equi-join.
 3. Candidates are verified on the full shingle multisets.
 
@@ -39,8 +39,8 @@ from ._store import materialize
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 4, 16, 3
-#: The guaranteed radius: with 16 bits apart, all four blocks could be 4 apart.
+BLOCKS, BLOCK_BITS, BLOCK_RADIUS = 5, 13, 3
+#: The guaranteed radius: with 20 bits apart, all five blocks could be 4 apart.
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 #: Items a pass, and with them the hashes that are sent along (an item of n words has n - 4).
 ITEMS = 50_000
