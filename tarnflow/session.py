@@ -9,6 +9,9 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Rows of an Arrow batch, where the session has Spark's default: texts are kilobytes, and a batch of
+#: the default's 10000 is held several times over, by the JVM and by each Python worker.
+BATCH_KEY, BATCH_DEFAULT, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def session(name: str = "tarnflow", **settings: str) -> SparkSession:
@@ -20,7 +23,9 @@ def session(name: str = "tarnflow", **settings: str) -> SparkSession:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application, so that their Python workers can import it."""
+    """Send this package to the executors, once an application, so that their Python workers can import it; set the batch size."""
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
