@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +29,8 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 MAX_TRAIN = 20_000
-#: Rows of the suffix statistics that are kept at most: those of the sample, so no more than it has.
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_query_len", "f_fragment", "f_https", "f_dash", "f_suffix", "f_segment"]
+#: Weight of the sample's block rate in the statistics, in URLs.
 _PRIOR = 20.0
 
 
@@ -85,14 +86,14 @@ def train(judged: DataFrame, max_train: int = MAX_TRAIN):
     rates = []
     for key in ("__suffix", "__segment"):
         found = sample.groupBy(key).agg(((F.sum("label") + _PRIOR * prior) / (F.count("*") + _PRIOR)).alias("rate"))
-        rates.append(docs_local(found))
+        rates.append(as_local(found))
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(with_rates(sample, rates, prior))
     model = GBTClassifier(featuresCol="__features", labelCol="label", maxDepth=4, maxIter=12, stepSize=0.3, maxBins=32, seed=3, checkpointInterval=-1).fit(assembled)
     sample.unpersist()
     return model, prior, rates
 
 
-def docs_local(found: DataFrame) -> DataFrame:
+def as_local(found: DataFrame) -> DataFrame:
     """A statistics table as a local relation: at most ``MAX_TRAIN`` rows, by the sample's bound."""
     rows = [tuple(r) for r in found.limit(MAX_TRAIN).collect()]
     return found.sparkSession.createDataFrame(rows, found.schema)
@@ -116,8 +117,6 @@ def filter_urls(pages: DataFrame) -> DataFrame:
     by_rule = ruled.filter("rule is not null").select(*cols, F.try_element_at(verdicts, F.col("rule")).alias("verdict"), F.lit(None).cast("double").alias("score"))
     rest = with_rates(with_features(ruled.filter("rule is null")), rates, prior)
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(rest))
-    from pyspark.ml.functions import vector_to_array
-
     block = vector_to_array("probability")[1]
     return by_rule.unionByName(scored.select(*cols, F.when(block >= 0.5, "block").otherwise("allow").alias("verdict"), block.alias("score")))
 
