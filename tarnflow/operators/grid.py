@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import safe_div
-from ..session import write_through
+from ..session import ship_package
 
 #: Cells of an axis that may be sent to every executor.
 AXIS = 1_000_000
@@ -191,33 +193,66 @@ def finer_side(a: DataFrame, b: DataFrame) -> str:
 def fill_nearest(df: DataFrame, keys: list[str], value: str = "value", mask: str | None = None, default: float | None = None, step: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Missing cells take the value of the nearest valid cell of their step (smallest yi, xi of equally near ones).
 
-    Squares of growing radius around the missing cells are joined by key; a cell is settled when no valid
-    cell outside of its square can be nearer.  Valid cells stay; masked cells are not filled; steps without a
-    valid cell take ``default``.
+    The distance is split by direction.  Down each column, windows give every row that needs filling the nearest valid cell
+    above or below; then each such row is searched sideways, outwards until no column further off can
+    be nearer.  So a task holds a column's or a row's cells, however far the nearest valid cell is.
+    Valid cells stay; masked cells are not filled; steps without a valid cell take ``default``.
     """
-    valid = df.filter(F.col(value).isNotNull()).select(*keys, F.col("yi").alias("sy"), F.col("xi").alias("sx"), F.col(value).alias("__v"))
+    ship_package(df.sparkSession)
     wanted = F.col(value).isNull() if mask is None else F.col(value).isNull() & (F.col(mask) > 0)
-    # a step without valid cells can never be settled
-    rest = df.filter(wanted).select(*keys, "yi", "xi").join(valid.select(*keys).distinct(), keys, "left_semi")
-    e = extent(df).first()
-    reach = max(e.y1 - e.y0, e.x1 - e.x0) if e.y0 is not None else 0
-    k, found = 1, None
-    while True:
-        near = rest.withColumn("sy", F.explode(F.sequence(F.col("yi") - k, F.col("yi") + k))).withColumn("sx", F.explode(F.sequence(F.col("xi") - k, F.col("xi") + k)))
-        d2 = ((F.col("sy") - F.col("yi")) * step[0]) ** 2 + ((F.col("sx") - F.col("xi")) * step[1]) ** 2
-        best = near.join(valid, [*keys, "sy", "sx"]).withColumn("d2", d2).groupBy(*keys, "yi", "xi").agg(F.min(F.struct("d2", "sy", "sx", "__v")).alias("b"))
-        done = best.filter((F.col("b.d2") <= (k * min(step)) ** 2) | F.lit(k >= reach)).select(*keys, "yi", "xi", F.col("b.__v").alias("__fill"))
-        done = write_through(done, "filled")
-        found = done if found is None else found.unionByName(done)
-        rest = rest.join(done, [*keys, "yi", "xi"], "left_anti")
-        if k >= reach or rest.isEmpty():
-            break
-        k = min(2 * k, reach)
+    valid = df.filter(F.col(value).isNotNull()).select(*keys, "yi", "xi", F.col(value).cast("double").alias("__v"))
+    missing = df.filter(wanted).select(*keys, "yi", "xi", F.lit(True).alias("__want")).distinct()
+    # every row with a missing cell, at every column of its step that has, or needs, a value
+    columns = valid.select(*keys, "xi").union(missing.select(*keys, "xi")).distinct()
+    probes = missing.select(*keys, "yi").distinct().join(columns, keys)
+    both = valid.withColumn("__probe", F.lit(False)).unionByName(probes.withColumn("__v", F.lit(None).cast("double")).withColumn("__probe", F.lit(True)))
+    w = Window.partitionBy(*keys, "xi").orderBy("yi")
+    here = F.when(~F.col("__probe"), F.struct(F.col("yi").alias("y"), F.col("__v").alias("v")))
+    both = both.withColumn("__a", F.last(here, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(here, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    near = F.when(F.col("__b").isNull() | (F.col("yi") - F.col("__a.y") <= F.col("__b.y") - F.col("yi")), F.col("__a")).otherwise(F.col("__b"))
+    rows = both.filter("__probe").select(*keys, "yi", "xi", near.alias("__s")).select(*keys, "yi", "xi", F.col("__s.y").cast("double").alias("__sy"), F.col("__s.v").alias("__sv"))
+    rows = rows.join(missing, [*keys, "yi", "xi"], "left")
+    out_schema = rows.select(*keys, "yi", "xi", F.col("__sv").alias("__fill")).schema
+    found = rows.groupBy(*keys, "yi").applyInPandas(lambda pdf: search_row(pdf, keys, step), out_schema)
     out = df.join(found, [*keys, "yi", "xi"], "left")
-    filled = F.coalesce(F.col(value), F.col("__fill"), F.when(wanted, F.lit(default)) if default is not None else F.lit(None))
+    filled = F.coalesce(F.col(value), F.col("__fill").cast(df.schema[value].dataType), F.when(wanted, F.lit(default)) if default is not None else F.lit(None))
     return out.withColumn(value, filled).drop("__fill")
 
 
+def search_row(pdf: pd.DataFrame, keys: list[str], step: tuple[float, float]) -> pd.DataFrame:
+    """One row: each wanted column's best (distance, sy, xi) among the columns' nearest cells ``__sy``, ``__sv``."""
+    pdf = pdf.sort_values("xi", kind="stable")
+    out = pdf[pdf["__want"].notna()]
+    here = pdf[pdf["__sy"].notna()]
+    x, sy, sv = (here[c].to_numpy(float) for c in ("xi", "__sy", "__sv"))
+    at = out["xi"].to_numpy(float)
+    if len(x):
+        up = ((here["yi"].to_numpy(float) - sy) * step[0]) ** 2
+        best = np.full((len(at), 3), np.inf)
+        fill = np.full(len(at), np.nan)
+        right = np.searchsorted(x, at)
+        for side, first in ((1, right), (-1, right - 1)):
+            live, k = np.arange(len(at)), first.copy()
+            while True:
+                inside = (k >= 0) & (k < len(x))
+                live, k = live[inside], k[inside]
+                if not len(live):
+                    break
+                across = ((x[k] - at[live]) * step[1]) ** 2
+                go_on = across <= best[live, 0]
+                live, k, across = live[go_on], k[go_on], across[go_on]
+                new = np.stack([across + up[k], sy[k], x[k]], axis=1)
+                old = best[live]
+                better = (new[:, 0] < old[:, 0]) | ((new[:, 0] == old[:, 0]) & ((new[:, 1] < old[:, 1]) | ((new[:, 1] == old[:, 1]) & (new[:, 2] < old[:, 2]))))
+                best[live[better]], fill[live[better]] = new[better], sv[k[better]]
+                k = k + side
+        out = out.assign(__fill=fill)
+    else:
+        out = out.assign(__fill=np.nan)
+    out["__fill"] = out["__fill"].astype(object).where(out["__fill"].notna(), None)
+    return out[[*keys, "yi", "xi", "__fill"]]
+
+
 def axis_bounds(axis_: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """i, c, lo, hi: midpoints between neighbours, outer ones extrapolated by the neighbour's step, half a unit around a single one."""
     w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("c")

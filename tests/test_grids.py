@@ -184,3 +184,15 @@ def test_polygon_is_a_square(spark):
     ring = [(1, 0.5, 0.5, 3.5, 0.5), (1, 3.5, 0.5, 3.5, 3.5), (1, 3.5, 3.5, 0.5, 3.5), (1, 0.5, 3.5, 0.5, 0.5)]
     got = {(r.yi, r.xi) for r in grid.polygon_cells(grid_, spark.createDataFrame(ring, "id int, x1 double, y1 double, x2 double, y2 double")).collect()}
     assert got == set(itertools.product(range(1, 4), range(1, 4)))
+
+
+def test_fill_equals_brute_force_on_random_sparse_grids(spark):
+    import random
+
+    random.seed(11)
+    rows = [(t, y, x, round(random.random(), 3) if random.random() < 0.06 else None) for t in range(4) for y in range(12) for x in range(17) if random.random() < 0.8]
+    step = (0.5, 1.25)
+    got = {(r.t, r.yi, r.xi): r.value for r in grid.fill_nearest(spark.createDataFrame(rows, "t int, yi long, xi long, value double"), ["t"], step=step).collect()}
+    for t, y, x, v in rows:
+        valid = [(((y - b) * step[0]) ** 2 + ((x - c) * step[1]) ** 2, b, c, w) for a, b, c, w in rows if a == t and w is not None]
+        assert got[t, y, x] == (v if v is not None else min(valid)[3] if valid else None)
