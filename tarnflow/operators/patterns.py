@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import safe_corr, safe_div
-from .rank import average_rank, paired, spearman, zscore
+from .rank import average_rank, paired, spearman, spearman_whole, zscore
 
 
 def _gap(*errors) -> F.Column:
@@ -78,20 +78,22 @@ def norm_deviation(value: str, time: str) -> F.Column:
 def tsm(df: DataFrame, time: str, sim: str = "sim", obs: str = "obs") -> DataFrame:
     """One row: general_beta, temporal_gamma, temporal_alpha, spatial_gamma, spatial_alpha, comb.
 
-    General: ratio of means.  Temporal: on area means.  Spatial: on the deviations.  The ranks of all cells
-    and steps are one ordering of the deviations, by nature; correlation and deviation ratio are plain aggregates.
+    General: ratio of means.  Temporal: on area means.  Spatial: on the deviations, ranked over all
+    cells and steps (by rank tables, not in one task).
     """
-    one = F.lit(1).alias("__all")
     # a step's mean minus itself over itself is value - 1 wherever the mean is defined and not 0
-    pairs = paired(df, sim, obs).select(one, time, sim, obs)
-    general = pairs.groupBy("__all").agg(safe_div(F.avg(sim), F.avg(obs)).alias("general_beta"))
-    means = df.groupBy(time).agg(F.avg(sim).alias(sim), F.avg(obs).alias(obs)).select(one, sim, obs)
-    temporal = spearman(means, ["__all"], sim, obs).select("__all", F.col("rho").alias("temporal_gamma"))
-    spread = paired(means, sim, obs).groupBy("__all").agg(safe_div(F.stddev_pop(sim), F.stddev_pop(obs)).alias("temporal_alpha"))
-    moved = pairs.select("__all", (F.col(sim) - 1).alias(sim), (F.col(obs) - 1).alias(obs))
-    spatial = spearman(moved, ["__all"], sim, obs).select("__all", F.col("rho").alias("spatial_gamma"))
-    wide = moved.groupBy("__all").agg(safe_div(F.stddev_pop(sim), F.stddev_pop(obs)).alias("spatial_alpha"))
-    out = general.join(temporal, "__all").join(spread, "__all").join(spatial, "__all").join(wide, "__all")
+    pairs = paired(df, sim, obs).select(time, sim, obs)
+    moved = pairs.select((F.col(sim) - 1).alias(sim), (F.col(obs) - 1).alias(obs))
+    means = df.groupBy(time).agg(F.avg(sim).alias(sim), F.avg(obs).alias(obs)).select(sim, obs)
+    spread = safe_div(F.stddev_pop(sim), F.stddev_pop(obs))
+    # each of these is one row
+    parts = [
+        pairs.agg(safe_div(F.avg(sim), F.avg(obs)).alias("general_beta"), spread.alias("spatial_alpha")), paired(means, sim, obs).agg(spread.alias("temporal_alpha")),
+        spearman_whole(means, sim, obs).select(F.col("rho").alias("temporal_gamma")), spearman_whole(moved, sim, obs).select(F.col("rho").alias("spatial_gamma")),
+    ]
+    out = parts[0].withColumn("__one", F.lit(1))
+    for p in parts[1:]:
+        out = out.join(p.withColumn("__one", F.lit(1)), "__one")
     names = ["general_beta", "temporal_gamma", "temporal_alpha", "spatial_gamma", "spatial_alpha"]
     comb = 1 - F.sqrt(sum((1 - F.col(n)) ** 2 for n in names) * 3 / 5)
     return out.select(*names, comb.alias("comb"))

@@ -32,6 +32,38 @@ def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return out.withColumn("rho", F.when(F.col("n") >= 2, F.col("rho")))
 
 
+def rank_table(df: DataFrame, value: str) -> DataFrame:
+    """value, rank: the average rank of each distinct value in the whole table.
+
+    For tables too large to be ordered in one task: values are counted first, so a frequent one is one row, then cut
+    into buckets at approximate quantiles; ranks within a bucket start behind the counts of the buckets before it.
+    """
+    spark = df.sparkSession
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
+    cuts = counted.agg(F.percentile_approx("value", [i / n for i in range(1, n)], 10_000)).first()[0] or []
+    bucket = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col("value")))
+    placed = counted.withColumn("bucket", bucket)
+    # a row a bucket
+    sizes = sorted((r.bucket, r.n) for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    starts, before = [], 0
+    for b, k in sizes:
+        starts.append((b, before))
+        before += k
+    offsets = F.broadcast(spark.createDataFrame(starts, "bucket int, before long"))
+    upto = F.sum("n").over(Window.partitionBy("bucket").orderBy("value"))
+    return placed.join(offsets, "bucket").select("value", (F.col("before") + upto - F.col("n") + (F.col("n") + 1) / F.lit(2).cast("double")).alias("rank"))
+
+
+def spearman_whole(df: DataFrame, x: str, y: str) -> DataFrame:
+    """rho, n over all rows, by rank tables that are joined back on the values."""
+    pairs = paired(df, x, y).select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
+    rx = rank_table(pairs, "__x").select(F.col("value").alias("__x"), F.col("rank").alias("rx"))
+    ry = rank_table(pairs, "__y").select(F.col("value").alias("__y"), F.col("rank").alias("ry"))
+    out = pairs.join(rx, "__x").join(ry, "__y").agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+    return out.withColumn("rho", F.when(F.col("n") >= 2, F.col("rho")))
+
+
 def _half_beta(x: np.ndarray, a: np.ndarray) -> np.ndarray:
     """Regularised incomplete beta I_x(a, 1/2), by the continued fraction (Lentz)."""
     from math import lgamma
