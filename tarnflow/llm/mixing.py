@@ -25,8 +25,6 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._store import materialize
-
 MAX_REPEAT = 2.0
 SEED = 7
 STEPS = 60
@@ -85,7 +83,8 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
-    counted = materialize(docs.select(F.col("doc_id").alias("doc"), source.alias("src"), tokens.alias("tok")), "mix-tokens")
+    # three numbers a document, read three times below and let go at the end; lost parts are computed again
+    counted = docs.select(F.col("doc_id").alias("doc"), source.alias("src"), tokens.alias("tok")).persist()
     found = counted.groupBy("src").agg(F.sum("tok").alias("tok")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -106,6 +105,7 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     # the first place that is over the quota; where none is, the whole pass fits
     cut = inside.withColumn("upto", running).filter("upto > rest").groupBy("src").agg(F.min("place").alias("cut")).collect()
     cuts = {r.src: r.cut for r in cut}  # a row a source, as above
+    counted.unpersist()
     table = [(s, full, cuts.get(s, _SPAN) if rest else 0) for s, full, rest, _ in rows]
     chosen = F.broadcast(spark.createDataFrame(table, "__mix_src string, __mix_full long, __mix_cut long"))
     held = docs.withColumn("__mix_src", source).join(chosen, "__mix_src")
