@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 21
+PIECE = 1 << 20
 U64 = np.uint64
 #: An odd base, its inverse modulo 2**64, and the mixing constants of a 64-bit finaliser.
 _BASE = 0x9E3779B97F4A7C15
