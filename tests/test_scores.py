@@ -137,3 +137,16 @@ def test_units_and_rules():
     assert units.is_intensive("K") and not units.is_intensive("mm") and units.is_intensive("mm s-1") and not units.is_intensive("m3")
     assert not units.is_intensive("K", cell_methods="time: sum") and not units.is_intensive(None, "precipitation_amount")
     assert [normalize_alias(x) for x in ("MS", "6H", "daily", "1h", "W-MON")] == ["M", "6h", "D", "h", "W"]
+
+
+def test_rank_table_of_a_whole_table_with_a_hot_value(spark):
+    rng = np.random.default_rng(6)
+    values = [0.0] * 300 + [float(v) for v in rng.integers(-40, 40, 500)] + [None] * 5
+    df = spark.createDataFrame([(v,) for v in values], "v double").repartition(5)
+    import pandas as pd
+
+    want = pd.Series([v for v in values if v is not None]).rank(method="average")
+    known = {v: r for v, r in zip([v for v in values if v is not None], want, strict=True)}
+    assert {r.value: r["rank"] for r in rank.rank_table(df, "v").collect()} == known
+    assert rank.spearman_whole(df.withColumn("w", -F.col("v")), "v", "w").first().rho == pytest.approx(-1)
+    assert rank.spearman_whole(df.filter("v > 1000").withColumn("w", F.col("v")), "v", "w").first().rho is None
