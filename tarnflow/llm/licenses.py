@@ -101,9 +101,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     known = docs.sparkSession.createDataFrame(known_digests(), "digest string, license_id string")
     by_digest = F.create_map(*[F.lit(x) for pair in known_digests() for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
-    # only a line that spells licence, or names the public domain, can have a known digest: KNOWN has no other line texts
-    telling = F.filter(F.split(text, "\n", -1), lambda x: F.lower(x).rlike("licen[cs]e|public domain|cc by"))
-    ids = F.transform(telling, lambda x: F.try_element_at(by_digest, F.sha2(canonical_column(x), 256)))
+    # every line is looked up: whole texts may stand on one line, and the canonical form unifies spellings, so the raw line tells nothing
+    ids = F.transform(F.split(text, "\n", -1), lambda x: F.try_element_at(by_digest, F.sha2(canonical_column(x), 256)))
     notices = F.array_join(F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))), ",")
     hashed = docs.select("doc_id", F.sha2(canonical_column(text), 256).alias("canonical_sha256"), F.when(notices != "", notices).alias("notices"))
     return hashed.join(F.broadcast(known), hashed.canonical_sha256 == known.digest, "left").select("doc_id", "canonical_sha256", "license_id", "notices")

@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -141,6 +142,23 @@ def test_license_texts_notices_and_spellings(spark):
     assert got == [(1, "MIT", None), (2, "MIT", None), (3, None, None), (4, None, "Apache-2.0,GPL-3.0"), (5, None, None), (6, None, None), (6, None, None)]
 
 
+def test_license_lines_without_telling_words(spark):
+    """Whole texts on one line, and notices whose raw spelling is not the known one: as in the SQL."""
+    one_line = lambda t: t.replace("\n", " ")
+    rows = [
+        (1, f"Terms\n{one_line(licenses._ISC)}\nEnd"), (2, f"Terms\n{one_line(licenses._BSD2)}\nEnd"),
+        (3, "a\nThis is free and unencumbered software released into the public-domain."), (4, "a\nThis work is dedicated to the public  domain under\tCC0 1.0.\nb"),
+        (5, "Licensed under CC-BY-4.0"), (6, "a\nLicensed under CC\tBY 4.0.\r\nb"), (7, "plain\ntext"), (8, f"x\n{one_line(licenses._MIT)}"),
+    ]
+    want = [(1, None, "ISC"), (2, None, "BSD-2-Clause"), (3, None, "Unlicense"), (4, None, "CC0-1.0"), (5, "CC-BY-4.0", "CC-BY-4.0"), (6, None, "CC-BY-4.0"), (7, None, None), (8, None, "MIT")]
+    got = sorted(tuple(r) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(d, i, n) for d, _, i, n in got] == want
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.sql(licenses.OP7_SQL).fetchall()) == got
+
+
 def test_canonical_forms_agree(spark):
     texts = [t for _, t in licenses.KNOWN] + ["© 2001 X\nall rights reserved. A—B “c” (d) sub-licence https://x.y"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.sha2(licenses.canonical_column(F.col("t")), 256).alias("h"))
