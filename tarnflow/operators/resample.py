@@ -52,11 +52,11 @@ def _around(df: DataFrame, keys: list[str], alias: str, value: str, time: str) -
     """Target steps with the last stamp and value at or before, and the next at or after."""
     steps = spine(df, keys, alias, time).select(*keys, time, F.lit(True).alias("__step"), F.lit(None).cast("timestamp_ntz").alias("__when"), F.lit(None).cast("double").alias("__val"))
     known = df.filter(F.col(value).isNotNull()).select(*keys, time, F.lit(False).alias("__step"), F.col(time).alias("__when"), F.col(value).cast("double").alias("__val"))
-    w = Window.partitionBy(*keys).orderBy(time)
-    back, ahead = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    # ahead is back in descending order: a frame that only grows takes one pass, one up to the series' end a pass for each row
+    back, ahead = (Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col(time).asc(), F.col(time).desc()))
     both = steps.unionByName(known)
-    for name, frame, f in (("b", back, F.last), ("a", ahead, F.first)):
-        both = both.withColumn(f"__{name}t", f("__when", True).over(frame)).withColumn(f"__{name}v", f("__val", True).over(frame))
+    for name, frame in (("b", back), ("a", ahead)):
+        both = both.withColumn(f"__{name}t", F.last("__when", True).over(frame)).withColumn(f"__{name}v", F.last("__val", True).over(frame))
     return both.filter("__step").drop("__step", "__when", "__val")
 
 

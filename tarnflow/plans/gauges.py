@@ -123,6 +123,20 @@ def unpivot_collection(spark, sf):
     return series.unpivot_collection(wide)
 
 
+@query(
+    "s08_unpivot_collection_all",
+    f"""WITH {GAUGE_TS} SELECT id, t, obs, sim FROM gauge_ts WHERE obs IS NOT NULL OR sim IS NOT NULL
+    UNION ALL SELECT i.id, m.t, NULL, NULL FROM (SELECT DISTINCT t FROM gauge_ts) m, (SELECT DISTINCT id FROM gauge_ts) i WHERE NOT EXISTS (SELECT 1 FROM gauge_ts g WHERE g.id = i.id AND g.t = m.t AND (g.obs IS NOT NULL OR g.sim IS NOT NULL))""",
+    "obs sim",
+)
+def unpivot_collection_all(spark, sf):
+    """The same with columns for every gauge that the table has."""
+    ts = gauge_ts(spark, sf)
+    ids = sorted(r.id for r in ts.select("id").distinct().collect())  # columns of a wide table, as many as gauges
+    wide = ts.groupBy("t").pivot("id", ids).agg(F.max("obs").alias("obs"), F.max("sim").alias("sim"))
+    return series.unpivot_collection(wide.toDF("t", *[f"Q{c}_{i:010d}" for i in ids for c in ("obs", "sim")]))
+
+
 @query(
     "a26_bootstrap_skill",
     f"""WITH {GAUGE_TS}, ys AS (SELECT list_sort(list(DISTINCT CAST(year(t) AS INT))) ys FROM gauge_ts),

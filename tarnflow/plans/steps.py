@@ -76,6 +76,28 @@ def nearest_fill(spark, sf):
     return resample.to_finer(_few(spark, sf), ["id"], "D", "value", "nearest")
 
 
+#: The same over all gauges.
+_SPINE_ALL = _SPINE.replace(" WHERE id < 20", "")
+
+
+@query("w05_forward_fill_all", _SPINE_ALL + " SELECT id, t, bv AS value FROM w", "value")
+def forward_fill_all(spark, sf):
+    """Every day of every gauge, last value carried on."""
+    return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "ffill")
+
+
+@query("w06_linear_fill_all", _SPINE_ALL + " SELECT id, t, CASE WHEN bt = nt THEN bv ELSE bv + (av - bv) * date_diff('second', bt, t) / nullif(CAST(date_diff('second', bt, nt) AS DOUBLE), 0) END AS value FROM w", "value")
+def linear_fill_all(spark, sf):
+    """Every day of every gauge, between neighbours."""
+    return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "linear")
+
+
+@query("r01_nearest_fill_all", _SPINE_ALL + " SELECT id, t, CASE WHEN nt IS NULL OR date_diff('second', bt, t) <= date_diff('second', t, nt) THEN bv ELSE av END AS value FROM w", "value")
+def nearest_fill_all(spark, sf):
+    """Every day of every gauge, nearest value."""
+    return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "nearest")
+
+
 @query(
     "r03_spread_totals",
     f"""WITH {GAUGE_TS}, s AS (SELECT id, t, obs FROM gauge_ts WHERE id < 3 AND obs IS NOT NULL),
@@ -89,6 +111,19 @@ def spread_totals(spark, sf):
     return resample.spread_totals(gauge_ts(spark, sf).filter("id < 3 and obs is not null").select("id", "t", "obs"), ["id"], "D", "obs", 720.0, 24.0)
 
 
+@query(
+    "r03_spread_totals_all",
+    f"""WITH {GAUGE_TS}, s AS (SELECT id, t, obs FROM gauge_ts WHERE obs IS NOT NULL),
+    p AS (SELECT id, t, obs / greatest(round(coalesce(date_diff('second', t, lead(t) OVER (PARTITION BY id ORDER BY t)), 2592000) / CAST(86400 AS DOUBLE)), 1) v FROM s),
+    e AS (SELECT id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) t FROM p GROUP BY id)
+    SELECT e.id, e.t, last_value(v IGNORE NULLS) OVER (PARTITION BY e.id ORDER BY e.t) obs FROM e LEFT JOIN p USING (id, t)""",
+    "obs",
+)
+def spread_totals_all(spark, sf):
+    """The same for every gauge."""
+    return resample.spread_totals(gauge_ts(spark, sf).filter("obs is not null").select("id", "t", "obs"), ["id"], "D", "obs", 720.0, 24.0)
+
+
 @query(
     "f05_time_overlap",
     f"""WITH {GAUGE_TS}, a AS (SELECT date_trunc('month', t) m, obs FROM gauge_ts WHERE t < TIMESTAMP '1997-01-01' AND obs IS NOT NULL), b AS (SELECT date_trunc('month', t) m, sim FROM gauge_ts WHERE t >= TIMESTAMP '1994-01-01' AND sim IS NOT NULL)
