@@ -249,6 +249,22 @@ def nearest_node(spark, sf):
     return gauges.nearest_node(g, n, 1.0)
 
 
+@query(
+    "j10_nearest_node_all",
+    """WITH g AS (SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 101 AS DOUBLE) / 10 AS x, CAST((s_suppkey * 53) % 97 AS DOUBLE) / 10 AS y FROM supplier),
+    n AS (SELECT DISTINCT p_partkey AS node, CAST((p_partkey * 71) % 113 AS DOUBLE) / 10 AS nx, CAST((p_partkey * 29) % 109 AS DOUBLE) / 10 AS ny FROM part),
+    d AS (SELECT id, node, (x - nx) ** 2 + (y - ny) ** 2 AS d2 FROM g, n)
+    SELECT id, arg_min(node, row(d2, node)) AS node, sqrt(min(d2)) AS distance FROM d GROUP BY id""",
+    "distance",
+)
+def nearest_of_all_nodes(spark, sf):
+    """The same with a node for every part."""
+    g = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * 37 % 101).cast("double") / 10).alias("x"), ((F.col("s_suppkey") * 53 % 97).cast("double") / 10).alias("y"))
+    k = F.col("p_partkey")
+    n = table(spark, sf, "part").select(k.alias("node"), ((k * 71 % 113).cast("double") / 10).alias("x"), ((k * 29 % 109).cast("double") / 10).alias("y")).distinct()
+    return gauges.nearest_node(g, n, 1.0)
+
+
 SNAP_VIEWS = """c AS (SELECT DISTINCT CAST(floor(s_suppkey / 10) AS BIGINT) yi, s_suppkey % 10 xi, CAST((s_suppkey * 7919) % 1000 + 1 AS DOUBLE) facc FROM supplier),
     g AS (SELECT s_suppkey AS id, CAST(floor(s_suppkey / 10) AS BIGINT) gy, s_suppkey % 10 gx, CAST((s_suppkey * 104729) % 1000 + 1 AS DOUBLE) area FROM supplier)"""
 

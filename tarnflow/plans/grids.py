@@ -115,6 +115,12 @@ def nearest_fill_steps(spark, sf):
     return grid.fill_nearest(ts, ["t"], "inp")
 
 
+@query("j14_nearest_fill_steps_all", f"WITH {GRID_TS}, s AS (SELECT t, yi, xi, inp FROM grid_ts), v AS (SELECT * FROM s WHERE inp IS NOT NULL), f AS (SELECT g.t, g.yi, g.xi, arg_min(v.inp, row((g.yi - v.yi) ** 2 + (g.xi - v.xi) ** 2, v.yi, v.xi)) AS inp FROM s g JOIN v ON v.t = g.t WHERE g.inp IS NULL GROUP BY ALL) SELECT t, yi, xi, inp FROM v UNION ALL SELECT t, yi, xi, inp FROM f", "inp")
+def nearest_fill_every_step(spark, sf):
+    """Every step of every month on its own."""
+    return grid.fill_nearest(grid_ts(spark, sf).select("t", "yi", "xi", "inp"), ["t"], "inp")
+
+
 @query("p13_axis_bounds", f"WITH {STATIC_GRID}, a AS (SELECT DISTINCT xi i, lon c FROM static_grid), n AS (SELECT i, c, lag(c) OVER (ORDER BY c) p, lead(c) OVER (ORDER BY c) q FROM a) SELECT i, c, coalesce((c + p) / 2, c - (q - c) / 2, c - 0.5) lo, coalesce((c + q) / 2, c + (c - p) / 2, c + 0.5) hi FROM n", "c lo hi")
 def axis_bounds(spark, sf):
     """Cell bounds from centres."""

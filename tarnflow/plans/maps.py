@@ -104,6 +104,12 @@ def norm_deviation(spark, sf):
     return some.select("t", "yi", "xi", patterns.norm_deviation("sim", "t").alias("dev"))
 
 
+@query("a23_norm_deviation_all", f"WITH {MAP_PAIR} SELECT t, yi, xi, sim - 1 AS dev FROM map_pair", "dev")
+def norm_deviation_all(spark, sf):
+    """The same at every step."""
+    return map_pair(spark, sf).select("t", "yi", "xi", patterns.norm_deviation("sim", "t").alias("dev"))
+
+
 @query("w04_zscore", f"WITH {MAP_PAIR} SELECT t, yi, xi, (sim - avg(sim) OVER (PARTITION BY t)) / nullif(stddev_pop(sim) OVER (PARTITION BY t), 0) z FROM map_pair", "z")
 def zscore(spark, sf):
     """Z-scores of each step."""

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarnflow.plans import registry
-from tarnflow.plans.views import gauge_ts, table
+from tarnflow.plans.views import gauge_ts, grid_ts, map_pair, table
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver tables")
@@ -19,3 +19,11 @@ def test_every_gauge(spark, name):
     want = ids(source)
     assert len(want) > 20
     assert ids(registry.QUERIES[name](spark, SF)) == want
+
+
+@pytest.mark.parametrize(("name", "view"), [("a23_norm_deviation_all", map_pair), ("j14_nearest_fill_steps_all", grid_ts)])
+def test_every_step(spark, name, view):
+    steps = lambda df: {r.t: r["count"] for r in df.groupBy("t").count().collect()}
+    want = steps(view(spark, SF))
+    assert len(want) > 50
+    assert steps(registry.QUERIES[name](spark, SF)) == want
