@@ -4,7 +4,7 @@ The rules label URLs.  Trees are trained on a bounded sample of those that a
 rule judges (``MAX_TRAIN`` distinct URLs, the smallest by hash), and they judge
 the URLs that no rule fits.  Features: lengths, depth, digit ratio, character
 entropy, parameter counts, and the block rate of the host's last two labels and of the
-first path segment in the sample (suffix statistics, smoothed).
+first path segment among all URLs that a rule judges (suffix statistics, smoothed).
 
 Edge cases: null URL or none with ``://``: host and path are empty, no rule
 fits, the trees judge; where the sample lacks one of the two labels, the method
@@ -20,6 +20,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import materialize
+
 #: Fixed values: (host, path prefix, verdict).
 RULES = [
     ("com", "/", "allow"),
@@ -29,8 +31,10 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 MAX_TRAIN = 20_000
+#: Rows of a statistics table up to which it is broadcast.
+MAX_LOCAL = 20_000
 FEATURES = ["f_len", "f_host_len", "f_path_len", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_query_len", "f_fragment", "f_https", "f_dash", "f_suffix", "f_segment"]
-#: Weight of the sample's block rate in the statistics, in URLs.
+#: Weight of the overall block rate in the statistics, in URLs.
 _PRIOR = 20.0
 
 
@@ -69,39 +73,45 @@ def with_features(df: DataFrame) -> DataFrame:
         "f_params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))), "f_query_len": F.length(query),
         "f_fragment": url.contains("#").cast("int"), "f_https": url.startswith("https").cast("int"), "f_dash": F.regexp_count("host", F.lit("-")),
     }
-    out = out.withColumns({k: v.cast("double") for k, v in of.items()}).drop("__chars")
-    return out.withColumn("__suffix", F.substring_index("host", ".", -2)).withColumn("__segment", F.regexp_extract("path", "^/([^/]*)", 1))
+    return with_keys(out.withColumns({k: v.cast("double") for k, v in of.items()}).drop("__chars"))
+
+
+def with_keys(df: DataFrame) -> DataFrame:
+    """What the statistics are over: the host's last two labels, the path's first segment."""
+    return df.withColumn("__suffix", F.substring_index("host", ".", -2)).withColumn("__segment", F.regexp_extract("path", "^/([^/]*)", 1))
 
 
 def train(judged: DataFrame, max_train: int = MAX_TRAIN):
-    """(model, prior, suffix rates, segment rates) from URLs with a rule, or None where they have one verdict only."""
+    """(model, prior, suffix rates, segment rates) from URLs with a rule, or None where they have one verdict only.
+
+    The rates are of all these URLs; the trees are fitted on the sample.
+    """
     blocks = [h + p for h, p, v in RULES if v == "block"]
-    sample = judged.filter("rule is not null").select("url", "host", "path", F.col("rule").isin(blocks).cast("double").alias("label")).dropDuplicates(["url"])
-    sample = with_features(sample.orderBy(F.xxhash64("url"), "url").limit(max_train)).coalesce(1).persist()
+    labelled = judged.filter("rule is not null").select("url", "host", "path", F.col("rule").isin(blocks).cast("double").alias("label")).dropDuplicates(["url"])
+    sample = with_features(labelled.orderBy(F.xxhash64("url"), "url").limit(max_train)).coalesce(1).persist()
     seen = sample.agg(F.avg("label"), F.count("*")).first()
     if not seen[1] or seen[0] in (0.0, 1.0):
         sample.unpersist()
         return None
-    prior = seen[0]
-    rates = []
-    for key in ("__suffix", "__segment"):
-        found = sample.groupBy(key).agg(((F.sum("label") + _PRIOR * prior) / (F.count("*") + _PRIOR)).alias("rate"))
-        rates.append(as_local(found))
+    counted = [materialize(with_keys(labelled).groupBy(key).agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), f"rates{key}") for key in ("__suffix", "__segment")]
+    prior = counted[0].agg(F.sum("blocked") / F.sum("n")).first()[0]
+    rates = [as_rates(table, key, name, prior) for table, (key, name) in zip(counted, (("__suffix", "f_suffix"), ("__segment", "f_segment")), strict=True)]
     assembled = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(with_rates(sample, rates, prior))
     model = GBTClassifier(featuresCol="__features", labelCol="label", maxDepth=4, maxIter=12, stepSize=0.3, maxBins=32, seed=3, checkpointInterval=-1).fit(assembled)
     sample.unpersist()
     return model, prior, rates
 
 
-def as_local(found: DataFrame) -> DataFrame:
-    """A statistics table as a local relation: at most ``MAX_TRAIN`` rows, by the sample's bound."""
-    rows = [tuple(r) for r in found.limit(MAX_TRAIN).collect()]
-    return found.sparkSession.createDataFrame(rows, found.schema)
+def as_rates(counted: DataFrame, key: str, name: str, prior: float) -> DataFrame:
+    """A statistics table with the smoothed rate as ``name``: broadcast as a local relation up to ``MAX_LOCAL`` rows, else as it is."""
+    found = counted.select(key, ((F.col("blocked") + _PRIOR * prior) / (F.col("n") + _PRIOR)).alias(name))
+    rows = [tuple(r) for r in found.limit(MAX_LOCAL + 1).collect()]
+    return found if len(rows) > MAX_LOCAL else F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
 
 
 def with_rates(df: DataFrame, rates: list[DataFrame], prior: float) -> DataFrame:
     for table, key, name in ((rates[0], "__suffix", "f_suffix"), (rates[1], "__segment", "f_segment")):
-        df = df.join(F.broadcast(table.withColumnRenamed("rate", name)), key, "left").fillna({name: prior})
+        df = df.join(table, key, "left").fillna({name: prior})
     return df
 
 

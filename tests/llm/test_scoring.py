@@ -131,6 +131,18 @@ def test_url_odd_tables(spark):
     assert url_filter.filter_urls(df.filter("page_id > 9")).collect() == []
 
 
+def test_url_rates_are_of_all_judged_urls(spark, monkeypatch):
+    """Not of the sample that the trees are fitted on; alike where the tables are joined by shuffle."""
+    urls = [f"https://h{i % 50}.{'com' if i % 2 else 'net'}/{'a' if i % 2 else 'es'}/{i}" for i in range(400)]
+    judged = url_filter.with_rule(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"))
+    for most in (20_000, 10):
+        monkeypatch.setattr(url_filter, "MAX_LOCAL", most)
+        _, prior, rates = url_filter.train(judged, 40)
+        got = {r["__suffix"]: r.f_suffix for r in rates[0].collect()}
+        assert prior == 0.5 and len(got) == 50
+        assert all(abs(v - (8 * s.endswith("net") + 10) / 28) < 1e-9 for s, v in got.items())
+
+
 # licences
 
 
