@@ -5,11 +5,15 @@ also start elsewhere (``first=False``), or earlier, in a smaller doc_id or furth
 
 1. One pass over the texts gives runs (see :mod:`._runs`): the hash ``h`` of the anchor, a hash ``seg`` of the whole
    run, its place.  Anchors that occur once drop out; their windows cannot occur elsewhere.
-2. Runs of equal content are one *segment*, so a group of copies is one row from here on: its windows occur as often as it.
-3. An anchor with one segment is finished.  Where it has several, they may still share some windows: the contents
-   of one occurrence of each are fetched, with the anchor's k-gram as one symbol, and an index decides (``compare``).
-   Shards of the index hold whole anchors.  An anchor with more than ``LARGE`` segments is cut up by
-   its windows instead, whose hashes are counted by an aggregation, so that no task holds a group without bound.
+2. Runs with one and the same (h, seg) are a *class*.  Of each class the first and the last occurrence
+   stand for all (role 0 and 1), so a group of copies is two rows from here on.
+3. The contents of these occurrences are fetched and dealt out by anchor; an index of the shard decides
+   which of their windows are marked (``compare``).  Nothing else marks a window.
+4. What is marked in the first occurrence holds for the first one, what is marked in the last one for all others of the class.
+
+Steps 1 and 2 only select what goes into which shard.  An anchor with more than ``LARGE`` classes is cut up
+once more, by longer anchors within its runs, and at last by whole windows: the same steps with the next of ``Unit.ks``,
+so that no task holds a group without bound and an index decides all the same.
 
 Rows are known by (doc, sub): the doc_id, and 0, or a hash of the text where rows repeat a doc_id.
 """
@@ -22,7 +26,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _runs as R
@@ -30,38 +35,44 @@ from . import _text as T
 from ._store import materialize, partitions
 
 NULL_ID = -(2**63)
-LARGE = 20_000
-#: Symbols of a shard's index, from which on no further anchor joins it.
-SHARD = 150_000
+#: Classes of an anchor that one shard holds at most.
+LARGE = 4_000
+#: Tokens of a shard, from which on no further anchor joins it.
+SHARD = {True: 200_000, False: 3_000_000}
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a token is: a word, or a byte; the window's width; the anchor's k."""
+    """What a token is: a word, or a byte; the window's width; the anchors' lengths, of which the last is the width."""
 
     words: bool
     width: int
-    k: int
+    ks: tuple[int, ...]
 
     @property
-    def symbols(self) -> int:
-        """Symbols of a window, its anchor counted as one."""
-        return self.width - self.k + 1
+    def symbol(self) -> type:
+        return np.uint64 if self.words else np.uint8
 
-    def tokens(self, piece: T.Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(symbols, prefix sums over them, first) of a piece."""
+    def tokens(self, piece: T.Piece) -> tuple[np.ndarray, np.ndarray]:
+        """(symbols, first) of a piece."""
         if self.words:
             tok = T.tokens(piece)
-            sums = np.zeros(len(tok.hashes) + 1, np.uint64)
-            np.cumsum(tok.hashes * T.powers(len(tok.hashes) + 1)[: len(tok.hashes)], out=sums[1:])
-            return tok.hashes, sums, tok.first
-        return piece.data, T.prefix_sums(piece.data), piece.offs
+            return tok.hashes, tok.first
+        return piece.data, piece.offs
 
-    def grams(self, symbols: np.ndarray, sums: np.ndarray) -> np.ndarray:
-        n = max(0, len(symbols) - self.k + 1)
+    def runs(self, symbols: np.ndarray, first: np.ndarray, level: int) -> tuple[np.ndarray, ...]:
+        """(text, start, count, left, h, seg) of the runs: ``left`` tokens stand before the anchor."""
+        k = self.ks[level]
         if self.words:
-            return R.rolled(symbols, self.k)
-        return T.mix64((sums[self.k :] - sums[:n]) * T.powers(len(sums) + 1, "down")[:n])
+            sums = np.zeros(len(symbols) + 1, np.uint64)
+            np.cumsum(symbols * T.powers(len(symbols) + 1)[: len(symbols)], out=sums[1:])
+            grams = R.rolled(symbols, k)
+        else:
+            sums = T.prefix_sums(symbols)
+            n = max(0, len(symbols) - k + 1)
+            grams = T.mix64((sums[k:] - sums[:n]) * T.powers(len(sums) + 1, "down")[:n])
+        text, start, count, anchor = R.runs(grams, first, self.width, k)
+        return text, start, count, anchor - start, grams[anchor], T.range_hash(sums, start, start + count + self.width - 1)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -76,50 +87,66 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def all_runs(rows: DataFrame, unit: Unit) -> DataFrame:
-    """h, seg, doc, sub, start, count: every window of every text is in one run."""
+    """h, seg, doc, sub, start, count, left: every window of every text is in one run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for piece in T.pieces(b.column(2)):
-                symbols, sums, first = unit.tokens(piece)
-                grams = unit.grams(symbols, sums)
-                text, start, count, anchor = R.runs(grams, first, unit.width, unit.k)
-                seg = T.range_hash(sums, start, start + count + unit.width - 1)
+                symbols, first = unit.tokens(piece)
+                text, start, count, left, h, seg = unit.runs(symbols, first, 0)
                 at = pa.array(piece.lo + text)
+                small = [pa.array(x.astype(np.int32)) for x in (start - first[text], count, left)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(grams[anchor].view(np.int64)), pa.array(seg.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array((start - first[text]).astype(np.int32)), pa.array(count.astype(np.int32))],
-                    names=["h", "seg", "doc", "sub", "start", "count"])
+                    [pa.array(h.view(np.int64)), pa.array(seg.view(np.int64)), b.column(0).take(at), b.column(1).take(at), *small],
+                    names=["h", "seg", "doc", "sub", "start", "count", "left"])
+
+    return rows.mapInArrow(run, "h long, seg long, doc long, sub long, start int, count int, left int")
+
+
+def _place() -> Column:
+    return F.struct("doc", "sub", "start")
+
+
+def classes_of(runs: DataFrame, first: bool) -> DataFrame:
+    """h, seg, lo, hi, segs: of each class its first and last place (``hi`` null where there is no second one), and the classes of its anchor.
 
-    return rows.mapInArrow(run, "h long, seg long, doc long, sub long, start int, count int")
+    Rows that repeat a doc_id and its text are at one place.  They repeat each other, but neither is earlier.
+    """
+    found = runs.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(_place()).alias("lo"), F.max(_place()).alias("hi"))
+    second = (F.col("n") > 1) if not first else (F.col("lo") < F.col("hi"))
+    found = materialize(found.select("h", "seg", "lo", F.when(second, F.col("hi")).alias("hi")), "classes")
+    return found.join(materialize(found.groupBy("h").agg(F.count("*").cast("int").alias("segs")), "crowds"), "h")
+
+
+_CONTENT = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("role", pa.int32()), ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("left", pa.int32()), ("segs", pa.int32()), ("data", pa.binary())])
+_CONTENT_DDL = "h long, seg long, role int, doc long, sub long, start int, count int, left int, segs int, data binary"
+
+
+def _roles() -> Column:
+    """A row for each occurrence that stands for a class: ``r.role``, and its place ``r.p``."""
+    both = F.array(F.struct(F.lit(0).alias("role"), F.col("lo").alias("p")), F.struct(F.lit(1).alias("role"), F.col("hi").alias("p")))
+    return F.explode(F.filter(both, lambda x: x["p"].isNotNull())).alias("r")
 
 
 def contents(rows: DataFrame, need: DataFrame, unit: Unit) -> DataFrame:
-    """h, doc, sub, start, alone, left, data: the symbols of needed runs, the anchor left out between ``left`` symbols and the rest."""
+    """The tokens of the runs that stand for their classes, as ``data``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = pa.array([zlib.decompress(x) for x in b.column(2).to_pylist()], pa.binary()).cast(pa.string())
-            wanted = b.column(3)
             for piece in T.pieces(texts):
-                symbols, sums, first = unit.tokens(piece)
-                grams = unit.grams(symbols, sums)
-                out: list[tuple] = []
-                for i in range(piece.lo, piece.hi):
-                    base = int(first[i - piece.lo])
-                    doc, sub = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                    for x in wanted[i].as_py():
-                        s = base + x["start"]
-                        at = s + int(np.argmax(grams[s : s + unit.symbols] == np.uint64(x["h"] % (1 << 64))))
-                        end = s + x["count"] + unit.width - 1
-                        out.append((x["h"], doc, sub, x["start"], x["alone"], at - s, symbols[s:at].tobytes() + symbols[at + unit.k : end].tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _CONTENT.types, strict=True)], schema=_CONTENT)
+                symbols, first = unit.tokens(piece)
+                wanted = b.column(3).slice(piece.lo, piece.hi - piece.lo)
+                own = np.repeat(np.arange(piece.lo, piece.hi), np.asarray(pa.compute.list_value_length(wanted)))
+                flat = wanted.flatten()
+                field = {f.name: flat.field(i) for i, f in enumerate(flat.type)}
+                begin = first[own - piece.lo] + field["start"].to_numpy()
+                end = begin + field["count"].to_numpy() + unit.width - 1
+                data = pa.array([symbols[s:e].tobytes() for s, e in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary())
+                held = field | {"doc": b.column(0).take(pa.array(own)), "sub": b.column(1).take(pa.array(own)), "data": data}
+                yield pa.RecordBatch.from_arrays([held[f.name] for f in _CONTENT], schema=_CONTENT)
 
-    texts = packed(rows)
-    return texts.join(need, ["doc", "sub"]).select("doc", "sub", "packed", "wanted").mapInArrow(run, "h long, doc long, sub long, start int, alone boolean, left int, data binary")
-
-
-_CONTENT = pa.schema([("h", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("alone", pa.bool_()), ("left", pa.int32()), ("data", pa.binary())])
+    return packed(rows).join(need, ["doc", "sub"]).select("doc", "sub", "packed", "wanted").mapInArrow(run, _CONTENT_DDL)
 
 
 def packed(rows: DataFrame) -> DataFrame:
@@ -132,17 +159,17 @@ def packed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc long, sub long, packed binary")
 
 
-def _shards(batches: Iterator[pa.RecordBatch], symbol_bytes: int) -> Iterator[pa.Table]:
-    """Whole groups of equal h, gathered until they hold SHARD symbols; the input is sorted by h."""
+def _shards(batches: Iterator[pa.RecordBatch], unit: Unit) -> Iterator[pa.Table]:
+    """Whole groups of equal h, gathered until they hold SHARD tokens; the input is sorted by h."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, most = 0, SHARD[unit.words] * np.dtype(unit.symbol).itemsize
     for b in batches:
         h = b.column(0).to_numpy()
-        sizes = np.diff(np.append(0, np.cumsum(pa.compute.binary_length(b.column(6)).to_numpy() // symbol_bytes + 2)))
+        sizes = pa.compute.binary_length(b.column("data")).to_numpy()
         lo = 0
-        for cut in [*np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)]:
+        for cut in [*np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)] if len(h) else ():
             new_group = lo > 0 or (held and held[-1].column(0)[-1].as_py() != h[0])
-            if new_group and size >= SHARD:
+            if new_group and size >= most:
                 yield pa.Table.from_batches(held)
                 held, size = [], 0
             held.append(b.slice(lo, cut - lo))
@@ -152,81 +179,114 @@ def _shards(batches: Iterator[pa.RecordBatch], symbol_bytes: int) -> Iterator[pa
         yield pa.Table.from_batches(held)
 
 
-#: Of a shard's segments (symbols with anchors, their first, number of windows): which windows are to be marked.
-Compare = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+@dataclass
+class Shard:
+    """Segments in order of their places: ``symbols[first[i]:first[i+1]]``, the anchor (of ``k`` tokens, number ``anchor``) at ``left``."""
+
+    symbols: np.ndarray
+    first: np.ndarray
+    left: np.ndarray
+    windows: np.ndarray
+    anchor: np.ndarray
+    role: np.ndarray
+    #: whether other classes have this anchor as well
+    crowded: np.ndarray
+    k: int
+    width: int
+
+
+#: Which windows, in order of the segments, are to be marked.
+Compare = Callable[[Shard], np.ndarray]
 
 
-def compare_shards(found: DataFrame, unit: Unit, compare: Compare) -> DataFrame:
-    """doc, sub, start, count: stretches of windows that ``compare`` marks in the segments that stand ``alone``."""
-    size = 8 if unit.words else 1
+def compare_shards(found: DataFrame, unit: Unit, compare: Compare, level: int) -> DataFrame:
+    """h, seg, role, at, count: stretches of windows that ``compare`` marks, counted from the run's start."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, size):
-            shard = shard.combine_chunks().sort_by([("doc", "ascending"), ("sub", "ascending"), ("start", "ascending")])
-            anchors, anchor_id = np.unique(shard["h"].to_numpy(), return_inverse=True)
-            left = shard["left"].to_numpy()
-            parts, lengths = [], []
-            raw = shard["data"].to_pylist()
-            for i, x in enumerate(raw):
-                s = np.frombuffer(x, np.uint64 if unit.words else np.uint8)
-                parts.append(s)
-                lengths.append(len(s) + 2)
-            flat = np.concatenate(parts) if parts else np.zeros(0, np.uint8)
-            # dense symbols from 1 on, then one for each anchor; 0 ends a segment
-            if unit.words:
-                known, dense = np.unique(flat, return_inverse=True)
-                top = len(known) + 1
-                dense = dense + 1
-            else:
-                dense, top = flat.astype(np.int64) + 1, 257
-            first = np.append(0, np.cumsum(lengths))
-            text = np.zeros(first[-1], np.int64)
-            plain = np.ones(first[-1], bool)
-            plain[first[:-1] + left] = plain[first[1:] - 1] = False
-            text[first[:-1] + left] = top + anchor_id
-            text[plain] = dense
-            windows = np.diff(first) - unit.symbols
-            marked = compare(text, first, windows)
-            own = np.repeat(np.arange(len(windows)), windows)
-            offset = np.arange(len(own)) - np.repeat(np.cumsum(windows) - windows, windows)
-            marked &= shard["alone"].to_numpy(zero_copy_only=False)[own]
-            at = np.flatnonzero(marked)
+        for table in _shards(batches, unit):
+            table = table.combine_chunks().sort_by([("doc", "ascending"), ("sub", "ascending"), ("start", "ascending"), ("role", "ascending")])
+            data = table["data"].combine_chunks() if isinstance(table["data"], pa.ChunkedArray) else table["data"]
+            if isinstance(data, pa.ChunkedArray):
+                data = data.chunk(0)
+            symbols = np.frombuffer(b"".join(data.to_pylist()), unit.symbol)
+            first = np.append(0, np.cumsum(pa.compute.binary_length(data).to_numpy())) // np.dtype(unit.symbol).itemsize
+            windows = table["count"].to_numpy()
+            anchor = np.unique(table["h"].to_numpy(), return_inverse=True)[1]
+            shard = Shard(symbols, first, table["left"].to_numpy().astype(np.int64), windows, anchor, table["role"].to_numpy(), table["segs"].to_numpy() > 1, unit.ks[level], unit.width)
+            at = np.flatnonzero(compare(shard))
             if not len(at):
                 continue
+            base = np.cumsum(windows) - windows
+            own = np.repeat(np.arange(len(windows)), windows)[at]
             new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (own[at[1:]] != own[at[:-1]])
-            begin = at[new]
+            new[1:] = (at[1:] != at[:-1] + 1) | (own[1:] != own[:-1])
             count = np.diff(np.append(np.flatnonzero(new), len(at)))
-            rows = pa.array(own[begin])
+            own = own[new]
+            rows = pa.array(own)
             yield pa.RecordBatch.from_arrays(
-                [shard[c].combine_chunks().take(rows) if c != "start" else pa.array((shard[c].to_numpy()[own[begin]] + offset[begin]).astype(np.int32)) for c in ("doc", "sub", "start")] + [pa.array(count.astype(np.int32))],
-                names=["doc", "sub", "start", "count"])
+                [*(table[c].combine_chunks().take(rows) for c in ("h", "seg", "role")), pa.array((at[new] - base[own]).astype(np.int32)), pa.array(count.astype(np.int32))],
+                schema=_MARKS)
 
     n = partitions(found.sparkSession)
-    return found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "doc long, sub long, start int, count int")
+    return found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(run, "h long, seg long, role int, at int, count int")
 
 
-def compare_windows(found: DataFrame, unit: Unit, first: bool) -> DataFrame:
-    """The same for anchors with very many segments: every window's hash is counted by an aggregation."""
-    size = 8 if unit.words else 1
+_MARKS = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("role", pa.int32()), ("at", pa.int32()), ("count", pa.int32())])
+
+
+def cut_again(found: DataFrame, unit: Unit, level: int) -> DataFrame:
+    """The runs of these contents by the next longer anchors: h, seg, doc, sub, start, count, left, data, and ``of`` (h, seg, role, at) what they were cut from."""
+    owner = pa.struct([("h", pa.int64()), ("seg", pa.int64()), ("role", pa.int32()), ("at", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("seg", pa.int64()), ("doc", pa.int64()), ("sub", pa.int64()), ("start", pa.int32()), ("count", pa.int32()), ("left", pa.int32()), ("data", pa.binary()), ("of", owner)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for h, doc, sub, start, alone, left, data in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                s = np.frombuffer(data, np.uint64 if unit.words else np.uint8).astype(np.uint64) + np.uint64(1)
-                s = np.concatenate([s[:left], np.array([h % (1 << 64)], np.uint64), s[left:]])
-                keys = R.rolled(s, unit.symbols).view(np.int64)
-                n = len(keys)
-                for c, v in zip(cols, (keys, [h] * n, [doc] * n, [sub] * n, range(start, start + n), [alone] * n), strict=True):
-                    c.extend(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_()), strict=True)], names=["key", "h", "doc", "sub", "start", "alone"])
-
-    each = materialize(found.mapInArrow(run, "key long, h long, doc long, sub long, start int, alone boolean"), "windows")
-    place = F.struct("doc", "sub", "start")
-    per = each.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(place).alias("least"))
-    hit = (F.col("least") < place) if first else (F.col("n") > 1)
-    return each.join(per, ["key", "h"]).filter(hit & F.col("alone")).select("doc", "sub", "start", F.lit(1).cast("int").alias("count"))
+            for lo in range(0, b.num_rows, 500):
+                part = b.slice(lo, 500)
+                raw = part.column("data").to_pylist()
+                symbols = np.frombuffer(b"".join(raw), unit.symbol)
+                first = np.append(0, np.cumsum([len(x) for x in raw])) // np.dtype(unit.symbol).itemsize
+                text, start, count, left, h, seg = unit.runs(symbols, first, level)
+                at = (start - first[text]).astype(np.int32)
+                col = {c: part.column(c).take(pa.array(text)) for c in ("h", "seg", "role", "doc", "sub", "start")}
+                # windows of different outer anchors stay apart
+                inner = T.mix64(h + T.mix64(col["h"].to_numpy().view(np.uint64)))
+                data = [symbols[s:e].tobytes() for s, e in zip(start.tolist(), (start + count + unit.width - 1).tolist(), strict=True)]
+                of = pa.StructArray.from_arrays([col["h"], col["seg"], col["role"], pa.array(at)], fields=list(owner))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(inner.view(np.int64)), pa.array(seg.view(np.int64)), col["doc"], col["sub"], pa.array(col["start"].to_numpy() + at), pa.array(count.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(data, pa.binary()), of],
+                    schema=schema)
+
+    ddl = "h long, seg long, doc long, sub long, start int, count int, left int, data binary, of struct<h: long, seg: long, role: int, at: int>"
+    return found.mapInArrow(run, ddl)
+
+
+def _by_class(marks: DataFrame, classes: DataFrame) -> DataFrame:
+    """h, seg, lo, and the marks of role 0 and 1 as lists (``m0``, ``m1``)."""
+    each = F.struct("at", "count")
+    lists = marks.groupBy("h", "seg").agg(*[F.collect_list(F.when(F.col("role") == r, each)).alias(f"m{r}") for r in (0, 1)])
+    return lists.join(classes.select("h", "seg", "lo"), ["h", "seg"])
+
+
+def _of_member() -> Column:
+    return F.explode(F.when(_place() == F.col("lo"), F.col("m0")).otherwise(F.col("m1"))).alias("m")
+
+
+def judged(found: DataFrame, unit: Unit, compare: Compare, first: bool, large: int, level: int = 0) -> DataFrame:
+    """The marks (h, seg, role, at, count) of contents."""
+    if level == len(unit.ks) - 1:
+        return compare_shards(found, unit, compare, level)
+    marks = compare_shards(found.filter(F.col("segs") <= large), unit, compare, level)
+    many = found.filter(F.col("segs") > large)
+    if many.isEmpty():
+        return marks
+    inner = materialize(cut_again(many, unit, level + 1), "inner-runs")
+    classes = materialize(classes_of(inner, first), "inner-classes")
+    asked = inner.join(classes.select("h", "seg", "segs", _roles()), ["h", "seg"]).filter(_place() == F.col("r.p"))
+    asked = asked.select("h", "seg", "r.role", "doc", "sub", "start", "count", "left", "segs", "data").dropDuplicates(["h", "seg", "role"])
+    found = materialize(judged(materialize(asked, "inner-contents"), unit, compare, first, large, level + 1), "inner-marks")
+    back = inner.drop("data").join(_by_class(found, classes), ["h", "seg"]).select("of", _of_member())
+    return marks.unionByName(back.select("of.h", "of.seg", "of.role", (F.col("of.at") + F.col("m.at")).alias("at"), "m.count"))
 
 
 def repeated_windows(rows: DataFrame, unit: Unit, compare: Compare, first: bool, large: int = LARGE) -> DataFrame:
@@ -235,25 +295,17 @@ def repeated_windows(rows: DataFrame, unit: Unit, compare: Compare, first: bool,
     # written first, so that the join deals out both of its sides itself and can split a common anchor's rows
     often = materialize(runs.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"), "anchors")
     runs = materialize(runs.join(often, "h"), "runs")
-    segments = runs.groupBy("h", "seg").agg(F.count("*").alias("n"), F.min(F.struct("doc", "sub", "start")).alias("rep"))
-    segments = materialize(segments, "segments")
-    several = materialize(segments.groupBy("h").agg(F.count("*").alias("segs")), "segments-per-anchor")
-    segments = segments.join(several, "h")
-    joined = runs.join(segments, ["h", "seg"])
-    is_rep = F.col("rep").eqNullSafe(F.struct("doc", "sub", "start"))
-    whole = ~is_rep if first else (F.col("n") > 1)
-    ask = is_rep & (F.col("segs") > 1)
-    told = joined.filter(whole | ask).select("doc", "sub", "start", "count", whole.alias("whole"), F.when(ask, F.col("h")).alias("h"), (F.col("segs") > large).alias("large"), ((F.col("n") == 1) | F.lit(first)).alias("alone"))
-    told = materialize(told, "told")
-    need = told.filter("h is not null").groupBy("doc", "sub").agg(F.collect_list(F.struct("h", "start", "count", "alone")).alias("wanted"))
+    classes = materialize(classes_of(runs.select("h", "seg", "doc", "sub", "start"), first), "classes")
+    # a run's length and its anchor's place follow from its class
+    shape = runs.groupBy("h", "seg").agg(F.min("count").alias("count"), F.min("left").alias("left"))
+    asked = classes.join(shape, ["h", "seg"]).select("h", "seg", "count", "left", "segs", _roles())
+    wanted = F.struct("h", "seg", F.col("r.role").alias("role"), F.col("r.p.start").alias("start"), "count", "left", "segs")
+    need = asked.groupBy(F.col("r.p.doc").alias("doc"), F.col("r.p.sub").alias("sub")).agg(F.collect_list(wanted).alias("wanted"))
     found = materialize(contents(rows, need, unit), "contents")
-    big = told.filter("large and h is not null").select("h").distinct()
-    many = found.join(big, "h", "left_semi")
-    few = found.join(big, "h", "left_anti")
-    spans = told.filter("whole").select("doc", "sub", "start", "count").unionByName(compare_shards(few, unit, compare))
-    if not big.isEmpty():
-        spans = spans.unionByName(compare_windows(many, unit, first))
-    return spans.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count")).alias("spans"))
+    marks = judged(found, unit, compare, first, large)
+    told = materialize(_by_class(marks, classes), "marks")
+    spans = runs.join(told, ["h", "seg"]).select("doc", "sub", "start", _of_member())
+    return spans.groupBy("doc", "sub").agg(F.collect_list(F.struct((F.col("start") + F.col("m.at")).alias("start"), F.col("m.count").alias("count"))).alias("spans"))
 
 
 def covered(spans: list[dict] | None, width: int, n: int) -> np.ndarray:

@@ -12,8 +12,8 @@ import numpy as np
 
 from . import _text as T
 
-_POS_BITS = np.uint64(30)
-_POS_MASK = np.uint64((1 << 30) - 1)
+#: Positions take the low half of a packed value: no text has 2**32 tokens.
+_POS_MASK = np.uint64((1 << 32) - 1)
 
 
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:

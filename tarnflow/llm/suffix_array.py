@@ -1,10 +1,10 @@
 """Substring dedup by suffix arrays, built by grouping suffixes on their Lyndon prefixes.
 
 A byte goes if a 200-byte string that covers it also starts anywhere else, same document included.
-:mod:`._repeats` finds the runs of windows that can be equal and shards them.  Within a shard the segments that
-differ are cut into runs once more, by anchors of ``INNER`` bytes; what then still differs under one and the same anchor
-is put in a suffix array, the anchor as one symbol, and windows are repeated where neighbours in the
-array share a window's length.
+:mod:`._repeats` finds the runs of windows that can be equal and shards their contents by anchor.  A shard's suffix array
+orders its segments by the bytes from their anchors on, ``STRIDE`` bytes a symbol, so that no byte is left out and each
+segment is a few symbols.  Windows are repeated where neighbours in the array have enough bytes in common from
+the anchor on, and the same bytes ahead of it.  Every window that goes is marked by the array, copies of whole documents included.
 
 The array (:func:`suffix_array`) is built in two linear passes.  First, suffixes are grouped by their Lyndon prefix (the
 longest prefix that is smaller than all its proper suffixes): groups are taken in descending order, and each
@@ -26,14 +26,10 @@ import hashlib
 import numpy as np
 from pyspark.sql import DataFrame
 
-from . import _runs as R
-from . import _text as T
-from ._repeats import Unit, covered, cut, keyed, repeated_windows
+from ._repeats import Shard, Unit, covered, cut, keyed, repeated_windows
 
 WINDOW = 200
-UNIT = Unit(words=False, width=WINDOW, k=64)
-#: Symbols (of 137 a window, the outer anchor being one) that an inner anchor takes.
-INNER = 116
+UNIT = Unit(words=False, width=WINDOW, ks=(64, 179, WINDOW))
 
 
 def lyndon_groups(text: list[int]) -> tuple[list[int], list[int]]:
@@ -131,78 +127,81 @@ def suffix_array(text: list[int]) -> list[int]:
     return out[1:]
 
 
-def repeated_in_array(text: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of the windows ``text[s:s+size]`` occur more than once among ``starts``."""
-    order = np.array(suffix_array(text.tolist()), np.int64)
+#: Bytes that one symbol of the array holds.
+STRIDE = 40
+
+
+def ranked(segments: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The order of byte strings (rows of a padded matrix, and their lengths), by a suffix array over ``STRIDE`` bytes a symbol."""
+    n, width = segments.shape
+    blocks = -(-width // STRIDE)
+    # a symbol: the bytes, then how many of them there are, so that padding differs from zeros
+    table = np.zeros((n, blocks, STRIDE + 1), np.uint8)
+    for j in range(blocks):
+        part = segments[:, j * STRIDE : (j + 1) * STRIDE]
+        table[:, j, : part.shape[1]] = part
+        table[:, j, STRIDE] = np.clip(lengths - j * STRIDE, 0, STRIDE) + 1
+    there = (np.arange(blocks) * STRIDE < lengths[:, None]) | (np.arange(blocks) == 0)
+    symbols = np.unique(table[there].view(f"S{STRIDE + 1}").ravel(), return_inverse=True)[1] + 1
+    size = there.sum(axis=1)
+    begin = np.cumsum(size + 1) - (size + 1)
+    # each string is followed by a 0
+    text = np.zeros(int((size + 1).sum()), np.int64)
+    inside = np.ones(len(text), bool)
+    inside[begin + size] = False
+    text[inside] = symbols
     which = np.full(len(text), -1, np.int64)
-    which[starts] = np.arange(len(starts))
-    order = which[order]
-    order = order[order >= 0]
-    out = np.zeros(len(starts), bool)
-    # neighbours with a common prefix of a window's length, compared a slice at a time
-    for lo in range(0, len(order) - 1, 1 << 15):
-        part = order[lo : lo + (1 << 15) + 1]
-        at = starts[part][:, None] + np.arange(size)
-        same = (text[at[1:]] == text[at[:-1]]).all(axis=1)
-        out[part[1:][same]] = True
-        out[part[:-1][same]] = True
+    which[begin] = np.arange(n)
+    order = which[np.array(suffix_array(text.tolist()), np.int64)]
+    return order[order >= 0]
+
+
+def repeated_anywhere(shard: Shard) -> np.ndarray:
+    """Which windows (in order of the segments) also start elsewhere in the shard.
+
+    Segments are put in the order that the suffix array gives to what follows from their anchors on.  A window that starts l
+    bytes ahead of its anchor is repeated if its ``width - l`` bytes from the anchor on are those of a neighbour in
+    the array, and its l bytes ahead of the anchor are that neighbour's too: intervals of the array by common prefix, divided by what stands ahead.
+    """
+    begin, end = shard.first[:-1] + shard.left, shard.first[1:]
+    length = end - begin
+    width, n = shard.width, len(begin)
+    flat = np.append(shard.symbols, np.zeros(width, np.uint8))
+    after = np.lib.stride_tricks.sliding_window_view(flat, width)[begin].copy()
+    after[np.arange(width) >= length[:, None]] = 0
+    order = ranked(after, length)
+    # bytes that neighbours in the array have in common
+    common = np.zeros(n, np.int64)
+    for lo in range(1, n, 4096):
+        a, b = order[lo - 1 : lo + 4095][: min(4096, n - lo)], order[lo : lo + 4096]
+        differ = after[a] != after[b]
+        same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+        common[lo : lo + len(b)] = np.minimum(same, np.minimum(length[a], length[b]))
+    del after
+    left, begin, windows = shard.left[order], begin[order], shard.windows[order]
+    base = (np.cumsum(shard.windows) - shard.windows)[order]
+    out = np.zeros(int(shard.windows.sum()), bool)
+    deepest = int(left.max(initial=0))
+    # windows ahead of which nothing differs yet: ``code`` numbers the widest intervals, divided by the bytes ahead
+    live = np.arange(n)
+    code = np.cumsum(common < width - deepest)
+    for l in range(deepest + 1):
+        if l:
+            there = left[live] >= l
+            live, code = live[there], code[there]
+            code = code * 256 + shard.symbols[begin[live] - l]
+        _, code, times = np.unique(code, return_inverse=True, return_counts=True)
+        both = times[code] > 1
+        live, code = live[both], code[both]
+        if not len(live):
+            break
+        interval = np.cumsum(common < width - l)[live]
+        _, group, times = np.unique(code * (n + 1) + interval, return_inverse=True, return_counts=True)
+        hit = live[times[group] > 1]
+        out[base[hit] + left[hit] - l] = True
     return out
 
 
-def repeated_anywhere(text: np.ndarray, first: np.ndarray, windows: np.ndarray) -> np.ndarray:
-    """Which windows (in order of the segments, of ``symbols`` symbols each) also start elsewhere in the shard."""
-    size = int(first[1] - first[0] - windows[0])
-    hashes = T.mix64(text.astype(np.uint64) + np.uint64(11))
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(hashes * T.powers(len(text) + 1)[: len(text)], out=sums[1:])
-    n = len(text) - INNER + 1
-    grams = T.mix64((sums[INNER:] - sums[:n]) * T.powers(len(sums) + 1, "down")[:n])
-    # without the symbol that ends a segment
-    bounds = np.stack([first[:-1], first[1:] - 1], axis=1).ravel()
-    _, start, count, anchor = R.runs(grams, np.append(bounds, len(text)), size, INNER)
-    h = grams[anchor]
-    seg = T.range_hash(sums, start, start + count + size - 1)
-    order = np.lexsort((seg, h))
-    new_seg = np.ones(len(order), bool)
-    new_seg[1:] = (seg[order][1:] != seg[order][:-1]) | (h[order][1:] != h[order][:-1])
-    seg_id = np.empty(len(order), np.int64)
-    seg_id[order] = np.cumsum(new_seg) - 1
-    times = np.bincount(seg_id)
-    _, h_id = np.unique(h, return_inverse=True)
-    rep = order[new_seg]
-    segs = np.bincount(h_id[rep])
-    # runs of equal content: every window of theirs is repeated
-    marked_run = times[seg_id] > 1
-    base = np.cumsum(windows) - windows
-    own = np.searchsorted(first, start, "right") - 1
-    at = base[own] + start - first[own]  # the run's first window, counted over all
-    out = np.zeros(int(windows.sum()) + 1, np.int64)
-    np.add.at(out, at[marked_run], 1)
-    np.add.at(out, at[marked_run] + count[marked_run], -1)
-    marked = np.cumsum(out[:-1]) > 0
-    # of anchors with several contents, one run each goes into the array
-    rep = rep[segs[h_id[rep]] > 1]
-    if len(rep):
-        short = size - INNER + 1  # symbols of a window with its inner anchor as one
-        length = count[rep] + size - 1 - INNER + 1 + 1  # and one that ends the run
-        total = np.cumsum(length)
-        begin = total - length
-        left = anchor[rep] - start[rep]
-        inner = np.zeros(int(total[-1]), np.int64)
-        owner = np.repeat(np.arange(len(rep)), length)
-        k = np.arange(len(owner)) - begin[owner]
-        source = start[rep][owner] + np.where(k < left[owner], k, k + INNER - 1)
-        last = k == length[owner] - 1
-        inner[~last] = text[source[~last]] + 1
-        top = int(text.max()) + 2
-        inner[begin + left] = top + h_id[rep]
-        starts = np.repeat(begin, count[rep]) + np.arange(count[rep].sum()) - np.repeat(np.cumsum(count[rep]) - count[rep], count[rep])
-        hit = repeated_in_array(inner, starts, short)
-        place = np.repeat(at[rep], count[rep]) + np.arange(count[rep].sum()) - np.repeat(np.cumsum(count[rep]) - count[rep], count[rep])
-        marked[place[hit]] = True
-    return marked
-
-
 def _keep(text: bytes, spans: list[dict] | None) -> tuple:
     gone = covered(spans, WINDOW, len(text)) if spans else np.zeros(len(text), bool)
     n_spans = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())

@@ -70,15 +70,15 @@ def test_op2_against_brute_force(docs):
     assert sum(w[1] for w in want.values()) > 1000
 
 
-def test_anchors_with_many_segments_are_counted_window_by_window(docs):
+def test_anchors_with_many_classes_are_cut_again(docs):
     rows = _repeats.keyed(docs)
     for module, first in ((suffix_array, False), (fm_index, True)):
         compare = suffix_array.repeated_anywhere if module is suffix_array else fm_index.earlier_windows
         found = [
             {(r.doc, r["sub"]): {w for s in r.spans for w in range(s["start"], s["start"] + s["count"])} for r in _repeats.repeated_windows(rows, module.UNIT, compare, first, large).collect()}
-            for large in (1, 3, 20_000)
+            for large in (0, 1, 3, 20_000)
         ]
-        assert found[0] == found[1] == found[2] and found[0]
+        assert all(f == found[0] for f in found) and found[0]
 
 
 def test_op2_repeated_rows_and_empty(spark, empty):
@@ -100,26 +100,59 @@ def test_op2_very_long_text(spark):
 # FM-index
 
 
-def test_bits_rank():
+def test_bits_rank_and_select():
     rng = np.random.default_rng(3)
-    for n in (0, 1, 63, 64, 65, 500):
-        bits = rng.random(n) < 0.4
+    for n in (0, 1, 63, 64, 65, 500, 3000):
+        bits = rng.random(n) < (0.4 if n < 1000 else 0.003)
+        held = fm_index.Bits(bits)
         at = np.arange(n + 1)
-        assert fm_index.Bits(bits).rank1(at).tolist() == [int(bits[:i].sum()) for i in at]
+        assert held.rank1(at).tolist() == [int(bits[:i].sum()) for i in at]
+        assert held.select1(np.arange(bits.sum())).tolist() == np.flatnonzero(bits).tolist()
+        assert held.at(at[:n]).tolist() == bits.tolist()
 
 
-def test_backward_search_counts_occurrences():
+def segments(rng, n, top):
+    parts = [np.append(rng.integers(1, top, rng.integers(1, 30)), 0) for _ in range(n)]
+    return np.concatenate(parts), parts
+
+
+def test_backward_search_counts_and_locates_occurrences():
     rng = np.random.default_rng(4)
-    text = np.append(rng.integers(1, 4, 300), 0)
+    text, _ = segments(rng, 20, 4)
     index = fm_index.FMIndex(text, 6)
-    for _ in range(100):
-        i, n = rng.integers(0, 290), rng.integers(1, 7)
-        pattern = index.symbols[i : i + n]
+    for _ in range(200):
+        i, n = rng.integers(0, len(text) - 8), rng.integers(1, 7)
+        pattern = text[i : i + n]
+        if (pattern == 0).any():
+            continue
         lo, hi = np.array([0]), np.array([len(text)])
         for c in pattern[::-1]:
             lo, hi = index.extend(np.array([c]), lo, hi)
-        want = [k for k in range(len(text) - n + 1) if (text[k : k + n] == text[i : i + n]).all()]
-        assert sorted(index.suffixes[lo[0] : hi[0]].tolist()) == want
+        want = [k for k in range(len(text) - n + 1) if (text[k : k + n] == pattern).all()]
+        assert sorted(index.locate(np.arange(lo[0], hi[0])).tolist()) == want
+
+
+def test_matches_of_streamed_documents():
+    rng = np.random.default_rng(5)
+    for depth in (1, 2, 5):
+        for _ in range(30):
+            text, _ = segments(rng, 8, 4)
+            _, parts = segments(rng, 7, 5)
+            parts = [p[:-1] for p in parts]
+            docs, first = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+            for need in (1, 2):
+                at, lo, hi = fm_index.matches(fm_index.FMIndex(text, depth), np.where(docs > 3, -1, docs), first, np.full(len(parts), need))
+                places = lambda x: [k for k in range(len(text) - depth + 1) if (text[k : k + depth] == x).all()]
+                want = {int(first[d]) + i: len(places(p[i : i + depth])) for d, p in enumerate(parts) for i in range(len(p) - depth + 1)}
+                want = {i: n for i, n in want.items() if n >= need}
+                assert dict(zip(at.tolist(), (hi - lo).tolist(), strict=True)) == want
+
+
+def test_without_an_index_nothing_is_removed(docs):
+    rows = _repeats.keyed(docs)
+    for module, first in ((suffix_array, False), (fm_index, True)):
+        none = lambda shard: np.zeros(int(shard.windows.sum()), bool)
+        assert _repeats.repeated_windows(rows, module.UNIT, none, first).collect() == []
 
 
 def test_op3_against_brute_force(docs):
