@@ -2,12 +2,12 @@
 
 A text is the set of its terms (runs of letters and digits, A-Z lower-cased, and their first
 ``PREFIX`` bytes), each hashed to one of ``2**BITS`` slots.  The machine scores ``w0 + sum w_t + sum over pairs <v_t, v_u>``
-over the slots it has kept, so it learns that two terms together (an insult
-and a group mention) count for more, or less, than each alone.
+over all slots that at least two texts of the sample have, so it learns that two terms together (an insult
+and a group mention) count for more, or less, than each alone, also where neither tells anything alone.
 
 Training is on the driver, on a sample of labelled rows of bounded size (``MAX_TRAIN``, the
-least by hash of doc_id): the slots worth keeping are the ``MAX_TERMS`` with the largest
-chi-square against the label in the sample, at least ``MIN_CHI2``.  Scoring is one pass over the documents, with
+least by hash of doc_id).  Linear weights are fitted first; factors then learn from what these leave unexplained.  No term is
+left out beforehand: sparseness is the penalty's doing.  Scoring is one pass over the documents, with
 no shuffle; every whole text is scored.
 
 Edge cases: null and empty texts have no terms and get the score of the bias; several labels
@@ -32,11 +32,10 @@ BITS = 20
 PREFIX = 4
 FACTORS = 4
 MAX_TRAIN = 16_000
-MAX_TERMS = 4_000
-MIN_CHI2 = 8.0
-EPOCHS = 200
-RATE = 0.25
-L2 = 2e-3
+#: Training: steps of so many texts, the rate, the spread of the factors' random start, the share of steps ahead of them.
+STEPS, BATCH, RATE, START, HEAD = 400, 500, 0.5, 0.01, 0.4
+#: Penalties of the linear weight and of each factor: in units of texts, and of the squared weight.
+L1, L2 = (8.0, 10.0), (0.0, 10.0)
 THRESHOLD = 0.3
 
 
@@ -62,60 +61,89 @@ class Machine:
     def raw(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
         at = self.index[slots.astype(np.int64)]
         rows = T.segment_ids(first)[at >= 0]
-        at = at[at >= 0]
-        n = len(first) - 1
-        out = self.bias + np.bincount(rows, self.linear[at], n)
-        v = self.factors[at]
-        for f in range(v.shape[1]):
-            out += 0.5 * (np.bincount(rows, v[:, f], n) ** 2 - np.bincount(rows, v[:, f] ** 2, n))
-        return out
+        return _raw(self.bias, self.linear, self.factors, at[at >= 0], rows, len(first) - 1)[0]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
-    """``rows``: the distinct slots of each text.  Full-batch Adagrad on the logistic loss."""
+def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> Machine:
+    """``rows``: the distinct slots of each text.  Logistic loss over all slots that two texts have, by follow-the-regularised-leader steps of ``BATCH`` texts.
+
+    A step keeps, of each weight, the sum of its gradients and of their squares; the weight is 0 while that sum is within the penalty.
+    Factors start at random, since pairs of zeros have no gradient; where nothing was learned, that start is taken off at the end.
+    """
     n, n_pos = len(rows), int(labels.sum())
     index = np.full(1 << BITS, -1, np.int32)
     prior = (n_pos + 0.5) / (n + 1) if n else 0.1
     empty = Machine(float(np.log(prior / (1 - prior))), index, np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < n_pos < n:
         return empty
-    flat = np.concatenate(rows).astype(np.int64)
-    doc = np.repeat(np.arange(n), [len(r) for r in rows])
-    df = np.bincount(flat, minlength=1 << BITS).astype(float)
-    pos = np.bincount(flat, labels[doc], 1 << BITS)
-    p = n_pos / n
-    # Yates' correction keeps a term seen once or twice from looking telling
-    excess = np.maximum(np.abs(pos - df * p) - 0.5, 0)
-    chi2 = excess**2 / np.maximum(df * p * (1 - p) * (1 - df / n), 1e-9)
-    chi2[(df < 2) | (df >= n)] = 0
-    best = np.argsort(-chi2, kind="stable")[:MAX_TERMS]
-    best = best[chi2[best] >= MIN_CHI2]
-    if not len(best):
+    flat = np.concatenate(rows)
+    held = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= 2)
+    m = len(held)
+    if not m:
         return empty
-    index[best] = np.arange(len(best))
+    index[held] = np.arange(m)
     at = index[flat]
-    doc, at = doc[at >= 0], at[at >= 0]
-    m = len(best)
-    rng = np.random.default_rng(1)
-    w0, w, v = empty.bias, np.zeros(m), rng.normal(0, 0.05, (m, FACTORS))
-    g0, gw, gv = 1e-6, np.full(m, 1e-6), np.full((m, FACTORS), 1e-6)
-    for _ in range(EPOCHS):
-        sums = np.stack([np.bincount(doc, v[at, f], n) for f in range(FACTORS)], axis=1)
-        squares = np.stack([np.bincount(doc, v[at, f] ** 2, n) for f in range(FACTORS)], axis=1)
-        z = w0 + np.bincount(doc, w[at], n) + 0.5 * (sums**2 - squares).sum(axis=1)
-        err = (_sigmoid(z) - labels) / n
-        d0 = err.sum()
-        dw = np.bincount(at, err[doc], m) + L2 * w / m
-        dv = np.stack([np.bincount(at, err[doc] * (sums[doc, f] - v[at, f]), m) for f in range(FACTORS)], axis=1) + L2 * v / m
-        g0, gw, gv = g0 + d0**2, gw + dw**2, gv + dv**2
-        w0 -= RATE * d0 / np.sqrt(g0)
-        w -= RATE * dw / np.sqrt(gw)
-        v -= RATE * 0.3 * dv / np.sqrt(gv)
-    return Machine(float(w0), index, w, v)
+    own = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[at >= 0]
+    at = at[at >= 0]
+    size = np.bincount(own, minlength=n)
+    begin = np.cumsum(size) - size
+    rng = np.random.default_rng(seed)
+    # columns: the linear weight, then the factors; z and s hold the sums of gradients and of their squares
+    start = np.hstack([np.zeros((m, 1)), rng.normal(0, START, (m, FACTORS))]).astype(np.float32)
+    learned, z, s = np.zeros_like(start), np.zeros_like(start), np.zeros_like(start)
+    lasso, ridge = (np.array([a, *[b] * FACTORS], np.float32) for a, b in (L1, L2))
+    mark, number = np.zeros(m, bool), np.zeros(m, np.int64)
+    w0, s0, done = empty.bias, 1.0, 0
+    while done < steps:
+        order = rng.permutation(n)
+        for lo in range(0, n, BATCH):
+            docs = order[lo : lo + BATCH]
+            count = size[docs]
+            row = np.repeat(np.arange(len(docs)), count)
+            terms = at[np.arange(len(row)) + np.repeat(begin[docs] - (np.cumsum(count) - count), count)]
+            mark[terms] = True
+            touched = np.flatnonzero(mark)
+            mark[touched] = False
+            k = len(touched)
+            number[touched] = np.arange(k)
+            terms = number[terms]
+            # factors join in when the linear weights have had their share of the steps
+            columns = 1 + (FACTORS if done >= HEAD * steps else 0)
+            now = learned[touched, :columns]
+            own = start[touched, :columns] + now
+            value, sums = _raw(w0, own[:, 0], own[:, 1:], terms, row, len(docs))
+            err = _sigmoid(value) - labels[docs]
+            each = err[row]
+            g = np.empty((k, columns), np.float32)
+            g[:, 0] = np.bincount(terms, each, k)
+            for f in range(1, columns):
+                g[:, f] = np.bincount(terms, each * sums[row, f - 1], k) - own[:, f] * g[:, 0]
+            before = s[touched, :columns]
+            after = before + g**2
+            total = z[touched, :columns] + g - (np.sqrt(after) - np.sqrt(before)) / RATE * now
+            z[touched, :columns], s[touched, :columns] = total, after
+            learned[touched, :columns] = -np.sign(total) * np.maximum(np.abs(total) - lasso[:columns], 0) / ((1 + np.sqrt(after)) / RATE + ridge[:columns])
+            s0 += err.sum() ** 2
+            w0 -= RATE * err.sum() / np.sqrt(s0)
+            done += 1
+            if done == steps:
+                break
+    # factors that nothing was learned of are noise
+    factors = np.where((learned[:, 1:] != 0).any(axis=1)[:, None], start[:, 1:] + learned[:, 1:], 0)
+    return Machine(float(w0), index, learned[:, 0].astype(float), factors.astype(float))
+
+
+def _raw(w0: float, w: np.ndarray, v: np.ndarray, terms: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The machine's value of each text, and its sums of factors."""
+    out = w0 + np.bincount(row, w[terms], n)
+    if not v.shape[1] or not v.any():
+        return out, np.zeros((n, v.shape[1]))
+    sums = np.stack([np.bincount(row, np.ascontiguousarray(v[:, f])[terms], n) for f in range(v.shape[1])], axis=1)
+    return out + 0.5 * ((sums**2).sum(axis=1) - np.bincount(row, (v**2).sum(axis=1)[terms], n)), sums
 
 
 def held_out(doc_id: Column) -> Column:

@@ -65,6 +65,28 @@ def test_machine_learns_words_and_pairs_of_words(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_machine_learns_pairs_whose_words_tell_nothing():
+    """Toxic if exactly one of two words is there, or only if both are: a word alone is as frequent in clean texts."""
+    rng = random.Random(8)
+    for toxic in (lambda a, b: a != b, lambda a, b: a == b):
+        rows, labels = [], []
+        for _ in range(4000):
+            a, b = rng.random() < 0.5, rng.random() < 0.5
+            rows.append(np.array(sorted({*rng.sample(range(100, 400), 20), *([5] if a else []), *([6] if b else [])}), np.int32))
+            labels.append(float(toxic(a, b)))
+        labels = np.array(labels)
+        machine = toxicity.fit(rows[:3000], labels[:3000])
+        first = np.append(0, np.cumsum([len(r) for r in rows[3000:]]))
+        got = machine.raw(np.concatenate(rows[3000:]).astype(np.uint64), first) > 0
+        assert (got == (labels[3000:] == 1)).mean() > 0.97
+
+
+def test_no_term_is_left_out_beforehand():
+    rows = [np.array(x, np.int32) for x in ([1, 2, 3], [1, 2, 4], [2, 5], [1, 5])]
+    machine = toxicity.fit(rows, np.array([1.0, 0, 0, 1]))
+    assert sorted(np.flatnonzero(machine.index >= 0)) == [1, 2, 5]
+
+
 def test_training_is_repeatable_and_bounded(spark):
     rows, labels = toxic_corpus(300)
     docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
