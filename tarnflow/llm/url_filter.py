@@ -1,14 +1,15 @@
 """URL filter: host and path rules, and gradient-boosted trees on lexical features for the rest.
 
-The rules label URLs.  Trees are trained on a bounded sample of those that a
-rule judges (``MAX_TRAIN`` distinct URLs, the smallest by hash), and they judge
-the URLs that no rule fits.  Features: lengths, depth, digit ratio, character
-entropy, parameter counts, and the block rate of the host's last two labels and of the
-first path segment among all URLs that a rule judges (suffix statistics, smoothed).
+Trees are trained on a bounded sample (``MAX_TRAIN`` distinct URLs, the smallest by hash) of labelled URLs, and
+they judge the URLs that no rule fits.  No table labels URLs, so the query's labels are the rules' verdicts; :func:`train` takes any.
+
+Features: lengths, depth, digit and vowel ratios, character entropy, parameter counts, and suffix statistics: which shares of
+all URLs have the same host, the same last two labels and the same last label of the host.  The statistics
+are counts only: no feature is made from labels.
 
 Edge cases: null URL or none with ``://``: host and path are empty, no rule
 fits, the trees judge; where the sample lacks one of the two labels, the method
-allows; repeated rows are answered one by one; an empty table gives an empty
+allows; repeated rows are answered one by one, repeated URLs count once in statistics and sample; an empty table gives an empty
 result; further columns are not read.
 """
 
@@ -33,9 +34,13 @@ RULES = [
 MAX_TRAIN = 20_000
 #: Rows of a statistics table up to which it is broadcast.
 MAX_LOCAL = 20_000
-FEATURES = ["f_len", "f_host_len", "f_path_len", "f_labels", "f_depth", "f_digits", "f_entropy", "f_params", "f_query_len", "f_fragment", "f_https", "f_dash", "f_suffix", "f_segment"]
-#: Weight of the overall block rate in the statistics, in URLs.
-_PRIOR = 20.0
+#: Suffix statistics: feature, and the key whose share of all URLs it is.
+SHARES = {"f_host_share": "__host", "f_suffix_share": "__suffix", "f_top_share": "__top"}
+LEXICAL = [
+    "f_len", "f_host_len", "f_path_len", "f_labels", "f_first_label", "f_depth", "f_digits", "f_path_digits", "f_vowels", "f_path_vowels", "f_entropy", "f_path_entropy",
+    "f_params", "f_query_len", "f_fragment", "f_https", "f_dash", "f_dots",
+]
+FEATURES = [*LEXICAL, *SHARES]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -57,79 +62,127 @@ def with_rule(pages: DataFrame) -> DataFrame:
     return pages.withColumn("host", host).withColumn("path", path).withColumn("rule", rule)
 
 
+def entropy(text: Column, name: str) -> tuple[Column, Column]:
+    """Entropy of a text's characters in bits, and the array it needs as column ``name``."""
+    chars = F.filter(F.split(text, ""), lambda x: x != "")
+    n = F.greatest(F.size(name), F.lit(1))
+    counts = F.transform(F.array_distinct(name), lambda c: F.size(F.filter(F.col(name), lambda x: x == c)) / n)
+    return F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p)), chars
+
+
 def with_features(df: DataFrame) -> DataFrame:
-    """The lexical features of ``url``; all built-in functions."""
+    """The lexical features of ``url``, and the keys of its statistics; all built-in functions."""
     url = F.coalesce(F.col("url"), F.lit(""))
-    n = F.greatest(F.length(url), F.lit(1))
-    out = df.withColumn("__chars", F.filter(F.split(url, ""), lambda x: x != ""))
-    # entropy of the characters: of each distinct one, its count
-    counts = F.transform(F.array_distinct("__chars"), lambda c: F.size(F.filter(F.col("__chars"), lambda x: x == c)) / n)
-    entropy = F.aggregate(counts, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+    share = lambda text, pattern: F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
+    whole, chars = entropy(url, "__chars")
+    of_path, path_chars = entropy(F.col("path"), "__path_chars")
     query = F.regexp_extract(url, "\\?([^#]*)", 1)
     of = {
         "f_len": F.length(url), "f_host_len": F.length("host"), "f_path_len": F.length("path"),
-        "f_labels": F.size(F.split("host", "\\.")), "f_depth": F.regexp_count("path", F.lit("/")),
-        "f_digits": F.regexp_count(url, F.lit("[0-9]")) / n, "f_entropy": entropy,
-        "f_params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))), "f_query_len": F.length(query),
-        "f_fragment": url.contains("#").cast("int"), "f_https": url.startswith("https").cast("int"), "f_dash": F.regexp_count("host", F.lit("-")),
+        "f_labels": F.size(F.split("host", "\\.")), "f_first_label": F.length(F.substring_index("host", ".", 1)), "f_depth": F.regexp_count("path", F.lit("/")),
+        "f_digits": share(url, "[0-9]"), "f_path_digits": share(F.col("path"), "[0-9]"), "f_vowels": share(url, "[aeiouAEIOU]"), "f_path_vowels": share(F.col("path"), "[aeiouAEIOU]"),
+        "f_entropy": whole, "f_path_entropy": of_path, "f_params": F.when(query == "", 0).otherwise(F.size(F.split(query, "&"))), "f_query_len": F.length(query),
+        "f_fragment": url.contains("#").cast("int"), "f_https": url.startswith("https").cast("int"), "f_dash": F.regexp_count("host", F.lit("-")), "f_dots": F.regexp_count("path", F.lit("\\.")),
     }
-    return with_keys(out.withColumns({k: v.cast("double") for k, v in of.items()}).drop("__chars"))
+    out = df.withColumns({"__chars": chars, "__path_chars": path_chars}).withColumns({k: v.cast("double") for k, v in of.items()}).drop("__chars", "__path_chars")
+    return with_keys(out)
 
 
 def with_keys(df: DataFrame) -> DataFrame:
-    """What the statistics are over: the host's last two labels, the path's first segment."""
-    return df.withColumn("__suffix", F.substring_index("host", ".", -2)).withColumn("__segment", F.regexp_extract("path", "^/([^/]*)", 1))
+    """What the statistics are over: the host, its last two labels, its last label."""
+    return df.withColumns({"__host": F.col("host"), "__suffix": F.substring_index("host", ".", -2), "__top": F.substring_index("host", ".", -1)})
 
 
-def train(judged: DataFrame, max_train: int = MAX_TRAIN):
-    """(model, prior, suffix rates, segment rates) from URLs with a rule, or None where they have one verdict only.
+def suffix_shares(urls: DataFrame) -> list[DataFrame]:
+    """For each statistic (key, log of its share of all distinct URLs); ``urls``: url, host."""
+    hosts = urls.groupBy("host").agg(F.countDistinct("url").alias("n"))
+    counted = materialize(with_keys(hosts).select(*SHARES.values(), "n"), "hosts")
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    out = []
+    for name, key in SHARES.items():
+        found = counted.groupBy(key).agg(F.sum("n").alias("n")).select(key, F.log((F.col("n") + 1) / (total + 1)).alias(name))
+        out.append(small_or_whole(materialize(found, f"shares{key}")))
+    return out
 
-    The rates are of all these URLs; the trees are fitted on the sample.
-    """
-    blocks = [h + p for h, p, v in RULES if v == "block"]
-    labelled = judged.filter("rule is not null").select("url", "host", "path", F.col("rule").isin(blocks).cast("double").alias("label")).dropDuplicates(["url"])
-    sample = with_features(labelled.orderBy(F.xxhash64("url"), "url").limit(max_train)).coalesce(1).persist()
+
+def small_or_whole(table: DataFrame) -> DataFrame:
+    """A statistics table: broadcast as a local relation up to ``MAX_LOCAL`` rows, else joined by shuffle."""
+    rows = [tuple(r) for r in table.limit(MAX_LOCAL + 1).collect()]
+    return table if len(rows) > MAX_LOCAL else F.broadcast(table.sparkSession.createDataFrame(rows, table.schema))
+
+
+def with_shares(df: DataFrame, shares: list[DataFrame]) -> DataFrame:
+    """Features of the statistics; a key that was not counted has the least share."""
+    for table, (name, key) in zip(shares, SHARES.items(), strict=True):
+        df = df.join(table, key, "left").fillna({name: -50.0})
+    return df
+
+
+def sample_of(labelled: DataFrame, max_train: int) -> DataFrame:
+    """At most ``max_train`` distinct URLs, the least by hash."""
+    return labelled.dropDuplicates(["url"]).orderBy(F.xxhash64("url"), "url").limit(max_train)
+
+
+def train(labelled: DataFrame, shares: list[DataFrame], max_train: int = MAX_TRAIN):
+    """The trees, or None where the sample has one label only; ``labelled``: url, host, path, label (1: block)."""
+    sample = with_shares(with_features(sample_of(labelled, max_train)), shares).coalesce(1).persist()
     seen = sample.agg(F.avg("label"), F.count("*")).first()
-    if not seen[1] or seen[0] in (0.0, 1.0):
-        sample.unpersist()
-        return None
-    counted = [materialize(with_keys(labelled).groupBy(key).agg(F.sum("label").alias("blocked"), F.count("*").alias("n")), f"rates{key}") for key in ("__suffix", "__segment")]
-    prior = counted[0].agg(F.sum("blocked") / F.sum("n")).first()[0]
-    rates = [as_rates(table, key, name, prior) for table, (key, name) in zip(counted, (("__suffix", "f_suffix"), ("__segment", "f_segment")), strict=True)]
-    assembled = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(with_rates(sample, rates, prior))
-    model = GBTClassifier(featuresCol="__features", labelCol="label", maxDepth=4, maxIter=12, stepSize=0.3, maxBins=32, seed=3, checkpointInterval=-1).fit(assembled)
+    model = None
+    if seen[1] and seen[0] not in (0.0, 1.0):
+        assembled = VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(sample)
+        model = GBTClassifier(featuresCol="__features", labelCol="label", maxDepth=5, maxIter=20, stepSize=0.3, maxBins=32, minInstancesPerNode=5, seed=3, checkpointInterval=-1).fit(assembled)
     sample.unpersist()
-    return model, prior, rates
+    return model
 
 
-def as_rates(counted: DataFrame, key: str, name: str, prior: float) -> DataFrame:
-    """A statistics table with the smoothed rate as ``name``: broadcast as a local relation up to ``MAX_LOCAL`` rows, else as it is."""
-    found = counted.select(key, ((F.col("blocked") + _PRIOR * prior) / (F.col("n") + _PRIOR)).alias(name))
-    rows = [tuple(r) for r in found.limit(MAX_LOCAL + 1).collect()]
-    return found if len(rows) > MAX_LOCAL else F.broadcast(found.sparkSession.createDataFrame(rows, found.schema))
+def block_score(model, urls: DataFrame, shares: list[DataFrame]) -> DataFrame:
+    """``urls`` (url, host, path and more) plus ``score``, the trees' probability of block."""
+    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(with_shares(with_features(urls), shares)))
+    return scored.select(*urls.columns, vector_to_array("probability")[1].alias("score"))
 
 
-def with_rates(df: DataFrame, rates: list[DataFrame], prior: float) -> DataFrame:
-    for table, key, name in ((rates[0], "__suffix", "f_suffix"), (rates[1], "__segment", "f_segment")):
-        df = df.join(table, key, "left").fillna({name: prior})
-    return df
+def by_rules(ruled: DataFrame) -> DataFrame:
+    """The URLs that a rule judges, with its verdict as ``label``."""
+    blocks = [h + p for h, p, v in RULES if v == "block"]
+    return ruled.filter("rule is not null").select("url", "host", "path", F.col("rule").isin(blocks).cast("double").alias("label"))
+
+
+def held_out_report(pages: DataFrame, max_train: int = MAX_TRAIN) -> dict:
+    """Trees fitted without a quarter of the labelled URLs (by hash), judged on it: n, accuracy, share of the more frequent label, importances."""
+    ruled = with_rule(pages.select("url"))
+    shares = suffix_shares(ruled.select("url", "host"))
+    labelled = by_rules(ruled).withColumn("__out", F.crc32(F.col("url").cast("binary")) % 4 == 2)
+    model = train(labelled.filter("not __out").drop("__out"), shares, max_train)
+    judged = block_score(model, labelled.filter("__out").select("url", "host", "path", "label").dropDuplicates(["url"]), shares)
+    seen = judged.agg(F.count("*").alias("n"), F.avg((F.col("label") == (F.col("score") >= 0.5).cast("double")).cast("double")).alias("accuracy"), F.avg("label").alias("blocked")).first()
+    return {"n": seen.n, "accuracy": seen.accuracy, "majority": max(seen.blocked, 1 - seen.blocked), "importances": dict(zip(FEATURES, model.featureImportances.toArray().tolist(), strict=True))}
 
 
 def filter_urls(pages: DataFrame) -> DataFrame:
     """Per page: page_id, host, path, rule, verdict, score (the trees' probability of block; null where a rule judges)."""
     ruled = with_rule(pages.select("page_id", "url"))
     verdicts = F.create_map(*[F.lit(x) for h, p, v in RULES for x in (h + p, v)])
-    trained = train(ruled)
+    shares = suffix_shares(ruled.select("url", "host"))
+    model = train(by_rules(ruled), shares)
     cols = ["page_id", "host", "path", "rule"]
-    if trained is None:
-        return ruled.select(*cols, F.coalesce(F.try_element_at(verdicts, F.col("rule")), F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    model, prior, rates = trained
-    by_rule = ruled.filter("rule is not null").select(*cols, F.try_element_at(verdicts, F.col("rule")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    rest = with_rates(with_features(ruled.filter("rule is null")), rates, prior)
-    scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="__features").transform(rest))
-    block = vector_to_array("probability")[1]
-    return by_rule.unionByName(scored.select(*cols, F.when(block >= 0.5, "block").otherwise("allow").alias("verdict"), block.alias("score")))
+    of_rule = F.try_element_at(verdicts, F.col("rule"))
+    if model is None:
+        return ruled.select(*cols, F.coalesce(of_rule, F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
+    by_rule = ruled.filter("rule is not null").select(*cols, of_rule.alias("verdict"), F.lit(None).cast("double").alias("score"))
+    scored = block_score(model, ruled.filter("rule is null").select("page_id", "url", "host", "path", "rule"), shares)
+    return by_rule.unionByName(scored.select(*cols, F.when(F.col("score") >= 0.5, "block").otherwise("allow").alias("verdict"), "score"))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+#: What SQL can express of the query: page_id, host, path, rule, and the verdicts of rules.
+OP8_RULES_SQL = f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+rules(h, start, verdict) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
+f AS (SELECT page_id, host, path, arg_max(h || start, len(h || start)) AS rule, arg_max(verdict, len(h || start)) verdict
+      FROM (SELECT DISTINCT * FROM p) JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, start) GROUP BY ALL)
+SELECT page_id, host, path, rule, verdict FROM p LEFT JOIN f USING (page_id, host, path)
+"""

@@ -153,16 +153,44 @@ def test_url_odd_tables(spark):
     assert url_filter.filter_urls(df.filter("page_id > 9")).collect() == []
 
 
-def test_url_rates_are_of_all_judged_urls(spark, monkeypatch):
-    """Not of the sample that the trees are fitted on; alike where the tables are joined by shuffle."""
-    urls = [f"https://h{i % 50}.{'com' if i % 2 else 'net'}/{'a' if i % 2 else 'es'}/{i}" for i in range(400)]
-    judged = url_filter.with_rule(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"))
-    for most in (20_000, 10):
+def test_url_shares_are_of_all_urls(spark, monkeypatch):
+    """Not of the sample that the trees are fitted on; alike where the tables are joined by shuffle; repeated URLs count once."""
+    urls = [f"https://h{i % 4}.{'com' if i % 2 else 'net'}/{i}" for i in range(400)]
+    pages = url_filter.with_rule(spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:100])], "page_id long, url string"))
+    for most in (20_000, 1):
         monkeypatch.setattr(url_filter, "MAX_LOCAL", most)
-        _, prior, rates = url_filter.train(judged, 40)
-        got = {r["__suffix"]: r.f_suffix for r in rates[0].collect()}
-        assert prior == 0.5 and len(got) == 50
-        assert all(abs(v - (8 * s.endswith("net") + 10) / 28) < 1e-9 for s, v in got.items())
+        shares = url_filter.suffix_shares(pages)
+        want = {"f_host_share": 101 / 401, "f_suffix_share": 101 / 401, "f_top_share": 201 / 401}
+        got = url_filter.with_shares(url_filter.with_features(pages), shares).select(*want).distinct().collect()
+        assert len(got) == 1 and all(abs(got[0][k] - np.log(v)) < 1e-9 for k, v in want.items())
+
+
+def test_trees_see_no_labels_and_use_lexical_features(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(1500):
+        bad = rng.random() < 0.5
+        tail = "".join(rng.choice("0123456789") for _ in range(rng.randint(8, 14))) if bad else "".join(rng.choice("abcdeilnorstu-") for _ in range(rng.randint(4, 12)))
+        # verdicts by rule, whatever the top label
+        rows.append((f"http://h{rng.randint(0, 30)}.example.com/{'en' if bad else 'fr'}/{tail}",))
+    report = url_filter.held_out_report(spark.createDataFrame(rows, "url string"))
+    assert report["n"] > 250 and report["accuracy"] > 0.97 > report["majority"] + 0.3
+    assert sum(report["importances"][f] for f in url_filter.LEXICAL) > 0.8
+    assert not [f for f in url_filter.FEATURES if "rate" in f or "segment" in f]
+
+
+def test_url_rules_equal_their_sql(spark):
+    """The part of the query that SQL can express, over a whole table and odd URLs with clashing columns."""
+    con = duckdb.connect()
+    odd = ["http://A.Example.com/en/1?x#y", "https://www.example.com/en/2", "http://b.net/fr", "http://example.net/es/", "x.org/en", None, "", "http://com/", "http://.com/", "://net/es/", "ftp://www.www.example.com/en/?://", "http://a.com" + "/en" * 20000]
+    frame = spark.createDataFrame([(i, u, "x", "y", "z") for i, u in enumerate(odd)], "page_id long, url string, host string, rule string, label string")
+    for pages in (frame, spark.read.parquet("/root/testdata/sf0.001/pages.parquet")):
+        con.register("pages", pages.select("page_id", "url").toArrow())
+        want = sorted(con.sql(url_filter.OP8_RULES_SQL).fetchall())
+        got = url_filter.filter_urls(pages).collect()
+        assert sorted((r.page_id, r.host, r.path, r.rule) for r in got) == [r[:4] for r in want]
+        verdicts = {r[0]: r[4] for r in want if r[3]}
+        assert {r.page_id: r.verdict for r in got if r.rule} == verdicts
 
 
 # licences
