@@ -1,15 +1,16 @@
 """Licence scan: canonical text digests, hash-joined to the digests of known licences.
 
-Only DataFrame functions, no shuffle: the known digests are a fixed table of a
-few rows, so that side of the join is broadcast; documents are scanned once.
+Only DataFrame functions, no shuffle: the known digests are a fixed table of some tens of
+rows, so that side of the join is broadcast; documents are scanned once.
 
-Canonical form: lower case, copyright lines dropped, equivalent spellings
-unified, punctuation to blanks, blanks collapsed.  A whole text whose canonical
-digest is known is that licence (``license_id``); each line is looked up alike
+Canonical form: lower case, copyright lines cut out, punctuation to blanks, equivalent
+spellings unified, blanks collapsed.  Spellings that differ by one letter for another are
+unified by ``translate`` (c and z to s: licence, license; organize, organise), the others by one expression.  A whole text whose canonical
+digest is known is that licence (``license_id``); each line of the canonical text is looked up alike
 (``notices``: the ids found, sorted).
 
 Edge cases: null and empty texts have the digest of the empty string and match
-nothing; repeated rows are answered one by one; an empty table gives none;
+nothing; very long texts are whole; repeated rows are answered one by one; an empty table gives none;
 further columns are not read.
 """
 
@@ -21,19 +22,18 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Equivalent spellings, (pattern, replacement), applied in this order to lower-case text.
-SPELLINGS = [
-    ("licence", "license"),
-    ("sub-license", "sublicense"),
-    ("non-commercial", "noncommercial"),
-    ("per cent", "percent"),
-    ("copyright holder", "copyright owner"),
-    ("https?://", ""),
-]
-#: A line that is a copyright statement and no licence text.
-COPYRIGHT_LINE = r"(^|\n)[ \t]*(copyright|\(c\)|©)[^\n]*[0-9]{4}[^\n]*|all rights reserved\.?"
-PUNCTUATION = r"[!-/:-@\[-`{-~“”‘’–—…©]+"
-BLANKS = r"[ \t\r\n\x0B\x0C]+"
+#: A line that is a copyright statement and no licence text: with a year, a sign, a name after "by", or a body's name; and the usual phrase after it.
+COPYRIGHT = (
+    r"(^|\n)[ \t]*([#*/;%-]+[ \t]*)?((copyright|\(c\)|©)[^\n]*[0-9]{4}|copyright[ \t]*(\(c\)|©|:|by[ \t])|©|copyright[ \t]+the[ \t][^\n]*\bauthors\b"
+    r"|copyright[ \t][^\n]*\b(inc|llc|ltd|gmbh|corp|corporation|foundation)\b)[^\n]*|\ball[ \t\r\n]+rights reserved\b\.?"
+)
+#: One character for another: punctuation and blanks but line ends to a blank, c and z to s.
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’–—…©\t\r\x0b\x0c"
+FROM, TO = _PUNCTUATION + "cz", " " * len(_PUNCTUATION) + "ss"
+#: What is left of each match are its groups: runs of blanks, -our and -or, -ogue and -og, -dgement and -dgment, ll and l, programme,
+#: sub-, non- and per with what follows, copyright holder and owner, while and whilst, http and https.
+SPELLINGS = r"( ) +|(o)u?r|(og)ue|(dg)e?ment|(l)l|(program)me|\b(sub|non|per) +|(sopyright) +(?:holder|owner)s?|\b(whil)(?:e|st)\b|\bhttps? +"
+_GROUPS = 9
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -44,12 +44,43 @@ _BSD2 = """Redistribution and use in source and binary forms, with or without mo
 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_BSD3 = _BSD2.replace("\nTHIS SOFTWARE", "\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\nTHIS SOFTWARE")
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+_0BSD = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.
+""" + _ISC.split("\n", 1)[1]
+_BSL = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+_starred = lambda text: re.sub(r"\n[0-9]\.", "\n*", text)
 #: Fixed values: (id, text) of licence texts and of the usual one-line notices.
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n" + _MIT),
     ("ISC", _ISC),
     ("BSD-2-Clause", _BSD2),
+    ("BSD-3-Clause", _BSD3),
+    ("BSD-2-Clause", _starred(_BSD2)),
+    ("BSD-3-Clause", _starred(_BSD3)),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + _starred(_BSD3)),
+    ("Zlib", _ZLIB),
+    ("0BSD", _0BSD),
+    ("BSL-1.0", _BSL),
+    ("BSL-1.0", "Boost Software License - Version 1.0 - August 17th, 2003\n" + _BSL),
+    ("Unlicense", _UNLICENSE),
+    ("ISC", "ISC License\n" + _ISC),
+    ("BSD-2-Clause", "BSD 2-Clause License\n" + _BSD2),
+    ("BSD-3-Clause", "BSD 3-Clause License\n" + _BSD3),
+    ("Zlib", "zlib License\n" + _ZLIB),
+    ("MIT", "The MIT License (MIT)\n" + _MIT),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This work is licensed under the MIT License."),
     ("MIT", "Released under the MIT License."),
@@ -76,35 +107,60 @@ KNOWN = [
 ]
 
 
+#: Fixed values: (id, digest of the canonical text) of long licences, as their authors publish them; a second one is of the terms without what follows them.
+LONG = [
+    ("Apache-2.0", "1337c2e5d30a1a44f8c91dcfe06d70d49fbf1be29e6e3cd2d05049ce63914060"),
+    ("Apache-2.0", "9e570dcc73f1ee4eb105dcac4898fab8f705231913dea84db60921fba3f6e1c6"),
+    ("Artistic-1.0-Perl", "40fd65d69d113923de4cf32b511e69efce0bd788bd0b7382ce2af8de9deb379b"),
+    ("CC0-1.0", "0d7678b73af9fcc48a843c9fa64c5dec9e1f3e0f938b3f184bf03af59c0f89e3"),
+    ("GFDL-1.2", "3321c6acc1c9806a0a26d564dca51f2a4f91f27430406d596b2a2058af9c32dd"),
+    ("GFDL-1.3", "30ab2089cb83f16c5a66e6343da45155b75a64e72b005d18864a9cf648ca264f"),
+    ("GPL-1.0", "e317cb5df1f8b1aca34e3eee3d9a94cbdcaaa58babcba51f1826acdd90c07f84"),
+    ("GPL-1.0", "82efcaa4854efa62678e03cd2755a6f4d1cf8ef6c13f060ac59be50805afe8c2"),
+    ("GPL-2.0", "a7764c6fcf8e2f0e2d806f034598494e0138414072c7a0fe34dc845bae864c47"),
+    ("GPL-2.0", "d595f716c2b55804c1081ebc012d936c7b84fe8b5c815a2f3b14343580434569"),
+    ("GPL-3.0", "dcd71f4cf4ca4277baab2dc1db6b894c2e46247af8a06cb196c5505949df6832"),
+    ("GPL-3.0", "206ca0ae9ac3904762bdb2f86bdcd670215a0373472b7baa5f3ca924d675da75"),
+    ("LGPL-2.0", "94c593166f65f3e50b028dcf16c3ab486b05f8dec7961bb0ccd6ff91f070af27"),
+    ("LGPL-2.0", "fb086d14fd7a181b0eb8f60b80a45fb7de366291394776ba097671e1cc54a2d1"),
+    ("LGPL-2.1", "1cc6b57023ac4e7f8ea84884d8f37e83b345659e2f774f437adaea4dc5f31570"),
+    ("LGPL-2.1", "390138dbed17f1d64a9832810a41023524155cf1b25138f5eb1e4f940af56634"),
+    ("LGPL-3.0", "557d66f3dbe172c3a6e838ab70a4623c7223828ae93cd987162dfd3ac21d1c02"),
+    ("MPL-1.1", "24b8db92793f00864046354bd4de8b506956bcc26a98673fdd9ccd41300cd1ba"),
+    ("MPL-2.0", "2b3cc2230140888e662fa22e8d78390251cf4131f2e22c872a0464075d65666e"),
+    ("BSD-3-Clause-UC", "721719d1bc47e197f0dc2490d1b8b1ccae74d92558a64b1b825fba1c8c36ebec"),
+]
+
+
 def canonical(text: str) -> str:
-    """The canonical form of one known text, on the driver; :func:`canonical_column` is its column form."""
-    x = re.sub(COPYRIGHT_LINE, " ", text.lower())
-    for a, b in SPELLINGS:
-        x = re.sub(a, b, x)
-    return re.sub(BLANKS, " ", re.sub(PUNCTUATION, " ", x)).strip(" ")
+    """The canonical form of one known text, on the driver; :func:`canonical_columns` has its column form."""
+    x = re.sub(COPYRIGHT, "\n", text.lower()).translate(str.maketrans(FROM, TO)).replace("\n", " ")
+    return re.sub(SPELLINGS, lambda m: "".join(g or "" for g in m.groups()), x).strip(" ")
 
 
-def canonical_column(text: Column) -> Column:
-    x = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, " ")
-    for a, b in SPELLINGS:
-        x = F.regexp_replace(x, a, b)
-    return F.trim(F.regexp_replace(F.regexp_replace(x, PUNCTUATION, " "), BLANKS, " "))
+def canonical_columns(text: Column) -> tuple[Column, Column]:
+    """The canonical form of a whole text, and the array of that of its lines."""
+    kept = "".join(f"${i}" for i in range(1, _GROUPS + 1))
+    x = F.translate(F.regexp_replace(F.lower(text), COPYRIGHT, "\n"), FROM, TO)
+    whole = F.trim(F.regexp_replace(F.translate(x, "\n", " "), SPELLINGS, kept))
+    return whole, F.transform(F.split(F.regexp_replace(x, SPELLINGS, kept), "\n", -1), lambda x: F.trim(x))
 
 
 def known_digests() -> list[tuple[str, str]]:
     """(digest, id), one row a digest, sorted."""
-    return sorted({hashlib.sha256(canonical(t).encode()).hexdigest(): i for i, t in KNOWN}.items())
+    return sorted(({hashlib.sha256(canonical(t).encode()).hexdigest(): i for i, t in KNOWN} | {d: i for i, d in LONG}).items())
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, canonical_sha256, license_id (of the whole text), notices (ids of its lines)."""
-    known = docs.sparkSession.createDataFrame(known_digests(), "digest string, license_id string")
-    by_digest = F.create_map(*[F.lit(x) for pair in known_digests() for x in pair])
-    text = F.coalesce(F.col("text"), F.lit(""))
-    # every line is looked up: whole texts may stand on one line, and the canonical form unifies spellings, so the raw line tells nothing
-    ids = F.transform(F.split(text, "\n", -1), lambda x: F.try_element_at(by_digest, F.sha2(canonical_column(x), 256)))
-    notices = F.array_join(F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))), ",")
-    hashed = docs.select("doc_id", F.sha2(canonical_column(text), 256).alias("canonical_sha256"), F.when(notices != "", notices).alias("notices"))
+    digests = known_digests()
+    known = docs.sparkSession.createDataFrame(digests, "digest string, license_id string")
+    by_digest = F.create_map(*[F.lit(x) for pair in digests for x in pair])
+    whole, lines = canonical_columns(F.coalesce(F.col("text"), F.lit("")))
+    # every line is looked up in the set of digests; few are in it
+    found = F.filter(F.transform(lines, lambda x: F.sha2(x, 256)), lambda d: d.isin([d for d, _ in digests]))
+    notices = F.array_join(F.array_sort(F.array_distinct(F.transform(found, lambda d: F.element_at(by_digest, d)))), ",")
+    hashed = docs.select("doc_id", F.sha2(whole, 256).alias("canonical_sha256"), F.when(notices != "", notices).alias("notices"))
     return hashed.join(F.broadcast(known), hashed.canonical_sha256 == known.digest, "left").select("doc_id", "canonical_sha256", "license_id", "notices")
 
 
@@ -112,21 +168,20 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     return scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 
-def _sql_canonical(x: str) -> str:
-    q = lambda s: "'" + s.replace("'", "''") + "'"
-    x = f"regexp_replace(lower({x}), {q(COPYRIGHT_LINE)}, ' ', 'g')"
-    for a, b in SPELLINGS:
-        x = f"regexp_replace({x}, {q(a)}, {q(b)}, 'g')"
-    return f"trim(regexp_replace(regexp_replace({x}, {q(PUNCTUATION)}, ' ', 'g'), {q(BLANKS)}, ' ', 'g'), ' ')"
+def _quoted(s: str) -> str:
+    """A SQL literal; control characters by number."""
+    text = "".join(f"' || chr({ord(c)}) || '" if c < " " else c.replace("'", "''") for c in s)
+    return f"('{text}')"
 
 
+_SPELLED = f"{_quoted(SPELLINGS)}, '{''.join(chr(92) + str(i) for i in range(1, _GROUPS + 1))}', 'g'"
 OP7_SQL = f"""
 WITH known(digest, license_id) AS (VALUES {", ".join(f"('{d}', '{i}')" for d, i in known_digests())}),
-d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
-l AS (SELECT doc_id, unnest(string_split(t, chr(10))) line FROM d),
+d AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT)}, chr(10), 'g'), {_quoted(FROM)}, {_quoted(TO)}) x FROM documents),
+l AS (SELECT doc_id, unnest(string_split(regexp_replace(x, {_SPELLED}), chr(10))) line FROM d),
 n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) notices
-      FROM (SELECT doc_id, sha256({_sql_canonical("line")}) digest FROM l) JOIN known USING (digest) GROUP BY doc_id)
+      FROM (SELECT doc_id, sha256(trim(line, ' ')) digest FROM l) JOIN known USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, h canonical_sha256, known.license_id, notices
-FROM (SELECT doc_id, sha256({_sql_canonical("t")}) h FROM d) d
+FROM (SELECT doc_id, sha256(trim(regexp_replace(translate(x, chr(10), ' '), {_SPELLED}), ' ')) h FROM d) d
 LEFT JOIN known ON known.digest = h LEFT JOIN n USING (doc_id)
 """

@@ -1,6 +1,7 @@
 """Toxicity, URL filter, licences, decontamination, mixing: known answers, odd rows and tables."""
 
 import hashlib
+import pathlib
 import random
 from collections import Counter
 
@@ -222,11 +223,49 @@ def test_license_lines_without_telling_words(spark):
 
 
 def test_canonical_forms_agree(spark):
-    texts = [t for _, t in licenses.KNOWN] + ["© 2001 X\nall rights reserved. A—B “c” (d) sub-licence https://x.y"]
-    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.sha2(licenses.canonical_column(F.col("t")), 256).alias("h"))
+    texts = [t for _, t in licenses.KNOWN] + ["© 2001 X\nall rights reserved. A—B “c” (d) sub-licence https://x.y", "Whilst the programme's catalogue\tcancelled\r\nits judgement, copyright   holders organise"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.sha2(licenses.canonical_columns(F.col("t"))[0], 256).alias("h"))
     assert all(r.h == hashlib.sha256(licenses.canonical(r.t).encode()).hexdigest() for r in df.collect())
 
 
+#: Spelled one way and the other.
+SPELLED = [
+    ("licence", "license"), ("organise", "organize"), ("favour", "favor"), ("catalogue", "catalog"), ("judgement", "judgment"), ("cancelled", "canceled"), ("programme", "program"), ("sub-license", "sublicense"),
+    ("non-commercial", "noncommercial"), ("per cent", "percent"), ("copyright holders", "copyright owner"), ("whilst", "while"), ("http://a.b", "https://a.b"), ("defence", "defense"), ("practise", "practice"), ("fulfil", "fulfill"),
+]
+
+
+def test_equivalent_spellings_and_copyright_lines():
+    for a, b in SPELLED:
+        assert licenses.canonical(f"The {a} is.") == licenses.canonical(f"the {b}, is"), a
+    body = "Permission is granted.\nProvided as is."
+    for line in ("Copyright (c) 2020 Jane Doe", "(C) 1999-2003 The Team", "© Jane Doe", "Copyright (c) Jane Doe and friends", "# Copyright by Jane Doe", "Copyright The Great Authors", " * Copyright Great Works, Inc.", "Copyright: Jane", "All rights reserved."):
+        assert licenses.canonical(f"{line}\n{body}") == licenses.canonical(body), line
+    # no statements, but wrapped licence text
+    for line in ("copyright notice and this notice", "(c) You must retain all notices", "copyright owners or contributors be liable"):
+        assert licenses.canonical(f"{line}\n{body}") != licenses.canonical(body), line
+
+
+def test_whole_texts_of_fifteen_licences(spark):
+    """As published and changed in case, wrapping, punctuation, spelling and copyright lines; texts on disk where there are any."""
+    con = duckdb.connect()
+    whole = {i: t for i, t in licenses.KNOWN if len(t) > 400}
+    shared = pathlib.Path("/usr/share/common-licenses")
+    names = {"Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "BSD": "BSD-3-Clause-UC"}
+    whole |= {i: (shared / f).read_text() for f, i in names.items() if (shared / f).exists()}
+    assert len({i for _, i in licenses.known_digests()}) >= 22
+    rows, want = [], []
+    for i, t in sorted(whole.items()):
+        for changed in (t, t.upper(), t.replace("license", "licence").replace(", ", " ,  ").replace('"', "“"), "Copyright (c) 2024 Jane Doe\n\n" + t.replace("\n", "\r\n"), t + " or not"):
+            rows.append((len(rows), changed))
+            want.append((len(want), None if changed.endswith("or not") else i))
+    got = sorted(tuple(r) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(d, i) for d, _, i, _ in got] == want
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted(con.sql(licenses.OP7_SQL).fetchall()) == got
+
+
 def test_license_empty(empty):
     assert licenses.scan_licenses(empty).collect() == []
 
