@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -275,7 +276,7 @@ def lines_by_hand(rows, min_sites):
     sites, first = {}, {}
     for i, t, _, s in rows:
         for x in (t or "").split("\n"):
-            bare = x.strip(" ")
+            bare = x.strip(line_dedup.BLANKS)
             if bare:
                 sites.setdefault(bare, set()).add(s or "")
                 first[bare] = min(first.get(bare, i), i)
@@ -283,7 +284,7 @@ def lines_by_hand(rows, min_sites):
     out = {}
     for i, t, _, _ in rows:
         lines = (t or "").split("\n")
-        kept = [x for x in lines if x.strip(" ") not in gone or first[x.strip(" ")] == i]
+        kept = [x for x in lines if x.strip(line_dedup.BLANKS) not in gone or first[x.strip(line_dedup.BLANKS)] == i]
         out[i] = (len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest())
     return out
 
@@ -303,3 +304,20 @@ def test_op10_null_site_repeated_rows_and_empty(spark, empty):
     # three sites; the null id is the smallest and keeps the line
     assert got == [(0, "x"), (1, "y"), (1, "y"), (2, "z")]
     assert line_dedup.drop_boilerplate(empty).collect() == []
+
+
+def test_op10_blank_lines_of_any_kind_stay(spark):
+    rows = [(i, f"First {i}\r\n\r\n \t\x0b\x0c\nThe same line.\t\r\nlast {i}", "en", f"s{i}") for i in range(8)]
+    got = {r.doc_id: r.text for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[0] == rows[0][1] and all(got[i] == rows[i][1].replace("The same line.\t\r\n", "") for i in range(1, 8))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", [(i, t, s) for i, t, _, s in rows])
+    want = {r[0]: r[3] for r in con.sql("SELECT doc_id, n_lines, n_removed, kept_sha256 FROM (" + line_dedup.OP10_SQL + ")").fetchall()}
+    assert want == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in got.items()}
+
+
+def test_op10_rows_of_one_id_with_different_texts(spark):
+    rows = [(i, "common\nmine %d" % i, "en", f"s{i}") for i in range(6)] + [(5, "a\nb\ncommon\nc", "en", "s5"), (0, "z\ncommon", "en", "s0")]
+    got = sorted((r.doc_id, r.text) for r in line_dedup.drop_boilerplate(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == sorted([(0, "common\nmine 0"), (0, "z\ncommon"), *[(i, f"mine {i}") for i in range(1, 6)], (5, "a\nb\nc")])
