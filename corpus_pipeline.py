@@ -29,7 +29,7 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     ship_package(spark)
     out = line_dedup.drop_boilerplate(docs)
     changed = F.col("ld_removed") > 0
-    out = out.filter(~(changed & (F.trim("text") == "")))
+    out = out.filter(~(changed & (F.btrim("text", F.lit(line_dedup.BLANKS + "\n")) == "")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
