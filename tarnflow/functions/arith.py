@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,3 +64,14 @@ def snap_to_multiple(x: Column | str, step: float) -> Column:
 def index_distance_100m(dy: Column | str, dx: Column | str, step: float) -> Column:
     """Distance between cells in 100 m, with one length of a degree for both axes."""
     return F.sqrt(col(dy) ** 2 + col(dx) ** 2) * step * 111132.92 / 100
+
+
+def position_in(value: Column | str, cuts: list, kind: str) -> Column:
+    """How many of the sorted ``cuts`` are below the value: two looks at about the square root of their number, not one at each."""
+    value, n = col(value), len(cuts)
+    step = max(1, math.isqrt(n))
+    below = lambda array: F.size(F.filter(array.cast(f"array<{kind}>"), lambda c: c < value))
+    if n <= 2 * step:
+        return below(F.lit(list(cuts)))
+    stretch = below(F.lit(list(cuts[step - 1 :: step]))) * step
+    return stretch + below(F.slice(F.lit(list(cuts)), stretch + 1, F.lit(step)))

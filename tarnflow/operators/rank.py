@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arith import safe_corr, safe_div
+from ..functions.arith import position_in, safe_corr, safe_div
 from ..session import ship_package
 
 
@@ -42,8 +42,7 @@ def rank_table(df: DataFrame, value: str) -> DataFrame:
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count("*").alias("n"))
     cuts = counted.agg(F.percentile_approx("value", [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    bucket = F.size(F.filter(F.lit(sorted(set(cuts))).cast("array<double>"), lambda c: c < F.col("value")))
-    placed = counted.withColumn("bucket", bucket)
+    placed = counted.withColumn("bucket", position_in("value", sorted(set(cuts)), "double"))
     # a row a bucket
     sizes = sorted((r.bucket, r.n) for r in placed.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
     starts, before = [], 0
