@@ -67,9 +67,8 @@ def _sets(column: pa.Array, limit: int = _BYTES) -> Iterator[tuple[T.Piece, np.n
         yield piece, *T.distinct_per_text(*T.shingles(T.tokens(piece, lower=True), SHINGLE))
 
 
-def describe(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], np.ndarray], threshold: int) -> DataFrame:
+def describe(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], np.ndarray], rows: int, bands: int) -> DataFrame:
     """doc, n (set size), cls1, cls2 (key of the set), sig."""
-    rows, bands = shape(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -122,10 +121,9 @@ def in_blocks(rows: DataFrame, key: str, size: int, keep: list[str]) -> DataFram
     return placed.repartition(partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "node")
 
 
-def alike(open_: DataFrame, threshold: int) -> DataFrame:
-    """A forest (u, v) of the ties within buckets: different components, signatures that agree well enough; ``open_``: band, k, node, comp, sig."""
-    rows, bands = shape(threshold)
-    m, t = rows * bands, threshold / 100
+def alike(open_: DataFrame, threshold: int, m: int) -> DataFrame:
+    """A forest (u, v) of the ties within buckets: different components, signatures that agree well enough; ``open_``: band, k, node, comp, sig (of m slots)."""
+    t = threshold / 100
     least = m * t - SIGMAS * math.sqrt(m * t * (1 - t))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,15 +286,15 @@ def connected(edges: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(roots)
 
 
-def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], np.ndarray], threshold: int) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of ``docs``."""
-    rows, _ = shape(threshold)
-    sets = materialize(describe(docs, slots, threshold), "sets")
+def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], np.ndarray], threshold: int, banding: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of ``docs``; ``banding``: (rows, bands) other than those of :func:`shape`."""
+    rows, bands = banding or shape(threshold)
+    sets = materialize(describe(docs, slots, rows, bands), "sets")
     classes = sets.filter("n > 0").groupBy("cls1", "cls2").agg(F.min("doc").alias("node"), F.first("sig").alias("sig"))
     classes = materialize(classes, "classes")
-    bands = banded(classes, rows)
-    full = materialize(bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "buckets")
-    members = materialize(bands.join(full, "band"), "members")
+    held_bands = banded(classes, rows)
+    full = materialize(held_bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "buckets")
+    members = materialize(held_bands.join(full, "band"), "members")
     held = members.select("node").distinct()
     texts = materialize(packed(_keyed(docs)).join(held.withColumnRenamed("node", "doc"), "doc", "left_semi"), "texts")
 
@@ -314,7 +312,7 @@ def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], n
         ranked = current.join(materialize(per.select("band", "k", "pick"), "buckets"), "band")
         if turn == STARS:
             sigs = classes.select("node", "sig").join(held, "node", "left_semi")
-            ties = connected(alike(ranked.select("band", "k", "node", "comp").join(sigs, "node"), threshold), "ties").withColumnRenamed("comp", "cluster")
+            ties = connected(alike(ranked.select("band", "k", "node", "comp").join(sigs, "node"), threshold, rows * bands), "ties").withColumnRenamed("comp", "cluster")
             sizes = materialize(ties.groupBy("cluster").agg(F.count("*").alias("k")), "clusters")
             new = links_within(ties.join(sizes, "cluster").join(texts.withColumnRenamed("doc", "node"), "node"), threshold)
         else:

@@ -172,3 +172,10 @@ def distinct_per_text(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray
     keep[1:] = (v[1:] != v[:-1]) | (ids[1:] != ids[:-1])
     v, ids = v[keep], ids[keep]
     return v, np.searchsorted(ids, np.arange(len(first)))
+
+
+def sets_of(texts: pa.Array, k: int, limit: int = 1 << 62) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingle hashes (A-Z lower-cased) of a few texts, and their ``first``."""
+    for piece in pieces(texts, limit):
+        return distinct_per_text(*shingles(tokens(piece, lower=True), k))
+    return np.zeros(0, U64), np.zeros(1, np.int64)

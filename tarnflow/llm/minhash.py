@@ -4,11 +4,12 @@ A fingerprint is ``PERMS`` slots of 16 bits.  Slot i is the minimum of
 ``a_i * x + b_i`` (mod 2**64, a_i odd) over the hashes x of the text's distinct
 5-word shingles (A-Z lower-cased; a shorter text is one shingle).  The likeness
 of two fingerprints is their share of equal slots, an estimate of the Jaccard
-similarity of the shingle sets.
+similarity of the shingle sets.  Beside each likeness stands the similarity itself, verified on the full sets
+(``jaccard_edited``, ``jaccard_next``).  :func:`near_groups` joins bands of the fingerprints and verifies likewise.
 
 Edge cases: a null text is an empty one; texts without words share the
 fingerprint of all ones, like only each other; equal doc_ids are ordered by
-text, null doc_ids come first; very long texts are whole; an empty table gives
+text, null doc_ids come first; a single document follows itself; very long texts are whole; an empty table gives
 an empty result; further columns are not read.
 """
 
@@ -19,35 +20,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arith import position_in
 from . import _lsh
 from . import _text as T
 from ._store import partitions
 
 PERMS = 128
+#: Slots of a band: a pair of similarity 0.8 shares none of the 32 bands with probability 5e-8.
+BAND = 4
 SHINGLE = 5
-_rng = np.random.default_rng(128)
-_A = _rng.integers(1, 1 << 63, PERMS, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 1 << 63, PERMS, dtype=np.int64).astype(np.uint64)
+
+
+def permutations(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers (odd) and summands of the first m permutations."""
+    drawn = np.random.default_rng(128).integers(0, 1 << 63, (m, 2), dtype=np.int64).astype(np.uint64)
+    return drawn[:, 0] * np.uint64(2) + np.uint64(1), drawn[:, 1]
 
 
 def signatures(texts: pa.Array, perms: int = PERMS, shingle: int = SHINGLE) -> np.ndarray:
     """(n, perms) uint16 slots."""
     out = np.full((len(texts), perms), 0xFFFF, np.uint16)
     for piece in T.pieces(texts, 1 << 19):
-        values, first = T.shingles(T.tokens(piece, lower=True), shingle)
-        rows = np.flatnonzero(np.diff(first) > 0)
-        if not len(rows):
-            continue
-        at = first[rows]
-        hashed = np.empty_like(values)
-        for i in range(perms):
-            np.multiply(values, _A[i], out=hashed)
-            hashed += _B[i]
-            # a final mix of the minimum: its low 16 bits would else favour small values
-            out[piece.lo + rows, i] = T.mix64(np.minimum.reduceat(hashed, at)) >> np.uint64(48)
+        out[piece.lo : piece.hi] = fingerprint_slots(*T.shingles(T.tokens(piece, lower=True), shingle), perms)
     return out
 
 
@@ -57,6 +55,23 @@ def hex_fingerprints(sig: np.ndarray) -> list[str]:
     return [whole[i : i + width] for i in range(0, len(whole), width)]
 
 
+def jaccard(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, y: tuple[np.ndarray, np.ndarray], j: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of sets i of x and j of y, pair by pair; of two empty sets 1."""
+    values, own = [], []
+    for (v, first), rows in ((x, i), (y, j)):
+        size = np.diff(first)[rows]
+        row = np.repeat(np.arange(len(rows)), size)
+        values.append(v[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(len(row))])
+        own.append(row)
+    n, total = len(i), np.concatenate(values)
+    rows = np.concatenate(own)
+    order = np.lexsort((total, rows))
+    total, rows = total[order], rows[order]
+    both = np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (total[1:] == total[:-1])], minlength=n)
+    union = np.bincount(rows, minlength=n) - both
+    return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a == b).mean(axis=1) if len(a) else np.zeros(0)
 
@@ -72,17 +87,22 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """Fingerprint bands joined in Spark, Jaccard verified on the full sets: doc_id, n_shingles, component_id."""
-    return _lsh.components(docs, lambda v, first, m: _band_slots(v, first, m), threshold)
+    """Bands of the fingerprints joined in Spark, Jaccard verified on the full sets: doc_id, n_shingles, component_id."""
+    return _lsh.components(docs, fingerprint_slots, threshold, (BAND, PERMS // BAND))
 
 
-def _band_slots(values: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
-    rng = np.random.default_rng(64)
-    a = rng.integers(1, 1 << 63, m, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    out = np.zeros((len(first) - 1, m), np.uint64)
+def fingerprint_slots(values: np.ndarray, first: np.ndarray, m: int) -> np.ndarray:
+    """(n, m) slots of shingle sets, those of the fingerprint."""
+    a, b = permutations(m)
+    out = np.full((len(first) - 1, m), 0xFFFF, np.uint16)
     rows = np.flatnonzero(np.diff(first) > 0)
-    for i in range(m if len(rows) else 0):
-        out[rows, i] = np.minimum.reduceat(values * a[i], first[rows])
+    if len(rows):
+        hashed = np.empty_like(values)
+        for i in range(m):
+            np.multiply(values, a[i], out=hashed)
+            hashed += b[i]
+            # a final mix of the minimum: its low 16 bits would else favour small values
+            out[rows, i] = T.mix64(np.minimum.reduceat(hashed, first[rows])) >> np.uint64(48)
     return out
 
 
@@ -98,8 +118,7 @@ def in_order(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), key.alias("key"))
     cuts = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0] or []
     cuts = sorted(set(cuts))
-    bucket = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c < F.col("key")))
-    rows = rows.withColumn("bucket", bucket)
+    rows = rows.withColumn("bucket", position_in("key", cuts, "bigint"))
     heads = {r.bucket: r.head for r in rows.groupBy("bucket").agg(F.min("key").alias("head")).collect()}
     order = sorted(heads)
     # a row a bucket
@@ -118,33 +137,44 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
 
 
-def _fingerprint_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    held = None  # the last row waits for its successor
+#: Rows, and bytes of text, that are taken at once.
+_ROWS, _BYTES = 1000, 1 << 22
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            ids, texts, buckets, roles = (part.column(i).to_pylist() for i in range(4))
-            sig = signatures(part.column(1))
-            if held is not None:
-                ids, texts, buckets, roles = ([h, *rest] for h, rest in zip(held[:4], (ids, texts, buckets, roles), strict=True))
-                sig = np.concatenate([held[4], sig])
-            held = ids[-1], texts[-1], buckets[-1], roles[-1], sig[-1:]
-            rows = [i for i in range(len(ids) - 1) if roles[i] == 0]
-            if any(buckets[i] != buckets[i + 1] for i in rows):
-                raise ValueError("a document has no successor in its bucket")
-            changed = [edited(texts[i], texts[i + 1]) for i in rows]
-            other = signatures(pa.array(changed, pa.string()))
-            own, after = sig[rows], sig[[i + 1 for i in rows]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, f.type) for x, f in zip((
-                    [ids[i] for i in rows], [len(texts[i]) for i in rows], [hashlib.sha256(x.encode()).hexdigest() for x in changed],
-                    hex_fingerprints(own), hex_fingerprints(other), likeness(own, other), likeness(own, after),
-                ), schema, strict=True)], schema=schema)
-    if held is not None and held[3] == 0:
+        lo = 0
+        size = np.cumsum(pa.compute.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        while lo < b.num_rows:
+            hi = int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BYTES, "right"))
+            hi = min(max(hi, lo + 1), lo + _ROWS)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
+def _fingerprint_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), *((c, pa.float64()) for c in ("near_edited", "near_next", "jaccard_edited", "jaccard_next"))])
+    held: list[list] = [[], [], [], []]  # the last row waits for its successor
+    for part in _parts(batches):
+        ids, texts, buckets, roles = ([*h, *part.column(i).to_pylist()] for i, h in enumerate(held))
+        held = [[x[-1]] for x in (ids, texts, buckets, roles)]
+        rows = np.array([i for i in range(len(ids) - 1) if roles[i] == 0], np.int64)
+        if any(buckets[i] != buckets[i + 1] for i in rows):
+            raise ValueError("a document has no successor in its bucket")
+        changed = [edited(texts[i], texts[i + 1]) for i in rows]
+        sets, other_sets = (T.sets_of(pa.array(x, pa.string()), SHINGLE) for x in (texts, changed))
+        sig, other = (fingerprint_slots(*x, PERMS) for x in (sets, other_sets))
+        own, after = sig[rows], sig[rows + 1]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(x, f.type) for x, f in zip((
+                [ids[i] for i in rows], [len(texts[i]) for i in rows], [hashlib.sha256(x.encode()).hexdigest() for x in changed],
+                hex_fingerprints(own), hex_fingerprints(other), likeness(own, other), likeness(own, after),
+                jaccard(sets, rows, other_sets, np.arange(len(rows))), jaccard(sets, rows, sets, rows + 1),
+            ), schema, strict=True)], schema=schema)
+    if held[3] == [0]:
         raise ValueError("the last document of a partition has no successor")
 
 
@@ -155,3 +185,11 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
 
 def op4_document_fingerprints(spark, sf_dir: str) -> DataFrame:
     return fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: What SQL can express of the query: doc_id, n_chars, edited_sha256.
+OP4_EDITS_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+n AS (SELECT *, length(t) n, coalesce(lead(t) OVER w, first_value(t) OVER w) following FROM d WINDOW w AS (ORDER BY doc_id))
+SELECT doc_id, CAST(n AS BIGINT) n_chars, sha256(substr(t, 1, n - n // 2) || substr(following, 1, n // 2)) edited_sha256 FROM n
+"""

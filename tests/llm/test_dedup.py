@@ -5,10 +5,11 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tarnflow.llm import _lsh, _repeats, fm_index, line_dedup, minhash, suffix_array, superminhash
+from tarnflow.llm import _lsh, _repeats, _text, fm_index, line_dedup, minhash, suffix_array, superminhash
 from tarnflow.session import ship_package
 
 from . import brute
@@ -241,16 +242,42 @@ def test_op4_against_plain_strings(docs):
         text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
         half = len(text) // 2
         changed = text[: len(text) - half] + after[:half]
-        n, digest, fp, fp2, near, nxt = got[i]
+        n, digest, fp, fp2, near, nxt, exact, exact_next = got[i]
         assert (n, digest) == (len(text), hashlib.sha256(changed.encode()).hexdigest())
         assert prints.setdefault(text, fp) == fp and prints.setdefault(changed, fp2) == fp2
         a, b = brute.shingles(text), brute.shingles(changed)
+        assert exact == pytest.approx(len(a & b) / len(a | b) if a | b else 1.0)
+        c = brute.shingles(after)
+        assert exact_next == pytest.approx(len(a & c) / len(a | c) if a | c else 1.0)
         if a and b:
-            assert abs(near - len(a & b) / len(a | b)) < 0.25
+            assert abs(near - exact) < 0.25
         assert 0 <= nxt <= 1
     assert len(set(prints.values())) > 60
 
 
+def test_near_groups_band_the_fingerprints(docs):
+    """The bands' slots are those of the fingerprint."""
+    texts = pa.array([t or "" for _, t, _, _ in corpus()])
+    sets = _text.sets_of(texts, minhash.SHINGLE)
+    assert (minhash.fingerprint_slots(*sets, minhash.PERMS) == minhash.signatures(texts)).all()
+    found = _lsh.describe(docs, minhash.fingerprint_slots, minhash.BAND, minhash.PERMS // minhash.BAND).filter("n > 0")
+    stored = {r.doc_id: r.fingerprint for r in minhash.fingerprint(docs).collect()}
+    # the bands are made of what is stored, slot by slot
+    same = {}
+    for r in found.collect():
+        same.setdefault(stored[r.doc], set()).add(bytes(r.sig))
+    assert len(same) > 60 and all(len(x) == 1 for x in same.values())
+
+
+def test_op4_part_that_sql_can_express(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    con = duckdb.connect()
+    con.register("documents", docs.toArrow())
+    # by code points: DuckDB's substr counts them, its length counts them too where there are no combining marks
+    want = con.sql(minhash.OP4_EDITS_SQL).fetchall()
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in minhash.fingerprint_edits(docs).collect()) == sorted(want)
+
+
 def test_op4_ties_one_row_and_empty(spark, empty):
     one = minhash.fingerprint_edits(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert one.edited_sha256 == hashlib.sha256(b"abcabc").hexdigest() and one.near_next == 1.0
