@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: First digit of a gauge id to region.
-REGIONS = {"1": "Africa", "2": "Asia", "3": "South America", "4": "North America", "5": "Oceania", "6": "Europe"}
+REGIONS = {"1": "Africa", "2": "Asia", "3": "South America", "4": "North/Central America", "5": "SW Pacific", "6": "Europe"}
 
 
 def match_id(value: Column) -> Column:

@@ -7,7 +7,7 @@ no round holds more than a row a cell.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import safe_div
@@ -38,19 +38,33 @@ def accumulate(flow: DataFrame, weight: str | None = None) -> DataFrame:
         state = state.join(arrived, "cell", "left").join(further, "jump", "left").select("cell", F.col("next").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
 
 
-def basins(flow: DataFrame) -> DataFrame:
-    """cell, outlet, steps: the last cell down and the number of steps to it."""
-    state = flow.select("cell", F.coalesce("down", "cell").alias("outlet"), F.col("down").isNotNull().cast("long").alias("steps"))
+def basins(flow: DataFrame, weight: str | None = None) -> DataFrame:
+    """cell, outlet, steps: the last cell down, and the number of steps to it (or the sum of the weights of the cells ahead of it)."""
+    one = F.col(weight).cast("long") if weight else F.lit(1).cast("long")
+    state = flow.select("cell", F.coalesce("down", "cell").alias("outlet"), F.when(F.col("down").isNotNull(), one).otherwise(0).alias("steps"))
     while True:
         state = write_through(state, "basins")
         there = state.select(F.col("cell").alias("outlet"), F.col("outlet").alias("next"), F.col("steps").alias("more"))
-        moved = state.join(there, "outlet").select("cell", F.col("next").alias("outlet"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved"))
+        moved = state.join(there, "outlet").select("cell", F.col("next").alias("outlet"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("next") != F.col("outlet")).alias("moved"))
         state = write_through(moved, "basins")
         if state.filter("moved").isEmpty():
             return state.select("cell", "outlet", "steps")
         state = state.drop("moved")
 
 
+def tour(flow: DataFrame) -> DataFrame:
+    """cell, outlet, at, size: what drains through a cell are the cells at ``at`` to ``at + size - 1`` of its outlet's tree.
+
+    A cell comes right after the cell it drains into, or after the trees of the neighbours that drain into it as well and have smaller numbers: a sum along the path down.
+    """
+    sized = write_through(flow.join(accumulate(flow).withColumn("size", F.col("total").cast("long")), "cell").select("cell", "down", "size"), "sizes")
+    # neighbours that drain into one cell are at most eight on a grid
+    ahead = F.sum("size").over(Window.partitionBy("down").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    stepped = sized.filter("down is not null").withColumn("step", 1 + F.coalesce(ahead, F.lit(0))).unionByName(sized.filter("down is null").withColumn("step", F.lit(0).cast("long")))
+    found = basins(stepped, "step")
+    return found.join(sized.select("cell", "size"), "cell").select("cell", "outlet", F.col("steps").alias("at"), "size")
+
+
 def delineate(flow: DataFrame, outlets: DataFrame) -> DataFrame:
     """cell, outlet: what drains into each outlet before it meets another one further up (``outlets``: cell)."""
     cut = flow.join(outlets.select("cell", F.lit(True).alias("__cut")), "cell", "left").select("cell", F.when(F.col("__cut").isNull(), F.col("down")).alias("down"))
@@ -72,31 +86,38 @@ def shape_iou(a: DataFrame, b: DataFrame, area: str | None = None) -> DataFrame:
     return out.select("id_a", "id_b", safe_div("both", F.col("size_a") + F.col("size_b") - F.col("both")).alias("iou"))
 
 
-def snap_by_shape(gauges: DataFrame, flow: DataFrame, totals: DataFrame, shapes: DataFrame, candidates: DataFrame, max_error: float = 0.5) -> DataFrame:
+def snap_by_shape(gauges: DataFrame, flow: DataFrame, totals: DataFrame, shapes: DataFrame, candidates: DataFrame, max_error: float = 0.5, naive: DataFrame | None = None) -> DataFrame:
     """id, cell, score of the candidate whose basin fits a gauge's shape best.
 
     ``gauges``: id, area; ``candidates``: id, cell, distance; ``totals``: cell, total; ``shapes``: id, cell.
-    score = hypot(1 - area ratio, 1 - IoU) / sqrt(2); the nearer of equal ones; none over ``max_error``.
-    A candidate's basin is found by walking up from it, level by level, all candidates at once.
+    score = hypot(1 - area ratio, 1 - IoU) / sqrt(2); the nearer of equal ones; none over ``max_error``.  ``naive`` (id, cell): a location
+    that stays where its IoU is better than that of the best candidate.
+    Basins are stretches of a tour of the tree, so a candidate's common cells with a shape are counted by position: no basin is written out.
     """
-    up = flow.filter("down is not null").select(F.col("down").alias("at"), F.col("cell").alias("cell"))
-    front = candidates.select("id", F.col("cell").alias("candidate"), F.col("cell").alias("at"))
-    members = front
-    while True:
-        front = write_through(front.join(up, "at").select("id", "candidate", F.col("cell").alias("at")), "front")
-        if front.isEmpty():
-            break
-        members = members.unionByName(front)
-    both = members.withColumnRenamed("at", "cell").join(shapes, ["id", "cell"]).groupBy("id", "candidate").agg(F.count("*").alias("both"))
-    own = members.groupBy("id", "candidate").agg(F.count("*").alias("n"))
+    order = write_through(tour(flow), "tour")
+    wanted = candidates.select("id", "cell")
+    if naive is not None:
+        wanted = wanted.unionByName(naive.select("id", "cell")).distinct()
+    here = order.select("cell", "outlet", "at", "size")
+    bounds = wanted.join(here, "cell").withColumn("end", F.explode(F.array(F.lit(0), F.lit(1))))
+    marks = bounds.select("id", "outlet", (F.col("at") + F.col("end") * F.col("size")).alias("pos"), "cell", F.col("end").cast("int").alias("end"), F.lit(0).alias("there"))
+    members = shapes.join(here, "cell").select("id", "outlet", F.col("at").alias("pos"), F.lit(None).cast("long").alias("cell"), F.lit(None).cast("int").alias("end"), F.lit(1).alias("there"))
+    # shape cells ahead of each bound: those of a position come after bounds there
+    ahead = F.sum("there").over(Window.partitionBy("id", "outlet").orderBy("pos", "there").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    counted = marks.unionByName(members).withColumn("ahead", ahead).filter("end is not null")
+    both = counted.groupBy("id", "cell").agg(F.sum(F.when(F.col("end") == 1, F.col("ahead")).otherwise(-F.col("ahead"))).alias("both"))
     want = shapes.groupBy("id").agg(F.count("*").alias("m"))
-    scored = candidates.withColumnRenamed("cell", "candidate").join(own, ["id", "candidate"]).join(want, "id").join(both, ["id", "candidate"], "left")
-    scored = scored.join(totals.select(F.col("cell").alias("candidate"), "total"), "candidate").join(gauges.select("id", "area"), "id")
-    iou = F.coalesce(F.col("both"), F.lit(0)) / (F.col("n") + F.col("m") - F.coalesce(F.col("both"), F.lit(0)))
+    sized = both.join(here.select("cell", F.col("size").alias("n")), "cell").join(want, "id")
+    sized = sized.select("id", "cell", (F.col("both") / (F.col("n") + F.col("m") - F.col("both"))).alias("iou"))
+    scored = candidates.join(sized, ["id", "cell"]).join(totals.select("cell", "total"), "cell").join(gauges.select("id", "area"), "id")
     ratio = safe_div(F.least("total", "area"), F.greatest("total", "area"))
-    scored = scored.withColumn("score", F.sqrt((1 - ratio) ** 2 + (1 - iou) ** 2) / F.sqrt(F.lit(2.0))).filter(F.col("score") <= max_error)
-    best = scored.groupBy("id").agg(F.min(F.struct("score", "distance", "candidate")).alias("b"))
-    return best.select("id", F.col("b.candidate").alias("cell"), "b.score")
+    scored = scored.withColumn("score", F.sqrt((1 - ratio) ** 2 + (1 - F.col("iou")) ** 2) / F.sqrt(F.lit(2.0))).filter(F.col("score") <= max_error)
+    best = scored.groupBy("id").agg(F.min(F.struct("score", "distance", "cell", "iou")).alias("b")).select("id", "b.cell", "b.score", "b.iou")
+    if naive is not None:
+        first = naive.select("id", F.col("cell").alias("naive_cell")).join(sized.select("id", F.col("cell").alias("naive_cell"), F.col("iou").alias("naive_iou")), ["id", "naive_cell"])
+        keep = F.col("naive_iou") > F.col("iou")
+        best = best.join(first, "id", "left").select("id", F.when(keep, F.col("naive_cell")).otherwise(F.col("cell")).alias("cell"), F.when(~F.coalesce(keep, F.lit(False)), F.col("score")).alias("score"))
+    return best.select("id", "cell", "score")
 
 
 def area_check(totals: DataFrame, reference: DataFrame, rtol: float = 0.02, max_error: float = 0.3) -> DataFrame:

@@ -109,16 +109,28 @@ def majority(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("__n")).alias("n"), F.col(value).alias("v"))).alias("m")).select(*keys, F.col("m.v").alias(value))
 
 
+def _back_and_ahead(df: DataFrame, keys: list[str], order: str, here: Column, names: tuple[str, str]) -> DataFrame:
+    """``df`` with the last ``here`` at or before each row in ``order``, and the next at or after it.
+
+    Looking ahead is looking back in descending order: a frame that only grows takes one pass, one up to the end a pass for each row.
+    """
+    for name, by in zip(names, (F.col(order).asc(), F.col(order).desc()), strict=True):
+        df = df.withColumn(name, F.last(here, True).over(Window.partitionBy(*keys).orderBy(by).rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return df
+
+
+def _axes_together(source: DataFrame, target: DataFrame) -> DataFrame:
+    """Both axes in one ordering, with the source coordinates around each (``b``, ``a``).  An axis has at most ``AXIS`` or so cells, and is one series: a single key."""
+    both = source.select(F.lit(0).alias("__k"), "c", F.col("i").alias("si"), F.lit(None).cast("long").alias("ti")).unionByName(target.select(F.lit(0).alias("__k"), "c", F.lit(None).cast("long").alias("si"), F.col("i").cast("long").alias("ti")))
+    return _back_and_ahead(both, ["__k"], "c", F.when(F.col("si").isNotNull(), F.struct("c", "si")), ("b", "a"))
+
+
 def nearest_axis(source: DataFrame, target: DataFrame, tolerance: float | None = None) -> DataFrame:
     """(ti, si): of each coordinate (``i``, ``c``) of the target axis the nearest of the source's; the smaller of equally near ones.
 
     One ordering of both axes together, looking back and ahead: no cross join.
     """
-    # an axis is one series: a single key
-    both = source.select(F.lit(0).alias("__k"), "c", F.col("i").alias("si"), F.lit(None).cast("long").alias("ti")).unionByName(target.select(F.lit(0).alias("__k"), "c", F.lit(None).cast("long").alias("si"), F.col("i").cast("long").alias("ti")))
-    w = Window.partitionBy("__k").orderBy("c")
-    here = F.when(F.col("si").isNotNull(), F.struct("c", "si"))
-    both = both.withColumn("b", F.last(here, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first(here, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = _axes_together(source, target)
     back, ahead = F.col("c") - F.col("b.c"), F.col("a.c") - F.col("c")
     use = F.when(F.col("a").isNull() | (back <= ahead), F.col("b")).otherwise(F.col("a"))
     out = both.filter("ti is not null").select("ti", use.alias("u"), "c")
@@ -129,10 +141,7 @@ def nearest_axis(source: DataFrame, target: DataFrame, tolerance: float | None =
 
 def bracket_axis(source: DataFrame, target: DataFrame) -> DataFrame:
     """(ti, si, weight): the one or two source coordinates around each target coordinate; outside of the source none."""
-    both = source.select(F.lit(0).alias("__k"), "c", F.col("i").alias("si"), F.lit(None).cast("long").alias("ti")).unionByName(target.select(F.lit(0).alias("__k"), "c", F.lit(None).cast("long").alias("si"), F.col("i").cast("long").alias("ti")))
-    w = Window.partitionBy("__k").orderBy("c")
-    here = F.when(F.col("si").isNotNull(), F.struct("c", "si"))
-    both = both.withColumn("b", F.last(here, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first(here, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = _axes_together(source, target)
     share = safe_div(F.col("c") - F.col("b.c"), F.col("a.c") - F.col("b.c"))
     two = F.array(F.struct(F.col("b.si").alias("si"), (1 - share).alias("weight")), F.struct(F.col("a.si").alias("si"), share.alias("weight")))
     one = F.array(F.struct(F.col("b.si").alias("si"), F.lit(1.0).alias("weight")))
@@ -206,9 +215,7 @@ def fill_nearest(df: DataFrame, keys: list[str], value: str = "value", mask: str
     columns = valid.select(*keys, "xi").union(missing.select(*keys, "xi")).distinct()
     probes = missing.select(*keys, "yi").distinct().join(columns, keys)
     both = valid.withColumn("__probe", F.lit(False)).unionByName(probes.withColumn("__v", F.lit(None).cast("double")).withColumn("__probe", F.lit(True)))
-    w = Window.partitionBy(*keys, "xi").orderBy("yi")
-    here = F.when(~F.col("__probe"), F.struct(F.col("yi").alias("y"), F.col("__v").alias("v")))
-    both = both.withColumn("__a", F.last(here, True).over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(here, True).over(w.rangeBetween(0, Window.unboundedFollowing)))
+    both = _back_and_ahead(both, [*keys, "xi"], "yi", F.when(~F.col("__probe"), F.struct(F.col("yi").alias("y"), F.col("__v").alias("v"))), ("__a", "__b"))
     near = F.when(F.col("__b").isNull() | (F.col("yi") - F.col("__a.y") <= F.col("__b.y") - F.col("yi")), F.col("__a")).otherwise(F.col("__b"))
     rows = both.filter("__probe").select(*keys, "yi", "xi", near.alias("__s")).select(*keys, "yi", "xi", F.col("__s.y").cast("double").alias("__sy"), F.col("__s.v").alias("__sv"))
     rows = rows.join(missing, [*keys, "yi", "xi"], "left")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import position_in, safe_corr, safe_div
-from ..session import ship_package
+from ..session import ship_package, write_through
 
 
 def average_rank(value: str, keys: list[str]) -> Column:
@@ -54,6 +54,19 @@ def rank_table(df: DataFrame, value: str) -> DataFrame:
     return placed.join(offsets, "bucket").select("value", (F.col("before") + upto - F.col("n") + (F.col("n") + 1) / F.lit(2).cast("double")).alias("rank"))
 
 
+def numbered(df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` with the place of each row in order of ``key``, from 1 on: sorted by ranges, no task orders the whole table."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = df.repartitionByRange(n, key).sortWithinPartitions(key)
+    # written once, so that both uses see the same ranges
+    low = 1 << 33
+    placed = write_through(parts.withColumn("__id", F.monotonically_increasing_id()), "numbered").withColumn("__part", F.floor(F.col("__id") / low))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__size"))
+    # a row a range
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
+    return placed.join(F.broadcast(before), "__part").select(*df.columns, (F.col("__before") + F.col("__id") % low + 1).alias(name))
+
+
 def spearman_whole(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho, n over all rows, by rank tables that are joined back on the values."""
     pairs = paired(df, x, y).select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))

@@ -9,8 +9,8 @@ from ..functions.arith import finite
 from ..functions.text import match_id
 from ..functions.units import rebase_rate
 
-#: Names that are coordinates and not data.
-COORDINATE_NAMES = "(?i)(^|_)(lon|lat|easting|northing|time|x|y)($|_)|_bnds$"
+#: What a name has in it that is a coordinate and not data.
+COORDINATE_NAMES = "lon|lat|latitude|longitude|easting|northing|_bnds"
 
 
 def finite_values(df: DataFrame, value: str) -> DataFrame:

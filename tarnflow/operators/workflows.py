@@ -101,20 +101,14 @@ def restart_from_tiles(cells: DataFrame, corners: DataFrame, mask: DataFrame, or
 
 
 def surrogate_ids(df: DataFrame, raw: str = "id") -> DataFrame:
-    """``df`` with ``numeric_id``: the number that an id spells, else the next free numbers in order of the text; of several spellings of one number the first keeps it.
-
-    Ids are the gauges of a network: their distinct values are ordered as one list.
-    """
+    """``df`` with ``numeric_id``: the number that an id spells, else the next free numbers in order of the text; of several spellings of one number the first keeps it."""
     text = F.coalesce(F.trim(F.col(raw).cast("string")), F.lit(""))
-    from pyspark.sql import Window
-
     keys = df.select(text.alias("__key")).distinct().withColumn("__n", F.expr("try_cast(__key as long)"))
-    first = F.row_number().over(Window.partitionBy("__n").orderBy("__key"))
-    keys = keys.withColumn("__n", F.when(F.col("__n").isNotNull() & (first == 1), F.col("__n"))).withColumn("__all", F.lit(0))
-    base = keys.groupBy("__all").agg(F.coalesce(F.max("__n"), F.lit(0)).alias("__top"))
-    order = F.row_number().over(Window.partitionBy("__all", F.col("__n").isNull()).orderBy("__key"))
-    numbered = keys.withColumn("__k", order).join(base, "__all").select("__key", F.coalesce("__n", F.col("__top") + F.col("__k")).alias("numeric_id"))
-    return df.withColumn("__key", text).join(numbered, "__key").drop("__key")
+    taken = keys.filter("__n is not null").groupBy("__n").agg(F.min("__key").alias("__key"))
+    top = taken.agg(F.max("__n")).first()[0] or 0
+    numbered = rank.numbered(keys.select("__key").join(taken.select("__key"), "__key", "left_anti"), "__key", "__k")
+    ids = taken.select("__key", F.col("__n").alias("numeric_id")).unionByName(numbered.select("__key", (F.col("__k") + top).alias("numeric_id")))
+    return df.withColumn("__key", text).join(ids, "__key").drop("__key")
 
 
 def parse_coordinates(text: str) -> tuple[float, float]:

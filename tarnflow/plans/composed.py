@@ -8,7 +8,7 @@ from ..functions.arith import snap_to_multiple
 from ..operators import flow as graph
 from ..operators import workflows
 from .gauges import scored
-from .maps import MSPAEF, SPAEF, WASPAEF
+from .maps import AVERAGES, ESP, MSPAEF, SPAEF, TSM, WASPAEF
 from .registry import query
 from .views import FLOW, GAUGE_TS, GRID_TS, STATIC_GRID, flow, gauge_ts, grid_ts, static_grid, table
 
@@ -26,7 +26,9 @@ def discharge_evaluation(spark, sf):
     return workflows.evaluate_discharge(ts, "Y", 5, 5, ts.filter("id % 2 = 0").select("id").distinct())
 
 
-_CLIM_PAIRS = f"""{GRID_TS}, map_pair AS (SELECT CAST(month(t) AS BIGINT) t, yi, xi, avg(inp) sim, avg(ref) obs FROM grid_ts GROUP BY ALL HAVING avg(inp) IS NOT NULL AND avg(ref) IS NOT NULL)"""
+_CLIM_PAIRS = f"""{GRID_TS}, map_all AS (SELECT CAST(month(t) AS BIGINT) t, yi, xi, avg(floor(inp)) sim, avg(floor(ref)) obs FROM grid_ts GROUP BY ALL), map_pair AS (SELECT * FROM map_all WHERE sim IS NOT NULL AND obs IS NOT NULL)"""
+#: Area means are over all cells of a side, paired or not.
+_CLIM_TSM = TSM.replace("avg(sim) sim, avg(obs) obs FROM map_pair GROUP BY t", "avg(sim) sim, avg(obs) obs FROM map_all GROUP BY t")
 
 
 def _sides(spark, sf):
@@ -36,15 +38,12 @@ def _sides(spark, sf):
 
 @query(
     "a46_gridded_scores",
-    f"""WITH {_CLIM_PAIRS}, {SPAEF}, {MSPAEF}, {WASPAEF}
-    SELECT 'SPAEF' metric, unnest(['spaef', 'alpha', 'beta', 'gamma']) component, unnest([avg(spaef), avg(alpha), avg(beta), avg(gamma)]) AS value FROM spaef
-    UNION ALL SELECT 'MSPAEF', unnest(['mspaef', 'nrmse', 'sigma', 'sigma_error', 'bias', 'rho']), unnest([avg(mspaef), avg(nrmse), avg(sigma), avg(sigma_error), avg(bias), avg(rho)]) FROM mspaef
-    UNION ALL SELECT 'WASPAEF', unnest(['waspaef', 'rho', 'sigma', 'wd']), unnest([avg(waspaef), avg(rho), avg(sigma), avg(wd)]) FROM waspaef""",
+    f"WITH {_CLIM_PAIRS}, {SPAEF}, {ESP}, {MSPAEF}, {WASPAEF}, {_CLIM_TSM} {AVERAGES}",
     "value",
 )
 def gridded_scores(spark, sf):
-    """Scores of the climatologies of two gridded datasets."""
-    return workflows.evaluate_grids(*_sides(spark, sf))["scores"].filter("metric in ('SPAEF', 'MSPAEF', 'WASPAEF')")
+    """Scores of the climatologies of two gridded datasets, of whole numbers: their means are the same however they are added up, and so are ties."""
+    return workflows.evaluate_grids(*(x.withColumn("value", F.floor("value").cast("double")) for x in _sides(spark, sf)))["scores"]
 
 
 @query(
@@ -126,7 +125,7 @@ def snapped_coordinates(spark, sf):
 @query(
     "g14_delineated_gauges",
     f"""WITH RECURSIVE {FLOW}, up AS (SELECT cell AS top, cell FROM flow UNION ALL SELECT up.top, f.cell FROM up JOIN flow f ON f.down = up.cell),
-    a AS (SELECT top AS cell, CAST(sum(cell % 3 + 1) AS DOUBLE) total FROM up GROUP BY top), g AS (SELECT cell AS id, total * CAST(1.05 AS DOUBLE) area FROM a WHERE cell BETWEEN 1 AND 8)
+    a AS (SELECT top AS cell, CAST(sum(cell % 3 + 1) AS DOUBLE) total FROM up GROUP BY top), g AS (SELECT cell AS id, total * CAST(1.05 AS DOUBLE) area FROM a)
     SELECT id, CAST(floor(id / 10) AS BIGINT) yi, id % 10 AS xi, total AS area_cell, true AS acceptable FROM g JOIN a ON a.cell = g.id""",
     "area_cell",
 )
@@ -136,6 +135,6 @@ def delineated_gauges(spark, sf):
     f = flow(spark, sf)
     edges = f.select(*place, F.floor(F.col("down") / 10).cast("long").alias("down_yi"), (F.col("down") % 10).alias("down_xi"))
     areas = f.select(*place, (F.col("cell") % 3 + 1).cast("double").alias("area"))
-    total = graph.accumulate(f.withColumn("area", (F.col("cell") % 3 + 1).cast("double")), "area").filter("cell between 1 and 8")
+    total = graph.accumulate(f.withColumn("area", (F.col("cell") % 3 + 1).cast("double")), "area")
     found, _ = workflows.delineate_gauges(total.select(F.col("cell").alias("id"), *place, (F.col("total") * 1.05).alias("area")), edges, areas, 10, k=0, max_error=0.1)
     return found.select("id", "yi", "xi", "area_cell", "acceptable")

@@ -80,8 +80,8 @@ def area_check(spark, sf):
 
 @query(
     "j12_snap_by_shape",
-    f"""{_UP}, cand AS (SELECT id, cell, abs(cell - id * 3) AS distance FROM (SELECT unnest(range(1, 6)) id) g, flow WHERE abs(cell - id * 3) <= 3),
-    sh AS (SELECT g.id, up.cell FROM (SELECT unnest(range(1, 6)) id) g JOIN up ON up.top = g.id * 3 WHERE up.cell % 4 <> 0),
+    f"""{_UP}, gg AS (SELECT CAST(cell / 3 AS BIGINT) id FROM flow WHERE cell % 3 = 0), cand AS (SELECT id, cell, abs(cell - id * 3) AS distance FROM gg, (SELECT unnest(range(-3, 4)) d) JOIN flow ON cell = id * 3 + d),
+    sh AS (SELECT g.id, up.cell FROM gg g JOIN up ON up.top = g.id * 3 WHERE up.cell % 4 <> 0),
     n AS (SELECT top AS cell, count(*) n FROM up GROUP BY top), m AS (SELECT id, count(*) m FROM sh GROUP BY id),
     b AS (SELECT c.id, c.cell, count(*) both_ FROM cand c JOIN up ON up.top = c.cell JOIN sh ON sh.id = c.id AND sh.cell = up.cell GROUP BY ALL),
     s AS (SELECT c.id, c.cell, c.distance, n.n, m.m, coalesce(both_, 0) AS bt FROM cand c JOIN n USING (cell) JOIN m USING (id) LEFT JOIN b ON b.id = c.id AND b.cell = c.cell),
@@ -90,14 +90,52 @@ def area_check(spark, sf):
     "score",
 )
 def snap_by_shape(spark, sf):
-    """Gauge cells by basin shape."""
+    """Cells by basin shape, of a gauge at every third cell."""
     f = flow(spark, sf)
-    g = spark.range(1, 6).withColumnRenamed("id", "id")
+    g = f.filter("cell % 3 = 0").select((F.col("cell") / 3).cast("long").alias("id"))
     near = g.withColumn("d", F.explode(F.sequence(F.lit(-3), F.lit(3)))).select("id", (F.col("id") * 3 + F.col("d")).alias("cell"), F.abs("d").cast("long").alias("distance"))
     candidates = near.join(f.select("cell"), "cell", "left_semi").select("id", "cell", "distance")
-    shapes = None
-    for i in range(1, 6):
-        one = graph.upstream_cells(f, 3 * i).filter("cell % 4 <> 0").withColumn("id", F.lit(i).cast("long"))
-        shapes = one if shapes is None else shapes.unionByName(one)
+    shapes = _shapes(f)
     areas = shapes.groupBy("id").agg(F.count("*").cast("double").alias("area"))
     return graph.snap_by_shape(areas, f, graph.accumulate(f), shapes, candidates, 0.9)
+
+
+def _shapes(f):
+    """id, cell: what drains through cell 3 * id, without every fourth cell; the tree is as deep as its size has bits."""
+    path, pairs = f.select("cell", F.col("cell").alias("top")), None
+    depth = f.count().bit_length()
+    up = f.select(F.col("cell").alias("top"), "down")
+    for _ in range(depth + 1):
+        here = path.filter("top % 3 = 0 and cell % 4 <> 0").select((F.col("top") / 3).cast("long").alias("id"), "cell")
+        pairs = here if pairs is None else pairs.unionByName(here)
+        path = path.join(up, "top").filter("down is not null").select("cell", F.col("down").alias("top"))
+    return pairs
+
+
+def _river(spark, sf):
+    """cell, down: all suppliers as one long river."""
+    sup = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("cell"))
+    before = sup.select((F.col("cell") + 1).alias("cell"), F.col("cell").alias("down"))
+    return sup.join(before, "cell", "left")
+
+
+_RIVER = "river AS (SELECT CAST(s_suppkey AS BIGINT) cell, CASE WHEN s_suppkey - 1 IN (SELECT s_suppkey FROM supplier) THEN CAST(s_suppkey - 1 AS BIGINT) END down FROM supplier)"
+
+
+@query("g03_river_area", f"WITH {_RIVER} SELECT cell, sum(CAST(cell % 7 + 1 AS DOUBLE)) OVER (ORDER BY cell DESC) total FROM river", "total")
+def river_area(spark, sf):
+    """Upstream areas along one long river."""
+    return graph.accumulate(_river(spark, sf).withColumn("area", (F.col("cell") % 7 + 1).cast("double")), "area")
+
+
+@query("g05_river_basins", f"WITH {_RIVER} SELECT cell, min(cell) OVER () AS outlet, cell - min(cell) OVER () AS steps FROM river")
+def river_basins(spark, sf):
+    """The outlet of one long river."""
+    return graph.basins(_river(spark, sf))
+
+
+@query("g06_river_stretches", f"WITH {_RIVER} SELECT cell, CAST(floor(cell / 50) * 50 AS BIGINT) AS outlet FROM river WHERE floor(cell / 50) * 50 IN (SELECT cell FROM river)")
+def river_stretches(spark, sf):
+    """Nested outlets along one long river."""
+    river = _river(spark, sf)
+    return graph.delineate(river, river.filter("cell % 50 = 0").select("cell"))

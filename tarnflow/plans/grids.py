@@ -108,16 +108,9 @@ def nearest_fill(spark, sf):
     return grid.fill_nearest(static_grid(spark, sf).select(F.lit(0).alias("step"), "yi", "xi", "value"), ["step"]).select("yi", "xi", "value")
 
 
-@query("j14_nearest_fill_steps", f"WITH {GRID_TS}, s AS (SELECT t, yi, xi, inp FROM grid_ts WHERE month(t) <= 4), v AS (SELECT * FROM s WHERE inp IS NOT NULL), f AS (SELECT g.t, g.yi, g.xi, arg_min(v.inp, row((g.yi - v.yi) ** 2 + (g.xi - v.xi) ** 2, v.yi, v.xi)) AS inp FROM s g JOIN v ON v.t = g.t WHERE g.inp IS NULL GROUP BY ALL) SELECT t, yi, xi, inp FROM v UNION ALL SELECT t, yi, xi, inp FROM f", "inp")
+@query("j14_nearest_fill_steps", f"WITH {GRID_TS}, s AS (SELECT t, yi, xi, inp FROM grid_ts), v AS (SELECT * FROM s WHERE inp IS NOT NULL), f AS (SELECT g.t, g.yi, g.xi, arg_min(v.inp, row((g.yi - v.yi) ** 2 + (g.xi - v.xi) ** 2, v.yi, v.xi)) AS inp FROM s g JOIN v ON v.t = g.t WHERE g.inp IS NULL GROUP BY ALL) SELECT t, yi, xi, inp FROM v UNION ALL SELECT t, yi, xi, inp FROM f", "inp")
 def nearest_fill_steps(spark, sf):
     """Every step on its own."""
-    ts = grid_ts(spark, sf).filter(F.month("t") <= 4).select("t", "yi", "xi", "inp")
-    return grid.fill_nearest(ts, ["t"], "inp")
-
-
-@query("j14_nearest_fill_steps_all", f"WITH {GRID_TS}, s AS (SELECT t, yi, xi, inp FROM grid_ts), v AS (SELECT * FROM s WHERE inp IS NOT NULL), f AS (SELECT g.t, g.yi, g.xi, arg_min(v.inp, row((g.yi - v.yi) ** 2 + (g.xi - v.xi) ** 2, v.yi, v.xi)) AS inp FROM s g JOIN v ON v.t = g.t WHERE g.inp IS NULL GROUP BY ALL) SELECT t, yi, xi, inp FROM v UNION ALL SELECT t, yi, xi, inp FROM f", "inp")
-def nearest_fill_every_step(spark, sf):
-    """Every step of every month on its own."""
     return grid.fill_nearest(grid_ts(spark, sf).select("t", "yi", "xi", "inp"), ["t"], "inp")
 
 

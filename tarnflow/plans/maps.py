@@ -82,7 +82,7 @@ def tsm(spark, sf):
     return patterns.tsm(map_pair(spark, sf), "t")
 
 
-_AVERAGES = " UNION ALL ".join(
+AVERAGES = " UNION ALL ".join(
     f"SELECT '{m}' metric, unnest([{', '.join(repr(c) for c in cols)}]) component, unnest([{', '.join(f'avg({c})' for c in cols)}]) AS value FROM {m.lower()}"
     for m, cols in {
         "TSM": ["general_beta", "temporal_gamma", "temporal_alpha", "spatial_gamma", "spatial_alpha", "comb"], "SPAEF": ["spaef", "alpha", "beta", "gamma"], "ESP": ["esp", "rs", "gamma", "alpha"],
@@ -91,22 +91,15 @@ _AVERAGES = " UNION ALL ".join(
 )
 
 
-@query("a25_all_metrics", f"WITH {MAP_PAIR}, {SPAEF}, {ESP}, {MSPAEF}, {WASPAEF}, {TSM} {_AVERAGES}", "value")
+@query("a25_all_metrics", f"WITH {MAP_PAIR}, {SPAEF}, {ESP}, {MSPAEF}, {WASPAEF}, {TSM} {AVERAGES}", "value")
 def all_metrics(spark, sf):
     """Every score, one table."""
     return patterns.all_metrics(map_pair(spark, sf), "t")
 
 
-@query("a23_norm_deviation", f"WITH {MAP_PAIR} SELECT t, yi, xi, sim - 1 AS dev FROM map_pair WHERE t < 50", "dev")
+@query("a23_norm_deviation", f"WITH {MAP_PAIR} SELECT t, yi, xi, sim - 1 AS dev FROM map_pair", "dev")
 def norm_deviation(spark, sf):
     """The value less mean over mean of its step."""
-    some = map_pair(spark, sf).filter("t < 50")
-    return some.select("t", "yi", "xi", patterns.norm_deviation("sim", "t").alias("dev"))
-
-
-@query("a23_norm_deviation_all", f"WITH {MAP_PAIR} SELECT t, yi, xi, sim - 1 AS dev FROM map_pair", "dev")
-def norm_deviation_all(spark, sf):
-    """The same at every step."""
     return map_pair(spark, sf).select("t", "yi", "xi", patterns.norm_deviation("sim", "t").alias("dev"))
 
 

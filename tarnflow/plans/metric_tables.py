@@ -54,13 +54,13 @@ def variable_statistics(spark, sf):
 @query(
     "a33_overview",
     f"""WITH {GRID_TS}, s AS (SELECT min(ref) AS lo, avg(ref) AS mid, max(ref) AS hi FROM grid_ts)
-    SELECT f file_name, v variable, k vartype, lo * r AS min_value, mid * r AS mean_value, hi * r AS max_value, u unit FROM s, (VALUES ('pre.nc', 'pre', 'input', 86400, 'mm d-1'), ('out.nc', 'Q', 'output', 1, 'm3'), ('out.nc', 'aET', 'output', 1, 'mm/d')) x(f, v, k, r, u)""",
+    SELECT f file_name, v variable, k vartype, lo * r AS min_value, mid * r AS mean_value, hi * r AS max_value, u unit FROM s, (VALUES ('pre.nc', 'pre', 'input', 86400, 'mm d-1'), ('out.nc', 'Q', 'output', 1, 'm3'), ('out.nc', 'aET', 'output', 1, 'mm/d'), ('out.nc', 'x', 'output', 1, 'm'), ('out.nc', 'time_of_peak', 'output', 1, 'h')) x(f, v, k, r, u)""",
     "min_value mean_value max_value",
 )
 def overview(spark, sf):
     """The overview of a run's files."""
     s = grid_ts(spark, sf).agg(F.min("ref").alias("min_value"), F.avg("ref").alias("mean_value"), F.max("ref").alias("max_value"))
-    rows = [("pre.nc", "pre", "input", "mm s-1"), ("out.nc", "Q", "output", "m3"), ("out.nc", "lat_bnds", "output", "deg"), ("out.nc", "aET", "output", "mm/d"), ("out.nc", "Q", "output", "m3")]
+    rows = [("pre.nc", "pre", "input", "mm s-1"), ("out.nc", "Q", "output", "m3"), ("out.nc", "lat_bnds", "output", "deg"), ("out.nc", "lon2d", "output", "deg"), ("out.nc", "plateau", "output", "m"), ("out.nc", "x", "output", "m"), ("out.nc", "time_of_peak", "output", "h"), ("out.nc", "aET", "output", "mm/d"), ("out.nc", "Q", "output", "m3")]
     files = F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("file_name", "variable", "vartype", "unit"), r, strict=True)]) for r in rows])).alias("f")
     stats = s.select(files, "min_value", "mean_value", "max_value").select("f.*", "min_value", "mean_value", "max_value")
     return tables.overview(stats, "d").select("file_name", "variable", "vartype", "min_value", "mean_value", "max_value", "unit")

@@ -47,60 +47,34 @@ def yearly_mean(spark, sf):
     return resample.to_coarser(gauge_ts(spark, sf), ["id"], "Y", {"obs": "mean", "sim": "mean"})
 
 
-_SPINE = f"""WITH {DAILY_TS}, s AS (SELECT id, CAST(date_trunc('day', t) AS TIMESTAMP) t, avg(value) AS value FROM daily_ts WHERE id < 20 GROUP BY 1, 2),
+_SPINE = f"""WITH {DAILY_TS}, s AS (SELECT id, CAST(date_trunc('day', t) AS TIMESTAMP) t, avg(value) AS value FROM daily_ts GROUP BY 1, 2),
     e AS (SELECT id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) t FROM s GROUP BY id),
     j AS (SELECT e.id, e.t, s.value FROM e LEFT JOIN s USING (id, t)),
     w AS (SELECT id, t, last_value(value IGNORE NULLS) OVER b bv, last_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER b bt, first_value(value IGNORE NULLS) OVER a av, first_value(CASE WHEN value IS NOT NULL THEN t END IGNORE NULLS) OVER a nt
       FROM j WINDOW b AS (PARTITION BY id ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-def _few(spark, sf):
-    return daily_ts(spark, sf).filter("id < 20")
-
-
 @query("w05_forward_fill", _SPINE + " SELECT id, t, bv AS value FROM w", "value")
 def forward_fill(spark, sf):
     """Every day, last value carried on."""
-    return resample.to_finer(_few(spark, sf), ["id"], "D", "value", "ffill")
+    return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "ffill")
 
 
 @query("w06_linear_fill", _SPINE + " SELECT id, t, CASE WHEN bt = nt THEN bv ELSE bv + (av - bv) * date_diff('second', bt, t) / nullif(CAST(date_diff('second', bt, nt) AS DOUBLE), 0) END AS value FROM w", "value")
 def linear_fill(spark, sf):
     """Every day, between neighbours."""
-    return resample.to_finer(_few(spark, sf), ["id"], "D", "value", "linear")
+    return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "linear")
 
 
 @query("r01_nearest_fill", _SPINE + " SELECT id, t, CASE WHEN nt IS NULL OR date_diff('second', bt, t) <= date_diff('second', t, nt) THEN bv ELSE av END AS value FROM w", "value")
 def nearest_fill(spark, sf):
     """Every day, nearest value."""
-    return resample.to_finer(_few(spark, sf), ["id"], "D", "value", "nearest")
-
-
-#: The same over all gauges.
-_SPINE_ALL = _SPINE.replace(" WHERE id < 20", "")
-
-
-@query("w05_forward_fill_all", _SPINE_ALL + " SELECT id, t, bv AS value FROM w", "value")
-def forward_fill_all(spark, sf):
-    """Every day of every gauge, last value carried on."""
-    return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "ffill")
-
-
-@query("w06_linear_fill_all", _SPINE_ALL + " SELECT id, t, CASE WHEN bt = nt THEN bv ELSE bv + (av - bv) * date_diff('second', bt, t) / nullif(CAST(date_diff('second', bt, nt) AS DOUBLE), 0) END AS value FROM w", "value")
-def linear_fill_all(spark, sf):
-    """Every day of every gauge, between neighbours."""
-    return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "linear")
-
-
-@query("r01_nearest_fill_all", _SPINE_ALL + " SELECT id, t, CASE WHEN nt IS NULL OR date_diff('second', bt, t) <= date_diff('second', t, nt) THEN bv ELSE av END AS value FROM w", "value")
-def nearest_fill_all(spark, sf):
-    """Every day of every gauge, nearest value."""
     return resample.to_finer(daily_ts(spark, sf), ["id"], "D", "value", "nearest")
 
 
 @query(
     "r03_spread_totals",
-    f"""WITH {GAUGE_TS}, s AS (SELECT id, t, obs FROM gauge_ts WHERE id < 3 AND obs IS NOT NULL),
+    f"""WITH {GAUGE_TS}, s AS (SELECT id, t, obs FROM gauge_ts WHERE obs IS NOT NULL),
     p AS (SELECT id, t, obs / greatest(round(coalesce(date_diff('second', t, lead(t) OVER (PARTITION BY id ORDER BY t)), 2592000) / CAST(86400 AS DOUBLE)), 1) v FROM s),
     e AS (SELECT id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) t FROM p GROUP BY id)
     SELECT e.id, e.t, last_value(v IGNORE NULLS) OVER (PARTITION BY e.id ORDER BY e.t) obs FROM e LEFT JOIN p USING (id, t)""",
@@ -108,19 +82,6 @@ def nearest_fill_all(spark, sf):
 )
 def spread_totals(spark, sf):
     """Monthly totals over the days of their interval."""
-    return resample.spread_totals(gauge_ts(spark, sf).filter("id < 3 and obs is not null").select("id", "t", "obs"), ["id"], "D", "obs", 720.0, 24.0)
-
-
-@query(
-    "r03_spread_totals_all",
-    f"""WITH {GAUGE_TS}, s AS (SELECT id, t, obs FROM gauge_ts WHERE obs IS NOT NULL),
-    p AS (SELECT id, t, obs / greatest(round(coalesce(date_diff('second', t, lead(t) OVER (PARTITION BY id ORDER BY t)), 2592000) / CAST(86400 AS DOUBLE)), 1) v FROM s),
-    e AS (SELECT id, unnest(generate_series(min(t), max(t), INTERVAL 1 DAY)) t FROM p GROUP BY id)
-    SELECT e.id, e.t, last_value(v IGNORE NULLS) OVER (PARTITION BY e.id ORDER BY e.t) obs FROM e LEFT JOIN p USING (id, t)""",
-    "obs",
-)
-def spread_totals_all(spark, sf):
-    """The same for every gauge."""
     return resample.spread_totals(gauge_ts(spark, sf).filter("obs is not null").select("id", "t", "obs"), ["id"], "D", "obs", 720.0, 24.0)
 
 

@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver tables")
 
 
-@pytest.mark.parametrize("name", ["w05_forward_fill_all", "w06_linear_fill_all", "r01_nearest_fill_all", "r03_spread_totals_all", "s08_unpivot_collection_all"])
+@pytest.mark.parametrize("name", ["w05_forward_fill", "w06_linear_fill", "r01_nearest_fill", "r03_spread_totals", "s08_unpivot_collection"])
 def test_every_gauge(spark, name):
     ids = lambda df: {r.id for r in df.select("id").distinct().collect()}
     source = gauge_ts(spark, SF).filter("obs is not null") if name.startswith("r03") else table(spark, SF, "lineitem").select(F.col("l_suppkey").alias("id"))
@@ -21,7 +21,7 @@ def test_every_gauge(spark, name):
     assert ids(registry.QUERIES[name](spark, SF)) == want
 
 
-@pytest.mark.parametrize(("name", "view"), [("a23_norm_deviation_all", map_pair), ("j14_nearest_fill_steps_all", grid_ts)])
+@pytest.mark.parametrize(("name", "view"), [("a23_norm_deviation", map_pair), ("j14_nearest_fill_steps", grid_ts)])
 def test_every_step(spark, name, view):
     steps = lambda df: {r.t: r["count"] for r in df.groupBy("t").count().collect()}
     want = steps(view(spark, SF))
