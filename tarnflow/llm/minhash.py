@@ -55,20 +55,29 @@ def hex_fingerprints(sig: np.ndarray) -> list[str]:
     return [whole[i : i + width] for i in range(0, len(whole), width)]
 
 
-def jaccard(x: tuple[np.ndarray, np.ndarray], i: np.ndarray, y: tuple[np.ndarray, np.ndarray], j: np.ndarray) -> np.ndarray:
+#: Shingle hashes of a text and the text's number in one word, for at most 2**10 texts: 54 bits of the hash, the number above them.
+_BITS = np.uint64(54)
+
+
+def packed_sets(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The distinct shingles of each text, sorted by text."""
+    return np.unique((T.segment_ids(first).astype(np.uint64) << _BITS) | (values >> (np.uint64(64) - _BITS)))
+
+
+def jaccard(x: np.ndarray, i: np.ndarray, y: np.ndarray, j: np.ndarray) -> np.ndarray:
     """The Jaccard similarity of sets i of x and j of y, pair by pair; of two empty sets 1."""
-    values, own = [], []
-    for (v, first), rows in ((x, i), (y, j)):
-        size = np.diff(first)[rows]
-        row = np.repeat(np.arange(len(rows)), size)
-        values.append(v[np.repeat(first[rows] - (np.cumsum(size) - size), size) + np.arange(len(row))])
-        own.append(row)
-    n, total = len(i), np.concatenate(values)
-    rows = np.concatenate(own)
-    order = np.lexsort((total, rows))
-    total, rows = total[order], rows[order]
-    both = np.bincount(rows[1:][(rows[1:] == rows[:-1]) & (total[1:] == total[:-1])], minlength=n)
-    union = np.bincount(rows, minlength=n) - both
+    n, sides = len(i), []
+    for keys, rows in ((x, i), (y, j)):
+        number = np.full(1 << 10, -1, np.int64)
+        number[rows] = np.arange(n)
+        own = number[(keys >> _BITS).astype(np.int64)]
+        held = own >= 0
+        low = keys[held] & ((np.uint64(1) << _BITS) - np.uint64(1))
+        sides.append((own[held].astype(np.uint64) << _BITS) | low)
+    every = np.sort(np.concatenate(sides))
+    count = lambda keys: np.bincount((keys >> _BITS).astype(np.int64), minlength=n)
+    both = count(every[1:][every[1:] == every[:-1]])
+    union = count(every) - both
     return np.where(union > 0, both / np.maximum(union, 1), 1.0)
 
 
@@ -140,6 +149,16 @@ def edited(text: str, following: str) -> str:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, jaccard_edited double, jaccard_next double"
 
 
+def described(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Packed sets and signatures of a few texts."""
+    sets, sig = [], np.full((len(texts), PERMS), 0xFFFF, np.uint16)
+    for piece in T.pieces(texts, 1 << 19):
+        values, first = T.shingles(T.tokens(piece, lower=True), SHINGLE)
+        sets.append(packed_sets(values, first) + (np.uint64(piece.lo) << _BITS))
+        sig[piece.lo : piece.hi] = fingerprint_slots(values, first, PERMS)
+    return np.concatenate(sets) if sets else np.zeros(0, np.uint64), sig
+
+
 #: Rows, and bytes of text, that are taken at once.
 _ROWS, _BYTES = 1000, 1 << 22
 
@@ -165,8 +184,7 @@ def _fingerprint_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         if any(buckets[i] != buckets[i + 1] for i in rows):
             raise ValueError("a document has no successor in its bucket")
         changed = [edited(texts[i], texts[i + 1]) for i in rows]
-        sets, other_sets = (T.sets_of(pa.array(x, pa.string()), SHINGLE) for x in (texts, changed))
-        sig, other = (fingerprint_slots(*x, PERMS) for x in (sets, other_sets))
+        (sets, sig), (other_sets, other) = (described(pa.array(x, pa.string())) for x in (texts, changed))
         own, after = sig[rows], sig[rows + 1]
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, f.type) for x, f in zip((
