@@ -5,7 +5,7 @@ rows, so that side of the join is broadcast; documents are scanned once.
 
 Canonical form: lower case, copyright lines cut out, punctuation to blanks, equivalent
 spellings unified, blanks collapsed.  Spellings that differ by one letter for another are
-unified by ``translate`` (c and z to s: licence, license; organize, organise), the others by one expression.  A whole text whose canonical
+unified by ``translate`` (c and z to s: licence, license; organize, organise), the others by plain replacements.  A whole text whose canonical
 digest is known is that licence (``license_id``); each line of the canonical text is looked up alike
 (``notices``: the ids found, sorted).
 
@@ -30,10 +30,9 @@ COPYRIGHT = (
 #: One character for another: punctuation and blanks but line ends to a blank, c and z to s.
 _PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’–—…©\t\r\x0b\x0c"
 FROM, TO = _PUNCTUATION + "cz", " " * len(_PUNCTUATION) + "ss"
-#: What is left of each match are its groups: runs of blanks, -our and -or, -ogue and -og, -dgement and -dgment, ll and l, programme,
-#: sub-, non- and per with what follows, copyright holder and owner, while and whilst, http and https.
-SPELLINGS = r"( ) +|(o)u?r|(og)ue|(dg)e?ment|(l)l|(program)me|\b(sub|non|per) +|(sopyright) +(?:holder|owner)s?|\b(whil)(?:e|st)\b|\bhttps? +"
-_GROUPS = 9
+#: Spellings that mean the same, in that form (c is s already), in this order: those within a word, and those across blanks.
+WORDS = [("ll", "l"), ("our", "or"), ("ogue", "og"), ("dgement", "dgment"), ("programme", "program"), ("whilst", "while"), ("https", "http")]
+PHRASES = [("sub lisense", "sublisense"), ("non sommersial", "nonsommersial"), ("per sent", "persent"), ("sopyright holder", "sopyright owner"), ("sopyright owners", "sopyright owner"), ("http ", "")]
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -109,41 +108,57 @@ KNOWN = [
 
 #: Fixed values: (id, digest of the canonical text) of long licences, as their authors publish them; a second one is of the terms without what follows them.
 LONG = [
-    ("Apache-2.0", "1337c2e5d30a1a44f8c91dcfe06d70d49fbf1be29e6e3cd2d05049ce63914060"),
-    ("Apache-2.0", "9e570dcc73f1ee4eb105dcac4898fab8f705231913dea84db60921fba3f6e1c6"),
-    ("Artistic-1.0-Perl", "40fd65d69d113923de4cf32b511e69efce0bd788bd0b7382ce2af8de9deb379b"),
-    ("CC0-1.0", "0d7678b73af9fcc48a843c9fa64c5dec9e1f3e0f938b3f184bf03af59c0f89e3"),
-    ("GFDL-1.2", "3321c6acc1c9806a0a26d564dca51f2a4f91f27430406d596b2a2058af9c32dd"),
-    ("GFDL-1.3", "30ab2089cb83f16c5a66e6343da45155b75a64e72b005d18864a9cf648ca264f"),
-    ("GPL-1.0", "e317cb5df1f8b1aca34e3eee3d9a94cbdcaaa58babcba51f1826acdd90c07f84"),
-    ("GPL-1.0", "82efcaa4854efa62678e03cd2755a6f4d1cf8ef6c13f060ac59be50805afe8c2"),
-    ("GPL-2.0", "a7764c6fcf8e2f0e2d806f034598494e0138414072c7a0fe34dc845bae864c47"),
-    ("GPL-2.0", "d595f716c2b55804c1081ebc012d936c7b84fe8b5c815a2f3b14343580434569"),
-    ("GPL-3.0", "dcd71f4cf4ca4277baab2dc1db6b894c2e46247af8a06cb196c5505949df6832"),
-    ("GPL-3.0", "206ca0ae9ac3904762bdb2f86bdcd670215a0373472b7baa5f3ca924d675da75"),
-    ("LGPL-2.0", "94c593166f65f3e50b028dcf16c3ab486b05f8dec7961bb0ccd6ff91f070af27"),
-    ("LGPL-2.0", "fb086d14fd7a181b0eb8f60b80a45fb7de366291394776ba097671e1cc54a2d1"),
-    ("LGPL-2.1", "1cc6b57023ac4e7f8ea84884d8f37e83b345659e2f774f437adaea4dc5f31570"),
-    ("LGPL-2.1", "390138dbed17f1d64a9832810a41023524155cf1b25138f5eb1e4f940af56634"),
-    ("LGPL-3.0", "557d66f3dbe172c3a6e838ab70a4623c7223828ae93cd987162dfd3ac21d1c02"),
-    ("MPL-1.1", "24b8db92793f00864046354bd4de8b506956bcc26a98673fdd9ccd41300cd1ba"),
-    ("MPL-2.0", "2b3cc2230140888e662fa22e8d78390251cf4131f2e22c872a0464075d65666e"),
-    ("BSD-3-Clause-UC", "721719d1bc47e197f0dc2490d1b8b1ccae74d92558a64b1b825fba1c8c36ebec"),
+    ("Apache-2.0", "8d3228c6d120eee17b345e9177b54fdec7fe72e7125d078e8f5b8b6a9ff6caf8"),
+    ("Apache-2.0", "4006590bff02f1375fc3ec9f6e680a376b945228431da9dae275cd697187f0bb"),
+    ("Artistic-1.0-Perl", "7e6e78c0759ee517e0d77c60815473b6cebc68166f37706df5e6b09ba2394512"),
+    ("CC0-1.0", "8ff7d76de6f41d1f5ab34557c4de7aa19359d2c0a50b3ffb775d1ce8702c12fb"),
+    ("GFDL-1.2", "f096ed105a5ff2408a30e1e745b4f8d953cdc353caba3584c6562ad4439ae04f"),
+    ("GFDL-1.3", "a559a17b1c29b7c46a48306c9cb8a537b6236867f7bfddb797ef13ca3ee853c9"),
+    ("GPL-1.0", "2e79fd1b31079b7e618e78d46bc5b7065bea9a9d89930bf054a25b2652c6dbcf"),
+    ("GPL-1.0", "2c9e090ea437fc33db376bb70814da7097cca552ab64db54cf147cb0d7f0328e"),
+    ("GPL-2.0", "f6a71fe199526013ccbc39bdab763a3f0d204ce21467696d28f2a27ff618e760"),
+    ("GPL-2.0", "358b320eaaab8c0bc749cc6253ac00e202bb80f780e833e65fcf00946988d199"),
+    ("GPL-3.0", "81eb250d2eac81704f6d4aca6b46092bf21c2bd6869da13fcd4b50c35c7b6dd2"),
+    ("GPL-3.0", "d8741cfa4c5bb0bd626dd107219e2b28e5204f63ee053a55c0c5c17e783ec14b"),
+    ("LGPL-2.0", "aa3a46435710e89c2e0afe2bd8d4e32a72b46b821584cdb40cb2cd07d383e530"),
+    ("LGPL-2.0", "d791a7ce8aa94d72a99dcfedc2d618f922ebf4431932ffc68faaf9b02dab37e4"),
+    ("LGPL-2.1", "8f20fa1dbed551c8655bb90be60534d6220ec9bfbce12b7e854aa66301f2b7f2"),
+    ("LGPL-2.1", "1aa8aabe8025037f6fc80a7de5fc57c95a6d0376d586681338a9662c428fa4f8"),
+    ("LGPL-3.0", "35e46971735837b0aa35ccb7430450da00770e96286ddfc2d344612a7807801c"),
+    ("MPL-1.1", "43a2f34f58c346aafa87e05f737482b9f0b674a2eb9d9b8b9bb3e84b57c92018"),
+    ("MPL-2.0", "6266859dcd154c9d9797df37bb8024ee4ef4f492ced2096628c36b1b25e7c98c"),
+    ("BSD-3-Clause-UC", "fbf8eb4e4754ae471ab312f98cac4112e6707752b34e0bbd91129d36a1d49cf0"),
 ]
 
 
 def canonical(text: str) -> str:
     """The canonical form of one known text, on the driver; :func:`canonical_columns` has its column form."""
     x = re.sub(COPYRIGHT, "\n", text.lower()).translate(str.maketrans(FROM, TO)).replace("\n", " ")
-    return re.sub(SPELLINGS, lambda m: "".join(g or "" for g in m.groups()), x).strip(" ")
+    for a, b in WORDS:
+        x = x.replace(a, b)
+    x = re.sub(" {2,}", " ", x)
+    for a, b in PHRASES:
+        x = x.replace(a, b)
+    return x.strip(" ")
+
+
+def _replaced(x: Column, pairs: list[tuple[str, str]]) -> Column:
+    for a, b in pairs:
+        x = F.replace(x, F.lit(a), F.lit(b))
+    return x
 
 
 def canonical_columns(text: Column) -> tuple[Column, Column]:
     """The canonical form of a whole text, and the array of that of its lines."""
-    kept = "".join(f"${i}" for i in range(1, _GROUPS + 1))
-    x = F.translate(F.regexp_replace(F.lower(text), COPYRIGHT, "\n"), FROM, TO)
-    whole = F.trim(F.regexp_replace(F.translate(x, "\n", " "), SPELLINGS, kept))
-    return whole, F.transform(F.split(F.regexp_replace(x, SPELLINGS, kept), "\n", -1), lambda x: F.trim(x))
+    low = F.lower(text)
+    # what every match has in it: few texts need the expression
+    may = low.contains("copyright") | low.contains("(c)") | low.contains("©") | low.contains("rights reserved")
+    x = F.translate(F.when(may, F.regexp_replace(low, COPYRIGHT, "\n")).otherwise(low), FROM, TO)
+    x = F.regexp_replace(_replaced(x, WORDS), " {2,}", " ")
+    # line ends are blanks to a whole text; next to others they make runs again
+    whole = F.replace(F.replace(F.replace(x, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n")), F.lit("\n"), F.lit(" "))
+    whole = F.when(whole.contains("  "), F.regexp_replace(whole, " {2,}", " ")).otherwise(whole)
+    return F.trim(_replaced(whole, PHRASES)), F.transform(F.split(_replaced(x, PHRASES), "\n", -1), lambda line: F.trim(line))
 
 
 def known_digests() -> list[tuple[str, str]]:
@@ -174,14 +189,21 @@ def _quoted(s: str) -> str:
     return f"('{text}')"
 
 
-_SPELLED = f"{_quoted(SPELLINGS)}, '{''.join(chr(92) + str(i) for i in range(1, _GROUPS + 1))}', 'g'"
+def _sql_replaced(x: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        x = f"replace({x}, '{a}', '{b}')"
+    return x
+
+
 OP7_SQL = f"""
 WITH known(digest, license_id) AS (VALUES {", ".join(f"('{d}', '{i}')" for d, i in known_digests())}),
-d AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT)}, chr(10), 'g'), {_quoted(FROM)}, {_quoted(TO)}) x FROM documents),
-l AS (SELECT doc_id, unnest(string_split(regexp_replace(x, {_SPELLED}), chr(10))) line FROM d),
+c AS (SELECT doc_id, translate(regexp_replace(lower(coalesce(text, '')), {_quoted(COPYRIGHT)}, chr(10), 'g'), {_quoted(FROM)}, {_quoted(TO)}) x FROM documents),
+d AS (SELECT doc_id, regexp_replace({_sql_replaced("x", WORDS)}, ' {{2,}}', ' ', 'g') x FROM c),
+l AS (SELECT doc_id, unnest(string_split({_sql_replaced("x", PHRASES)}, chr(10))) line FROM d),
 n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) notices
-      FROM (SELECT doc_id, sha256(trim(line, ' ')) digest FROM l) JOIN known USING (digest) GROUP BY doc_id)
-SELECT d.doc_id, h canonical_sha256, known.license_id, notices
-FROM (SELECT doc_id, sha256(trim(regexp_replace(translate(x, chr(10), ' '), {_SPELLED}), ' ')) h FROM d) d
-LEFT JOIN known ON known.digest = h LEFT JOIN n USING (doc_id)
+      FROM (SELECT doc_id, sha256(trim(line, ' ')) digest FROM l) JOIN known USING (digest) GROUP BY doc_id),
+w AS (SELECT doc_id, regexp_replace(translate(x, chr(10), ' '), ' {{2,}}', ' ', 'g') x FROM d)
+SELECT w.doc_id, w.h canonical_sha256, known.license_id, notices
+FROM (SELECT doc_id, sha256(trim({_sql_replaced("x", PHRASES)}, ' ')) h FROM w) w
+LEFT JOIN known ON known.digest = w.h LEFT JOIN n USING (doc_id)
 """
