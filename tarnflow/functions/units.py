@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,41 +59,44 @@ def convert(value: Column, unit: str, step_hours: float | None = None, compat: b
     return value * factor + offset
 
 
-def rate_pattern(code: str) -> str:
-    """A pattern of ``/s`` or ``s-1`` for one time unit; group 1 is the spelling."""
-    alternatives = "|".join(SPELLINGS[code])
-    return rf"(?i)(?:/\s*({alternatives})\b|(?<![A-Za-z0-9_])({alternatives})\s*\^?\s*-\s*1\b)"
+def _rate_tokens(unit: Column) -> Column:
+    """The words of a unit after the last ``/``, or all of them where there is none."""
+    return F.split(F.trim(F.element_at(F.split(unit, "/"), -1)), r"[\s*]+")
 
 
 def rate_code(unit: Column) -> Column:
-    """Code of a rate's time unit (s, d, month, y), or null."""
-    return F.coalesce(*[F.when(unit.rlike(rate_pattern(c)), F.lit(c)) for c in SECONDS])
+    """Code of a rate's time unit (s, d, month, y), or null: ``x/d``, ``x d-1``, ``x d^-1``, in the unit's last time word."""
+    known = F.create_map(*[F.lit(x) for code, words in SPELLINGS.items() for w in words for x in (w, code)])
+    over = unit.contains("/")
+    # a word after a slash counts as it is, any other one only with the power -1
+    word = lambda t: F.when(over, F.lower(t)).when(F.rtrim(t).endswith("-1"), F.rtrim(F.lower(F.substring_index(t, "-1", 1)), F.lit("^ ")))
+    # blanks may stand within the power
+    tight = F.regexp_replace(F.regexp_replace(unit, r"\s*\^\s*", "^"), r"\s*-\s*1\b", "-1")
+    codes = F.transform(_rate_tokens(tight), lambda t: F.try_element_at(known, word(t)))
+    return F.try_element_at(F.filter(codes, lambda c: c.isNotNull()), F.lit(1))
 
 
 def rebase_rate(value: Column, unit: Column, target: str) -> tuple[Column, Column]:
     """(value, unit) of a rate in the time unit ``target``; anything that is no rate stays."""
     code = rate_code(unit)
-    factor = F.coalesce(*[F.when(code == c, F.lit(SECONDS[target] / s)) for c, s in SECONDS.items()], F.lit(1.0))
-    renamed = unit
-    for c in SECONDS:
-        alternatives = "|".join(SPELLINGS[c])
-        one = F.regexp_replace(unit, rf"(?i)/\s*(?:{alternatives})\b", f"/{target}")
-        power = F.regexp_replace(unit, rf"(?i)(?<![A-Za-z0-9_])(?:{alternatives})\s*\^\s*-\s*1\b", f"{target}^-1")
-        minus = F.regexp_replace(unit, rf"(?i)(?<![A-Za-z0-9_])(?:{alternatives})\s*-\s*1\b", f"{target}-1")
-        renamed = F.when(code == c, F.when(one != unit, one).when(power != unit, power).otherwise(minus)).otherwise(renamed)
-    return value * factor, renamed
+    seconds = F.try_element_at(F.create_map(*[F.lit(x) for pair in SECONDS.items() for x in pair]), code)
+    over = F.concat(F.regexp_replace(unit, r"/[^/]*$", "/"), F.lit(target))
+    # the time word is the run of letters ahead of the power
+    power = F.regexp_replace(unit, r"[A-Za-z]+(\s*\^?)\s*-\s*1\b", f"{target}$1-1")
+    return F.when(code.isNull(), value).otherwise(value * (SECONDS[target] / seconds)), F.when(code.isNull(), unit).when(unit.contains("/"), over).otherwise(power)
+
+
+#: What tells, in this order, whether a variable is averaged over time (intensive): where to look, words, verdict.
+INTENSIVE_RULES = [
+    ("cell_methods", ("time: sum",), False), ("cell_methods", ("time: mean",), True), ("standard_name", ("amount", "accumulation", "thickness_of"), False),
+    ("units", ("/s", " s-1", "/h", " h-1", "/min", " min-1"), True), ("standard_name", ("flux",), True), ("units", ("/d", " d-1"), True),
+    # every other unit that spells an m counts as a total
+    ("units", ("m",), False),
+]
 
 
 def is_intensive(units: str | None, standard_name: str | None = None, cell_methods: str | None = None) -> bool:
-    """Whether a variable is averaged (intensive) or summed (extensive) over time; on the driver, from metadata."""
-    u, name, methods = (units or "").lower().strip(), (standard_name or "").lower(), (cell_methods or "").lower()
-    if "time: sum" in methods:
-        return False
-    if "time: mean" in methods:
-        return True
-    if re.search("amount|accumulation|thickness_of", name):
-        return False
-    if re.search(r"/s| s-1|/h| h-1|/min| min-1", u) or "flux" in name:
-        return True
-    # every unit that spells an m counts as a total, if it is not per time
-    return not ("m" in u and not re.search(r"/s| s-1|/h| h-1|/d| d-1", u))
+    """Whether a variable is averaged (intensive) or summed (extensive) over time; on the driver, from metadata: the first rule that fits, else intensive."""
+    told = {"units": units, "standard_name": standard_name, "cell_methods": cell_methods}
+    fits = (verdict for where, words, verdict in INTENSIVE_RULES if any(w in (told[where] or "").lower().strip() for w in words))
+    return next(fits, True)

@@ -338,3 +338,53 @@ def polygon_cells(cells: DataFrame, edges: DataFrame) -> DataFrame:
     crossed = crossed.select("row", "id", (F.col("x1") + (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1"))).alias("cut"))
     hits = cells.select("yi", "xi", "lon").join(crossed, F.col("yi") == F.col("row")).filter("cut > lon").groupBy("id", "yi", "xi").agg(F.count("*").alias("n"))
     return hits.filter("n % 2 = 1").select("id", "yi", "xi")
+
+
+def covered_shares(cells: DataFrame, edges: DataFrame, size: float) -> DataFrame:
+    """id, yi, xi, share of each cell that polygons cover; ``edges``: id, x1, y1, x2, y2 (closed rings, counter-clockwise outside, holes the other way).
+
+    The area under each edge is cut to columns and, within the column, to the heights of its cells: each edge adds, with the sign of its direction, what
+    lies between it and a cell's lower side.  Edges are expanded to the columns they cross and joined by column; a sum a cell remains.
+    """
+    half = size / 2
+    column = cells.groupBy("xi").agg(F.min("lon").alias("cx"))
+    span = column.agg(F.min("cx").alias("lo"), F.min("xi").alias("i")).first()
+    if span.lo is None:
+        return cells.select(F.lit(None).cast("long").alias("id"), "yi", "xi", F.lit(0.0).alias("share")).limit(0)
+    of = lambda x: F.floor((x - (span.lo - half)) / size).cast("long") + span.i
+    cut = edges.filter("x1 <> x2").withColumn("xi", F.explode(F.sequence(of(F.least("x1", "x2")), of(F.greatest("x1", "x2"))))).join(column, "xi")
+    at = lambda x: F.col("y1") + (x - F.col("x1")) / (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    left, right = F.greatest(F.least("x1", "x2"), F.col("cx") - half), F.least(F.greatest("x1", "x2"), F.col("cx") + half)
+    cut = cut.withColumn("a", left).withColumn("b", right).filter("b > a")
+    cut = cut.select("id", "xi", (F.signum(F.col("x1") - F.col("x2")) * (F.col("b") - F.col("a"))).alias("dx"), at(F.col("a")).alias("ya"), at(F.col("b")).alias("yb"))
+    # rows between the lowest and the highest point of the polygon
+    reach = edges.groupBy("id").agg(F.min(F.least("y1", "y2")).alias("lo"), F.max(F.greatest("y1", "y2")).alias("hi"))
+    boxed = cut.join(reach, "id").join(cells.select("yi", "xi", "lat"), "xi").filter((F.col("lat") + half > F.col("lo")) & (F.col("lat") - half < F.col("hi")))
+    low, high = F.col("lat") - half, F.col("lat") + half
+    # mean over the edge of its height within the cell: an antiderivative's difference, or the height itself where it is level
+    under = lambda y: F.when(y <= low, 0.0).when(y >= high, size**2 / 2 + size * (y - high)).otherwise((y - low) ** 2 / 2)
+    inside = lambda y: F.least(F.greatest(y - low, F.lit(0.0)), F.lit(size))
+    ya, yb = F.col("ya"), F.col("yb")
+    height = F.when(F.abs(yb - ya) < 1e-9 * size, inside((ya + yb) / 2)).otherwise((under(yb) - under(ya)) / F.nullif(yb - ya, F.lit(0.0)))
+    out = boxed.groupBy("id", "yi", "xi").agg((F.sum(F.col("dx") * height) / size**2).alias("share"))
+    return out.withColumn("share", F.least(F.greatest("share", F.lit(0.0)), F.lit(1.0))).filter("share > 1e-12")
+
+
+def shape_areas(cells: DataFrame, edges: DataFrame, areas: DataFrame, size: float) -> DataFrame:
+    """id, area: cell areas (yi, xi, area) weighted with the share that a polygon covers."""
+    return covered_shares(cells, edges, size).join(areas, ["yi", "xi"]).groupBy("id").agg(F.sum(F.col("share") * F.col("area")).alias("area"))
+
+
+#: The ellipsoid's half axis in km and eccentricity.
+_HALF_AXIS, _ECCENTRICITY = 6378.137, 0.0818191908426215
+
+
+def polygon_areas(edges: DataFrame) -> DataFrame:
+    """id, area in km2 of polygons in degrees, largest first: in a cylindrical equal-area projection of the ellipsoid."""
+    def height(lat: str) -> Column:
+        s, e = F.sin(F.radians(lat)), _ECCENTRICITY
+        return (1 - e**2) * (s / (1 - e**2 * s**2) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+    x1, x2 = F.radians("x1"), F.radians("x2")
+    cross = x1 * height("y2") - x2 * height("y1")
+    return edges.groupBy("id").agg((F.abs(F.sum(cross)) / 2 * (_HALF_AXIS**2 / 2)).alias("area")).orderBy(F.col("area").desc(), "id")

@@ -5,10 +5,14 @@ Input: a row per cell with ``sim`` and ``obs``; pairs with a missing side are le
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arith import safe_corr, safe_div
+from ..session import ship_package
 from .rank import average_rank, paired, spearman, spearman_whole, zscore
 
 
@@ -123,6 +127,22 @@ def all_metrics(df: DataFrame, time: str, **kw) -> DataFrame:
     return out
 
 
+def user_metric(df: DataFrame, keys: list[str], func: Callable[..., float], *args, sim: str = "sim", obs: str = "obs", name: str = "value", **kwargs) -> DataFrame:
+    """keys, value: a caller's ``func(sim, obs, *args, **kwargs)`` over the arrays of each key (a step's map, a pixel's series), both sides in order of the remaining columns.
+
+    Pairs with a missing side reach it as NaN.  Arrow hands whole keys over, so a key's rows must fit a task; the scores above have no such bound.
+    """
+    rest = [c for c in df.columns if c not in (*keys, sim, obs)]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(rest, kind="stable") if rest else pdf
+        got = func(pdf[sim].to_numpy(float), pdf[obs].to_numpy(float), *args, **kwargs)
+        return pdf[keys].head(1).assign(**{name: None if got is None else float(got)})
+
+    ship_package(df.sparkSession)
+    return df.groupBy(*keys).applyInPandas(run, df.select(*keys).schema.add(name, "double"))
+
+
 def average_over_steps(scores: DataFrame, time: str) -> DataFrame:
     """The mean of each component over the steps, missing ones left out."""
     return scores.agg(*[F.avg(c).alias(c) for c in scores.columns if c != time])

@@ -154,3 +154,15 @@ def quantile_sketch(df: DataFrame, keys: list[str], value: str, points: int = 10
     cuts = df.groupBy(*keys).agg(F.percentile_approx(value, grid, accuracy).alias("__cuts"))
     below = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
     return df.filter(F.col(value).isNotNull()).join(cuts, keys).withColumn("quantile", F.least((below + 1) / F.lit(float(points)), F.lit(1.0))).drop("__cuts")
+
+
+def quantile_merged(df: DataFrame, part: str, value: str, points: int = 100) -> DataFrame:
+    """``df`` with ``quantile`` in the whole table, to 1 / ``points``: a sketch of each part (a tile), merged into one, whose grid is looked up.
+
+    Sketches are some kilobytes whatever the part's size, so neither a part nor the whole is ordered anywhere.
+    """
+    sketches = df.groupBy(part).agg(F.kll_sketch_agg_double(F.col(value).cast("double")).alias("s"))
+    whole = sketches.agg(F.kll_merge_agg_double("s").alias("s"))
+    cuts = whole.select(F.kll_sketch_get_quantile_double("s", F.array(*[F.lit(i / points) for i in range(1, points + 1)]))).first()[0] or []
+    at = position_in(F.col(value).cast("double"), list(cuts), "double")
+    return df.filter(F.col(value).isNotNull()).withColumn("quantile", F.least((at + 1) / F.lit(float(points)), F.lit(1.0)))

@@ -29,6 +29,19 @@ def summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"))
 
 
+def compare_inputs(inputs: dict[str, DataFrame], metrics: list[str]) -> DataFrame:
+    """label, variable, n, min, max, mean, median of metric values (metric, value) by input; a metric that no input has a finite value of raises."""
+    long = None
+    for label, df in inputs.items():
+        one = finite_values(df.select(F.lit(label).alias("label"), F.col("metric").alias("variable"), "value"), "value")
+        long = one if long is None else long.unionByName(one)
+    out = summary(long, ["label", "variable"], "value")
+    lacking = set(metrics) - {r.variable for r in long.select("variable").distinct().collect()}
+    if lacking:
+        raise ValueError(f"no finite value of {', '.join(sorted(lacking))}")
+    return out
+
+
 def medians_by_id(df: DataFrame, id_: str, metrics: list[str]) -> DataFrame:
     """Medians of the finite values by canonical id; rows without an id drop out."""
     rows = df.withColumn("match_id", match_id(F.col(id_))).filter("match_id <> ''")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Rows of an Arrow batch, where the session has Spark's default: texts are kilobytes, and a batch of
@@ -38,15 +39,24 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def write_through(df, name: str):
-    """``df`` written as Parquet in the folder that driver and executors share, and read back: a cut lineage."""
-    import uuid
+def shared_dir(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``.  Where it is unset, a temporary folder in local mode; elsewhere executors could not read it, and this raises."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
 
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def write_through(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """``df`` written as Parquet in the folder that driver and executors share, and read back.
+
+    It cuts the lineage: what was computed survives the loss of any executor and is computed once, however many
+    branches read it.  The files belong to the shared folder's retention policy.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,4 +1,4 @@
-"""Long Parquet grids, reading by suffix, axis discovery, provenance; NetCDF only where its library is installed."""
+"""Long Parquet grids, reading and writing by suffix, axis discovery, provenance."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arith import finite
 from .ascii_grid import read_ascii, write_ascii
+from .netcdf import read_netcdf, write_netcdf
 
 #: Names of the axes.
 NAMES = {"lat": ("lat", "latitude", "northing", "y"), "lon": ("lon", "longitude", "easting", "x"), "time": ("time", "t", "date")}
@@ -47,12 +48,13 @@ def payload(columns: list[str], path: str | None = None) -> str:
 
 
 def read_grid(spark: SparkSession, path: str, var: str | None = None, nodata: float | None = -9999.0) -> DataFrame:
-    """A long grid by suffix: ``.asc`` files, Parquet, CSV; ``.nc`` through the optional adapter."""
+    """A long grid by suffix: ``.asc`` files, Parquet, CSV, NetCDF in the classic formats."""
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix == ".asc":
         return read_ascii(spark, path, var)
     if suffix == ".nc":
-        return read_netcdf(spark, path, var)
+        found = read_netcdf(spark, path, var)
+        return found if var or found.select("var").distinct().limit(2).count() < 2 else found.filter(F.col("var") == payload([r[0] for r in found.select("var").distinct().collect()], path))
     if suffix in (".tif", ".tiff"):
         raise NotImplementedError("GeoTIFF needs a library that is not part of this engine; convert to a long Parquet table")
     df = spark.read.csv(path, header=True, inferSchema=True) if suffix == ".csv" else spark.read.parquet(path)
@@ -66,34 +68,13 @@ def read_tree(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Dat
     return normalize_axes(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).parquet(path))
 
 
-def read_netcdf(spark: SparkSession, path: str, var: str | None = None) -> DataFrame:
-    """A long grid of a NetCDF file, through xarray; each file is opened by one task."""
-    import xarray  # noqa: F401  optional: absent in the tested image
-
-    def run(batches):
-        import xarray as xr
-
-        for b in batches:
-            for p in b["path"]:
-                with xr.open_dataset(p) as ds:
-                    name = var or payload([str(v) for v in ds.data_vars], p)
-                    yield normalize_pandas(ds[name].to_dataframe(name="value").reset_index(), p)
-
-    def normalize_pandas(pdf, p):
-        names = {resolve_axis(list(pdf.columns), a): a for a in NAMES}
-        pdf = pdf.rename(columns={k: v for k, v in names.items() if k})
-        pdf["yi"], pdf["xi"] = pdf["lat"].rank(method="dense", ascending=False).astype(int) - 1, pdf["lon"].rank(method="dense").astype(int) - 1
-        return pdf.assign(path=p)[["path", "time", "yi", "xi", "lat", "lon", "value"]]
-
-    files = spark.createDataFrame([(str(p),) for p in sorted(Path().glob(path)) or [Path(path)]], "path string")
-    return files.repartition("path").mapInPandas(run, "path string, time timestamp_ntz, yi long, xi long, lat double, lon double, value double")
-
-
 def write_grid(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """``.asc``, or Parquet (partitioned by the columns named); what was there is replaced only when the suffix is known."""
+    """``.asc``, ``.nc`` (classic format), or Parquet (partitioned by the columns named); what was there is replaced only when the suffix is known."""
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix == ".asc":
         write_ascii(df, path)
+    elif suffix == ".nc":
+        write_netcdf(df, path, provenance=provenance())
     elif suffix in (".parquet", ""):
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition) if partition else writer).parquet(path)
