@@ -21,15 +21,19 @@ is taken once whole; an empty table gives an empty result; further columns stay.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._store import materialize
+
 MAX_REPEAT = 2.0
 SEED = 7
 STEPS = 60
-#: Sources are a small dimension, collected as one row each; more than this many raise an error.
-MAX_SOURCES = 100_000
+#: Sources up to which their quotas are worked out on the driver and sent along; more of them stay a table.
+MAX_LOCAL = 20_000
 #: Tokens a block aims at, and blocks of a source at most: neither blocks nor the documents of one are ever many to order.
 BLOCK_TOKENS = 100_000
 MAX_BLOCKS = 100_000
@@ -42,27 +46,30 @@ def place(seed: int, epoch: Column, doc: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
 
 
-def weights(tokens: dict[str, int], budget: int | None = None, target_entropy: float | None = None, max_repeat: float | None = MAX_REPEAT) -> tuple[float, dict[str, int]]:
-    """(exponent, quota of tokens by source)."""
-    have = {s: n for s, n in sorted(tokens.items()) if n > 0}
-    total = sum(have.values())
-    if not have:
-        return 1.0, {}
-    share = {s: n / total for s, n in have.items()}
+@dataclass(frozen=True)
+class Shares:
+    """What the exponent is found from: numbers of all sources with tokens, and ``moments(a)``, the sums of p**a and of p**a ln p over their shares p."""
+
+    sources: int
+    total: int
+    least: float
+    most: float
+    moments: Callable[[float], tuple[float, float]]
 
-    def at(a: float) -> dict[str, float]:
-        raw = {s: p**a for s, p in share.items()}
-        norm = sum(raw.values())
-        return {s: x / norm for s, x in raw.items()}
 
-    def size(q: dict[str, float]) -> float:
-        return budget if budget is not None else max(have[s] / q[s] for s in have)
+def exponent(s: Shares, budget: int | None = None, target_entropy: float | None = None, max_repeat: float | None = MAX_REPEAT) -> tuple[float, float]:
+    """(exponent a, tokens per unit of p**a): a source's quota is the second times its share to the power a."""
+
+    def scale(a: float) -> float:
+        # the budget that covers gives the source with the fewest passes, the largest one, a single pass
+        return budget / s.moments(a)[0] if budget is not None else s.total * s.most ** (1 - a)
 
     def too_flat(a: float) -> bool:
-        q = at(a)
         if target_entropy is not None:
-            return -sum(x * math.log(x) for x in q.values()) > target_entropy * math.log(max(2, len(q)))
-        return max_repeat is not None and max(q[s] * size(q) / have[s] for s in have) > max_repeat
+            norm, logs = s.moments(a)
+            return math.log(norm) - a * logs / norm > target_entropy * math.log(max(2, s.sources))
+        # the smallest source has the most passes
+        return max_repeat is not None and scale(a) * s.least**a / (s.total * s.least) > max_repeat
 
     lo, hi = 0.0, 1.0
     if not too_flat(lo):
@@ -70,9 +77,51 @@ def weights(tokens: dict[str, int], budget: int | None = None, target_entropy: f
     for _ in range(STEPS if hi > lo else 0):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if too_flat(mid) else (lo, mid)
-    q = at(hi)
+    return hi, scale(hi)
+
+
+def weights(tokens: dict[str, int], budget: int | None = None, target_entropy: float | None = None, max_repeat: float | None = MAX_REPEAT) -> tuple[float, dict[str, int]]:
+    """(exponent, quota of tokens by source)."""
+    have = {s: n for s, n in sorted(tokens.items()) if n > 0}
+    if not have:
+        return 1.0, {}
+    total = sum(have.values())
+    share = {s: n / total for s, n in have.items()}
+    moments = lambda a: (sum(p**a for p in share.values()), sum(p**a * math.log(p) for p in share.values()))
+    a, scale = exponent(Shares(len(have), total, min(share.values()), max(share.values()), moments), budget, target_entropy, max_repeat)
     # a millionth of a token: rounding of the covering budget must not open another pass
-    return hi, {s: math.floor(q[s] * size(q) + 1e-6) for s in have}
+    return a, {s: math.floor(scale * share[s] ** a + 1e-6) for s in have}
+
+
+def _plan(sources: DataFrame, block_tokens: int, **aims) -> DataFrame:
+    """src, full, rest, blocks of each source: its whole passes, the tokens of the one only begun, and its blocks.
+
+    Up to ``MAX_LOCAL`` sources this is worked out on the driver and sent to the executors; beyond, it stays a table, and only sums over it are fetched.
+    """
+    spark = sources.sparkSession
+    blocks_of = lambda n: min(MAX_BLOCKS, max(1, math.ceil(n / block_tokens)))
+    found = sources.limit(MAX_LOCAL + 1).collect()
+    if len(found) <= MAX_LOCAL:
+        have = {r.src: r.tok for r in found}
+        quota = weights(have, **aims)[1]
+        rows = [(s, *(divmod(quota[s], n) if n else (1, 0)), blocks_of(n)) for s, n in sorted(have.items())]
+        return F.broadcast(spark.createDataFrame(rows, "src string, full long, rest long, blocks long"))
+    sources = materialize(sources, "sources")
+    some = sources.filter("tok > 0")
+    t = some.agg(F.count("*").alias("n"), F.sum("tok").alias("total"), F.min("tok").alias("least"), F.max("tok").alias("most")).first()
+    if not t.n:
+        return sources.select("src", F.lit(1).cast("long").alias("full"), F.lit(0).cast("long").alias("rest"), F.lit(1).cast("long").alias("blocks"))
+    share = F.col("tok") / F.lit(float(t.total))
+
+    def moments(a: float) -> tuple[float, float]:
+        return tuple(some.agg(F.sum(F.pow(share, F.lit(a))), F.sum(F.pow(share, F.lit(a)) * F.log(share))).first())
+
+    a, scale = exponent(Shares(t.n, t.total, t.least / t.total, t.most / t.total, moments), **aims)
+    quota = F.floor(F.lit(scale) * F.pow(share, F.lit(a)) + 1e-6).cast("long")
+    blocks = F.least(F.lit(MAX_BLOCKS), F.greatest(F.lit(1), F.ceil(F.col("tok") / block_tokens))).cast("long")
+    empty = F.col("tok") <= 0
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return sources.select("src", F.when(empty, one).otherwise((quota / F.col("tok")).cast("long")).alias("full"), F.when(empty, none).otherwise(quota % F.col("tok")).alias("rest"), blocks.alias("blocks"))
 
 
 def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None = None, max_repeat: float | None = MAX_REPEAT, seed: int = SEED, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -80,18 +129,11 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
 
     Read in order of (mix_epoch, mix_place), the rows are the mixed corpus.
     """
-    spark = docs.sparkSession
     source = F.coalesce(F.col("source").cast("string"), F.lit(""))
     tokens = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
     # three numbers a document, read three times below and let go at the end; lost parts are computed again
     counted = docs.select(F.col("doc_id").alias("doc"), source.alias("src"), tokens.alias("tok")).persist()
-    found = counted.groupBy("src").agg(F.sum("tok").alias("tok")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    have = {r.src: r.tok for r in found}
-    _, quota = weights(have, budget, target_entropy, max_repeat)
-    rows = [(s, *(divmod(quota[s], n) if n else (1, 0)), min(MAX_BLOCKS, max(1, math.ceil(n / block_tokens)))) for s, n in sorted(have.items())]
-    plan = F.broadcast(spark.createDataFrame(rows, "src string, full long, rest long, blocks long"))
+    plan = _plan(counted.groupBy("src").agg(F.sum("tok").alias("tok")), block_tokens, budget=budget, target_entropy=target_entropy, max_repeat=max_repeat)
 
     # the pass that is only begun: its block where the quota ends, then the place within that block
     last = counted.join(plan, "src").filter("rest > 0").withColumn("place", place(seed, F.col("full"), F.col("doc")))
@@ -100,15 +142,16 @@ def mix(docs: DataFrame, budget: int | None = None, target_entropy: float | None
     upto = F.sum("tok").over(Window.partitionBy("src").orderBy("block"))
     ends = sums.withColumn("upto", upto).filter("upto > rest").groupBy("src").agg(F.min(F.struct("block", (F.col("upto") - F.col("tok")).alias("before"))).alias("end")).select("src", "end.*")
     ends = ends.withColumnRenamed("block", "end_block")
-    inside = last.join(F.broadcast(ends), "src").filter("block = end_block").groupBy("src", "rest", "before", "place").agg(F.sum("tok").alias("tok"))
+    inside = last.join(ends, "src").filter("block = end_block").groupBy("src", "rest", "before", "place").agg(F.sum("tok").alias("tok"))
     running = F.sum("tok").over(Window.partitionBy("src").orderBy("place")) + F.col("before")
     # the first place that is over the quota; where none is, the whole pass fits
-    cut = inside.withColumn("upto", running).filter("upto > rest").groupBy("src").agg(F.min("place").alias("cut")).collect()
-    cuts = {r.src: r.cut for r in cut}  # a row a source, as above
+    cut = inside.withColumn("upto", running).filter("upto > rest").groupBy("src").agg(F.min("place").alias("cut"))
+    chosen = plan.join(cut, "src", "left").select(F.col("src").alias("__mix_src"), F.col("full").alias("__mix_full"), F.when(F.col("rest") > 0, F.coalesce("cut", F.lit(_SPAN))).otherwise(0).alias("__mix_cut"))
+    chosen = materialize(chosen, "quotas")
     counted.unpersist()
-    table = [(s, full, cuts.get(s, _SPAN) if rest else 0) for s, full, rest, _ in rows]
-    chosen = F.broadcast(spark.createDataFrame(table, "__mix_src string, __mix_full long, __mix_cut long"))
-    held = docs.withColumn("__mix_src", source).join(chosen, "__mix_src")
+    # a row a source, sent along where there are few
+    few = chosen.count() <= MAX_LOCAL
+    held = docs.withColumn("__mix_src", source).join(F.broadcast(chosen) if few else chosen, "__mix_src")
     copies = F.col("__mix_full") + (place(seed, F.col("__mix_full"), F.col("doc_id")) < F.col("__mix_cut")).cast("long")
     taken = held.withColumn("__mix_n", copies).filter("__mix_n > 0").withColumn("__mix_e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__mix_n") - 1)))
     cols = [c for c in docs.columns if c not in ("mix_epoch", "mix_place")]
