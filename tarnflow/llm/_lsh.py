@@ -48,6 +48,8 @@ BLOCK = 512
 TEXTS = 128
 FOREST = 500_000
 NULL_ID = -(2**63)
+#: Ids up to which they are sent to every executor.
+MAX_LOCAL = 500_000
 _BYTES = 1 << 19
 
 
@@ -209,28 +211,48 @@ def _sets_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets have 100 * |intersection| >= threshold * |union|."""
+    """Of the pairs (pivot, node), as (u, v), those whose sets have 100 * |intersection| >= threshold * |union|.
+
+    A pivot's nodes are dealt out in groups of about ``BLOCK``, and its text goes once to each group, not to each node.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot, known = None, np.zeros(0, np.uint64)
         for b in batches:
-            size = np.asarray(pa.compute.add(pa.compute.binary_length(b.column(2)), pa.compute.binary_length(b.column(3)))).cumsum()
-            lo = 0
+            lo, size = 0, np.cumsum(pa.compute.binary_length(b.column(4)).to_numpy().astype(np.int64))
             while lo < b.num_rows:
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + _BYTES, "right")))
                 part = b.slice(lo, hi - lo)
                 lo = hi
-                (va, fa), (vb, fb) = (_sets_of(part.column(i)) for i in (2, 3))
-                ids = np.concatenate([T.segment_ids(fa), T.segment_ids(fb)])
-                values = np.concatenate([va, vb])
-                order = np.lexsort((values, ids))
-                ids, values = ids[order], values[order]
-                both = np.bincount(ids[1:][(ids[1:] == ids[:-1]) & (values[1:] == values[:-1])], minlength=part.num_rows)
-                union = np.diff(fa) + np.diff(fb) - both
-                yield part.filter(pa.array((100 * both >= threshold * union) & (both > 0))).select([0, 1])
-
-    ta = texts.select(F.col("doc").alias("a"), F.col("packed").alias("packed_a"))
-    tb = texts.select(F.col("doc").alias("b"), F.col("packed").alias("packed_b"))
-    return pairs.join(tb, "b").join(ta, "a").select("a", "b", "packed_a", "packed_b").mapInArrow(run, "a long, b long").distinct()
+                values, first = _sets_of(part.column(4))
+                name, role, node = (part.column(i).to_numpy() for i in (0, 2, 3))
+                # stretches of one pivot; each begins with the pivot itself, in this part or in one before
+                cuts = [0, *(np.flatnonzero((name[1:] != name[:-1]) | (role[1:] < role[:-1])) + 1), len(name)]
+                keep = np.zeros(len(name), bool)
+                for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                    if role[s] == 0:
+                        pivot, known = name[s], values[first[s] : first[s + 1]]
+                        s += 1
+                    if s == e or name[s] != pivot:
+                        continue
+                    own = values[first[s] : first[e]]
+                    at = np.searchsorted(known, own)
+                    at[at == len(known)] = 0
+                    shared = np.append(0, np.cumsum(known[at] == own))
+                    both = shared[first[s + 1 : e + 1] - first[s]] - shared[first[s:e] - first[s]]
+                    union = len(known) + np.diff(first[s : e + 1]) - both
+                    keep[s:e] = (100 * both >= threshold * union) & (both > 0)
+                at = np.flatnonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(name[at])], names=["u", "v"])
+
+    spark = pairs.sparkSession
+    sized = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("groups"))
+    dealt = materialize(pairs.join(sized, "pivot"), "pairs")
+    member = dealt.select("pivot", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), F.lit(1).alias("role"), "node")
+    heads = dealt.groupBy("pivot").agg(F.max("groups").alias("groups")).select("pivot", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.lit(0).alias("role"), F.col("pivot").alias("node"))
+    held = member.unionByName(heads).join(texts.select(F.col("doc").alias("node"), "packed"), "node").select("pivot", "group", "role", "node", "packed")
+    ordered = held.repartition(partitions(spark), "pivot", "group").sortWithinPartitions("pivot", "group", "role", "node")
+    return ordered.mapInArrow(run, "u long, v long")
 
 
 def _stars(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
@@ -296,7 +318,11 @@ def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], n
     full = materialize(held_bands.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1").drop("k"), "buckets")
     members = materialize(held_bands.join(full, "band"), "members")
     held = members.select("node").distinct()
-    texts = materialize(packed(_keyed(docs)).join(held.withColumnRenamed("node", "doc"), "doc", "left_semi"), "texts")
+    held = materialize(held, "held")
+    wanted = held.withColumnRenamed("node", "doc")
+    # few wanted texts are picked out where they are; many are met by a shuffle
+    wanted = F.broadcast(wanted) if held.count() <= MAX_LOCAL else wanted
+    texts = materialize(packed(_keyed(docs).join(wanted, "doc", "left_semi")), "texts")
 
     # rows that repeat a doc_id tie its classes together
     repeated = sets.filter("n > 0").groupBy("doc").agg(F.min("cls1").alias("x"), F.max("cls1").alias("y")).filter("x <> y").select("doc")
@@ -319,9 +345,8 @@ def components(docs: DataFrame, slots: Callable[[np.ndarray, np.ndarray, int], n
             ranked = materialize(ranked, "open")
             pivots = ranked.filter("rank = pick").select("band", F.col("node").alias("pivot"), F.col("comp").alias("pivot_comp"))
             star = ranked.join(pivots, "band").filter("comp <> pivot_comp")
-            pairs = star.select(F.greatest("node", "pivot").alias("a"), F.least("node", "pivot").alias("b")).distinct()
             members = ranked.filter("rank <> pick").select("band", "node")
-            new = links(pairs, texts, threshold).select(F.col("a").alias("u"), F.col("b").alias("v"))
+            new = links(star.select("pivot", "node").distinct(), texts, threshold)
         found = materialize(found.unionByName(new), "links")
         labels = connected(found)
     whole = sets.drop("sig").join(classes.drop("sig"), ["cls1", "cls2"], "left").join(labels, "node", "left")

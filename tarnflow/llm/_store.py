@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tarnflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from ..session import write_through
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    It cuts the lineage: what was computed survives the loss of any executor and
-    is computed once, however many branches read it.  The files belong to the
-    shared folder's retention policy.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    """``df`` written in the shared folder and read back, compressed well: texts and sketches are in it."""
+    return write_through(df, name, compression="zstd")
 
 
 def partitions(spark: SparkSession) -> int:
