@@ -76,6 +76,13 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum()) if len(values) else 0.0
 
 
+def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    at = np.searchsorted(known, values)
+    at[at == len(known)] = 0
+    return known[at] == values if len(known) else np.zeros(len(values), bool)
+
+
 class Lookup:
     """Membership of hashes in a fixed set: a bitmap, then a search for the few that pass it."""
 
@@ -131,6 +138,8 @@ def _windows(docs: DataFrame, sizes: dict[int, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_k = {k: Lookup(v) for k, v in of_k.items()}
+        # sorted once a task
+        of_size = {w: np.unique(v) for w, v in sizes.items()}
         for b in batches:
             for piece in T.pieces(b.column(1)):
                 tok = T.tokens(piece, lower=True, alnum=True)
@@ -142,7 +151,7 @@ def _windows(docs: DataFrame, sizes: dict[int, np.ndarray]) -> DataFrame:
                     for words in sizes if len(hits) else ():
                         if min(SHINGLE, words) != k:
                             continue
-                        own = hits[np.isin(grams[hits], sizes[words])]
+                        own = hits[among(grams[hits], of_size[words])]
                         if not len(own):
                             continue
                         start, n = windows_near(own, tok.first, words, k, THRESHOLD)
