@@ -412,3 +412,16 @@ def test_mix_odd_tables(spark, empty):
     assert mixing.mix(empty).collect() == []
     rows = spark.createDataFrame([(1, "a b", "en", None), (1, "a b", "en", None), (None, "c d", "en", "s"), (2, None, "en", "t")], SCHEMA)
     assert sorted((r.doc_id or 0, r.mix_epoch) for r in mixing.mix(rows).collect() if r.mix_epoch == 0) == [(0, 0), (1, 0), (1, 0), (2, 0)]
+
+
+def test_mixing_many_sources_by_table(spark, docs, monkeypatch):
+    """Beyond MAX_LOCAL sources the plan stays a table: the same rows as on the driver."""
+    for aims in ({"max_repeat": 2.5}, {"budget": 900, "max_repeat": None, "target_entropy": 0.6}, {"budget": 3000}):
+        few = sorted((r.doc_id or -1, r.mix_epoch, r.mix_place) for r in mixing.mix(docs, block_tokens=50, **aims).collect())
+        monkeypatch.setattr(mixing, "MAX_LOCAL", 2)
+        many = sorted((r.doc_id or -1, r.mix_epoch, r.mix_place) for r in mixing.mix(docs, block_tokens=50, **aims).collect())
+        monkeypatch.undo()
+        assert many == few and few
+    empty_texts = spark.createDataFrame([(i, None, "en", f"s{i}") for i in range(5)], SCHEMA)
+    monkeypatch.setattr(mixing, "MAX_LOCAL", 2)
+    assert len(mixing.mix(empty_texts).collect()) == 5
