@@ -1,24 +1,29 @@
 """``python -m tarnflow COMMAND ...``: the operators on tables and ASCII grids, by path.
 
-Inputs are read by suffix (Parquet, CSV, ``.asc``); results are Parquet, or ``.asc`` for single grids.
+Inputs are read by suffix (Parquet, CSV, ``.asc``, ``.nc``); results are Parquet, or ``.asc`` or ``.nc`` for grids.
 """
 
 from __future__ import annotations
 
 import argparse
+import difflib
+import sys
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import limits
 from .functions.arith import difference, ratio, relative_difference
 from .functions.pet import pet
-from .operators import bankfull, grid, rank, resample, skill, tables, workflows
+from .operators import bankfull, grid, rank, resample, skill, tables, tiles, workflows
 from .session import session
 from .sources import ascii_grid, series, texts
 from .sources.tables import read_grid, write_grid
 
 COMMANDS: dict[str, tuple[Callable, Callable]] = {}
+#: Second names of commands.
+ALIASES = {"crop-mhm-setup": "crop", "prepare-mhm-forcings": "prepare-forcings", "converter-nc-ascii": "converter", "metric-plots": "metric-tables"}
 
 
 def command(name: str, *arguments: tuple):
@@ -149,7 +154,7 @@ def merge_files(spark, a):
 
 @command("converter", IN, OUT, arg("--only-header", action="store_true"))
 def converter(spark, a):
-    """Between .asc and Parquet, by suffix."""
+    """Between .asc, .nc and Parquet, by suffix."""
     df = read_grid(spark, a.input)
     ascii_grid.write_header(df, a.output) if a.only_header else write_grid(df, a.output)
 
@@ -188,6 +193,67 @@ def taylor_diagram(spark, a):
     skill.taylor_statistics(_series(spark, a.input), a.series).write.mode("overwrite").parquet(a.output)
 
 
+@command("create-catchment", IN, arg("gauges", help="CSV with id, lat, lon and perhaps area"), OUT, arg("--cell-size", type=float, required=True), arg("--reach", type=int, default=3), arg("--max-error", type=float, default=0.3))
+def create_catchment(spark, a):
+    """Gauges on a grid of D8 codes, their basins, and accumulation, a folder each."""
+    directions = read_grid(spark, a.input).withColumn("dir", F.col("value").cast("int"))
+    gauges = spark.read.csv(a.gauges, header=True, inferSchema=True)
+    gauges = gauges if "area" in gauges.columns else gauges.withColumn("area", F.lit(None).cast("double"))
+    for name, df in workflows.create_catchment(directions, gauges, a.cell_size, a.reach, a.max_error).items():
+        df.write.mode("overwrite").parquet(f"{a.output.rstrip('/')}/{name}")
+
+
+@command("landcover-ascii-to-nc", arg("namelist"), IN, OUT)
+def landcover_ascii_to_nc(spark, a):
+    """Land-cover grids of a folder on the intervals of a namelist, as one series."""
+    write_grid(workflows.landcover_series(read_grid(spark, f"{a.input.rstrip('/')}/*.asc"), texts.read_landcover_intervals(spark, a.namelist)), a.output)
+
+
+@command("create-id-gauges", IN, arg("gauges", help="table with id, yi, xi"), OUT)
+def create_id_gauges(spark, a):
+    """A grid with the ids of gauges at their cells."""
+    g = read_grid(spark, a.input).select("yi", "xi", "lat", "lon")
+    ids = tiles.gauge_raster(g, spark.read.parquet(a.gauges).select("id", "yi", "xi"))
+    write_grid(g.join(ids, ["yi", "xi"]).withColumnRenamed("gauge", "value"), a.output)
+
+
+@command("create-subdomain-masks", arg("basins"), arg("classes"), arg("land"), OUT)
+def create_subdomain_masks(spark, a):
+    """The old class of most cells for each new basin (grids of basins, old classes, land)."""
+    new, old, land = (read_grid(spark, p).withColumnRenamed("value", n) for p, n in ((a.basins, "basin"), (a.classes, "cls"), (a.land, "mask")))
+    workflows.subdomain_masks(new.select("yi", "xi", "basin"), old.select("yi", "xi", "cls"), land.select("yi", "xi", "mask")).write.mode("overwrite").parquet(a.output)
+
+
+def _restart(spark, a, merge) -> None:
+    y, x = workflows.parse_coordinates(a.origin)
+    renames = dict(p.split("=") for p in a.rename.split(",")) if a.rename else None
+    mask = read_grid(spark, a.mask).withColumnRenamed("value", "mask").select("yi", "xi", "mask")
+    merge(spark.read.parquet(a.input), spark.read.parquet(a.tiles), mask, (y, x), a.cell_size, renames).write.mode("overwrite").parquet(a.output)
+
+
+_RESTART = (IN, arg("tiles", help="table with tile, lat0, lon0"), arg("mask"), OUT, arg("--origin", required=True, help="lat,lon of the lower corner"), arg("--cell-size", type=float, required=True), arg("--rename", help="old=new,..."))
+
+
+@command("create-mhm-restart-file", *_RESTART)
+def create_restart_file(spark, a):
+    """Restart tiles (tile, var, yi, xi, value) on one grid, masked and renamed."""
+    _restart(spark, a, tiles.merge_restarts)
+
+
+@command("create-mhm-restart-from-setup", *_RESTART)
+def create_restart_from_setup(spark, a):
+    """The same, with gaps of each tile filled from its nearest cells first."""
+    _restart(spark, a, workflows.restart_from_tiles)
+
+
+@command("2d-map", IN, OUT)
+def map_numbers(spark, a):
+    """What a map of a grid is drawn from: its least and largest value, half range and digits of its labels."""
+    r = read_grid(spark, a.input).agg(F.min("value").alias("least"), F.max("value").alias("most"))
+    half, digits = limits.label_step((F.col("most") - F.col("least")) / 2)
+    r.select("least", "most", half.alias("half_range"), digits.alias("digits")).write.mode("overwrite").parquet(a.output)
+
+
 @command("link-folder-tree", IN, OUT, arg("--pattern", default="*"), arg("--overwrite", action="store_true"))
 def link_folder_tree(spark, a):
     """Symbolic links to the files of a folder."""
@@ -195,9 +261,17 @@ def link_folder_tree(spark, a):
 
 
 def main(argv: list[str] | None = None) -> None:
+    argv = sys.argv[1:] if argv is None else argv
     parser = argparse.ArgumentParser(prog="tarnflow", description=__doc__)
     sub = parser.add_subparsers(dest="command", required=True)
+    second = {n: [o for o, of in ALIASES.items() if of == n] for n in COMMANDS}
     for name, (options, run) in sorted(COMMANDS.items()):
-        options(sub.add_parser(name, aliases=[name.replace("-", "_")] if "-" in name else [], help=run.__doc__))
+        names = [*second[name], *(n.replace("-", "_") for n in (name, *second[name]) if "-" in n)]
+        options(sub.add_parser(name, aliases=names, help=run.__doc__))
+    given = argv[0] if argv and not argv[0].startswith("-") else None
+    if given and given not in sub.choices:
+        near = difflib.get_close_matches(given, [*COMMANDS, *ALIASES], 3)
+        parser.error(f"no command {given!r}" + (f"; did you mean {', '.join(near)}?" if near else ""))
     args = parser.parse_args(argv)
-    COMMANDS[args.command.replace("_", "-")][1](session(f"tarnflow {args.command}"), args)
+    name = args.command.replace("_", "-")
+    COMMANDS[ALIASES.get(name, name)][1](session(f"tarnflow {args.command}"), args)

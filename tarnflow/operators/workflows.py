@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import convert, is_intensive
-from . import climate, flow, gauges, grid, patterns, rank, resample, skill, tiles
+from . import climate, flow, gauges, grid, landcover, patterns, rank, resample, skill, tiles
 
 
 def evaluate_discharge(series: DataFrame, alias: str = "D", min_years: int = 1, min_common_years: int = 1, ids: DataFrame | None = None) -> DataFrame:
@@ -85,6 +85,37 @@ def delineate_gauges(gauges_: DataFrame, edges: DataFrame, areas: DataFrame, nx:
     return out.withColumn("acceptable", F.abs(F.col("area_cell") - F.col("reference")) <= 2 * max_error * F.col("reference")), basins
 
 
+def create_catchment(directions: DataFrame, gauges_: DataFrame, cell_size: float, k: int = 3, max_error: float = 0.3) -> dict[str, DataFrame]:
+    """From D8 codes to gauges and basins: ``directions`` yi, xi, lat, lon, dir; ``gauges_`` id, lat, lon, area (km2, may be missing).
+
+    ``gauges``: each gauge's cell (the nearest one, moved within ``k`` cells to where the upstream area fits), its areas and their check; ``basins``: yi, xi, id;
+    ``accumulation``: yi, xi, upstream area in km2 and number of cells.
+    """
+    e = grid.extent(directions).first()
+    nx = e.x1 + 1
+    box = directions.agg(F.max("lat").alias("north"), F.min("lon").alias("west"), F.min("yi").alias("y0"), F.min("xi").alias("x0")).first()
+    near = lambda c: F.floor(c / cell_size + 0.5).cast("long")
+    placed = gauges_.select("id", (near(F.lit(box.north) - F.col("lat")) + box.y0).alias("yi"), (near(F.col("lon") - F.lit(box.west)) + box.x0).alias("xi"), F.col("area").cast("double").alias("area"))
+    edges = flow.edges_from_d8(directions)
+    areas = grid.cell_areas(directions.select("yi", "xi", "lat", "lon")).select("yi", "xi", "area")
+    number = (F.col("yi") * nx + F.col("xi")).alias("cell")
+    graph = edges.select(number, (F.col("down_yi") * nx + F.col("down_xi")).alias("down")).join(areas.select(number, "area"), "cell")
+    sums = flow.accumulate(graph, "area").withColumnRenamed("total", "area").join(flow.accumulate(graph).withColumnRenamed("total", "cells"), "cell")
+    back = [F.floor(F.col("cell") / nx).cast("long").alias("yi"), (F.col("cell") % nx).alias("xi")]
+    # a gauge without an area keeps its cell: it asks for the area that is there
+    here = placed.join(sums.select(*back, F.col("area").alias("there")), ["yi", "xi"], "left").select("id", "yi", "xi", F.coalesce("area", "there").alias("area"))
+    found, cells = delineate_gauges(here, edges, areas, nx, k, max_error)
+    named = cells.join(found.select("id", F.col("cell").alias("outlet")), "outlet").select(*back, "id")
+    return {"gauges": found, "basins": named, "accumulation": sums.select(*back, "area", "cells")}
+
+
+def landcover_series(grids: DataFrame, intervals: DataFrame) -> DataFrame:
+    """yi, xi, lat, lon, time, value of land-cover grids (file name in ``var``) on their intervals (file, year_start, year_end), which must follow on from each other."""
+    known = landcover.half_open(landcover.check_intervals(intervals.withColumn("__all", F.lit(0)), ["__all"]), ["__all"])
+    name = F.regexp_extract("file", r"([^/]+?)(\.[^./]+)?$", 1)
+    return grids.join(known.select(name.alias("var"), F.col("lo").cast("timestamp_ntz").alias("time")), "var").select("yi", "xi", "lat", "lon", "time", "value")
+
+
 def subdomain_masks(new_basins: DataFrame, old_basins: DataFrame, land: DataFrame) -> DataFrame:
     """yi, xi, basin, cls: every new basin takes the old class that most of its cells have, gaps of the old one filled from the nearest cell."""
     whole = grid.fill_nearest(old_basins.withColumn("__k", F.lit(0)), ["__k"], "cls").select("yi", "xi", "cls")
