@@ -67,7 +67,7 @@ def bootstrap_skill(df: DataFrame, years: DataFrame, sim: str = "sim", obs: str
     """
     moments = [F.count(c).alias(f"n_{c}") for c in (sim, obs)] + [F.sum(c).alias(f"s_{c}") for c in (sim, obs)] + [F.sum(F.col(c) ** 2).alias(f"q_{c}") for c in (sim, obs)]
     per_month = df.groupBy("id", F.year(time).alias("year"), F.month(time).alias("month")).agg(*moments)
-    drawn = per_month.join(F.broadcast(years), "year")  # draws: iterations times years, stated by the caller
+    drawn = per_month.join(years, "year")
     total = lambda c: F.sum(F.col(c) * F.col("times"))
     mean = {c: safe_div(total(f"s_{c}"), total(f"n_{c}")) for c in (sim, obs)}
     deviation = {c: F.sqrt(F.greatest(safe_div(total(f"q_{c}"), total(f"n_{c}")) - mean[c] ** 2, F.lit(0.0))) for c in (sim, obs)}
