@@ -133,7 +133,7 @@ def windows_near(hits: np.ndarray, first: np.ndarray, words: int, k: int, least:
 
 
 def _windows(docs: DataFrame, sizes: dict[int, np.ndarray]) -> DataFrame:
-    """doc, words (of the item size), start, len, fp, shingles of the windows that may match; ``sizes``: item shingles by words."""
+    """doc, words (of the item size), span, start, len, fp of the windows that may match, and for each span (windows that follow on from each other) its shingles; ``sizes``: item shingles by words."""
     of_k = {k: np.concatenate([v for w, v in sizes.items() if min(SHINGLE, w) == k]) for k in sorted({min(SHINGLE, w) for w in sizes})}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,20 +160,39 @@ def _windows(docs: DataFrame, sizes: dict[int, np.ndarray]) -> DataFrame:
                         ends = np.cumsum(n)
                         flat = grams[np.repeat(start, n) + np.arange(ends[-1]) - np.repeat(ends - n, n)]
                         text = np.searchsorted(tok.first, start, "right") - 1
-                        lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(flat.view(np.int64)))
+                        # windows that follow on from each other share one list of shingles, their span's
+                        new = np.ones(len(start), bool)
+                        new[1:] = (start[1:] != start[:-1] + 1) | (text[1:] != text[:-1]) | (n[1:] != n[:-1])
+                        begin = np.flatnonzero(new)
+                        last = np.append(begin[1:], len(start)) - 1
+                        own = start - tok.first[text]
+                        span = own[begin][np.cumsum(new) - 1]
+                        lists = [grams[start[a] : start[z] + n[z]].view(np.int64) for a, z in zip(begin, last, strict=True)]
+                        m = len(begin)
+                        kept = pa.array([None] * len(start) + lists, pa.list_(pa.int64()))
+                        none = lambda x, kind: pa.concat_arrays([pa.array(x, kind), pa.nulls(m, kind)])
                         yield pa.RecordBatch.from_arrays(
-                            [b.column(0).take(pa.array(piece.lo + text)), pa.array(np.full(len(start), words, np.int32)), pa.array(start - tok.first[text]), pa.array((n + k - 1).astype(np.int32)), pa.array(simhash(flat, ends - n).view(np.int64)), lists],
-                            names=["doc", "words", "start", "len", "fp", "shingles"])
+                            [b.column(0).take(pa.array(piece.lo + np.append(text, text[begin]))), pa.array(np.full(len(start) + m, words, np.int32)), pa.array(np.append(span, span[begin])), none(own, pa.int64()),
+                             none((n + k - 1).astype(np.int32), pa.int32()), none(simhash(flat, ends - n).view(np.int64), pa.int64()), kept],
+                            names=["doc", "words", "span", "start", "len", "fp", "shingles"])
 
-    return docs.mapInArrow(run, "doc long, words int, start long, len int, fp long, shingles array<long>")
+    return docs.mapInArrow(run, "doc long, words int, span long, start long, len int, fp long, shingles array<long>")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each span and item, the similarity of the windows that were found: doc, item, span, found (start, len), shingles, item_shingles, k."""
+    schema = pa.schema([("doc", pa.int64()), ("item", pa.int64()), ("start", pa.int64()), ("len", pa.int32()), ("similarity", pa.float64())])
     for b in batches:
-        x, y = b.column(4).to_pylist(), b.column(5).to_pylist()
-        sim = [similarity(np.array(p, np.int64), np.array(q, np.int64)) for p, q in zip(x, y, strict=True)]
-        out = pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(sim, pa.float64())], names=["doc", "item", "start", "len", "similarity"])
-        yield out.filter(pa.compute.greater_equal(out.column(4), THRESHOLD))
+        out: list[tuple] = []
+        for doc, item, span, found, x, y, k in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+            x, y = np.array(x, np.int64), np.array(y, np.int64)
+            for w in found:
+                at = w["start"] - span
+                sim = similarity(x[at : at + w["len"] - k + 1], y)
+                if sim >= THRESHOLD:
+                    out.append((doc, item, w["start"], w["len"], sim))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
 
 def _block(fp, i: int):
@@ -195,16 +214,18 @@ def _matches(docs: DataFrame, items: pa.Table) -> DataFrame:
     windows = materialize(_windows(docs, {w: np.concatenate(v) for w, v in sorted(sizes.items())}), "windows")
     held = spark.createDataFrame(known, schema=spark.createDataFrame([], schema).schema)
     masks = [sum(1 << b for b in bits) for r in range(BLOCK_RADIUS + 1) for bits in combinations(range(BLOCK_BITS), r)]
-    blocks = F.array(*[F.struct(F.lit(i).alias("block"), F.col("fp")) for i in range(BLOCKS)])
     listed = held.select("item", "words", "item_fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("item_fp"), i).alias("own")) for i in range(BLOCKS)])).alias("b"))
     listed = listed.select("item", "words", "item_fp", "b.block", F.explode(F.transform(F.lit(masks).cast("array<bigint>"), lambda m: m.bitwiseXOR(F.col("b.own")))).alias("value"))
-    asked = windows.select("doc", "words", "start", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("b"))
-    asked = asked.select("doc", "words", "start", "fp", "b.block", "b.value")
+    asked = windows.filter("fp is not null").select("doc", "words", "span", "start", "len", "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("block"), _block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("b"))
+    asked = asked.select("doc", "words", "span", "start", "len", "fp", "b.block", "b.value")
     # merged, not broadcast: the list has thousands of rows an item, which its estimated size does not show
     near = asked.join(listed.hint("merge"), ["words", "block", "value"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    candidates = near.select("doc", "words", "start", "item").distinct()
-    full = candidates.join(windows.drop("fp"), ["doc", "words", "start"]).join(held.select("item", "item_shingles"), "item")
-    checked = full.select("doc", "item", "start", "len", "shingles", "item_shingles").mapInArrow(_verify, "doc long, item long, start long, len int, similarity double")
+    # a row a span and item, however many of the span's windows are near the item
+    candidates = near.groupBy("doc", "words", "span", "item").agg(F.collect_set(F.struct("start", "len")).alias("found"))
+    spans = windows.filter("fp is null").select("doc", "words", "span", "shingles").dropDuplicates(["doc", "words", "span", "shingles"])
+    full = candidates.join(spans, ["doc", "words", "span"]).join(held.select("item", "item_shingles"), "item")
+    k = F.least(F.lit(SHINGLE), "words")
+    checked = full.select("doc", "item", "span", "found", "shingles", "item_shingles", k.alias("k")).mapInArrow(_verify, "doc long, item long, start long, len int, similarity double")
     best = F.max(F.struct("similarity", (-F.col("start")).alias("from"), "len")).alias("m")
     return checked.groupBy("doc", "item").agg(best).select("doc", "item", "m.similarity", (-F.col("m.from")).alias("start_word"), F.col("m.len").alias("n_words"))
 
