@@ -75,7 +75,10 @@ def spearman_whole(df: DataFrame, x: str, y: str) -> DataFrame:
     """rho, n over all rows: in one ordering up to ``ONE_TASK`` pairs, beyond by rank tables that are joined back on the values."""
     pairs = paired(df, x, y).select(F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y"))
     if pairs.limit(ONE_TASK + 1).count() <= ONE_TASK:
-        return spearman(pairs.withColumn("__all", F.lit(0)), ["__all"], "__x", "__y").select("rho", "n")
+        one = pairs.withColumn("__all", F.lit(0))
+        ranked = one.select(average_rank("__x", ["__all"]).alias("rx"), average_rank("__y", ["__all"]).alias("ry"))
+        out = ranked.agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
+        return out.withColumn("rho", F.when(F.col("n") >= 2, F.col("rho")))
     rx = rank_table(pairs, "__x").select(F.col("value").alias("__x"), F.col("rank").alias("rx"))
     ry = rank_table(pairs, "__y").select(F.col("value").alias("__y"), F.col("rank").alias("ry"))
     out = pairs.join(rx, "__x").join(ry, "__y").agg(safe_corr("rx", "ry").alias("rho"), F.count("*").alias("n"))
