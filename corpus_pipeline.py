@@ -16,6 +16,8 @@ from tarnflow.session import ship_package
 
 #: Jaccard similarity, in per cent, from which documents are near duplicates.
 NEAR = 80
+#: Ids up to which they are sent to every executor.
+MAX_LOCAL = 500_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,19 +41,21 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays.
 
-    Where doc_ids are null or repeated, rows are told apart by doc_id and text: those that are no copies all stay, and of a group the one with the smallest (doc_id, text), null first.
+    Where doc_ids are null or repeated, rows are told apart by doc_id and text: those that are no copies all stay, and of a group the one with the smallest (doc_id, text), one with a doc_id ahead of one without.
     """
     ship_package(spark)
     odd = docs.groupBy("doc_id").agg(F.count("*").alias("__rows")).filter("__rows > 1 or doc_id is null")
     if odd.isEmpty():
         found = superminhash.near_dedup(docs.select("doc_id", "text"), NEAR)
-        stays = materialize(found.filter("kept").select(F.col("doc_id").alias("__id")), "near-kept")
-        return docs.join(stays, F.col("doc_id") == F.col("__id")).select(*docs.columns)
+        # those that go are few next to those that stay; texts are met where they are while their ids are
+        gone = materialize(found.filter("not kept").select(F.col("doc_id").alias("__id")), "near-gone")
+        gone = F.broadcast(gone) if gone.count() <= MAX_LOCAL else gone
+        return docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti").select(*docs.columns)
     keyed = docs.withColumn("__key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
     found = superminhash.near_dedup(keyed.select(F.col("__key").alias("doc_id"), "text"), NEAR)
     groups = materialize(found.select(F.col("doc_id").alias("__key"), F.col("component_id").alias("__group")).distinct(), "near-groups")
     named = keyed.select("__key", "doc_id", "text").join(groups, "__key")
-    stays = named.groupBy("__group").agg(F.min(F.struct("doc_id", "text", "__key")).alias("s")).select("s.__key")
+    stays = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text", "__key")).alias("s")).select("s.__key")
     one = keyed.join(materialize(stays, "near-kept"), "__key").withColumn("__n", F.row_number().over(Window.partitionBy("__key").orderBy("doc_id"))).filter("__n = 1")
     return one.select(*docs.columns)
 
