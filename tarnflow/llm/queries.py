@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import wraps
 
 from ..session import ship_package
-from . import decontaminate, fm_index, licenses, line_dedup, minhash, mixing, suffix_array, superminhash, toxicity, url_filter
+from . import decontaminate, fill_middle, fm_index, licenses, line_dedup, minhash, mixing, periodic, pii, suffix_array, superminhash, toxicity, url_filter
 
 
 def _shipped(query):
@@ -28,6 +28,9 @@ QUERIES = {
     "op8_url_filter": url_filter.op8_url_filter,
     "op9_benchmark_decontamination": decontaminate.op9_benchmark_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
+    "op11_personal_data": pii.op11_personal_data,
+    "op12_fill_in_middle": fill_middle.op12_fill_in_middle,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 QUERIES = {name: _shipped(query) for name, query in QUERIES.items()}
 
@@ -39,4 +42,6 @@ SQL = {
     "op7_license_scan": licenses.OP7_SQL,
     "op9_benchmark_decontamination": decontaminate.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
+    "op11_personal_data": pii.OP11_SQL,
+    "op12_fill_in_middle": fill_middle.OP12_SQL,
 }
