@@ -53,8 +53,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 LOGIN_TAIL = r"[A-Za-z0-9._~%!$&'()*+,;=:-]+@[A-Za-z0-9.-]*[A-Za-z0-9]"
 ACCOUNT_TAIL = r"(?: ?(?:no|No|NO|nr|Nr|number|Number|id|ID))?[.:#]? ?#?"
 _LOGIN, _ACCOUNT, _NOT_DIGIT = re.compile(LOGIN_TAIL), re.compile(ACCOUNT_TAIL), re.compile("[^0-9]")
-IBAN = r"[A-Z][A-Z][0-9][0-9](?: ?[A-Z0-9]){11,30}"
-_IBAN_TAIL = re.compile(r"(?: ?[A-Z0-9]){11,30}")
+IBAN_TAIL = r"(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)"
+_IBAN_TAIL = re.compile(IBAN_TAIL)
 
 Span = tuple[str, int, int]
 
@@ -221,7 +221,7 @@ def _quoted(pattern: str) -> str:
 
 
 _CUES = "|".join(form for cue in CUES for form in (cue, cue.capitalize(), cue.upper()))
-_SQL_PATTERNS = PATTERNS | {"login": f"(?:{'|'.join(SCHEMES)})://{LOGIN_TAIL}", "account": f"(?:{_CUES}){ACCOUNT_TAIL}[0-9](?:[ -]?[0-9])+", "iban": IBAN}
+_SQL_PATTERNS = PATTERNS | {"login": f"(?:{'|'.join(SCHEMES)})://{LOGIN_TAIL}", "account": f"(?:{_CUES}){ACCOUNT_TAIL}[0-9](?:[ -]?[0-9])+", "iban": "[A-Z][A-Z][0-9][0-9]" + IBAN_TAIL}
 #: Matches are set off by a character that texts do not hold then; every second piece is a match, and lengths before it are its place.
 OP11_SQL = f"""
 WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),

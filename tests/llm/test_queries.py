@@ -12,6 +12,8 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver
 COLUMNS = {
     "op1": ["doc_id", "held_out", "score", "predicted"], "op2": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], "op3": ["doc_id", "n_words", "n_removed", "kept_sha256"],
     "op4": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"], "op6": ["doc_id", "n_shingles", "component_id", "kept"], "op8": ["page_id", "host", "path", "rule", "verdict"],
+    "op11": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"], "op12": ["doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256"],
+    "op13": ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"],
 }
 
 
