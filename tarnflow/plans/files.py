@@ -17,8 +17,11 @@ from .views import GAUGE_TS, GRID_TS, STATIC_GRID, gauge_ts, grid_ts, static_gri
 
 
 def _folder(spark, name: str) -> str:
-    """A new folder in the shared one, as a path."""
-    path = Path(shared_dir(spark).removeprefix("file://").removeprefix("file:")) / f"{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one, as a path: formats that are read and written in place need a mounted file system."""
+    shared = shared_dir(spark)
+    if ":" in shared.removeprefix("file:"):
+        raise ValueError(f"{shared} is no mounted folder: give one as spark.checkpoint.dir")
+    path = Path(shared.removeprefix("file://").removeprefix("file:")) / f"{name}-{uuid.uuid4().hex}"
     path.mkdir(parents=True)
     return str(path)
 
@@ -68,6 +71,29 @@ def netcdf_round_trip(spark, sf):
     return netcdf.read_netcdf(spark, path, "pre").select("var", "time", "yi", "xi", "lat", "lon", "value")
 
 
+_PLACE = [(50 - F.col("yi") * 0.5).alias("lat"), (10 + F.col("xi") * 0.5).alias("lon")]
+
+
+def _chunked(spark, sf) -> str:
+    """The gridded series as a NetCDF-4 file of small chunks."""
+    path = _folder(spark, "netcdf4") + "/pre.nc"
+    netcdf.write_netcdf(grid_ts(spark, sf).select("yi", "xi", "t", *_PLACE, F.col("ref").alias("value")), path, "pre", {"units": "mm"}, kind="netcdf4", chunk=(6, 32, 8))
+    return path
+
+
+@query("s01_netcdf4_round_trip", f"WITH {_SERIES} SELECT 'pre' AS var, t AS time, yi, xi, lat, lon, value FROM dense", "lat lon value")
+def netcdf4_round_trip(spark, sf):
+    """A gridded series written as a chunked, shuffled and deflated file, and scanned, a partition a block of chunks."""
+    return netcdf.read_netcdf(spark, _chunked(spark, sf), "pre").select("var", "time", "yi", "xi", "lat", "lon", "value")
+
+
+@query("s01_netcdf_pushdown", f"WITH {_SERIES} SELECT t AS time, yi, xi, value FROM dense WHERE t >= TIMESTAMP '1994-03-01' AND t < TIMESTAMP '1995-07-01' AND lat <= 49.5 AND lon > 11 AND lon < 13.5", "value")
+def netcdf_pushdown(spark, sf):
+    """A time range and a box, of which the source reads its chunks only."""
+    box = "time >= timestamp_ntz'1994-03-01' AND time < timestamp_ntz'1995-07-01' AND lat <= 49.5 AND lon > 11 AND lon < 13.5"
+    return netcdf.read_netcdf(spark, _chunked(spark, sf), "pre").filter(box).select("time", "yi", "xi", "value")
+
+
 @query("k07_axis_bounds", f"WITH {STATIC_GRID}, a AS (SELECT DISTINCT lat c FROM static_grid), n AS (SELECT c, lag(c) OVER (ORDER BY c) p, lead(c) OVER (ORDER BY c) q FROM a) SELECT c AS lat, greatest(coalesce((c + p) / 2, c - (q - c) / 2, c - 0.5), coalesce((c + q) / 2, c + (c - p) / 2, c + 0.5)) AS upper, least(coalesce((c + p) / 2, c - (q - c) / 2, c - 0.5), coalesce((c + q) / 2, c + (c - p) / 2, c + 0.5)) AS lower FROM n", "lat upper lower")
 def netcdf_bounds(spark, sf):
     """K7: the bounds that a NetCDF file is given."""

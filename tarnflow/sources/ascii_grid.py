@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -10,6 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import write_through
+from .placed import write_placed
+
+#: Lines of a grid up to which their places are broadcast.
+MAX_LOCAL = 20_000
 NODATA = -9999.0
 REQUIRED = ("ncols", "nrows", "cellsize")
 
@@ -100,15 +104,20 @@ def grid_lines(df: DataFrame, value: str = "value", nodata: float = NODATA) -> D
 
 
 def write_ascii(df: DataFrame, path: str, value: str = "value") -> Header:
-    """One ASCII file on the driver's file system, streamed line by line; a table of several variables is refused."""
+    """One ASCII file; a table of several variables is refused.
+
+    The lines are a table first.  Their lengths (a number a line of the grid) give each its place, and tasks write them there.
+    """
     if "var" in df.columns and df.select("var").distinct().limit(2).count() > 1:
         raise ValueError("an ASCII grid holds one variable")
     head = header_of(df)
-    lines: Iterator = grid_lines(df, value, head.nodata).orderBy("yi").toLocalIterator()
-    with Path(path).open("w") as f:
-        f.write(head.text() + "\n")
-        for r in lines:
-            f.write(r.line + "\n")
+    lines = write_through(grid_lines(df, value, head.nodata).select("yi", F.concat("line", F.lit("\n")).alias("text")), "lines")
+    places, at = [], 0
+    for r in lines.select("yi", F.octet_length("text").alias("n")).orderBy("yi").collect():
+        places.append((r.yi, at))
+        at += r.n
+    table = df.sparkSession.createDataFrame(places, "yi long, place long")
+    write_placed(lines.join(F.broadcast(table) if len(places) <= MAX_LOCAL else table, "yi").select("place", "text"), path, (head.text() + "\n").encode())
     return head
 
 

@@ -48,11 +48,11 @@ def payload(columns: list[str], path: str | None = None) -> str:
 
 
 def read_grid(spark: SparkSession, path: str, var: str | None = None, nodata: float | None = -9999.0) -> DataFrame:
-    """A long grid by suffix: ``.asc`` files, Parquet, CSV, NetCDF in the classic formats."""
+    """A long grid by suffix: ``.asc`` files, Parquet, CSV, NetCDF."""
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix == ".asc":
         return read_ascii(spark, path, var)
-    if suffix == ".nc":
+    if suffix in (".nc", ".nc4"):
         found = read_netcdf(spark, path, var)
         return found if var or found.select("var").distinct().limit(2).count() < 2 else found.filter(F.col("var") == payload([r[0] for r in found.select("var").distinct().collect()], path))
     if suffix in (".tif", ".tiff"):
@@ -69,12 +69,12 @@ def read_tree(spark: SparkSession, path: str, pattern: str = "*.parquet") -> Dat
 
 
 def write_grid(df: DataFrame, path: str, partition: list[str] | None = None) -> None:
-    """``.asc``, ``.nc`` (classic format), or Parquet (partitioned by the columns named); what was there is replaced only when the suffix is known."""
+    """``.asc``, ``.nc`` (classic format), ``.nc4`` (chunked and deflated), or Parquet (partitioned by the columns named); what was there is replaced only when the suffix is known."""
     suffix = Path(path.rstrip("/")).suffix.lower()
     if suffix == ".asc":
         write_ascii(df, path)
-    elif suffix == ".nc":
-        write_netcdf(df, path, provenance=provenance())
+    elif suffix in (".nc", ".nc4"):
+        write_netcdf(df, path, provenance=provenance(), kind="netcdf4" if suffix == ".nc4" else "classic")
     elif suffix in (".parquet", ""):
         writer = df.write.mode("overwrite")
         (writer.partitionBy(*partition) if partition else writer).parquet(path)
