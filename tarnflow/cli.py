@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import limits
 from .functions.arith import difference, ratio, relative_difference
 from .functions.pet import pet
-from .operators import bankfull, grid, rank, resample, skill, tables, tiles, workflows
+from .operators import bankfull, grid, rank, resample, skill, tables, terrain, tiles, workflows
 from .session import session
 from .sources import ascii_grid, series, texts
 from .sources.tables import read_grid, write_grid
@@ -193,10 +193,14 @@ def taylor_diagram(spark, a):
     skill.taylor_statistics(_series(spark, a.input), a.series).write.mode("overwrite").parquet(a.output)
 
 
-@command("create-catchment", IN, arg("gauges", help="CSV with id, lat, lon and perhaps area"), OUT, arg("--cell-size", type=float, required=True), arg("--reach", type=int, default=3), arg("--max-error", type=float, default=0.3))
+@command("create-catchment", IN, arg("gauges", help="CSV with id, lat, lon and perhaps area"), OUT, arg("--cell-size", type=float, required=True), arg("--reach", type=int, default=3), arg("--max-error", type=float, default=0.3), arg("--terrain", action="store_true", help="the input holds heights instead of D8 codes"))
 def create_catchment(spark, a):
-    """Gauges on a grid of D8 codes, their basins, and accumulation, a folder each."""
-    directions = read_grid(spark, a.input).withColumn("dir", F.col("value").cast("int"))
+    """Gauges on a grid of D8 codes, or of heights, their basins, and accumulation, a folder each."""
+    cells = read_grid(spark, a.input)
+    if a.terrain:
+        directions = cells.select("yi", "xi", "lat", "lon").join(terrain.flow_directions(cells).select("yi", "xi", "dir"), ["yi", "xi"])
+    else:
+        directions = cells.withColumn("dir", F.col("value").cast("int"))
     gauges = spark.read.csv(a.gauges, header=True, inferSchema=True)
     gauges = gauges if "area" in gauges.columns else gauges.withColumn("area", F.lit(None).cast("double"))
     for name, df in workflows.create_catchment(directions, gauges, a.cell_size, a.reach, a.max_error).items():

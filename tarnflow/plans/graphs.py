@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flow as graph
-from ..operators import tiles
+from ..operators import terrain, tiles
 from .registry import query
 from .views import FLOW, flow, table
 
@@ -139,3 +139,28 @@ def river_stretches(spark, sf):
     """Nested outlets along one long river."""
     river = _river(spark, sf)
     return graph.delineate(river, river.filter("cell % 50 = 0").select("cell"))
+
+
+#: A terrain a hundred cells wide, of whole numbers, so that much of it is level.
+_TERRAIN = """z AS (SELECT CAST(floor(l_partkey / 100) AS BIGINT) yi, CAST(l_partkey % 100 AS BIGINT) xi, floor(avg(CAST(l_quantity AS DOUBLE)) / 2) z FROM lineitem GROUP BY l_partkey),
+    o(dy, dx) AS (VALUES (-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)),
+    nb AS (SELECT a.yi, a.xi, b.yi AS ny, b.xi AS nx, b.z AS nz FROM z a CROSS JOIN o JOIN z b ON b.yi = a.yi + dy AND b.xi = a.xi + dx),
+    outlets AS (SELECT yi, xi, z FROM z WHERE (yi, xi) NOT IN (SELECT (yi, xi) FROM nb GROUP BY yi, xi HAVING count(*) = 8)),
+    f(yi, xi, level) USING KEY (yi, xi) AS (SELECT yi, xi, z FROM outlets UNION
+        SELECT nb.ny, nb.nx, min(greatest(f.level, nb.nz)) AS level FROM f JOIN nb ON nb.yi = f.yi AND nb.xi = f.xi LEFT JOIN recurring.f r ON r.yi = nb.ny AND r.xi = nb.nx
+        WHERE r.level IS NULL OR greatest(f.level, nb.nz) < r.level GROUP BY nb.ny, nb.nx),
+    n AS (SELECT nb.yi, nb.xi, a.level, nb.ny, nb.nx, b.level AS nlevel FROM nb JOIN f a ON a.yi = nb.yi AND a.xi = nb.xi JOIN f b ON b.yi = nb.ny AND b.xi = nb.nx),
+    s(yi, xi, steps) USING KEY (yi, xi) AS (SELECT yi, xi, CAST(0 AS BIGINT) FROM (SELECT yi, xi FROM outlets UNION SELECT yi, xi FROM n WHERE nlevel < level) UNION
+        SELECT n.ny, n.nx, min(s.steps) + 1 AS steps FROM s JOIN n ON n.yi = s.yi AND n.xi = s.xi AND n.nlevel = n.level LEFT JOIN recurring.s r ON r.yi = n.ny AND r.xi = n.nx WHERE r.steps IS NULL GROUP BY n.ny, n.nx),
+    d AS (SELECT n.yi, n.xi, arg_min(row(n.ny, n.nx), row(n.nlevel, s.steps, n.ny, n.nx)) AS down FROM n JOIN s ON s.yi = n.ny AND s.xi = n.nx WHERE (n.yi, n.xi) NOT IN (SELECT (yi, xi) FROM outlets) GROUP BY n.yi, n.xi)"""
+
+
+def _terrain(spark, sf):
+    height = F.floor(F.avg(F.col("l_quantity").cast("double")) / 2).cast("double").alias("value")
+    return table(spark, sf, "lineitem").groupBy(F.floor(F.col("l_partkey") / 100).cast("long").alias("yi"), (F.col("l_partkey") % 100).cast("long").alias("xi")).agg(height)
+
+
+@query("g01_flow_directions", f"WITH RECURSIVE {_TERRAIN} SELECT f.yi, f.xi, f.level AS filled, d.down[1] AS down_yi, d.down[2] AS down_xi FROM f LEFT JOIN d USING (yi, xi)")
+def flow_directions(spark, sf):
+    """G1: filled heights, and the cell that each drains into; tiles of 32 x 32 cells."""
+    return terrain.flow_directions(_terrain(spark, sf), 32).select("yi", "xi", "filled", "down_yi", "down_xi")

@@ -101,3 +101,13 @@ def test_second_names_and_hints(spark, asc, tmp_path, capsys):
         main(["create-catchmet"])
     assert "did you mean create-catchment" in capsys.readouterr().err
     assert len(COMMANDS) >= 28
+
+
+def test_catchment_from_terrain(spark, tmp_path):
+    # a valley that falls to the east between two ridges; the rim is an outlet of its own
+    heights = grid_file(tmp_path / "dem.asc", [[9, 9, 9, 9, 9], [9, 8, 6, 4, 2], [9, 9, 9, 9, 9]])
+    (tmp_path / "gauges.csv").write_text("id,lat,lon,area\n1,1.5,4.5,\n")
+    main(["create-catchment", heights, str(tmp_path / "gauges.csv"), str(tmp_path / "c"), "--cell-size", "1", "--reach", "0", "--terrain"])
+    sums = {(r.yi, r.xi): r.cells for r in spark.read.parquet(str(tmp_path / "c/accumulation")).collect()}
+    assert sums[1, 4] == 4 and sums[1, 2] == 2 and sums[0, 0] == 1
+    assert {(r.yi, r.xi) for r in spark.read.parquet(str(tmp_path / "c/basins")).collect()} == {(1, 1), (1, 2), (1, 3), (1, 4)}
