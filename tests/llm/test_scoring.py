@@ -154,16 +154,34 @@ def test_url_odd_tables(spark):
     assert url_filter.filter_urls(df.filter("page_id > 9")).collect() == []
 
 
-def test_url_shares_are_of_all_urls(spark, monkeypatch):
+def test_url_statistics_are_of_all_urls(spark, monkeypatch):
     """Not of the sample that the trees are fitted on; alike where the tables are joined by shuffle; repeated URLs count once."""
-    urls = [f"https://h{i % 4}.{'com' if i % 2 else 'net'}/{i}" for i in range(400)]
+    urls = [f"https://h{i % 4}.{'com' if i % 2 else 'net'}/{i}" for i in range(400)] + [f"https://a.h1.com/{i}" for i in range(50)] + ["https://co/1"]
     pages = url_filter.with_rule(spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls[:100])], "page_id long, url string"))
     for most in (20_000, 1):
         monkeypatch.setattr(url_filter, "MAX_LOCAL", most)
-        shares = url_filter.suffix_shares(pages)
-        want = {"f_host_share": 101 / 401, "f_suffix_share": 101 / 401, "f_top_share": 201 / 401}
-        got = url_filter.with_shares(url_filter.with_features(pages), shares).select(*want).distinct().collect()
-        assert len(got) == 1 and all(abs(got[0][k] - np.log(v)) < 1e-9 for k, v in want.items())
+        rows = url_filter.with_shares(url_filter.with_features(pages), url_filter.suffix_statistics(pages)).select("host", *url_filter.SHARES).distinct().collect()
+        # host: URLs, of its suffix, of its top-level domain, hosts there
+        counts = {"h0.net": (100, 100, 200, 2), "h2.net": (100, 100, 200, 2), "h1.com": (100, 150, 250, 3), "h3.com": (100, 100, 250, 3), "a.h1.com": (50, 150, 250, 3), "co": (1, 1, 1, 1)}
+        want = {h: (np.log(n * k / t), np.log(n / f), np.log(f / t)) for h, (n, f, t, k) in counts.items()}
+        assert len(rows) == len(want) and all(np.allclose(tuple(r)[1:], want[r.host]) for r in rows)
+
+
+def test_no_feature_names_the_top_level_domain(spark):
+    urls = [f"http{'s' * (i % 2)}://h{i % 3}.example.{top}/{'en' if i % 5 else 'de'}/{i}?a={i}" for i in range(60) for top in ("com", "net", "org")]
+    pages = url_filter.with_rule(spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string"))
+    rows = url_filter.with_shares(url_filter.with_features(pages), url_filter.suffix_statistics(pages)).orderBy("page_id").collect()
+    features = [tuple(r[f] for f in url_filter.FEATURES) for r in rows]
+    assert features[0::3] == features[1::3] == features[2::3] and len(set(features)) > 30
+
+
+def test_lexical_features(spark):
+    df = url_filter.with_rule(spark.createDataFrame([(1, "http://ab.c-d.com/abca/1?x=1&y=2#z"), (2, None), (3, "aab")], "page_id long, url string"))
+    one, two, three = url_filter.with_features(df).orderBy("page_id").collect()
+    assert (one.f_len, one.f_host_len, one.f_path_len, one.f_depth, one.f_params, one.f_dash, one.f_fragment) == (24, 6, 7, 2, 2, 1, 1)
+    assert one.f_path_letter == pytest.approx(1.75) and one.f_path_digits == pytest.approx(1 / 7)
+    assert one.f_path_entropy == pytest.approx(-sum(k / 7 * np.log2(k / 7) for k in (2, 2, 1, 1, 1)))
+    assert two.f_len == 0 and two.f_entropy == 0 and three.f_entropy == pytest.approx(-2 / 3 * np.log2(2 / 3) - 1 / 3 * np.log2(1 / 3))
 
 
 def test_trees_see_no_labels_and_use_lexical_features(spark):
