@@ -6,13 +6,14 @@ over all slots that at least two texts of the sample have, so it learns that two
 and a group mention) count for more, or less, than each alone, also where neither tells anything alone.
 
 Training is on the driver, on a sample of labelled rows of bounded size (``MAX_TRAIN``, the
-least by hash of doc_id).  Linear weights are fitted first; factors then learn from what these leave unexplained.  No term is
+least by hash of doc_id).  Linear weights are fitted first; factors then learn from what these leave unexplained.  Both stop where the loss of
+a quarter of the sample, set aside, no longer falls; the same quarter sets the bias.  No term is
 left out beforehand: sparseness is the penalty's doing.  Scoring is one pass over the documents, with
 no shuffle; every whole text is scored.
 
 Edge cases: null and empty texts have no terms and get the score of the bias; several labels
 of one doc_id count as their maximum; a null label is no label; a sample with one label only, or without rows,
-gives every text the smoothed label rate; repeated rows are answered one by one; an
+gives every text the smoothed label rate; repeated rows are answered one by one, texts with equal terms get equal scores (ties); very long texts are whole; an
 empty table gives an empty result; further columns stay.
 """
 
@@ -32,10 +33,14 @@ BITS = 20
 PREFIX = 4
 FACTORS = 4
 MAX_TRAIN = 16_000
-#: Training: steps of so many texts, the rate, the spread of the factors' random start, the share of steps ahead of them.
-STEPS, BATCH, RATE, START, HEAD = 400, 500, 0.5, 0.01, 0.4
+#: Training: steps of so many texts at most, the rate, the spread of the factors' random start, the share of rows set aside to tell when to stop.
+STEPS, BATCH, RATE, START, ASIDE = 800, 250, 0.5, 0.01, 4
+#: A phase ends when so many looks at the rows set aside have not seen a loss lower by a share or an amount, but not before so many steps: factors start slowly.
+PATIENCE, GAIN, LEAST = 4, (0.02, 0.001), (20, 120)
+#: How far the bias is lowered at most to keep clean rows set aside below the threshold, and how far below (in log odds).
+CAUTION, MARGIN = 0.5, 0.25
 #: Penalties of the linear weight and of each factor: in units of texts, and of the squared weight.
-L1, L2 = (8.0, 10.0), (0.0, 10.0)
+L1, L2 = (16.0, 10.0), (0.0, 10.0)
 THRESHOLD = 0.3
 
 
@@ -69,23 +74,72 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: int = 1) -> Machine:
-    """``rows``: the distinct slots of each text.  Logistic loss over all slots that two texts have, by follow-the-regularised-leader steps of ``BATCH`` texts.
+    """``rows``: the distinct slots of each text.
 
-    A step keeps, of each weight, the sum of its gradients and of their squares; the weight is 0 while that sum is within the penalty.
-    Factors start at random, since pairs of zeros have no gradient; where nothing was learned, that start is taken off at the end.
+    A first machine learns from three quarters of the rows; the loss of the last quarter tells how many passes linear weights take, and then
+    factors, and how far the bias is off for texts that were not learned from.  The machine then learns from all rows, in as many passes, with that bias.
     """
     n, n_pos = len(rows), int(labels.sum())
-    index = np.full(1 << BITS, -1, np.int32)
     prior = (n_pos + 0.5) / (n + 1) if n else 0.1
-    empty = Machine(float(np.log(prior / (1 - prior))), index, np.zeros(0), np.zeros((0, FACTORS)))
+    empty = Machine(float(np.log(prior / (1 - prior))), np.full(1 << BITS, -1, np.int32), np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < n_pos < n:
         return empty
+    # every fourth row of each label
+    aside = np.zeros(n, bool)
+    rng = np.random.default_rng(seed)
+    for label in (0, 1):
+        own = rng.permutation(np.flatnonzero(labels == label))
+        aside[own[: len(own) // ASIDE]] = True
+    if not 0 < labels[aside].sum() < aside.sum():
+        return _learn(rows, labels, (steps // 4, steps // 4), seed, empty)[0]
+    pick = lambda keep: [rows[i] for i in np.flatnonzero(keep)]
+    held = (pick(aside), labels[aside])
+    first, took = _learn(pick(~aside), labels[~aside], (steps // 2, steps // 2), seed, empty, held)
+    passes = n / max(1, int((~aside).sum()))
+    machine, _ = _learn(rows, labels, tuple(int(np.ceil(t * passes)) for t in took), seed, empty)
+    machine.bias += _shift(_raw_of(first, held[0]), held[1])
+    return machine
+
+
+def _raw_of(machine: Machine, rows: list[np.ndarray]) -> np.ndarray:
+    first = np.zeros(len(rows) + 1, np.int64)
+    np.cumsum([len(r) for r in rows], out=first[1:])
+    return machine.raw(np.concatenate(rows), first)
+
+
+def _loss(value: np.ndarray, labels: np.ndarray) -> float:
+    return float(np.logaddexp(0, np.where(labels == 1, -value, value)).mean())
+
+
+def _shift(value: np.ndarray, labels: np.ndarray) -> float:
+    """What the bias lacks: the shift with the least loss, one positive and one negative text of no evidence added.
+
+    To reject a clean text is worse than to keep a toxic one: the shift is lowered, by ``CAUTION`` at most, until no clean text reaches ``THRESHOLD``.
+    """
+    low, high = -5.0, 5.0
+    for _ in range(40):
+        mid = (low + high) / 2
+        slope = (_sigmoid(value + mid) - labels).sum() + 2 * _sigmoid(mid) - 1
+        low, high = (low, mid) if slope > 0 else (mid, high)
+    clean = float(np.log(THRESHOLD / (1 - THRESHOLD)) - MARGIN - value[labels == 0].max())
+    return min(mid, max(clean, mid - CAUTION))
+
+
+def _learn(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int], seed: int, empty: Machine, held: tuple | None = None) -> tuple[Machine, tuple[int, int]]:
+    """Logistic loss over all slots that two texts have, by follow-the-regularised-leader steps of ``BATCH`` texts: (machine, steps of each phase).
+
+    A step keeps, of each weight, the sum of its gradients and of their squares; the weight is 0 while that sum is within the penalty.
+    Factors start at random, since pairs of zeros have no gradient; where nothing was learned, that start is taken off at the end.
+    With ``held`` (rows, labels) a phase goes back to where their loss was least.
+    """
+    n = len(rows)
     flat = np.concatenate(rows)
-    held = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= 2)
-    m = len(held)
+    held_slots = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= 2)
+    m = len(held_slots)
     if not m:
-        return empty
-    index[held] = np.arange(m)
+        return empty, (0, 0)
+    index = np.full(1 << BITS, -1, np.int32)
+    index[held_slots] = np.arange(m)
     at = index[flat]
     own = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[at >= 0]
     at = at[at >= 0]
@@ -97,11 +151,34 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: in
     learned, z, s = np.zeros_like(start), np.zeros_like(start), np.zeros_like(start)
     lasso, ridge = (np.array([a, *[b] * FACTORS], np.float32) for a, b in (L1, L2))
     mark, number = np.zeros(m, bool), np.zeros(m, np.int64)
-    w0, s0, done = empty.bias, 1.0, 0
-    while done < steps:
-        order = rng.permutation(n)
-        for lo in range(0, n, BATCH):
+    w0, s0 = empty.bias, 1.0
+
+    def machine() -> Machine:
+        # factors that nothing was learned of are noise
+        factors = np.where((learned[:, 1:] != 0).any(axis=1)[:, None], start[:, 1:] + learned[:, 1:], 0)
+        return Machine(float(w0), index, learned[:, 0].astype(float), factors.astype(float))
+
+    order, lo = rng.permutation(n), 0
+    took = []
+    for phase, most in enumerate(steps):
+        columns = 1 + (FACTORS if phase else 0)
+        best, kept, look, waited = np.inf, None, 0, 0
+        for done in range(most + 1):
+            if held and (done >= look or done == most):
+                now = _loss(_raw_of(machine(), held[0]), held[1])
+                waited += 1
+                if now < best - max(GAIN[0] * min(best, 1.0), GAIN[1]):
+                    waited = 0
+                    best, kept = now, (done, w0, s0, learned.copy(), z.copy(), s.copy())
+                if waited >= PATIENCE and done >= LEAST[phase]:
+                    break
+                look = done + max(3, done // 6)
+            if done == most:
+                break
             docs = order[lo : lo + BATCH]
+            lo += BATCH
+            if lo >= n:
+                order, lo = rng.permutation(n), 0
             count = size[docs]
             row = np.repeat(np.arange(len(docs)), count)
             terms = at[np.arange(len(row)) + np.repeat(begin[docs] - (np.cumsum(count) - count), count)]
@@ -111,17 +188,15 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: in
             k = len(touched)
             number[touched] = np.arange(k)
             terms = number[terms]
-            # factors join in when the linear weights have had their share of the steps
-            columns = 1 + (FACTORS if done >= HEAD * steps else 0)
             now = learned[touched, :columns]
-            own = start[touched, :columns] + now
-            value, sums = _raw(w0, own[:, 0], own[:, 1:], terms, row, len(docs))
+            weights = start[touched, :columns] + now
+            value, sums = _raw(w0, weights[:, 0], weights[:, 1:], terms, row, len(docs))
             err = _sigmoid(value) - labels[docs]
             each = err[row]
             g = np.empty((k, columns), np.float32)
             g[:, 0] = np.bincount(terms, each, k)
             for f in range(1, columns):
-                g[:, f] = np.bincount(terms, each * sums[row, f - 1], k) - own[:, f] * g[:, 0]
+                g[:, f] = np.bincount(terms, each * sums[row, f - 1], k) - weights[:, f] * g[:, 0]
             before = s[touched, :columns]
             after = before + g**2
             total = z[touched, :columns] + g - (np.sqrt(after) - np.sqrt(before)) / RATE * now
@@ -129,12 +204,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: in
             learned[touched, :columns] = -np.sign(total) * np.maximum(np.abs(total) - lasso[:columns], 0) / ((1 + np.sqrt(after)) / RATE + ridge[:columns])
             s0 += err.sum() ** 2
             w0 -= RATE * err.sum() / np.sqrt(s0)
-            done += 1
-            if done == steps:
-                break
-    # factors that nothing was learned of are noise
-    factors = np.where((learned[:, 1:] != 0).any(axis=1)[:, None], start[:, 1:] + learned[:, 1:], 0)
-    return Machine(float(w0), index, learned[:, 0].astype(float), factors.astype(float))
+        if kept:
+            done, w0, s0, learned[:], z[:], s[:] = kept
+        took.append(done)
+    return machine(), tuple(took)
 
 
 def _raw(w0: float, w: np.ndarray, v: np.ndarray, terms: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
