@@ -71,13 +71,11 @@ def netcdf_round_trip(spark, sf):
     return netcdf.read_netcdf(spark, path, "pre").select("var", "time", "yi", "xi", "lat", "lon", "value")
 
 
-_PLACE = [(50 - F.col("yi") * 0.5).alias("lat"), (10 + F.col("xi") * 0.5).alias("lon")]
-
-
 def _chunked(spark, sf) -> str:
     """The gridded series as a NetCDF-4 file of small chunks."""
+    place = [(50 - F.col("yi") * 0.5).alias("lat"), (10 + F.col("xi") * 0.5).alias("lon")]
     path = _folder(spark, "netcdf4") + "/pre.nc"
-    netcdf.write_netcdf(grid_ts(spark, sf).select("yi", "xi", "t", *_PLACE, F.col("ref").alias("value")), path, "pre", {"units": "mm"}, kind="netcdf4", chunk=(6, 32, 8))
+    netcdf.write_netcdf(grid_ts(spark, sf).select("yi", "xi", "t", *place, F.col("ref").alias("value")), path, "pre", {"units": "mm"}, kind="netcdf4", chunk=(6, 32, 8))
     return path
 
 

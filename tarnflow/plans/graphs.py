@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import flow as graph
-from ..operators import terrain, tiles
+from ..operators import terrain, tiles, upscale
 from .registry import query
 from .views import FLOW, flow, table
 
@@ -164,3 +164,42 @@ def _terrain(spark, sf):
 def flow_directions(spark, sf):
     """G1: filled heights, and the cell that each drains into; tiles of 32 x 32 cells."""
     return terrain.flow_directions(_terrain(spark, sf), 32).select("yi", "xi", "filled", "down_yi", "down_xi")
+
+
+#: Cells fifty wide that drain to the east, south-east or south, or against that to the south-west, in units of 4 x 4.
+_DRAINED = """c AS (SELECT CAST(floor(p_partkey / 50) AS BIGINT) yi, CAST(p_partkey % 50 AS BIGINT) xi, p_size % 4 AS k FROM part),
+    e AS (SELECT yi, xi, yi + CASE k WHEN 0 THEN 0 ELSE 1 END AS ty, xi + CASE k WHEN 2 THEN 0 WHEN 3 THEN -1 ELSE 1 END AS tx FROM c),
+    d AS (SELECT e.yi * 1000 + e.xi AS cell, g.yi * 1000 + g.xi AS down FROM e LEFT JOIN c g ON g.yi = ty AND g.xi = tx),
+    up AS (SELECT cell AS top, cell FROM d UNION ALL SELECT d.down, up.cell FROM up JOIN d ON d.cell = up.top WHERE d.down IS NOT NULL),
+    tot AS (SELECT top AS cell, count(*) AS total FROM up GROUP BY top),
+    un AS (SELECT cell, down, total, (cell // 1000 // 4) * 1000 + cell % 1000 // 4 AS unit, (down // 1000 // 4) * 1000 + down % 1000 // 4 AS dunit FROM d JOIN tot USING (cell)),
+    ways AS (SELECT * FROM un WHERE down IS NULL OR dunit <> unit),
+    o0 AS (SELECT unit, arg_max(cell, row(total, -cell)) AS cell FROM ways GROUP BY unit)"""
+
+
+def _round(k: int) -> str:
+    """SQL of one round: what lies below each way out, the conflicts, and the outlets after it."""
+    near = "below IS NOT NULL AND bunit <> unit AND abs(bunit // 1000 - unit // 1000) <= 1 AND abs(bunit % 1000 - unit % 1000) <= 1"
+    return f""", r{k} AS (SELECT cell AS start, down AS pos FROM ways UNION ALL SELECT r.start, d.down FROM r{k} r JOIN d ON d.cell = r.pos WHERE r.pos NOT IN (SELECT cell FROM o{k})),
+    b{k} AS (SELECT start AS cell, pos AS below, (pos // 1000 // 4) * 1000 + pos % 1000 // 4 AS bunit FROM r{k} WHERE pos IN (SELECT cell FROM o{k})),
+    s{k} AS (SELECT unit, cell, down, dunit, total, below, bunit, {near} AS good, cell IN (SELECT cell FROM o{k}) AS outlet FROM ways LEFT JOIN b{k} USING (cell)),
+    n{k} AS (SELECT count(*) AS n FROM s{k} WHERE outlet AND below IS NOT NULL AND NOT good),
+    o{k + 1} AS (SELECT o.unit, coalesce(m.cell, o.cell) AS cell FROM o{k} o LEFT JOIN (SELECT s.unit, arg_max(s.cell, row(s.total, -s.cell)) AS cell FROM s{k} s JOIN s{k} w ON w.unit = s.unit AND w.outlet AND w.below IS NOT NULL AND NOT w.good WHERE NOT s.outlet AND s.good GROUP BY s.unit) m USING (unit))"""
+
+
+_UPSCALED = f"""WITH RECURSIVE {_DRAINED}{_round(0)}{_round(1)},
+    best AS (SELECT * FROM s0 WHERE outlet AND (SELECT n FROM n1) >= (SELECT n FROM n0) UNION ALL SELECT * FROM s1 WHERE outlet AND (SELECT n FROM n1) < (SELECT n FROM n0)),
+    mend AS (SELECT a.unit, arg_min(b.unit, row(b.unit <> a.dunit, b.total, b.unit)) AS link FROM best a JOIN best b ON a.unit <> b.unit AND abs(a.unit // 1000 - b.unit // 1000) <= 1 AND abs(a.unit % 1000 - b.unit % 1000) <= 1 AND b.total > a.total WHERE a.below IS NOT NULL AND NOT a.good GROUP BY a.unit),
+    l AS (SELECT unit, cell, total, below IS NOT NULL AND NOT good AS error, CASE WHEN good THEN bunit ELSE link END AS link FROM best LEFT JOIN mend USING (unit))
+    SELECT CAST(unit // 1000 AS BIGINT) AS yi, CAST(unit % 1000 AS BIGINT) AS xi, CAST(link // 1000 AS BIGINT) AS down_yi, CAST(link % 1000 AS BIGINT) AS down_xi, cell // 1000 AS out_yi, cell % 1000 AS out_xi, CAST(total AS DOUBLE) AS total, error FROM l"""
+
+
+@query("g07_upscaled_directions", _UPSCALED)
+def upscaled_directions(spark, sf):
+    """Directions of units of 4 x 4 cells, conflicts mended in one round."""
+    part = table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("k"), (F.col("p_size") % 4).alias("d"))
+    cells = part.select(F.floor(F.col("k") / 50).cast("long").alias("yi"), (F.col("k") % 50).alias("xi"), "d")
+    to = cells.select("yi", "xi", (F.col("yi") + F.when(F.col("d") == 0, 0).otherwise(1)).alias("down_yi"), (F.col("xi") + F.when(F.col("d") == 2, 0).when(F.col("d") == 3, -1).otherwise(1)).alias("down_xi"))
+    there = cells.select(F.col("yi").alias("down_yi"), F.col("xi").alias("down_xi"), F.lit(True).alias("there"))
+    joined = to.join(there, ["down_yi", "down_xi"], "left").select("yi", "xi", *[F.when(F.col("there"), F.col(c)).alias(c) for c in ("down_yi", "down_xi")])
+    return upscale.upscale(joined, 4, rounds=1)[0]
