@@ -8,6 +8,7 @@ index, so no two grids are ever compared cell by cell.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -202,46 +203,65 @@ def finer_side(a: DataFrame, b: DataFrame) -> str:
 def fill_nearest(df: DataFrame, keys: list[str], value: str = "value", mask: str | None = None, default: float | None = None, step: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Missing cells take the value of the nearest valid cell of their step (smallest yi, xi of equally near ones).
 
-    The distance is split by direction.  Down each column, windows give every row that needs filling the nearest valid cell
-    above or below; then each such row is searched sideways, outwards until no column further off can
-    be nearer.  So a task holds a column's or a row's cells, however far the nearest valid cell is.
+    The distance is split by direction.  Along each row, windows tell the valid cells on either side of a gap: no column beyond them holds a nearer
+    cell.  Down each column of a gap, windows give the nearest valid cell above or below; then each missing cell is searched sideways,
+    outwards until no column further off can be nearer.  So a task holds a column's cells or those of a row's gaps, many rows a batch, however far the nearest valid cell is.
     Valid cells stay; masked cells are not filled; steps without a valid cell take ``default``.
     """
     ship_package(df.sparkSession)
     wanted = F.col(value).isNull() if mask is None else F.col(value).isNull() & (F.col(mask) > 0)
-    valid = df.filter(F.col(value).isNotNull()).select(*keys, "yi", "xi", F.col(value).cast("double").alias("__v"))
-    missing = df.filter(wanted).select(*keys, "yi", "xi", F.lit(True).alias("__want")).distinct()
-    # every row with a missing cell, at every column of its step that has, or needs, a value
-    columns = valid.select(*keys, "xi").union(missing.select(*keys, "xi")).distinct()
-    probes = missing.select(*keys, "yi").distinct().join(columns, keys)
-    both = valid.withColumn("__probe", F.lit(False)).unionByName(probes.withColumn("__v", F.lit(None).cast("double")).withColumn("__probe", F.lit(True)))
-    both = _back_and_ahead(both, [*keys, "xi"], "yi", F.when(~F.col("__probe"), F.struct(F.col("yi").alias("y"), F.col("__v").alias("v"))), ("__a", "__b"))
+    valid = df.filter(F.col(value).isNotNull()).select(*keys, "yi", "xi", F.col(value).cast("double").alias("__v"), F.lit(0).alias("__want"))
+    missing = df.filter(wanted).select(*keys, "yi", "xi", F.lit(None).cast("double").alias("__v"), F.lit(1).alias("__want")).distinct()
+    cells = valid.unionByName(missing)
+    sides = _back_and_ahead(cells, [*keys, "yi"], "xi", F.when(F.col("__want") == 0, F.col("xi")), ("__l", "__r")).filter("__want = 1")
+    # a gap without a valid cell on one side reaches to the end of its step's columns
+    ends = cells.groupBy(*keys).agg(F.min("xi").alias("__lo"), F.max("xi").alias("__hi"))
+    gaps = sides.join(ends, keys).select(*keys, "yi", F.coalesce("__l", "__lo").alias("__l"), F.coalesce("__r", "__hi").alias("__r")).distinct()
+    probes = gaps.select(*keys, "yi", F.explode(F.sequence("__l", "__r")).alias("xi"), F.lit(None).cast("double").alias("__v"), F.lit(-1).alias("__want"))
+    both = _back_and_ahead(cells.unionByName(probes), [*keys, "xi"], "yi", F.when(F.col("__want") == 0, F.struct(F.col("yi").alias("y"), F.col("__v").alias("v"))), ("__a", "__b"))
     near = F.when(F.col("__b").isNull() | (F.col("yi") - F.col("__a.y") <= F.col("__b.y") - F.col("yi")), F.col("__a")).otherwise(F.col("__b"))
-    rows = both.filter("__probe").select(*keys, "yi", "xi", near.alias("__s")).select(*keys, "yi", "xi", F.col("__s.y").cast("double").alias("__sy"), F.col("__s.v").alias("__sv"))
-    rows = rows.join(missing, [*keys, "yi", "xi"], "left")
+    rows = both.filter("__want <> 0").select(*keys, "yi", "xi", (F.col("__want") == 1).alias("__want"), near.alias("__s"))
+    rows = rows.select(*keys, "yi", "xi", "__want", F.col("__s.y").cast("double").alias("__sy"), F.col("__s.v").alias("__sv"))
     out_schema = rows.select(*keys, "yi", "xi", F.col("__sv").alias("__fill")).schema
-    found = rows.groupBy(*keys, "yi").applyInPandas(lambda pdf: search_row(pdf, keys, step), out_schema)
+    line = [*keys, "yi"]
+    found = rows.repartition(*line).sortWithinPartitions(*line, "xi").mapInPandas(lambda parts: search_lines(parts, line, step), out_schema)
     out = df.join(found, [*keys, "yi", "xi"], "left")
     filled = F.coalesce(F.col(value), F.col("__fill").cast(df.schema[value].dataType), F.when(wanted, F.lit(default)) if default is not None else F.lit(None))
     return out.withColumn(value, filled).drop("__fill")
 
 
-def search_row(pdf: pd.DataFrame, keys: list[str], step: tuple[float, float]) -> pd.DataFrame:
-    """One row: each wanted column's best (distance, sy, xi) among the columns' nearest cells ``__sy``, ``__sv``."""
-    pdf = pdf.sort_values("xi", kind="stable")
-    out = pdf[pdf["__want"].notna()]
-    here = pdf[pdf["__sy"].notna()]
+def search_lines(parts: Iterator[pd.DataFrame], line: list[str], step: tuple[float, float]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by row of a grid, then column: what whole rows they hold are searched together, the last one with the next batch."""
+    held = None
+    for part in parts:
+        part = part if held is None else pd.concat([held, part], ignore_index=True)
+        new = (part[line] != part[line].shift()).any(axis=1).to_numpy()
+        last = int(np.flatnonzero(new)[-1]) if len(part) else 0
+        held = part.iloc[last:]
+        if last:
+            yield search_rows(part.iloc[:last], np.cumsum(new[:last]), line, step)
+    if held is not None and len(held):
+        yield search_rows(held, np.ones(len(held), np.int64), line, step)
+
+
+def search_rows(pdf: pd.DataFrame, row: np.ndarray, line: list[str], step: tuple[float, float]) -> pd.DataFrame:
+    """Of rows of a grid (numbers ``row``, ascending): each wanted cell's best (distance, sy, xi) among its row's columns' nearest cells ``__sy``, ``__sv``."""
+    want, known = pdf["__want"].to_numpy(bool), pdf["__sy"].notna().to_numpy()
+    out, here = pdf[want], pdf[known]
     x, sy, sv = (here[c].to_numpy(float) for c in ("xi", "__sy", "__sv"))
-    at = out["xi"].to_numpy(float)
-    if len(x):
+    at, own, theirs = out["xi"].to_numpy(float), row[want], row[known]
+    fill = np.full(len(at), np.nan)
+    if len(x) and len(at):
         up = ((here["yi"].to_numpy(float) - sy) * step[0]) ** 2
         best = np.full((len(at), 3), np.inf)
-        fill = np.full(len(at), np.nan)
-        right = np.searchsorted(x, at)
+        # places along all rows, one after another
+        low, width = min(x.min(), at.min()), max(x.max(), at.max()) - min(x.min(), at.min()) + 1
+        right = np.searchsorted(theirs * width + x - low, own * width + at - low)
         for side, first in ((1, right), (-1, right - 1)):
             live, k = np.arange(len(at)), first.copy()
             while True:
                 inside = (k >= 0) & (k < len(x))
+                inside[inside] = theirs[k[inside]] == own[live[inside]]
                 live, k = live[inside], k[inside]
                 if not len(live):
                     break
@@ -253,11 +273,7 @@ def search_row(pdf: pd.DataFrame, keys: list[str], step: tuple[float, float]) ->
                 better = (new[:, 0] < old[:, 0]) | ((new[:, 0] == old[:, 0]) & ((new[:, 1] < old[:, 1]) | ((new[:, 1] == old[:, 1]) & (new[:, 2] < old[:, 2]))))
                 best[live[better]], fill[live[better]] = new[better], sv[k[better]]
                 k = k + side
-        out = out.assign(__fill=fill)
-    else:
-        out = out.assign(__fill=np.nan)
-    out["__fill"] = out["__fill"].astype(object).where(out["__fill"].notna(), None)
-    return out[[*keys, "yi", "xi", "__fill"]]
+    return out[[*line, "xi"]].assign(__fill=pd.Series(fill, index=out.index).astype(object).where(~np.isnan(fill), None))
 
 
 def axis_bounds(axis_: DataFrame, keys: list[str] | None = None) -> DataFrame:
