@@ -120,23 +120,24 @@ def result_cache(spark, sf):
     return store.cached(None, path, spark, lambda: static_grid(spark, sf).limit(0)).select("yi", "xi", "value")
 
 
-@query("k09_link_tree", "SELECT 'a/' || i || '.txt' AS file FROM (SELECT unnest(range(3)) i)")
+@query("k09_link_tree", f"WITH {STATIC_GRID} SELECT yi, xi, value FROM static_grid WHERE xi % 3 < 2", "value")
 def link_tree(spark, sf):
-    """K9: links to the files of a folder that fit a pattern."""
+    """K9: links to the files of a folder that fit a pattern, read as the files themselves are."""
     source, target = _folder(spark, "links-from"), _folder(spark, "links-to")
-    (Path(source) / "a").mkdir()
-    for name in ("0.txt", "1.txt", "2.txt", "3.csv"):
-        (Path(source) / "a" / name).write_text(name)
-    texts.link_tree(source, target, "*.txt")
-    return spark.createDataFrame([(str(f.relative_to(target)),) for f in Path(target).rglob("*") if f.is_symlink()], "file string")
+    for k in range(3):
+        static_grid(spark, sf).filter(f"xi % 3 = {k}").select("yi", "xi", "value").write.parquet(f"{source}/{'left' if k == 2 else 'part'}/{k}")
+    texts.link_tree(f"{source}/part", target, "*.parquet")
+    return spark.read.option("recursiveFileLookup", True).parquet(target)
 
 
-@query("k08_provenance", "SELECT unnest(['command', 'date', 'history', 'version']) AS attribute")
+@query("k08_provenance", f"WITH {STATIC_GRID} SELECT attribute, n FROM (SELECT unnest(['command', 'date', 'history', 'version']) AS attribute), (SELECT count(*) AS n FROM static_grid)")
 def provenance(spark, sf):
-    """K8: the attributes of a sidecar file, as it is written."""
+    """K8: the attributes of a table's sidecar file, as it is written, beside the table's rows."""
     path = _folder(spark, "provenance") + "/t"
+    store.write_grid(static_grid(spark, sf), path)
     store.write_provenance(path, version="1", history="before")
-    return spark.read.option("multiLine", True).json(path + ".provenance.json").select(F.explode(F.array(*map(F.lit, ("command", "date", "history", "version")))).alias("attribute"), "*").select("attribute")
+    found = spark.read.option("multiLine", True).json(path + ".provenance.json").select(F.explode(F.map_keys(F.from_json(F.to_json(F.struct("*")), "map<string, string>"))).alias("attribute"))
+    return found.crossJoin(F.broadcast(spark.read.parquet(path).agg(F.count("*").alias("n"))))
 
 
 @query("s09_discharge_text", f"WITH {GAUGE_TS}, w AS (SELECT DISTINCT t FROM gauge_ts), i AS (SELECT DISTINCT id FROM gauge_ts) SELECT i.id, w.t, g.obs, g.sim FROM w CROSS JOIN i LEFT JOIN gauge_ts g ON g.t = w.t AND g.id = i.id", "obs sim")
@@ -175,44 +176,46 @@ def metric_files(spark, sf):
     return long.groupBy("metric").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.avg("value").alias("mean"))
 
 
-_NAMELIST = """! a comment
-&mainconfig
-  iFlag_cordinate_sys = 1   ! after the value
-  dir_Out(1) = "out/a!b/"
-  dir_Out(2)='out/second/',
-  LCoverYearStart(1,1) = 1950
-  LCoverYearEnd(1,1) = 1980
-  LCoverfName(1,1) = 'lc_1.asc'
-  LCoverYearStart(1,2) = 1981
-  LCoverYearEnd(1,2) = 2000
-  LCoverfName(1,2) = 'lc_2.asc'
-/
-"""
-
-
-def _namelist(spark) -> str:
-    path = _folder(spark, "namelist") + "/mhm.nml"
-    Path(path).write_text(_NAMELIST)
-    return path
+def _lines(spark, rows, name: str) -> str:
+    """A text file of the lines of ``rows`` (k, line), in order of k."""
+    folder = _folder(spark, name) + "/text"
+    rows.repartitionByRange(1, "k").sortWithinPartitions("k").select("line").write.text(folder)  # one file is the format
+    return folder
+
+
+def _namelist(spark, sf) -> str:
+    """Of each supplier a name in quotes with a comment's sign in it, a number with a comment after it, a line that is a comment, and a land-cover scene."""
+    k = F.col("s_suppkey").cast("string")
+    say = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    lines = F.array(
+        say("  S_Name(", k, ') = "', F.col("s_name"), '!x"   ! note'), say(" s_nation(1, ", k, ") = ", F.col("s_nationkey").cast("string"), ", ! key"), say("! s_off = ", k),
+        say("LCoverYearStart(1,", k, ") = ", (1900 + F.col("s_suppkey")).cast("string")), say("LCoverYearEnd(1,", k, ") = ", (1901 + F.col("s_suppkey")).cast("string"), ","), say("LCoverfName(1,", k, ") = 'lc_", k, ".asc'"),
+    )
+    rows = spark.read.parquet(f"{sf}/supplier.parquet").select((F.col("s_suppkey") * 10).alias("s"), F.posexplode(lines).alias("p", "line"))
+    return _lines(spark, rows.select((F.col("s") + F.col("p")).alias("k"), "line"), "namelist")
 
 
-@query("s12_namelist", "SELECT * FROM (VALUES ('iflag_cordinate_sys', NULL, '1'), ('dir_out', '1', 'out/a!b/'), ('dir_out', '2', 'out/second/'), ('lcoveryearstart', '1,1', '1950'), ('lcoveryearend', '1,1', '1980'), ('lcoverfname', '1,1', 'lc_1.asc'), ('lcoveryearstart', '1,2', '1981'), ('lcoveryearend', '1,2', '2000'), ('lcoverfname', '1,2', 'lc_2.asc')) v(key, \"index\", value)")
+@query(
+    "s12_namelist",
+    """SELECT key, "index", value FROM (SELECT s_suppkey k, s_name n, s_nationkey a FROM supplier), LATERAL (VALUES ('s_name', k || '', n || '!x'), ('s_nation', '1, ' || k, a || ''),
+    ('lcoveryearstart', '1,' || k, (1900 + k) || ''), ('lcoveryearend', '1,' || k, (1901 + k) || ''), ('lcoverfname', '1,' || k, 'lc_' || k || '.asc')) v(key, "index", value)""",
+)
 def namelist(spark, sf):
     """Assignments of a namelist."""
-    return texts.read_namelist(spark, _namelist(spark)).select("key", "index", "value")
+    return texts.read_namelist(spark, _namelist(spark, sf)).select("key", "index", "value")
 
 
-@query("s13_landcover_namelist", "SELECT CAST(a AS INT) scene, CAST(b AS INT) year_start, CAST(c AS INT) year_end, d AS file FROM (VALUES (1, 1950, 1980, 'lc_1.asc'), (2, 1981, 2000, 'lc_2.asc')) v(a, b, c, d)")
+@query("s13_landcover_namelist", "SELECT CAST(s_suppkey AS INT) AS scene, CAST(1900 + s_suppkey AS INT) AS year_start, CAST(1901 + s_suppkey AS INT) AS year_end, 'lc_' || s_suppkey || '.asc' AS file FROM supplier")
 def landcover_namelist(spark, sf):
     """Land-cover intervals of a namelist."""
-    return texts.read_landcover_intervals(spark, _namelist(spark)).select("scene", "year_start", "year_end", "file")
+    return texts.read_landcover_intervals(spark, _namelist(spark, sf)).select("scene", "year_start", "year_end", "file")
 
 
-@query("s14_catchment_log", "SELECT '1235' AS area")
+@query("s14_catchment_log", "SELECT format('{:.0f}', CAST(arg_max(s_acctbal, s_suppkey) AS DOUBLE)) AS area FROM supplier")
 def catchment_log(spark, sf):
     """The area of a log's last line with one."""
-    path = _folder(spark, "log") + "/run.log"
-    Path(path).write_text("start\n  Total[km2]:   10.0\nTotal[km2]  1234.56\nend\n")
+    text = F.concat(F.when(F.col("s_suppkey") % 2 == 0, "Total[km2]   ").otherwise("  Total[km2]:  "), F.col("s_acctbal").cast("double").cast("string"))
+    path = _lines(spark, spark.read.parquet(f"{sf}/supplier.parquet").select(F.col("s_suppkey").alias("k"), text.alias("line")), "log")
     return spark.createDataFrame([(texts.catchment_area(spark, path),)], "area string")
 
 

@@ -17,15 +17,22 @@ from .registry import query
 from .views import FLOW, GAUGE_TS, GRID_TS, STATIC_GRID, flow, gauge_ts, grid_ts, map_pair, static_grid, table
 
 
-@query("p01_axes", "SELECT * FROM (VALUES (1, 'latitude', 'lon', 'time', 'pre'), (2, 'y', 'x', NULL, 'tavg'), (3, 'northing', 'easting', 't', 'Q'), (4, 'rows', 'lon', 'time', 'rows_of')) v(k, lat, lon, time, payload)")
+#: Spellings of axes, and the variable beside them.
+_SPELLED = {"a": ("latitude", "lon", "pre"), "b": ("y", "x", "tavg"), "c": ("northing", "easting", "Q")}
+
+
+@query("p01_axes", f"WITH {STATIC_GRID} SELECT k, lat, lon, payload, n, total FROM (VALUES ('a', 'latitude', 'lon', 'pre'), ('b', 'y', 'x', 'tavg'), ('c', 'northing', 'easting', 'Q'), ('d', 'rows', 'lon', 'rows_of')) v(k, lat, lon, payload), (SELECT count(value) AS n, sum(value + lat) AS total FROM static_grid)", "total")
 def axes(spark, sf):
-    """Axes by flag, then by name; the one variable left."""
-    cases = [(["time", "latitude", "lon", "pre"], {}), (["y", "x", "tavg", "lat_bnds_x"], {}), (["t", "northing", "easting", "Q"], {}), (["rows", "lon", "time", "rows_of"], {"rows": {"axis": "Y"}})]
-    rows = []
-    for k, (cols, attrs) in enumerate(cases, 1):
-        found = [store.resolve_axis(cols, a, attrs) for a in ("lat", "lon", "time")]
-        rows.append((k, *found, store.payload([c for c in cols if c not in found and not c.startswith("lat_bnds")])))
-    return spark.createDataFrame(rows, "k int, lat string, lon string, time string, payload string")
+    """Axes of tables in several spellings, by flag, then by name; the one variable left."""
+    out = None
+    for k, (lat, lon, var) in {**_SPELLED, "d": ("rows", "lon", "rows_of")}.items():
+        named = static_grid(spark, sf).select(F.col("lat").alias(lat), F.col("lon").alias(lon), F.col("value").alias(var))
+        attrs = {"rows": {"axis": "Y"}}
+        at = [store.resolve_axis(named.columns, a, attrs) for a in ("lat", "lon")]
+        left = store.payload([c for c in named.columns if c not in at])
+        one = named.agg(F.count(left).alias("n"), F.sum(F.col(left) + F.col(at[0])).alias("total")).select(F.lit(k).alias("k"), F.lit(at[0]).alias("lat"), F.lit(at[1]).alias("lon"), F.lit(left).alias("payload"), "n", "total")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("p16_resolution", f"WITH {STATIC_GRID} SELECT 'lon' AS axis, (max(lon) - min(lon)) / nullif(count(DISTINCT lon) - 1, 0) AS step FROM static_grid UNION ALL SELECT 'key', (max(p_partkey) - min(p_partkey)) * CAST(0.25 AS DOUBLE) / (count(DISTINCT p_partkey) - 1) FROM part", "step")
@@ -36,10 +43,10 @@ def resolution(spark, sf):
     return spark.createDataFrame([("lon", grid.resolution(lon)), ("key", grid.resolution(key))], "axis string, step double")
 
 
-@query("p20_levels", "SELECT a AS level, b AS ncols, c AS nrows, CAST(d AS DOUBLE) AS cellsize, e AS factor FROM (VALUES ('l0', 10, 9, 0.5, 1), ('l1', 5, 5, 1.0, 2), ('l11', 3, 3, 2.0, 4), ('l2', 5, 5, 1.0, 2)) v(a, b, c, d, e)", "cellsize")
+@query("p20_levels", f"WITH {STATIC_GRID}, h AS (SELECT count(DISTINCT xi) nx, count(DISTINCT yi) ny FROM static_grid), l(level, factor) AS (VALUES ('l0', 1), ('l1', 2), ('l11', 4), ('l2', 2)) SELECT level, CAST(ceil(nx / factor) AS INT) AS ncols, CAST(ceil(ny / factor) AS INT) AS nrows, factor / 2 AS cellsize, factor FROM l, (SELECT CAST(nx AS DOUBLE) AS nx, CAST(ny AS DOUBLE) AS ny FROM h)", "cellsize")
 def levels(spark, sf):
-    """A header on coarser levels, rounded up, and their factors."""
-    fine = ascii_grid.Header(10, 9, 0.5)
+    """A grid's header on coarser levels, rounded up, and their factors."""
+    fine = ascii_grid.header_of(static_grid(spark, sf))
     rows = [(n, h.ncols, h.nrows, s, grid.integer_ratio(s, 0.5)) for n, s in grid.resolution_ladder(0.5, 1.0, 2.0).items() for h in [fine.rescaled(s)]]
     return spark.createDataFrame(rows, "level string, ncols int, nrows int, cellsize double, factor int")
 
@@ -51,11 +58,13 @@ def mask_limits(spark, sf):
     return spark.createDataFrame([tuple(box.values())], ", ".join(f"{k} double" for k in box))
 
 
-@query("f10_mask_choice", "SELECT * FROM (VALUES (1, 'mask_l1'), (2, 'mask_l0'), (3, 'named')) v(k, mask)")
+@query("f10_mask_choice", "SELECT p_size AS size, CASE p_size WHEN 5 THEN 'mask_l1' WHEN 10 THEN 'mask_l2' ELSE 'mask_l0' END AS mask, count(*) AS n FROM part GROUP BY p_size")
 def mask_choice(spark, sf):
-    """the mask of a grid's resolution, else the finest finer one, else the named one."""
-    known = {"mask_l0": 0.1, "mask_l1": 0.5, "mask_l2": 1.0}
-    return spark.createDataFrame([(1, grid.choose_mask(known, 0.5)), (2, grid.choose_mask(known, 0.4)), (3, grid.choose_mask(known, 0.5, "named"))], "k int, mask string")
+    """the mask of a grid's resolution, else the finest finer one, for each resolution that occurs."""
+    known = {"mask_l0": 0.05, "mask_l1": 0.5, "mask_l2": 1.0}
+    sizes = table(spark, sf, "part").groupBy(F.col("p_size").alias("size")).agg(F.count("*").alias("n"))
+    chosen = [(r.size, grid.choose_mask(known, r.size * 0.1)) for r in sizes.select("size").collect()]  # kinds of grids are few
+    return sizes.join(F.broadcast(spark.createDataFrame(chosen, f"size {dict(sizes.dtypes)['size']}, mask string")), "size")
 
 
 @query("f12_aligned_bounds", f"WITH {STATIC_GRID}, e AS (SELECT min(lon) + unnest(range(0, 12, 2)) * CAST(0.5 AS DOUBLE) AS c FROM static_grid) SELECT max(c) FILTER (c <= 11.2) AS low, min(c) FILTER (c >= 12.7) AS high FROM e", "low high")
@@ -95,16 +104,26 @@ def restart_from_tiles(spark, sf):
     return workflows.restart_from_tiles(cells, corners, mask, (0.0, 0.0), 0.5, {"soil": "L1_soil"}).select("var", "yi", "xi", "value")
 
 
-@query("m22_aliases", "SELECT * FROM (VALUES ('d', 'D'), ('MS', 'M'), ('YE', 'Y'), ('H', 'h')) v(alias, normal)")
+def _by_text(df, name, of, kind):
+    """``df`` (text, ...) with what a function makes of each distinct text: kinds of spellings are few."""
+    made = [(r.text, of(r.text)) for r in df.select("text").distinct().collect()]
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(made, f"text string, {name} {kind}")), "text")
+
+
+@query("m22_aliases", "SELECT a AS text, count(*) AS n, b AS normal FROM orders JOIN (VALUES (0, 'd', 'D'), (1, 'MS', 'M'), (2, 'YE', 'Y'), (3, '6H', '6h'), (4, 'weekly', 'W')) v(k, a, b) ON k = o_orderkey % 5 GROUP BY a, b")
 def aliases(spark, sf):
-    """Spellings of steps."""
-    return spark.createDataFrame([(a, normalize_alias(a)) for a in ("d", "MS", "YE", "H")], "alias string, normal string")
+    """Spellings of steps, with how often each occurs."""
+    names = F.array(*map(F.lit, ("d", "MS", "YE", "6H", "weekly")))
+    found = table(spark, sf, "orders").groupBy(F.get(names, (F.col("o_orderkey") % 5).cast("int")).alias("text")).agg(F.count("*").alias("n"))
+    return _by_text(found, "normal", normalize_alias, "string")
 
 
-@query("m16_memory", "SELECT * FROM (VALUES ('10gb', 10), ('2500MB', 2), ('3000000kb', 3)) v(text, gb)")
+@query("m16_memory", "SELECT p_size || u AS text, count(*) AS n, CAST(floor(p_size / d) AS INT) AS gb FROM part JOIN (VALUES (0, 'gb', 1), (1, '00MB', 10), (2, '000Mb', 1)) v(k, u, d) ON k = p_partkey % 3 GROUP BY ALL")
 def memory(spark, sf):
-    """Memory strings to whole gigabytes."""
-    return spark.createDataFrame([(t, limits.memory_gb(t)) for t in ("10gb", "2500MB", "3000000kb")], "text string, gb int")
+    """Memory strings to whole gigabytes, with how often each occurs."""
+    unit = F.get(F.array(*map(F.lit, ("gb", "00MB", "000Mb"))), (F.col("p_partkey") % 3).cast("int"))
+    found = table(spark, sf, "part").groupBy(F.concat(F.col("p_size").cast("string"), unit).alias("text")).agg(F.count("*").alias("n"))
+    return _by_text(found, "gb", limits.memory_gb, "int")
 
 
 @query("p23_label_steps", "SELECT p_partkey, CASE WHEN x = 0 THEN CAST(1e-6 AS DOUBLE) WHEN x > 1.4 THEN greatest(round_even(x * 2, 0) / 2, 0.5) WHEN x > 0.15 THEN greatest(round_even(x * 5, 0) / 5, 0.2) WHEN x > 0.015 THEN greatest(round_even(x * 50, 0) / 50, 0.02) WHEN x > 0.0015 THEN greatest(round_even(x * 500, 0) / 500, 0.002) ELSE greatest(round_even(x * 5000, 0) / 5000, 0.0002) END AS half_range, CAST(CASE WHEN x = 0 THEN 6 WHEN x > 0.15 THEN 2 WHEN x > 0.015 THEN 3 WHEN x > 0.0015 THEN 4 ELSE 5 END AS INT) digits FROM (SELECT p_partkey, (p_partkey % 1000) ** 2 / CAST(250000 AS DOUBLE) + CASE WHEN p_partkey % 1000 = 0 THEN 0 ELSE CAST(0.0002 AS DOUBLE) END AS x FROM part)", "half_range")
@@ -155,10 +174,18 @@ def _rings(spark):
     return spark.createDataFrame(triangle + square, "id int, x1 double, y1 double, x2 double, y2 double")
 
 
-@query("t01_polygon_areas", f"WITH {RINGS}, r AS (SELECT id, radians(CAST(x1 AS DOUBLE)) a, radians(CAST(x2 AS DOUBLE)) b, sin(radians(CAST(y1 AS DOUBLE))) s, sin(radians(CAST(y2 AS DOUBLE))) u, CAST(0.0818191908426215 AS DOUBLE) k FROM e), q AS (SELECT id, a, b, (1 - k ** 2) * (s / (1 - k ** 2 * s ** 2) - ln((1 - k * s) / (1 + k * s)) / (2 * k)) h1, (1 - k ** 2) * (u / (1 - k ** 2 * u ** 2) - ln((1 - k * u) / (1 + k * u)) / (2 * k)) h2 FROM r) SELECT id, abs(sum(a * h2 - b * h1)) / 2 * (CAST(6378.137 AS DOUBLE) ** 2 / 2) AS area FROM q GROUP BY id", "area")
+_TRIANGLES = """p AS (SELECT CAST(s_suppkey AS BIGINT) AS id, 10 + s_suppkey % 60 * CAST(0.25 AS DOUBLE) AS x, 40 + s_suppkey % 35 * CAST(0.5 AS DOUBLE) AS y, 1 + s_suppkey % 9 * CAST(0.5 AS DOUBLE) AS w FROM supplier),
+    e AS (SELECT id, x AS x1, y AS y1, x + w + 1 AS x2, y + 1 AS y2 FROM p UNION ALL SELECT id, x + w + 1, y + 1, x + 2, y + w + 2 FROM p UNION ALL SELECT id, x + 2, y + w + 2, x, y FROM p)"""
+
+
+@query("t01_polygon_areas", f"WITH {_TRIANGLES}, r AS (SELECT id, radians(CAST(x1 AS DOUBLE)) a, radians(CAST(x2 AS DOUBLE)) b, sin(radians(CAST(y1 AS DOUBLE))) s, sin(radians(CAST(y2 AS DOUBLE))) u, CAST(0.0818191908426215 AS DOUBLE) k FROM e), q AS (SELECT id, a, b, (1 - k ** 2) * (s / (1 - k ** 2 * s ** 2) - ln((1 - k * s) / (1 + k * s)) / (2 * k)) h1, (1 - k ** 2) * (u / (1 - k ** 2 * u ** 2) - ln((1 - k * u) / (1 + k * u)) / (2 * k)) h2 FROM r) SELECT id, abs(sum(a * h2 - b * h1)) / 2 * (CAST(6378.137 AS DOUBLE) ** 2 / 2) AS area FROM q GROUP BY id", "area")
 def polygon_areas(spark, sf):
-    """Polygons by area, in an equal-area projection."""
-    return grid.polygon_areas(_rings(spark))
+    """Polygons by area, in an equal-area projection: a triangle a supplier."""
+    k = F.col("s_suppkey")
+    at = table(spark, sf, "supplier").select(k.cast("long").alias("id"), (10 + k % 60 * 0.25).alias("x"), (40 + k % 35 * 0.5).alias("y"), (1 + k % 9 * 0.5).alias("w"))
+    corners = [(F.col("x"), F.col("y")), (F.col("x") + F.col("w") + 1, F.col("y") + 1), (F.col("x") + 2, F.col("y") + F.col("w") + 2)]
+    sides = F.array(*[F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)])
+    return grid.polygon_areas(at.select("id", F.inline(sides)))
 
 
 @query(

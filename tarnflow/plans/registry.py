@@ -34,7 +34,3 @@ def query(name: str, sql: str | None = None, floats: str = ""):
 
 
 from . import climates, composed, files, forcings, gauges, graphs, grids, maps, metadata, metric_tables, steps  # noqa: E402, F401
-
-#: Second names, under which these once ran over all gauges or steps beside a query over a few.
-for _name in ("w05_forward_fill", "w06_linear_fill", "r01_nearest_fill", "r03_spread_totals", "s08_unpivot_collection", "a23_norm_deviation", "j14_nearest_fill_steps", "j10_nearest_node"):
-    QUERIES[f"{_name}_all"], SQL[f"{_name}_all"] = QUERIES[_name], SQL[_name]
