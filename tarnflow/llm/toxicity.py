@@ -64,7 +64,7 @@ class Machine:
     factors: np.ndarray
 
     def raw(self, slots: np.ndarray, first: np.ndarray) -> np.ndarray:
-        at = self.index[slots.astype(np.int64)]
+        at = self.index[slots if slots.dtype.kind == "i" else slots.astype(np.int64)]
         rows = T.segment_ids(first)[at >= 0]
         return _raw(self.bias, self.linear, self.factors, at[at >= 0], rows, len(first) - 1)[0]
 
@@ -95,9 +95,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: in
     pick = lambda keep: [rows[i] for i in np.flatnonzero(keep)]
     held = (pick(aside), labels[aside])
     first, took = _learn(pick(~aside), labels[~aside], (steps // 2, steps // 2), seed, empty, held)
+    shift = _shift(_raw_of(first, held[0]), held[1])
+    del first
     passes = n / max(1, int((~aside).sum()))
     machine, _ = _learn(rows, labels, tuple(int(np.ceil(t * passes)) for t in took), seed, empty)
-    machine.bias += _shift(_raw_of(first, held[0]), held[1])
+    machine.bias += shift
     return machine
 
 
@@ -141,9 +143,15 @@ def _learn(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int], s
     index = np.full(1 << BITS, -1, np.int32)
     index[held_slots] = np.arange(m)
     at = index[flat]
-    own = np.repeat(np.arange(n, dtype=np.int32), [len(r) for r in rows])[at >= 0]
-    at = at[at >= 0]
-    size = np.bincount(own, minlength=n)
+    del flat
+    known = at >= 0
+    # texts without any slot have no stretch of their own
+    lengths = np.array([len(r) for r in rows])
+    size = np.zeros(n, np.int64)
+    filled = lengths > 0
+    size[filled] = np.add.reduceat(known, (np.cumsum(lengths) - lengths)[filled], dtype=np.int64)
+    at = at[known]
+    del known
     begin = np.cumsum(size) - size
     rng = np.random.default_rng(seed)
     # columns: the linear weight, then the factors; z and s hold the sums of gradients and of their squares
@@ -155,8 +163,9 @@ def _learn(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int], s
 
     def machine() -> Machine:
         # factors that nothing was learned of are noise
-        factors = np.where((learned[:, 1:] != 0).any(axis=1)[:, None], start[:, 1:] + learned[:, 1:], 0)
-        return Machine(float(w0), index, learned[:, 0].astype(float), factors.astype(float))
+        told = (learned[:, 1:] != 0).any(axis=1)
+        factors = np.where(told[:, None], start[:, 1:] + learned[:, 1:], 0) if told.any() else np.zeros((m, 0), np.float32)
+        return Machine(float(w0), index, learned[:, 0].copy(), factors)
 
     order, lo = rng.permutation(n), 0
     took = []
@@ -169,7 +178,7 @@ def _learn(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int], s
                 waited += 1
                 if now < best - max(GAIN[0] * min(best, 1.0), GAIN[1]):
                     waited = 0
-                    best, kept = now, (done, w0, s0, learned.copy(), z.copy(), s.copy())
+                    best, kept = now, (done, w0, s0, *(a[:, :columns].copy() for a in (learned, z, s)))
                 if waited >= PATIENCE and done >= LEAST[phase]:
                     break
                 look = done + max(3, done // 6)
@@ -205,7 +214,7 @@ def _learn(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int], s
             s0 += err.sum() ** 2
             w0 -= RATE * err.sum() / np.sqrt(s0)
         if kept:
-            done, w0, s0, learned[:], z[:], s[:] = kept
+            done, w0, s0, learned[:, :columns], z[:, :columns], s[:, :columns] = kept
         took.append(done)
     return machine(), tuple(took)
 
@@ -241,8 +250,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     # one row a doc_id, should rows repeat it: the least text
     rows = seen.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("slots").alias("slots")).toArrow()
     order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
-    slots = [np.frombuffer(x, np.int32) for x in rows["slots"].to_pylist()]
-    return fit([slots[i] for i in order], rows["toxic"].to_numpy()[order].astype(float))
+    toxic = rows["toxic"].to_numpy()[order].astype(float)
+    # views of the table's own memory
+    slots = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["slots"]]
+    return fit([slots[i] for i in order], toxic)
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
