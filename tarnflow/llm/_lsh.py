@@ -20,7 +20,8 @@ that shares no band (probability under ``MISS`` at the threshold itself) or is `
 
 Edge cases: null or empty texts and texts without words have no set and link with nothing;
 rows that repeat a doc_id are one document (all of its texts count); a null doc_id is an id,
-smaller than all others; an empty table gives an empty result; further columns are not read.
+smaller than all others; very long texts are whole, in a batch of their own where they pass its bytes; documents of equal sets
+(ties) are one class, which its smallest doc_id stands for; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations

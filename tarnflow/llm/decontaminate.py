@@ -19,7 +19,8 @@ hashes, of bounded number, go to the executors with the pass.
 
 Edge cases: null and empty texts and items have no shingles and match nothing; an item
 of fewer than 5 words is one shingle; rows that repeat a doc_id are one document; a null
-doc_id or item_id is reported as null; an empty table gives an empty result; further columns are not read.
+doc_id or item_id is reported as null; very long texts are cut into windows whole, in pieces of bounded size; of windows of equal
+similarity (ties) the first is reported; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations

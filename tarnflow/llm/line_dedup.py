@@ -16,7 +16,7 @@ Only DataFrame functions.  The plan:
 Edge cases: a null text is an empty one; a null site counts as the site ``''``;
 lines are compared without blanks, tabs, carriage returns, form feeds and vertical tabs at their ends, and lines of these only are never boilerplate;
 rows that repeat a doc_id count as one document; a null doc_id sorts first, like
-a smallest id; an empty table gives an empty result; further columns stay as
+a smallest id; of equal ids (ties) the first place of the line stays; very long texts and lines are whole; an empty table gives an empty result; further columns stay as
 they are.
 """
 

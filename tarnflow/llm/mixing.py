@@ -15,7 +15,7 @@ and the rows themselves are selected without a shuffle.
 
 Edge cases: null text: no tokens; null source: the source ``''``; rows that
 repeat a doc_id share a place and are taken together; a source without tokens
-is taken once whole; an empty table gives an empty result; further columns stay.
+is taken once whole; very long texts count all their tokens; documents of one place (ties) are taken together; an empty table gives an empty result; further columns stay.
 """
 
 from __future__ import annotations
