@@ -226,14 +226,21 @@ def sketch_bounds(spark, sf):
     return both.agg(F.count("*").alias("n"), F.bool_and(F.abs(F.col("quantile") - F.col("rank") / n) <= 0.02).alias("close"))
 
 
-@query("j13_naive_location", f"WITH {FLOW} SELECT CAST(cell AS BIGINT) AS id, CAST(cell AS BIGINT) AS cell FROM flow WHERE cell BETWEEN 5 AND 60 AND cell % 5 = 0")
+@query(
+    "j13_naive_location",
+    f"""WITH RECURSIVE {FLOW}, up AS (SELECT cell AS top, cell FROM flow UNION ALL SELECT up.top, f.cell FROM up JOIN flow f ON f.down = up.cell), n AS (SELECT top AS cell, count(*) AS n FROM up GROUP BY top)
+    SELECT f.cell AS id, CASE WHEN f.cell % 3 < 2 THEN f.cell WHEN child.n * above.n > own.n * own.n THEN child.cell ELSE f.down END AS cell
+    FROM flow f JOIN n own ON own.cell = f.cell JOIN n above ON above.cell = f.down LEFT JOIN n child ON child.cell = 2 * f.cell + 1 WHERE f.down IS NOT NULL""",
+)
 def naive_location(spark, sf):
-    """A location whose basin is the shape itself stays, whatever the candidates' scores."""
+    """Every cell's basin as a shape; of a naive location and a candidate the one whose basin fits it better: itself or the cell below it, either way round, or the cells above and below it."""
     f = flow(spark, sf)
-    ids = f.filter("cell between 5 and 60 and cell % 5 = 0").select(F.col("cell").alias("id"), "cell")
     pairs = graph.tour(f)
+    ids = f.filter("down is not null").select(F.col("cell").alias("id"), "cell", "down")
     tops = ids.join(pairs, "cell").select("id", "outlet", F.col("at").alias("a"), (F.col("at") + F.col("size")).alias("b"))
     shapes = pairs.join(tops, "outlet").filter("at >= a and at < b").select("id", "cell")
-    candidates = ids.select("id", F.floor((F.col("cell") - 1) / 2).cast("long").alias("cell"), F.lit(1).cast("long").alias("distance"))
+    turn = F.col("id") % 3
+    naive = ids.select("id", F.when(turn == 0, F.col("cell")).when(turn == 1, F.col("down")).otherwise(2 * F.col("cell") + 1).alias("cell"))
+    candidates = ids.select("id", F.when(turn == 1, F.col("cell")).otherwise(F.col("down")).alias("cell"), F.lit(1).cast("long").alias("distance"))
     areas = shapes.groupBy("id").agg(F.count("*").cast("double").alias("area"))
-    return graph.snap_by_shape(areas, f, graph.accumulate(f), shapes, candidates, 1.0, ids).select("id", "cell")
+    return graph.snap_by_shape(areas, f, graph.accumulate(f), shapes, candidates, 1.0, naive).select("id", "cell")
