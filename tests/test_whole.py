@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarnflow.plans import registry
 from tarnflow.plans.views import gauge_ts, grid_ts, map_pair, table
+from tarnflow.sources import series
 
 SF = "/root/testdata/sf0.01"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver tables")
@@ -27,3 +28,20 @@ def test_every_step(spark, name, view):
     want = steps(view(spark, SF))
     assert len(want) > 50
     assert steps(registry.QUERIES[name](spark, SF)) == want
+
+
+def _series(spark, n):
+    """Series of three stamps; the first gauge lacks one, the second has no simulation."""
+    rows = [(i, f"2001-0{m}-01", float(i + m), None if i == 11 else i * 0.1) for i in range(10, 10 + n) for m in (1, 2, 3) if (i, m) != (10, 2)]
+    return spark.createDataFrame(rows, "id long, t string, obs double, sim double").withColumn("t", F.to_timestamp_ntz("t"))
+
+
+def test_plan_does_not_grow_with_gauges(spark):
+    """A column a gauge once made plans that the driver could not hold."""
+    long = _series(spark, 600)
+    blocks = series.wide_blocks(long, 100)
+    assert blocks.columns == ["block", "t", "names", "cells"]
+    assert max(r.n for r in blocks.select(F.size("names").alias("n")).collect()) < 2 * 200
+    got = {(r.id, r.t.month): (r.obs, r.sim) for r in series.unpivot_blocks(blocks).collect()}
+    assert got == {(r.id, r.t.month): (r.obs, r.sim) for r in long.collect()} | {(10, 2): (None, None)}
+    assert registry.QUERIES["s08_unpivot_collection"](spark, SF)._jdf.queryExecution().analyzed().toString().count("Qobs_") < 10
