@@ -83,11 +83,14 @@ def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 
 def best_rows(df: DataFrame, group: list[str], value: str, aim: str) -> DataFrame:
-    """The best rows of each group, ties included: ``aim`` is one, zero, max or min."""
+    """The best rows of each group, ties included: ``aim`` is one, zero, max or min.
+
+    A window, no join with the groups' best: rows would be computed twice, and sums that arrive in another order would not equal their own best.
+    """
     score = {"one": -F.abs(F.col(value) - 1), "zero": -F.abs(F.col(value)), "max": F.col(value), "min": -F.col(value)}[aim]
     scored = df.filter(F.col(value).isNotNull()).withColumn("__score", score)
-    best = scored.groupBy(*group).agg(F.max("__score").alias("__best"))
-    return scored.join(best, group).filter(F.col("__score") == F.col("__best")).drop("__score", "__best")
+    best = F.max("__score").over(Window.partitionBy(*group))
+    return scored.withColumn("__best", best).filter(F.col("__score") == F.col("__best")).drop("__score", "__best")
 
 
 def taylor_statistics(df: DataFrame, series: str, sim: str = "sim", obs: str = "obs", scale: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnflow.operators import gauges
+from tarnflow.operators import gauges, skill
 from tarnflow.plans import registry
 from tarnflow.plans.views import gauge_ts, grid_ts, map_pair, table
 from tarnflow.sources import series
@@ -49,6 +49,13 @@ def test_plan_does_not_grow_with_gauges(spark):
     assert registry.QUERIES["s08_unpivot_collection"](spark, SF)._jdf.queryExecution().analyzed().toString().count("Qobs_") < 10
 
 
+def test_best_rows_computes_values_once(spark):
+    """A value that comes out otherwise when it is computed again once lost its group."""
+    noise = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
+    df = spark.range(200).select((F.col("id") % 50).alias("g"), noise(F.col("id").cast("double")).alias("v")).repartition(4)
+    assert sorted(r.g for r in skill.best_rows(df, ["g"], "v", "max").collect()) == list(range(50))
+
+
 @pytest.mark.parametrize("crowd", [1, 400])
 def test_nearest_node_of_crowded_places(spark, crowd):
     """Nodes at few places, or in one spot far from most gauges: pairs once grew with nodes times gauges."""
