@@ -142,16 +142,9 @@ def provenance(spark, sf):
 
 @query("s09_discharge_text", f"WITH {GAUGE_TS}, w AS (SELECT DISTINCT t FROM gauge_ts), i AS (SELECT DISTINCT id FROM gauge_ts) SELECT i.id, w.t, g.obs, g.sim FROM w CROSS JOIN i LEFT JOIN gauge_ts g ON g.t = w.t AND g.id = i.id", "obs sim")
 def discharge_text(spark, sf):
-    """A wide text table of discharge, missing values below 0."""
+    """Wide text tables of discharge, a file a block of gauges, missing values below 0."""
     folder = _folder(spark, "discharge") + "/q"
-    ts = gauge_ts(spark, sf).persist()
-    ids = sorted(r.id for r in ts.select("id").distinct().collect())  # columns of a wide table
-    wide = ts.groupBy("t").pivot("id", ids).agg(F.max("obs").alias("obs"), F.max("sim").alias("sim"))
-    wide = wide.toDF("t", *[f"Q{c}_{i:010d}" for i in ids for c in ("obs", "sim")])
-    names = wide.columns[1:]
-    line = F.concat_ws(" ", F.lit("1"), F.dayofmonth("t"), F.month("t"), F.year("t"), *[F.coalesce(F.col(c).cast("string"), F.lit("-9999.0")) for c in names])
-    head = spark.createDataFrame([(" ".join(["No", "Day", "Mon", "Year", *names]),)], "value string")
-    wide.select(line.alias("value")).unionByName(head).coalesce(1).write.text(folder)
+    series.write_discharge_text(series.wide_blocks(gauge_ts(spark, sf)), folder)
     return series.read_discharge_text(spark, folder).select("id", "t", "obs", "sim")
 
 

@@ -49,6 +49,18 @@ def test_plan_does_not_grow_with_gauges(spark):
     assert registry.QUERIES["s08_unpivot_collection"](spark, SF)._jdf.queryExecution().analyzed().toString().count("Qobs_") < 10
 
 
+def test_discharge_text_by_blocks(spark, tmp_path):
+    long = _series(spark, 30)
+    series.write_discharge_text(series.wide_blocks(long, 10), str(tmp_path / "q"))
+    files = sorted((tmp_path / "q").glob("block=*/*.txt"))
+    assert len(files) > 1
+    for f in files:
+        head, *rest = f.read_text().splitlines()
+        assert head.startswith("No Day Mon Year Qobs_") and len(rest) == 3 and all(len(x.split()) == len(head.split()) for x in rest)
+    got = {(r.id, r.t.month): (r.obs, r.sim) for r in series.read_discharge_text(spark, str(tmp_path / "q")).collect()}
+    assert got == {(r.id, r.t.month): (r.obs, r.sim) for r in long.collect()} | {(10, 2): (None, None)}
+
+
 def test_best_rows_computes_values_once(spark):
     """A value that comes out otherwise when it is computed again once lost its group."""
     noise = F.udf(lambda x: x + random.random() * 1e-9, "double").asNondeterministic()
