@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.units import convert, is_intensive
+from ..session import write_through
 from . import climate, flow, gauges, grid, landcover, patterns, rank, resample, skill, tiles
 
 
@@ -13,7 +14,8 @@ def evaluate_discharge(series: DataFrame, alias: str = "D", min_years: int = 1,
     """Objectives of each gauge from raw series (id, t, obs, sim): one row a stamp, one step, gauges with enough years, their common span."""
     if ids is not None:
         series = series.join(ids, "id", "left_semi")
-    steps = resample.to_coarser(series, ["id"], alias, {"obs": "mean", "sim": "mean"})
+    # written once: years, common years, span and objectives all read the steps, and a task that made them anew for each held that many sorts at a time
+    steps = write_through(resample.to_coarser(series, ["id"], alias, {"obs": "mean", "sim": "mean"}), "steps")
     kept = gauges.with_observed_years(steps, min_years)
     kept = kept.join(gauges.dropped_for_overlap(kept, min_common_years), "id", "left_anti")
     return skill.skill(skill.flagged_overlap(kept, ["id"], "t"), ["id"]).filter("n > 0")
@@ -36,6 +38,7 @@ def evaluate_grids(inp: DataFrame, ref: DataFrame, mask: DataFrame | None = None
     else:
         a, b = (climate.climatology(x, cells, "value").withColumnRenamed("clim", n) for x, n in ((inp, "sim"), (ref, "obs")))
         pairs = a.join(b, [*cells, "month"]).withColumnRenamed("month", "step")
+    pairs = write_through(pairs, "pairs")
     if rank.paired(pairs, "sim", "obs").isEmpty():
         raise ValueError("no pair of values to compare")
     stats = [climate.cell_statistics(x, cells, "value").select(*cells, F.col("mean").alias(f"{n}_mean"), F.col("std").alias(f"{n}_std")) for x, n in ((inp, "inp"), (ref, "ref"))]

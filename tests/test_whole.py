@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnflow.operators import gauges, skill
+from tarnflow.operators import gauges, skill, workflows
 from tarnflow.plans import registry
 from tarnflow.plans.views import gauge_ts, grid_ts, map_pair, table
 from tarnflow.sources import series
@@ -78,3 +78,17 @@ def test_nearest_node_of_crowded_places(spark, crowd):
     assert {r.id: r.node for r in found.collect()} == {i: min(n, key=lambda m: ((x - m[1]) ** 2 + (y - m[2]) ** 2, m[0]))[0] for i, x, y in g}
     levels, leaves = gauges._boxes(spark.createDataFrame(n, "node int, x double, y double").groupBy("x", "y").agg(F.min("node").alias("node")), 4)
     assert leaves.groupBy("box").count().agg(F.max("count")).first()[0] <= 4
+
+
+def test_discharge_evaluation_reads_series_once(spark):
+    """Every filter once made the steps anew, in one task at a time."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(v):
+        seen.add(1)
+        return v
+
+    rows = [(i, f"{y}-0{m}-01", float(i + m + y), float(i * m + y)) for i in range(20) for y in range(2001, 2007) for m in (1, 2, 3)]
+    ts = spark.createDataFrame(rows, "id long, t string, obs double, sim double").withColumn("t", F.to_timestamp_ntz("t")).withColumn("obs", F.udf(told, "double").asNondeterministic()("obs"))
+    assert workflows.evaluate_discharge(ts, "Y", 5, 5).count() == 20
+    assert seen.value == len(rows)
