@@ -92,3 +92,8 @@ def test_discharge_evaluation_reads_series_once(spark):
     ts = spark.createDataFrame(rows, "id long, t string, obs double, sim double").withColumn("t", F.to_timestamp_ntz("t")).withColumn("obs", F.udf(told, "double").asNondeterministic()("obs"))
     assert workflows.evaluate_discharge(ts, "Y", 5, 5).count() == 20
     assert seen.value == len(rows)
+
+
+def test_gridded_evaluation_reads_its_tables_once(spark):
+    """Extents, spans, values and ranks once added up the lines anew for each side."""
+    assert "l_quantity" not in registry.QUERIES["a46_gridded_spearman"](spark, SF)._jdf.queryExecution().analyzed().toString()
