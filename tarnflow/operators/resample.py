@@ -48,16 +48,38 @@ def spine(df: DataFrame, keys: list[str], alias: str, time: str = "t") -> DataFr
     return ends.select(*keys, F.explode(F.sequence("__lo", "__hi", F.expr(f"interval {unit}"))).alias(time))
 
 
+def _hours(alias: str) -> int | None:
+    """Hours of a step; None where steps are months or years."""
+    unit = normalize_alias(alias)
+    return {"M": None, "Y": None, "D": 24, "W": 168}[unit] if unit in "MYDW" else int(unit[:-1] or 1)
+
+
 def _around(df: DataFrame, keys: list[str], alias: str, value: str, time: str) -> DataFrame:
-    """Target steps with the last stamp and value at or before, and the next at or after."""
-    steps = spine(df, keys, alias, time).select(*keys, time, F.lit(True).alias("__step"), F.lit(None).cast("timestamp_ntz").alias("__when"), F.lit(None).cast("double").alias("__val"))
-    known = df.filter(F.col(value).isNotNull()).select(*keys, time, F.lit(False).alias("__step"), F.col(time).alias("__when"), F.col(value).cast("double").alias("__val"))
+    """Target steps with the last stamp and value at or before, and the next at or after.
+
+    Stamps are ordered, not steps: each one tells the steps from it up to the next stamp, so that what a task sorts does not grow with the gaps.
+    """
+    t = F.col(time)
+    rows = df.select(*keys, time, F.when(F.col(value).isNotNull(), F.struct(t.alias("t"), F.col(value).cast("double").alias("v"))).alias("__here"))
     # ahead is back in descending order: a frame that only grows takes one pass, one up to the series' end a pass for each row
-    back, ahead = (Window.partitionBy(*keys).orderBy(o).rangeBetween(Window.unboundedPreceding, Window.currentRow) for o in (F.col(time).asc(), F.col(time).desc()))
-    both = steps.unionByName(known)
-    for name, frame in (("b", back), ("a", ahead)):
-        both = both.withColumn(f"__{name}t", F.last("__when", True).over(frame)).withColumn(f"__{name}v", F.last("__val", True).over(frame))
-    return both.filter("__step").drop("__step", "__when", "__val")
+    asc, desc = (Window.partitionBy(*keys).orderBy(o) for o in (t.asc(), t.desc()))
+    back, ahead = (w.rangeBetween(Window.unboundedPreceding, Window.currentRow) for w in (asc, desc))
+    rows = rows.withColumn("__b", F.last("__here", True).over(back)).withColumn("__lo", bucket(F.min(time).over(back), alias)).withColumn("__first", F.lag(time).over(asc).isNull())
+    rows = rows.withColumn("__at", F.last("__here", True).over(ahead)).withColumn("__hi", bucket(F.max(time).over(ahead), alias)).withColumn("__next", F.lag(time).over(desc)).withColumn("__after", F.lag("__at").over(desc))
+    hours = _hours(alias)
+    if hours is None:
+        own = bucket(t, alias)
+        start = F.when(own == t, own).otherwise(F.timestamp_add("MONTH" if normalize_alias(alias) == "M" else "YEAR", F.lit(1), own))
+    else:
+        start = F.timestamp_add("HOUR", (F.ceil(F.timestamp_diff("MICROSECOND", F.col("__lo"), t) / F.lit(3_600_000_000 * hours)) * hours).cast("int"), F.col("__lo"))
+    start = F.when(F.col("__first"), F.col("__lo")).otherwise(start)
+    stop = F.least(F.timestamp_add("MICROSECOND", F.lit(-1), F.col("__next")), F.col("__hi"))
+    unit = {"M": "1 month", "Y": "1 year"}.get(normalize_alias(alias), f"{hours} hours")
+    rows = rows.withColumn("__start", start.cast("timestamp_ntz")).withColumn("__stop", stop.cast("timestamp_ntz")).filter("__start <= __stop")
+    steps = rows.select(*keys, t.alias("__t"), "__b", "__at", "__after", F.explode(F.sequence("__start", "__stop", F.expr(f"interval {unit}"))).alias(time))
+    # steps before a series' first stamp have nothing behind them; the stamp's own step has the stamp on both sides
+    b, a = F.when(t >= F.col("__t"), F.col("__b")), F.when(t <= F.col("__t"), F.col("__at")).otherwise(F.col("__after"))
+    return steps.select(*keys, time, b.alias("__b"), a.alias("__a")).select(*keys, time, *[F.col(f"__{n}.{f}").alias(f"__{n}{f}") for n in "ba" for f in "tv"])
 
 
 def to_finer(df: DataFrame, keys: list[str], alias: str, value: str, how: str = "linear", time: str = "t") -> DataFrame:

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnflow.operators import gauges, skill, workflows
+from tarnflow.operators import gauges, resample, skill, workflows
 from tarnflow.plans import registry
 from tarnflow.plans.views import gauge_ts, grid_ts, map_pair, table
 from tarnflow.sources import series
@@ -97,3 +97,24 @@ def test_discharge_evaluation_reads_series_once(spark):
 def test_gridded_evaluation_reads_its_tables_once(spark):
     """Extents, spans, values and ranks once added up the lines anew for each side."""
     assert "l_quantity" not in registry.QUERIES["a46_gridded_spearman"](spark, SF)._jdf.queryExecution().analyzed().toString()
+
+
+@pytest.mark.parametrize(("alias", "hop"), [("D", "1 day"), ("6h", "6 hours"), ("5h", "5 hours"), ("W", "7 days"), ("M", "1 month")])
+def test_finer_steps_equal_brute_force(spark, alias, hop):
+    """Stamps off the steps, without a value at either end, and at the same place as a step; steps are not ordered, only stamps."""
+    rng = random.Random(5)
+    rows = [(i, f"2001-0{rng.randrange(1, 5)}-{rng.randrange(10, 28)} {rng.choice(['00:00', '06:00', '13:37'])}:00", rng.random() if rng.random() < 0.7 else None) for i in range(6) for _ in range(9)] + [(9, "2001-01-01 00:00:00", None)]
+    rows = list({(i, t): (i, t, v) for i, t, v in rows}.values())
+    df = spark.createDataFrame(rows, "id long, t string, v double").withColumn("t", F.to_timestamp_ntz("t"))
+    stamps = [(r.id, r.t, r.v) for r in df.collect()]
+    for how in ("ffill", "nearest"):
+        out = resample.to_finer(df, ["id"], alias, "v", how)
+        got = {(r.id, r.t): r.v for r in out.collect()}
+        want = {}
+        for i, t in ((r.id, r.t) for r in resample.spine(df, ["id"], alias).collect()):
+            back, ahead = [(s, v) for j, s, v in stamps if j == i and v is not None and s <= t], [(s, v) for j, s, v in stamps if j == i and v is not None and s >= t]
+            b, a = max(back, default=None), min(ahead, default=None)
+            want[i, t] = (b and b[1]) if how == "ffill" or a is None or (b is not None and t - b[0] <= a[0] - t) else a[1]
+        assert got == want
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.rindex("Generate") < plan.index("Window ")
