@@ -2,7 +2,7 @@
 
 Sums along the graph are made by doubling: after round r a cell knows the cell 2**r steps down and the sum
 over what drains into it within fewer than 2**r steps, so rounds grow with the logarithm of the longest path, and
-no round holds more than a row a cell.
+no round holds more than a row a cell.  Rounds join by shuffles: tables that are small as files are many times that on the driver, once a round.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ def accumulate(flow: DataFrame, weight: str | None = None) -> DataFrame:
             return state.select("cell", "total")
         arrived = state.filter("jump is not null").groupBy(F.col("jump").alias("cell")).agg(F.sum("total").alias("more"))
         further = state.select(F.col("cell").alias("jump"), F.col("jump").alias("next"))
-        state = state.join(arrived, "cell", "left").join(further, "jump", "left").select("cell", F.col("next").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
+        state = state.join(arrived.hint("merge"), "cell", "left").join(further.hint("merge"), "jump", "left").select("cell", F.col("next").alias("jump"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"))
 
 
 def basins(flow: DataFrame, weight: str | None = None) -> DataFrame:
@@ -45,7 +45,7 @@ def basins(flow: DataFrame, weight: str | None = None) -> DataFrame:
     while True:
         state = write_through(state, "basins")
         there = state.select(F.col("cell").alias("outlet"), F.col("outlet").alias("next"), F.col("steps").alias("more"))
-        moved = state.join(there, "outlet").select("cell", F.col("next").alias("outlet"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("next") != F.col("outlet")).alias("moved"))
+        moved = state.join(there.hint("merge"), "outlet").select("cell", F.col("next").alias("outlet"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("next") != F.col("outlet")).alias("moved"))
         state = write_through(moved, "basins")
         if state.filter("moved").isEmpty():
             return state.select("cell", "outlet", "steps")

@@ -35,10 +35,10 @@ def _adjacent(a: Column, b: Column) -> Column:
 def _state(flow: DataFrame, ways: DataFrame, outlets: DataFrame) -> DataFrame:
     """Each way out (unit, cell, down, total) with ``next``, the unit of the first outlet below it, whether that is a neighbour's, and whether it is the outlet."""
     marked = outlets.select("cell", F.lit(True).alias("__outlet"))
-    cut = flow.join(marked, "cell", "left").select("cell", F.when(F.col("__outlet").isNull(), F.col("down")).alias("down"))
+    cut = flow.join(marked.hint("merge"), "cell", "left").select("cell", F.when(F.col("__outlet").isNull(), F.col("down")).alias("down"))
     # the last cell of a path that leaves the grid is an outlet as well, or lies in a unit without a larger one
-    reach = basins(cut).join(marked.withColumnRenamed("cell", "outlet"), "outlet", "left").filter("__outlet").select(F.col("cell").alias("down"), F.col("outlet").alias("below"))
-    found = ways.join(reach, "down", "left").join(marked, "cell", "left")
+    reach = basins(cut).join(marked.withColumnRenamed("cell", "outlet").hint("merge"), "outlet", "left").filter("__outlet").select(F.col("cell").alias("down"), F.col("outlet").alias("below"))
+    found = ways.join(reach.hint("merge"), "down", "left").join(marked.hint("merge"), "cell", "left")
     return write_through(found.select("unit", "cell", "down", "total", "below", F.coalesce("__outlet", F.lit(False)).alias("outlet")), "ways")
 
 
@@ -52,7 +52,7 @@ def upscale(cells: DataFrame, factor: int, weight: str | None = None, rounds: in
     totals = accumulate(flow, "weight" if weight else None)
     own = _unit(F.col("cell"), factor)
     leaving = F.col("down").isNull() | (_unit(F.col("down"), factor) != own)
-    ways = write_through(flow.filter(leaving).join(totals, "cell").select(own.alias("unit"), "cell", "down", "total"), "exits")
+    ways = write_through(flow.filter(leaving).join(totals.hint("merge"), "cell").select(own.alias("unit"), "cell", "down", "total"), "exits")
     largest = F.max_by(F.struct("cell"), F.struct("total", (-F.col("cell")).alias("c")))
     outlets = ways.groupBy("unit").agg(largest.alias("b")).select("unit", "b.cell")
     best, fewest = None, None
@@ -68,16 +68,16 @@ def upscale(cells: DataFrame, factor: int, weight: str | None = None, rounds: in
         best, fewest = state, n
         if n == 0 or k == rounds:
             break
-        better = state.filter("NOT outlet").filter(neighbour).join(bad.select("unit"), "unit", "left_semi").groupBy("unit").agg(largest.alias("b")).select("unit", F.col("b.cell").alias("moved"))
-        outlets = write_through(state.filter("outlet").select("unit", "cell").join(better, "unit", "left").select("unit", F.coalesce("moved", "cell").alias("cell")), "outlets")
+        better = state.filter("NOT outlet").filter(neighbour).join(bad.select("unit").hint("merge"), "unit", "left_semi").groupBy("unit").agg(largest.alias("b")).select("unit", F.col("b.cell").alias("moved"))
+        outlets = write_through(state.filter("outlet").select("unit", "cell").join(better.hint("merge"), "unit", "left").select("unit", F.coalesce("moved", "cell").alias("cell")), "outlets")
     out = best.filter("outlet").select("unit", "cell", "down", "total", wrong.alias("error"), F.when(neighbour, _unit(F.col("below"), factor)).alias("link"))
     # of what is left: neighbours with a larger accumulation, the one that the water enters first
     x = F.col("unit") % ROW
     around = F.explode(F.array(*[F.struct((F.col("unit") + dy * ROW + dx).alias("near"), (x + dx >= 0).alias("inside")) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx])).alias("n")
     open_ = out.filter("error").select("unit", "total", _unit(F.col("down"), factor).alias("entered"), around).filter("n.inside").select("unit", "total", "entered", F.col("n.near").alias("near"))
     sizes = out.select(F.col("unit").alias("near"), F.col("total").alias("size"))
-    chosen = open_.join(sizes, "near").filter("size > total").groupBy("unit").agg(F.min_by("near", F.struct(F.col("near") != F.col("entered"), F.col("size"), F.col("near"))).alias("mended"))
-    out = out.join(chosen, "unit", "left").withColumn("link", F.coalesce("link", "mended"))
+    chosen = open_.join(sizes.hint("merge"), "near").filter("size > total").groupBy("unit").agg(F.min_by("near", F.struct(F.col("near") != F.col("entered"), F.col("size"), F.col("near"))).alias("mended"))
+    out = out.join(chosen.hint("merge"), "unit", "left").withColumn("link", F.coalesce("link", "mended"))
     row = lambda c: ((F.col(c) - F.col(c) % ROW) / ROW).cast("long")
     col = lambda c: F.col(c) % ROW
     units = out.select(row("unit").alias("yi"), col("unit").alias("xi"), row("link").alias("down_yi"), col("link").alias("down_xi"), row("cell").alias("out_yi"), col("cell").alias("out_xi"), "total", "error")

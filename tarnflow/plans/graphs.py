@@ -201,5 +201,5 @@ def upscaled_directions(spark, sf):
     cells = part.select(F.floor(F.col("k") / 50).cast("long").alias("yi"), (F.col("k") % 50).alias("xi"), "d")
     to = cells.select("yi", "xi", (F.col("yi") + F.when(F.col("d") == 0, 0).otherwise(1)).alias("down_yi"), (F.col("xi") + F.when(F.col("d") == 2, 0).when(F.col("d") == 3, -1).otherwise(1)).alias("down_xi"))
     there = cells.select(F.col("yi").alias("down_yi"), F.col("xi").alias("down_xi"), F.lit(True).alias("there"))
-    joined = to.join(there, ["down_yi", "down_xi"], "left").select("yi", "xi", *[F.when(F.col("there"), F.col(c)).alias(c) for c in ("down_yi", "down_xi")])
+    joined = to.join(there.hint("merge"), ["down_yi", "down_xi"], "left").select("yi", "xi", *[F.when(F.col("there"), F.col(c)).alias(c) for c in ("down_yi", "down_xi")])
     return upscale.upscale(joined, 4, rounds=1)[0]

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tarnflow.operators import gauges, resample, skill, workflows
+from tarnflow.operators import flow, gauges, resample, skill, workflows
 from tarnflow.plans import registry
 from tarnflow.plans.views import gauge_ts, grid_ts, map_pair, table
 from tarnflow.sources import series
@@ -118,3 +118,13 @@ def test_finer_steps_equal_brute_force(spark, alias, hop):
         assert got == want
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.rindex("Generate") < plan.index("Window ")
+
+
+@pytest.mark.parametrize("rounds", [flow.basins, flow.accumulate])
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch, rounds):
+    """Tables of a round that are small as files were sent to every executor, by way of the driver, once a round."""
+    plans, write = [], flow.write_through
+    monkeypatch.setattr(flow, "write_through", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, name))
+    river = spark.range(9).select(F.col("id").alias("cell"), F.when(F.col("id") > 0, F.col("id") - 1).alias("down"))
+    assert rounds(river).count() == 9
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
