@@ -135,14 +135,14 @@ def spill_levels(edges: DataFrame) -> DataFrame:
             return state.filter(F.col("node") != SEA).select("node", "level")
         back = out.select(F.col("grp").alias("to"), F.col("to").alias("back"))
         # of two that take each other's way the smaller one stays
-        tree = out.join(back, "to", "left").select(F.col("grp").alias("cell"), F.when((F.col("back") == F.col("grp")) & (F.col("grp") < F.col("to")), F.lit(None)).otherwise(F.col("to")).alias("down"))
+        tree = out.join(back.hint("merge"), "to", "left").select(F.col("grp").alias("cell"), F.when((F.col("back") == F.col("grp")) & (F.col("grp") < F.col("to")), F.lit(None)).otherwise(F.col("to")).alias("down"))
         tree = tree.unionByName(tree.sparkSession.createDataFrame([(SEA, None)], "cell long, down long"))
         heads = write_through(basins(tree).select(F.col("cell").alias("grp"), F.col("outlet").alias("next")), "heads")
-        raised = state.join(out.select("grp", "w"), "grp", "left").join(heads, "grp", "left")
+        raised = state.join(out.select("grp", "w").hint("merge"), "grp", "left").join(heads.hint("merge"), "grp", "left")
         state = write_through(raised.select("node", F.coalesce("next", "grp").alias("grp"), F.greatest("level", "w").alias("level")), "levels")
         moved = left
         for c in ("a", "b"):
-            moved = moved.join(heads.select(F.col("grp").alias(c), F.col("next").alias(f"__{c}")), c, "left").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
+            moved = moved.join(heads.select(F.col("grp").alias(c), F.col("next").alias(f"__{c}")).hint("merge"), c, "left").withColumn(c, F.coalesce(f"__{c}", c)).drop(f"__{c}")
         left = moved.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w")
 
 
@@ -243,7 +243,7 @@ def level_steps(filled: DataFrame, size: int = TILE) -> DataFrame:
         around = F.explode(F.array(*[F.struct((F.col("yi") + dy).alias("yi"), (F.col("xi") + dx).alias("xi")) for dy, dx in NEIGHBOURS]))
         told = edge.filter(F.col("steps") < FAR).select(around.alias("to"), "filled", F.col("steps") + 1, F.col("ty").alias("fy"), F.col("tx").alias("fx")).toDF("to", "filled", "told", "fy", "fx")
         told = told.select("to.yi", "to.xi", "filled", "told", "fy", "fx")
-        news = edge.join(told, ["yi", "xi", "filled"]).filter("(ty != fy OR tx != fx) AND told < steps").groupBy("ty", "tx", "yi", "xi").agg(F.min("told").alias("steps"))
+        news = edge.join(told.hint("merge"), ["yi", "xi", "filled"]).filter("(ty != fy OR tx != fx) AND told < steps").groupBy("ty", "tx", "yi", "xi").agg(F.min("told").alias("steps"))
         news = write_through(news, "nearer")
         if news.isEmpty():
             return (state if done is None else state.unionByName(done)).select("yi", "xi", "filled", "steps")
