@@ -104,9 +104,14 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, steps: int = STEPS, seed: in
 
 
 def _raw_of(machine: Machine, rows: list[np.ndarray]) -> np.ndarray:
-    first = np.zeros(len(rows) + 1, np.int64)
-    np.cumsum([len(r) for r in rows], out=first[1:])
-    return machine.raw(np.concatenate(rows), first)
+    """The machine's value of each text, ``BATCH`` texts at a time: only their slots are copied."""
+    out = np.empty(len(rows))
+    for lo in range(0, len(rows), BATCH):
+        some = rows[lo : lo + BATCH]
+        first = np.zeros(len(some) + 1, np.int64)
+        np.cumsum([len(r) for r in some], out=first[1:])
+        out[lo : lo + BATCH] = machine.raw(np.concatenate(some), first)
+    return out
 
 
 def _loss(value: np.ndarray, labels: np.ndarray) -> float:
@@ -135,24 +140,18 @@ def _learn(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int], s
     With ``held`` (rows, labels) a phase goes back to where their loss was least.
     """
     n = len(rows)
-    flat = np.concatenate(rows)
-    held_slots = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= 2)
+    # slots are looked up where they lie, a text or a step at a time; no second copy of the sample
+    texts_of = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        texts_of[r] += 1
+    held_slots = np.flatnonzero(texts_of >= 2)
+    del texts_of
     m = len(held_slots)
     if not m:
         return empty, (0, 0)
     index = np.full(1 << BITS, -1, np.int32)
     index[held_slots] = np.arange(m)
-    at = index[flat]
-    del flat
-    known = at >= 0
-    # texts without any slot have no stretch of their own
-    lengths = np.array([len(r) for r in rows])
-    size = np.zeros(n, np.int64)
-    filled = lengths > 0
-    size[filled] = np.add.reduceat(known, (np.cumsum(lengths) - lengths)[filled], dtype=np.int64)
-    at = at[known]
-    del known
-    begin = np.cumsum(size) - size
+    del held_slots
     rng = np.random.default_rng(seed)
     # columns: the linear weight, then the factors; z and s hold the sums of gradients and of their squares
     start = np.hstack([np.zeros((m, 1)), rng.normal(0, START, (m, FACTORS))]).astype(np.float32)
@@ -188,9 +187,9 @@ def _learn(rows: list[np.ndarray], labels: np.ndarray, steps: tuple[int, int], s
             lo += BATCH
             if lo >= n:
                 order, lo = rng.permutation(n), 0
-            count = size[docs]
-            row = np.repeat(np.arange(len(docs)), count)
-            terms = at[np.arange(len(row)) + np.repeat(begin[docs] - (np.cumsum(count) - count), count)]
+            terms = index[np.concatenate([rows[i] for i in docs])]
+            row = np.repeat(np.arange(len(docs)), [len(rows[i]) for i in docs])[terms >= 0]
+            terms = terms[terms >= 0]
             mark[terms] = True
             touched = np.flatnonzero(mark)
             mark[touched] = False
@@ -253,7 +252,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     toxic = rows["toxic"].to_numpy()[order].astype(float)
     # views of the table's own memory
     slots = [np.frombuffer(x.as_buffer(), np.int32) for x in rows["slots"]]
-    return fit([slots[i] for i in order], toxic)
+    machine = fit([slots[i] for i in order], toxic)
+    # Arrow keeps freed memory for later tables; there are none
+    del rows, slots
+    pa.default_memory_pool().release_unused()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, name: str = "score") -> DataFrame:
